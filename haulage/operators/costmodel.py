@@ -3,14 +3,16 @@
 Shuffle plan (tariffs and plants are joined by broadcast when Spark's size
 check allows, otherwise by a shuffle join on the lane keys):
 
-1. ``shipments``    - aggregate order lines on the 6 shipment keys; partial
-                      aggregation runs map-side, and the star writes order lines
-                      range-clustered by ``order_id``, so lines of one shipment
-                      mostly collapse before the shuffle.
+1. ``shipments``    - aggregate order lines on the 6 shipment keys (partial
+                      aggregation map-side; order lines are written range-clustered
+                      by ``order_id``, so lines of one shipment mostly collapse
+                      before the shuffle).  The star writes the result once,
+                      bucketed by ``order_id``, and every question starts there.
 2. tariff lookup    - equi keys on the lane, weight band as a residual range.
 3. ``first_by``     - one surviving row per order (or per shipment) as an
-                      aggregate with map-side partials, so a hot order is
-                      reduced before it is shuffled.
+                      aggregate; on the bucketed rollup it needs no shuffle, and
+                      on unbucketed input its map-side partials reduce a hot
+                      order before it is shuffled.
 """
 
 from __future__ import annotations
@@ -74,9 +76,10 @@ def historical_tariff(rated: DataFrame, cfg: CostConfig) -> DataFrame:
     return first_by(rated, keys, HISTORICAL_ORDER, payload)
 
 
-def order_costs(fact_orders: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
+def order_costs(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
                 cfg: CostConfig) -> DataFrame:
-    picked = historical_tariff(rated_shipments(shipments(fact_orders), fact_freight_rates), cfg)
+    """Historical cost per order (or shipment) from the shipment rollup ``ships``."""
+    picked = historical_tariff(rated_shipments(ships, fact_freight_rates), cfg)
     plants = dim_plant.select(F.col("plant_key").alias("plant_id"), "cost_per_unit")
     transport = freight_charge(F.col("total_weight"), F.col("rate"), F.col("minimum_cost"),
                                F.col("carrier_id"), cfg.zero_freight_carrier_key, guarded=True)
@@ -89,12 +92,11 @@ def order_costs(fact_orders: DataFrame, fact_freight_rates: DataFrame, dim_plant
                         F.coalesce("transport_cost", F.lit(0)) + F.col("warehouse_cost")))
 
 
-def carrier_options(fact_orders: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
-                    cfg: CostConfig, guarded: bool | None = None,
-                    ships: DataFrame | None = None) -> DataFrame:
+def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
+                    cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
     """Every shipment priced with every carrier that has a tariff on its lane and band."""
     guarded = cfg.guarded if guarded is None else guarded
-    s = shipments(fact_orders) if ships is None else ships
+    s = ships
     f = _tariffs(fact_freight_rates)
     j = s.join(f, _lane_and_band(s, f, with_carrier=False), "inner")
     plants = dim_plant.select(F.col("plant_key").alias("_plant"), "cost_per_unit")

@@ -230,7 +230,40 @@ plant_lines AS (
   SELECT p.plant_code, p.daily_capacity, n.daily_orders
   FROM dim_plant p
   JOIN (SELECT plant_id, count(*) AS daily_orders FROM fo0 GROUP BY plant_id) n
-    ON n.plant_id = p.plant_key)"""
+    ON n.plant_id = p.plant_key),
+need AS (
+  SELECT {SHIP_KEYS}, count(DISTINCT product_id) AS n_products, max(customer_id) AS cust
+  FROM fo0 GROUP BY {SHIP_KEYS}),
+stocked AS (
+  SELECT {', '.join('l.' + k for k in SHIP_KEYS.split(', '))}, b.plant_key AS candidate_plant,
+         count(DISTINCT l.product_id) AS n_stocked
+  FROM fo0 l JOIN bridge_plant_product b ON b.product_key = l.product_id
+  GROUP BY {', '.join('l.' + k for k in SHIP_KEYS.split(', '))}, b.plant_key),
+cand AS (
+  SELECT {', '.join('x.' + k for k in SHIP_KEYS.split(', '))}, x.candidate_plant
+  FROM stocked x
+  JOIN need n ON {' AND '.join(f'n.{k} = x.{k}' for k in SHIP_KEYS.split(', '))}
+  WHERE x.n_stocked = n.n_products
+    AND (x.candidate_plant NOT IN (SELECT plant_key FROM bridge_plant_customer)
+         OR EXISTS (SELECT 1 FROM bridge_plant_customer b
+                    WHERE b.plant_key = x.candidate_plant AND b.customer_key = n.cust))),
+fopt AS (
+  SELECT {', '.join('c.' + k for k in SHIP_KEYS.split(', '))}, c.candidate_plant,
+         pp.port_key AS candidate_origin_port, f.carrier_key AS candidate_carrier, f.freight_rate_id,
+         s.unit_quantity, s.total_weight,
+         {charge(True, 'f.carrier_key')} AS transport_cost,
+         s.unit_quantity * p.cost_per_unit AS warehouse_cost
+  FROM cand c
+  JOIN bridge_plant_port pp ON pp.plant_key = c.candidate_plant
+  JOIN ship s ON {' AND '.join(f's.{k} = c.{k}' for k in SHIP_KEYS.split(', '))}
+  JOIN fact_freight_rates f
+    ON f.origin_port_key = pp.port_key AND f.destination_port_key = c.destination_port_id
+   AND f.service_level = c.service_level AND s.total_weight BETWEEN f.min_weight AND f.max_weight
+  JOIN dim_plant p ON p.plant_key = c.candidate_plant),
+fbest AS (
+  SELECT *, transport_cost + warehouse_cost AS total_cost FROM fopt
+  QUALIFY row_number() OVER (PARTITION BY {SHIP_KEYS}
+     ORDER BY {_nl('transport_cost + warehouse_cost, candidate_plant, candidate_origin_port, candidate_carrier, freight_rate_id')}) = 1)"""
 
 
 def _money(expr: str, alias: str) -> str:
@@ -425,5 +458,167 @@ def core_statements() -> dict[str, str]:
     return out
 
 
+# ---------------------------------------------------------------- profiling and data quality
+
+_CLEAN_CTE = {"plant_port": ("pp", ["plant_code", "port"]),
+              "vmi_customers": ("vmi", ["plant_code", "customer_id"]),
+              "products_per_plant": ("ppp", ["plant_code", "product_id"]),
+              "wh_capacities": ("cap", ["plant_id", "daily_capacity"]),
+              "wh_costs": ("cost", ["plant_code", "cost_per_unit"]),
+              "freight_rates": ("fr", ["carrier_id", "origin_port_code", "destination_port_code",
+                                       "min_weight_quantity", "max_weight_quantity", "service_code",
+                                       "minimum_cost", "rate", "mode_description",
+                                       "transportation_day_count", "carrier_type"]),
+              "order_list": ("ol", ["order_id", "order_date", "origin_port", "carrier",
+                                    "transportation_day_count", "service_level",
+                                    "ship_ahead_day_count", "ship_late_day_count", "customer",
+                                    "product_id", "plant_code", "destination_port", "unit_quantity",
+                                    "weight"])}
+
+
+def profile_tables() -> str:
+    parts = []
+    for table, (cte, cols) in _CLEAN_CTE.items():
+        for c in cols:
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS row_count, "
+                f"count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, "
+                f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value "
+                f"FROM {cte}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _count_where(rule: str, source: str, cond: str) -> str:
+    return f"SELECT '{rule}' AS rule, count(*) AS n_bad FROM {source} WHERE {cond}"
+
+
+def _missing(rule: str, source: str, col: str, ref: str, ref_col: str) -> str:
+    return _count_where(rule, f"{source} t",
+                        f"NOT EXISTS (SELECT 1 FROM {ref} r WHERE r.{ref_col} = t.{col})")
+
+
+def _dups(rule: str, source: str, keys: str) -> str:
+    return (f"SELECT '{rule}' AS rule, count(*) AS n_bad FROM "
+            f"(SELECT {keys} FROM {source} GROUP BY {keys} HAVING count(*) > 1) d")
+
+
+DQ_ORPHANS = "\nUNION ALL\n".join([
+    _missing("order_plant_without_capacity_or_cost", "ol", "plant_code", "dim_plant", "plant_code"),
+    _missing("order_product_without_plant", "ol", "product_id", "ppp", "product_id"),
+    _missing("capacity_plant_without_cost", "cap", "plant_id", "cost", "plant_code"),
+    _missing("cost_plant_without_capacity", "cost", "plant_code", "cap", "plant_id"),
+    _missing("plant_port_unknown_plant", "pp", "plant_code", "dim_plant", "plant_code"),
+    _missing("vmi_unknown_plant", "vmi", "plant_code", "dim_plant", "plant_code"),
+    _missing("product_unknown_plant", "ppp", "plant_code", "dim_plant", "plant_code"),
+    _count_where("order_missing_date", "ol", "order_date IS NULL"),
+    _count_where("order_missing_carrier", "ol", "carrier IS NULL"),
+    _count_where("order_missing_customer", "ol", "customer IS NULL"),
+    _count_where("order_missing_port", "ol", "origin_port IS NULL OR destination_port IS NULL"),
+])
+
+DQ_DUPLICATES = "\nUNION ALL\n".join([
+    _dups("wh_costs_duplicate_plant", "cost", "plant_code"),
+    _dups("wh_capacities_duplicate_plant", "cap", "plant_id"),
+    _dups("plant_port_duplicate_pair", "pp", "plant_code, port"),
+    _dups("vmi_duplicate_pair", "vmi", "plant_code, customer_id"),
+    _dups("products_per_plant_duplicate_pair", "ppp", "plant_code, product_id"),
+    _dups("product_in_several_plants", "ppp", "product_id"),
+    _dups("freight_rates_duplicate_band", "fr",
+          "carrier_id, origin_port_code, destination_port_code, service_code, "
+          "min_weight_quantity, max_weight_quantity"),
+    _dups("order_list_identical_lines", "ol", ", ".join(_CLEAN_CTE["order_list"][1])),
+])
+
+DQ_BOUNDS = "\nUNION ALL\n".join([
+    _count_where("tariff_min_above_max", "fr", "min_weight_quantity > max_weight_quantity"),
+    _count_where("tariff_negative_rate", "fr", "rate < 0"),
+    _count_where("tariff_missing_rate", "fr", "rate IS NULL"),
+    _count_where("tariff_missing_minimum_cost", "fr", "minimum_cost IS NULL"),
+    _count_where("tariff_missing_rate_and_minimum", "fr", "rate IS NULL AND minimum_cost IS NULL"),
+    _count_where("capacity_not_positive", "cap", "coalesce(daily_capacity <= 0, true)"),
+    _count_where("cost_per_unit_negative_or_missing", "cost", "coalesce(cost_per_unit < 0, true)"),
+    _count_where("order_quantity_not_positive", "ol", "coalesce(unit_quantity <= 0, true)"),
+    _count_where("order_weight_missing", "ol", "weight IS NULL"),
+    _count_where("order_late_and_early", "ol", "ship_late_day_count > 0 AND ship_ahead_day_count > 0"),
+])
+
+# ---------------------------------------------------------------- extensions
+
+USAGE_FREQUENCY = """
+SELECT *, rank() OVER (PARTITION BY usage_kind ORDER BY shipments DESC) AS usage_rank FROM (
+  SELECT CASE WHEN GROUPING(plant_id) = 0 THEN 'plant'
+              WHEN GROUPING(carrier_id) = 0 THEN 'carrier' ELSE 'route' END AS usage_kind,
+         plant_id, origin_port_id, destination_port_id, carrier_id,
+         count(*) AS shipments, count(DISTINCT order_id) AS orders,
+         CAST(sum(unit_quantity) AS BIGINT) AS units
+  FROM ship
+  GROUP BY GROUPING SETS ((plant_id), (origin_port_id, destination_port_id), (carrier_id))) g"""
+
+AVG_TRANSPORT_DAYS = """
+SELECT l.origin_port_id, l.destination_port_id, l.order_lines, l.avg_order_days,
+       coalesce(t.tariffs, 0) AS tariffs, t.avg_tariff_days
+FROM (SELECT origin_port_id, destination_port_id, count(*) AS order_lines,
+             CAST(sum(transport_mode) AS DOUBLE) / count(transport_mode) AS avg_order_days
+      FROM fo0 GROUP BY origin_port_id, destination_port_id) l
+LEFT JOIN (SELECT origin_port_key, destination_port_key, count(*) AS tariffs,
+                  CAST(sum(transport_days) AS DOUBLE) / count(transport_days) AS avg_tariff_days
+           FROM ffr0 GROUP BY origin_port_key, destination_port_key) t
+  ON t.origin_port_key = l.origin_port_id AND t.destination_port_key = l.destination_port_id"""
+
+CAPACITY_BY_DAY = """
+SELECT p.plant_code, d.full_date, p.daily_capacity, n.daily_orders,
+       CASE WHEN CAST(n.daily_orders AS DECIMAL(38,6)) / p.daily_capacity > 1 THEN 'Over capacity'
+            WHEN CAST(n.daily_orders AS DECIMAL(38,6)) / p.daily_capacity >= 0.9 THEN 'Near capacity'
+            ELSE 'Capacity larger than production' END AS "Interpretation"
+FROM (SELECT plant_id, date_id, count(*) AS daily_orders FROM fo0 GROUP BY plant_id, date_id) n
+JOIN dim_plant p ON p.plant_key = n.plant_id
+JOIN dim_date d ON d.date_key = n.date_id"""
+
+DELIVERY_PERFORMANCE = """
+SELECT carrier_id, origin_port_id, destination_port_id, count(*) AS order_lines,
+       count(*) FILTER (WHERE ship_late_days > 0) AS late_lines,
+       count(*) FILTER (WHERE ship_ahead_days > 0) AS early_lines,
+       CAST(count(*) FILTER (WHERE ship_late_days > 0) AS DOUBLE) / count(*) AS late_share,
+       CAST(count(*) FILTER (WHERE ship_ahead_days > 0) AS DOUBLE) / count(*) AS early_share,
+       CAST(sum(ship_late_days) AS DOUBLE) / count(*) AS avg_late_days
+FROM fo0 GROUP BY carrier_id, origin_port_id, destination_port_id"""
+
+FEASIBLE_COLS = (f"{SHIP_KEYS}, candidate_plant, candidate_origin_port, candidate_carrier, "
+                 "freight_rate_id, unit_quantity, CAST(total_weight AS DOUBLE) AS total_weight, "
+                 "CAST(transport_cost AS DOUBLE) AS transport_cost, "
+                 "CAST(warehouse_cost AS DOUBLE) AS warehouse_cost, "
+                 "CAST(transport_cost + warehouse_cost AS DOUBLE) AS total_cost")
+
+FEASIBLE_OPTIONS = f"SELECT {FEASIBLE_COLS} FROM fopt"
+FEASIBLE_ASSIGNMENT = f"SELECT {FEASIBLE_COLS} FROM fbest"
+
+UTILIZATION_SHIFT = """
+SELECT p.plant_key, p.plant_code, p.daily_capacity,
+       coalesce(h.n, 0) AS historical_shipments, coalesce(a.n, 0) AS assigned_shipments,
+       CAST(coalesce(h.n, 0) AS DOUBLE) / CAST(nullif(p.daily_capacity, 0) AS DOUBLE) AS historical_utilization,
+       CAST(coalesce(a.n, 0) AS DOUBLE) / CAST(nullif(p.daily_capacity, 0) AS DOUBLE) AS assigned_utilization,
+       coalesce(a.n, 0) - coalesce(h.n, 0) AS change_in_shipments
+FROM dim_plant p
+LEFT JOIN (SELECT plant_id, count(*) AS n FROM ship GROUP BY plant_id) h ON h.plant_id = p.plant_key
+LEFT JOIN (SELECT candidate_plant, count(*) AS n FROM fbest GROUP BY candidate_plant) a
+  ON a.candidate_plant = p.plant_key"""
+
+
+def extension_statements() -> dict[str, str]:
+    return {
+        "profile_tables": statement(profile_tables()),
+        "dq_orphans": statement(DQ_ORPHANS),
+        "dq_duplicates": statement(DQ_DUPLICATES),
+        "dq_bounds": statement(DQ_BOUNDS),
+        "usage_frequency": statement(USAGE_FREQUENCY),
+        "avg_transport_days": statement(AVG_TRANSPORT_DAYS),
+        "capacity_by_day": statement(CAPACITY_BY_DAY),
+        "delivery_performance": statement(DELIVERY_PERFORMANCE),
+        "feasible_options": statement(FEASIBLE_OPTIONS, dedup=True),
+        "feasible_assignment": statement(FEASIBLE_ASSIGNMENT, dedup=True),
+        "utilization_shift": statement(UTILIZATION_SHIFT, dedup=True),
+    }
+
+
 def all_statements() -> dict[str, str]:
-    return core_statements()
+    return {**core_statements(), **extension_statements()}

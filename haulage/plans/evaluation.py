@@ -12,7 +12,7 @@ from haulage.plans.star import Star
 
 
 def historical_costs(star: Star, cfg: CostConfig) -> DataFrame:
-    return order_costs(star.fact_orders, star.fact_freight_rates, star.dim_plant, cfg)
+    return order_costs(star.shipments, star.fact_freight_rates, star.dim_plant, cfg)
 
 
 def total_historical_cost(star: Star, cfg: CostConfig) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.functions.pricing import money
-from haulage.operators.costmodel import (OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option,
-                                         shipments)
+from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option
 from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
 from haulage.plans.star import Star
 
@@ -52,9 +51,8 @@ def lower_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
     Order grain (as written): each historical option row of the order is compared
     with the order's single cheapest option.  Shipment grain: per shipment.
     """
-    ships = shipments(star.fact_orders)
-    options = carrier_options(star.fact_orders, star.fact_freight_rates, star.dim_plant, cfg,
-                              guarded=True, ships=ships)
+    options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
+                              guarded=True)
     hist = (options.where(F.col("historical_carrier") == F.col("carrier_id"))
             .select(*OPTION_SHIPMENT_KEYS, F.col("total_order_cost").alias("historical_total_cost")))
     best = cheapest_option(options, cfg).select(

@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.functions.pricing import money
-from haulage.operators.costmodel import carrier_options, cheapest_option, shipments
+from haulage.operators.costmodel import carrier_options, cheapest_option
 from haulage.plans.evaluation import historical_costs
 from haulage.plans.star import Star
 
 
-def optimal_choices(star: Star, cfg: CostConfig, guarded: bool | None = None,
-                    ships: DataFrame | None = None) -> DataFrame:
-    options = carrier_options(star.fact_orders, star.fact_freight_rates, star.dim_plant, cfg,
-                              guarded=guarded, ships=ships)
+def optimal_choices(star: Star, cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
+    options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
+                              guarded=guarded)
     return cheapest_option(options, cfg)
 
 
@@ -64,10 +63,9 @@ def cost_reduction(star: Star, cfg: CostConfig, comparable: bool = False) -> Dat
 
 def route_rebalance(star: Star, cfg: CostConfig) -> DataFrame:
     """Shipments per (plant, origin, destination) historically vs optimised rows."""
-    ships = shipments(star.fact_orders)
     route = ["plant_id", "origin_port_id", "destination_port_id"]
-    historical = ships.groupBy(*route).agg(F.count(F.lit(1)).alias("historical_orders"))
-    optimal = (optimal_choices(star, cfg, guarded=True, ships=ships)
+    historical = star.shipments.groupBy(*route).agg(F.count(F.lit(1)).alias("historical_orders"))
+    optimal = (optimal_choices(star, cfg, guarded=True)
                .groupBy(*route).agg(F.count(F.lit(1)).alias("optimal_orders")))
     j = historical.join(optimal, route, "full")
     h = F.coalesce("historical_orders", F.lit(0))

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from haulage.config import CostConfig
 from haulage.functions.pricing import money
 from haulage.operators import costmodel
-from haulage.plans import evaluation, inefficiency, optimization
+from haulage.operators import quality
+from haulage.plans import evaluation, extensions, inefficiency, optimization
 from haulage.plans.star import Star, clean_for, star_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +45,7 @@ def on_star(fn: Callable[[Star, CostConfig], DataFrame], cfg: CostConfig = CostC
 
 
 def _shipments(star: Star, cfg: CostConfig) -> DataFrame:
-    return decimals_as_double(costmodel.shipments(star.fact_orders))
+    return decimals_as_double(star.shipments)
 
 
 def _order_costs(star: Star, cfg: CostConfig) -> DataFrame:
@@ -53,7 +54,7 @@ def _order_costs(star: Star, cfg: CostConfig) -> DataFrame:
 
 def _carrier_options(star: Star, cfg: CostConfig) -> DataFrame:
     return decimals_as_double(costmodel.carrier_options(
-        star.fact_orders, star.fact_freight_rates, star.dim_plant, cfg))
+        star.shipments, star.fact_freight_rates, star.dim_plant, cfg))
 
 
 CLEAN_TABLES = ("order_list", "freight_rates", "plant_port", "vmi_customers",
@@ -101,5 +102,36 @@ def core_queries() -> dict[str, Query]:
     return q
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.profile_tables(clean_for(spark, sf_dir))
+
+
+def _dq(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clean_for(spark, sf_dir)
+    if which == "orphans":
+        return quality.dq_orphans(c, star_for(spark, sf_dir).dim_plant)
+    return quality.dq_duplicates(c) if which == "duplicates" else quality.dq_bounds(c)
+
+
+def extension_queries() -> dict[str, Query]:
+    dedup = CostConfig(dedup_product=True)
+    q: dict[str, Query] = {
+        "profile_tables": _profile,
+        "dq_orphans": partial(_dq, "orphans"),
+        "dq_duplicates": partial(_dq, "duplicates"),
+        "dq_bounds": partial(_dq, "bounds"),
+        "usage_frequency": on_star(extensions.usage_frequency),
+        "avg_transport_days": on_star(extensions.avg_transport_days),
+        "capacity_by_day": on_star(extensions.capacity_by_day),
+        "delivery_performance": on_star(extensions.delivery_performance),
+        "feasible_options": on_star(lambda s, c: decimals_as_double(
+            extensions.feasible_options(s, c)), dedup),
+        "feasible_assignment": on_star(lambda s, c: decimals_as_double(
+            extensions.feasible_assignment(s, c)), dedup),
+        "utilization_shift": on_star(extensions.utilization_shift, dedup),
+    }
+    return q
+
+
 def all_queries() -> dict[str, Query]:
-    return core_queries()
+    return {**core_queries(), **extension_queries()}

@@ -15,7 +15,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.operators import bridges, dims, facts
+from haulage.operators import bridges, costmodel, dims, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import scratch_path
 from haulage.sources.staging import Staging
@@ -36,6 +36,9 @@ class Star:
     bridge_plant_product: DataFrame
     fact_freight_rates: DataFrame
     fact_orders: DataFrame
+    # shipment rollup of fact_orders, bucketed by order_id: every per-order and
+    # per-shipment step downstream runs without a shuffle
+    shipments: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "clean"}
@@ -46,6 +49,16 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table bucketed and sorted by ``key`` (external, at ``path``)."""
+    spark = df.sparkSession
+    name = "haulage_" + path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + "_" + \
+        path.rstrip("/").rsplit("/", 1)[-1]
+    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def _write_all(tables: dict, root: str, prefix: str = "") -> dict[str, DataFrame]:
     """Build and write independent tables as concurrent Spark jobs (one driver thread each).
 
@@ -98,7 +111,10 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
         "fact_orders": lambda: facts.fact_orders(c, d["dim_date"], d["dim_plant"], d["dim_product"],
                                                  d["dim_customer"], d["dim_carrier"], d["dim_port"]),
     }, root)
-    return Star(clean=c, **d, **rest)
+    buckets = int(c.order_list.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ships = _write_bucketed(costmodel.shipments(rest["fact_orders"]), f"{root}/shipments",
+                            "order_id", buckets)
+    return Star(clean=c, **d, **rest, shipments=ships)
 
 
 _LOCK = threading.Lock()
