@@ -606,6 +606,7 @@ LEFT JOIN (SELECT candidate_plant, count(*) AS n FROM fbest GROUP BY candidate_p
 
 def extension_statements() -> dict[str, str]:
     return {
+        "stg_csv": statement(TABLE_SELECTS["clean_order_list"]),
         "profile_tables": statement(profile_tables()),
         "dq_orphans": statement(DQ_ORPHANS),
         "dq_duplicates": statement(DQ_DUPLICATES),

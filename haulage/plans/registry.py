@@ -18,7 +18,10 @@ from haulage.functions.pricing import money
 from haulage.operators import costmodel
 from haulage.operators import quality
 from haulage.plans import evaluation, extensions, inefficiency, optimization
+from haulage.operators.clean import clean_table
 from haulage.plans.star import Star, clean_for, star_for
+from haulage.session import scratch_path
+from haulage.sources.csv import read_staging_csv, write_staging_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +105,13 @@ def core_queries() -> dict[str, Query]:
     return q
 
 
+def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order list exported as source-style CSV, then ingested by position and cleaned."""
+    path = scratch_path(spark, "csv-order_list")
+    write_staging_csv(clean_for(spark, sf_dir).order_list, path, "order_list")
+    return decimals_as_double(clean_table("order_list", read_staging_csv(spark, path, "order_list")))
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile_tables(clean_for(spark, sf_dir))
 
@@ -116,6 +126,7 @@ def _dq(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 def extension_queries() -> dict[str, Query]:
     dedup = CostConfig(dedup_product=True)
     q: dict[str, Query] = {
+        "stg_csv": _csv_round_trip,
         "profile_tables": _profile,
         "dq_orphans": partial(_dq, "orphans"),
         "dq_duplicates": partial(_dq, "duplicates"),
