@@ -52,3 +52,18 @@ def scalable_key(df: DataFrame, name: str, order: list[Column],
     return (tagged.join(F.broadcast(offsets), "_part")
             .select((F.col("_offset") + F.col("_pos") + 1).cast("long").alias(name),
                     *[F.col(c) for c in cols]))
+
+
+def scalable_rank_within(df: DataFrame, name: str, group: list[str], order: list[Column],
+                         num_partitions: int | None = None) -> DataFrame:
+    """1..n inside each group in ``order``, without putting a group in one task.
+
+    Numbers all rows globally in (group, order) with ``scalable_key`` (a large
+    group spans several range partitions), then subtracts the group's first
+    position.  The per-group start table has one row per group.
+    """
+    keyed = scalable_key(df, "_pos", nulls_last(*group) + list(order), num_partitions)
+    starts = keyed.groupBy(*group).agg(F.min("_pos").alias("_start"))
+    return (keyed.join(starts, group)
+            .withColumn(name, (F.col("_pos") - F.col("_start") + 1).cast("long"))
+            .drop("_pos", "_start"))

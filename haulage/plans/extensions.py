@@ -178,3 +178,62 @@ def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
                     _ratio(h, F.col("daily_capacity")).alias("historical_utilization"),
                     _ratio(a, F.col("daily_capacity")).alias("assigned_utilization"),
                     (a - h).alias("change_in_shipments"))
+
+
+# ---------------------------------------------------------------- capacity-limited assignment
+
+def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3) -> DataFrame:
+    """Greedy, set-based assignment of shipments to feasible options under plant capacity.
+
+    ``daily_capacity`` is read as the number of shipments a plant may take over the
+    horizon (the same all-dates reading the capacity questions use).  Each round,
+    every open shipment proposes its cheapest option among plants with capacity
+    left; each plant accepts its cheapest proposals up to that capacity (rank inside
+    the plant computed partition-parallel, so a hot plant is never one task).
+    Rejected shipments try again next round.  After ``rounds`` the still-open
+    shipments are returned with NULL assignment - no shipment is dropped.
+    A heuristic: not claimed optimal.
+    """
+    from haulage.functions.keys import scalable_rank_within
+
+    options = feasible_options(star, cfg).select(
+        *SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
+        "freight_rate_id", "total_cost")
+    spark = options.sparkSession
+    capacity = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
+                                     F.col("daily_capacity").cast("long").alias("_left"))
+    open_ships = star.shipments.select(*SHIPMENT_KEYS)
+    accepted = None
+    for r in range(1, rounds + 1):
+        live = capacity.where(F.col("_left") > 0)
+        proposals = first_by(
+            options.join(open_ships, SHIPMENT_KEYS, "left_semi").join(live, "candidate_plant",
+                                                                       "left_semi"),
+            SHIPMENT_KEYS, FEASIBLE_ORDER,
+            ["candidate_plant", "candidate_origin_port", "candidate_carrier", "freight_rate_id",
+             "total_cost"])
+        ranked = scalable_rank_within(
+            proposals, "_rank", ["candidate_plant"],
+            [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
+                                                      for k in SHIPMENT_KEYS])
+        decided = ranked.join(capacity, "candidate_plant").withColumn(
+            "_ok", F.col("_rank") <= F.col("_left")).checkpoint(eager=True)
+        won = decided.where("_ok").select(*SHIPMENT_KEYS, "candidate_plant",
+                                          "candidate_origin_port", "candidate_carrier",
+                                          "freight_rate_id", "total_cost",
+                                          F.lit(r).alias("assignment_round"))
+        accepted = won if accepted is None else accepted.unionByName(won)
+        taken = won.groupBy("candidate_plant").agg(F.count(F.lit(1)).alias("_taken"))
+        capacity = (capacity.join(taken, "candidate_plant", "left")
+                    .select("candidate_plant",
+                            (F.col("_left") - F.coalesce("_taken", F.lit(0))).alias("_left"))
+                    .checkpoint(eager=True))
+        open_ships = open_ships.join(won.select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti")
+    everyone = star.shipments.select(*SHIPMENT_KEYS, "unit_quantity")
+    out = everyone.join(accepted, SHIPMENT_KEYS, "left")
+    return out.select(*SHIPMENT_KEYS, "unit_quantity",
+                      F.col("candidate_plant").alias("assigned_plant"),
+                      F.col("candidate_origin_port").alias("assigned_origin_port"),
+                      F.col("candidate_carrier").alias("assigned_carrier"), "freight_rate_id",
+                      money(F.col("total_cost")).alias("total_cost"),
+                      F.col("assignment_round").cast("int").alias("assignment_round"))

@@ -140,6 +140,8 @@ def extension_queries() -> dict[str, Query]:
         "feasible_assignment": on_star(lambda s, c: decimals_as_double(
             extensions.feasible_assignment(s, c)), dedup),
         "utilization_shift": on_star(extensions.utilization_shift, dedup),
+        # iterative heuristic: no SQL oracle, checked by invariants in the tests
+        "capacity_assignment": on_star(extensions.capacity_assignment, dedup),
     }
     return q
 
