@@ -1,23 +1,22 @@
-"""Top-1 per group as an aggregate.
+"""Top-1 per group.
 
 ``first_by(df, keys, order, payload)`` keeps, for every group, the row that
-sorts first under ``order`` and returns its ``payload`` columns.  It is
-``min(struct(sort fields..., payload...))``: a plain aggregate, so Spark runs a
-map-side partial aggregation before the shuffle and a hot group arrives as at
-most one row per map task, instead of all its rows in one window task.
-
-Order items are ``(column, "asc"|"desc", "first"|"last")`` for the null
-placement.  Struct comparison puts NULL fields first, so the encodings are
-
-* asc  nulls first -> value
-* asc  nulls last  -> (value IS NULL, value)
-* desc nulls first -> -value             (numeric only)
-* desc nulls last  -> (value IS NULL, -value)
+sorts first under ``order`` and returns the keys and ``payload`` columns.
+
+It is written as ``row_number() OVER (PARTITION BY keys ORDER BY order) = 1``,
+which Catalyst turns into a ``WindowGroupLimit``: a *partial* top-1 runs inside
+every map task before the shuffle, so a hot group (one order holding a large
+share of the rows) arrives as at most one row per map task, and a final top-1
+runs after it.  On input already clustered by the keys (the bucketed shipment
+rollup) there is no shuffle at all.
+
+Order items are ``(column, "asc"|"desc", "first"|"last")``; the null placement
+is always explicit because engines disagree on the default.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OrderItem = tuple[str, str, str]
@@ -31,26 +30,7 @@ def desc(col: str, nulls: str = "last") -> OrderItem:
     return (col, "desc", nulls)
 
 
-def _sort_fields(order: list[OrderItem]) -> list[Column]:
-    out = []
-    for i, (name, direction, nulls) in enumerate(order):
-        c = F.col(name)
-        v = c if direction == "asc" else -c
-        if nulls == "last":
-            out.append(c.isNull().alias(f"_o{i}n"))
-        out.append(v.alias(f"_o{i}v"))
-    return out
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[OrderItem],
-             payload: list[str]) -> DataFrame:
-    best = F.min(F.struct(*_sort_fields(order), *[F.col(p).alias(p) for p in payload]))
-    return (df.groupBy(*keys).agg(best.alias("_best"))
-              .select(*keys, *[F.col("_best")[p].alias(p) for p in payload]))
-
-
 def window_order(order: list[OrderItem]) -> list[Column]:
-    """The same order as Window sort expressions (used by the reference-form variant)."""
     out = []
     for name, direction, nulls in order:
         c = F.col(name)
@@ -59,3 +39,11 @@ def window_order(order: list[OrderItem]) -> list[Column]:
         else:
             out.append(c.desc_nulls_first() if nulls == "first" else c.desc_nulls_last())
     return out
+
+
+def first_by(df: DataFrame, keys: list[str], order: list[OrderItem],
+             payload: list[str]) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*window_order(order))
+    return (df.withColumn("_rn", F.row_number().over(w))
+              .where(F.col("_rn") == 1)
+              .select(*keys, *payload))

@@ -9,9 +9,9 @@ check allows, otherwise by a shuffle join on the lane keys):
                       before the shuffle).  The star writes the result once,
                       bucketed by ``order_id``, and every question starts there.
 2. tariff lookup    - equi keys on the lane, weight band as a residual range.
-3. ``first_by``     - one surviving row per order (or per shipment) as an
-                      aggregate; on the bucketed rollup it needs no shuffle, and
-                      on unbucketed input its map-side partials reduce a hot
+3. ``first_by``     - one surviving row per order (or per shipment) through a
+                      group limit; on the bucketed rollup it needs no shuffle, and
+                      on unbucketed input its map-side partial limit reduces a hot
                       order before it is shuffled.
 """
 

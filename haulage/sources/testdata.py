@@ -56,14 +56,28 @@ class ParquetTables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    def __call__(self, name: str, *cols: str) -> DataFrame:
+    def __call__(self, name: str, *cols: str, spread: bool = False) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return df.select(*cols) if cols else df
+        df = df.select(*cols) if cols else df
+        return spread_scan(df) if spread else df
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that arrives in fewer splits than the session has cores.
+
+    A file written as one row group is read by one task; everything pipelined
+    after it (joins, expressions, the write) would then run on one core.  On a
+    cluster the input has many splits and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def order_list(t: ParquetTables) -> DataFrame:
     l = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-          "l_returnflag", "l_shipdate")
+          "l_returnflag", "l_shipdate", spread=True)
     o = t("orders", "o_orderkey", "o_custkey", "o_orderdate")
     c = t("customer", "c_custkey", "c_nationkey")
     s = t("supplier", "s_suppkey", "s_nationkey")

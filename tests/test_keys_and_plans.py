@@ -74,7 +74,7 @@ def test_historical_path_has_no_hash_shuffle(spark):
     plan = _plan(df)
     assert "hashpartitioning" not in plan          # bucketed rollup: per-order pick in place
     assert "BroadcastHashJoin" in plan             # tariffs and plants by broadcast
-    assert "Window" not in plan                    # top-1 as an aggregate, not a window
+    assert "WindowGroupLimit" in plan              # top-1 limited before any sort of all rows
 
 
 def test_parquet_scan_prunes_columns(spark):
