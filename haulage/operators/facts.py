@@ -49,11 +49,10 @@ def fact_freight_rates(c: Staging, dim_carrier: DataFrame, dim_port: DataFrame)
     return scalable_key(keyed, "freight_rate_id", nulls_last(*FREIGHT_ORDER))
 
 
-def order_lines_keyed(c: Staging, dim_date: DataFrame, dim_plant: DataFrame,
+def order_lines_keyed(o: DataFrame, dim_date: DataFrame, dim_plant: DataFrame,
                       dim_product: DataFrame, dim_customer: DataFrame, dim_carrier: DataFrame,
                       dim_port: DataFrame) -> DataFrame:
-    """Order lines on surrogate keys, without ``order_key`` (cheap, lazy)."""
-    o = c.order_list
+    """Order lines ``o`` (clean order list rows) on surrogate keys, without ``order_key``."""
     d = dim_date.select(F.col("full_date").alias("_d"), F.col("date_key").alias("date_id"))
     pl = dim_plant.select(F.col("plant_code").alias("_pl"), F.col("plant_key").alias("plant_id"))
     pr = dim_product.select(F.col("product_id").alias("_pr"),
@@ -84,6 +83,6 @@ def order_lines_keyed(c: Staging, dim_date: DataFrame, dim_plant: DataFrame,
 
 def fact_orders(c: Staging, dim_date, dim_plant, dim_product, dim_customer, dim_carrier,
                 dim_port) -> DataFrame:
-    lines = order_lines_keyed(c, dim_date, dim_plant, dim_product, dim_customer, dim_carrier,
-                              dim_port)
+    lines = order_lines_keyed(c.order_list, dim_date, dim_plant, dim_product, dim_customer,
+                              dim_carrier, dim_port)
     return scalable_key(lines, "order_key", nulls_last(*ORDER_COLUMNS))

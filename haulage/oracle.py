@@ -429,6 +429,10 @@ ORDER BY change_in_orders DESC NULLS FIRST"""
 def core_statements() -> dict[str, str]:
     out = {k: statement(v) for k, v in TABLE_SELECTS.items()}
     out["dim_product_distinct"] = statement(TABLE_SELECTS["dim_product"], dedup=True)
+    out["rated_shipments"] = statement(
+        f"SELECT {SHIP_KEYS}, unit_quantity, CAST(total_weight AS DOUBLE) AS total_weight, "
+        "freight_rate_id, CAST(min_weight AS DOUBLE) AS min_weight, CAST(rate AS DOUBLE) AS rate, "
+        "CAST(minimum_cost AS DOUBLE) AS minimum_cost FROM hist_match")
     out["order_costs"] = statement(ORDER_COSTS)
     out["carrier_options"] = statement(CARRIER_OPTIONS)
     out["total_historical_cost"] = statement(TOTAL_HISTORICAL)

@@ -51,6 +51,10 @@ def _shipments(star: Star, cfg: CostConfig) -> DataFrame:
     return decimals_as_double(star.shipments)
 
 
+def _rated_shipments(star: Star, cfg: CostConfig) -> DataFrame:
+    return decimals_as_double(costmodel.rated_shipments(star.shipments, star.fact_freight_rates))
+
+
 def _order_costs(star: Star, cfg: CostConfig) -> DataFrame:
     return decimals_as_double(evaluation.historical_costs(star, cfg))
 
@@ -75,6 +79,7 @@ def core_queries() -> dict[str, Query]:
         q[t] = partial(_star_table, t, False)
     q["dim_product_distinct"] = partial(_star_table, "dim_product", True)
     q["shipments"] = on_star(_shipments)
+    q["rated_shipments"] = on_star(_rated_shipments)
     q["order_costs"] = on_star(_order_costs)
     q["carrier_options"] = on_star(_carrier_options)
     q["total_historical_cost"] = on_star(evaluation.total_historical_cost)

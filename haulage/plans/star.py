@@ -19,6 +19,7 @@ from haulage.operators import bridges, costmodel, dims, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import scratch_path
 from haulage.sources.staging import Staging
+from haulage.sources.tables import create_namespace
 from haulage.sources.testdata import ParquetTables, load_staging, order_list
 
 
@@ -52,7 +53,8 @@ def _write(df: DataFrame, path: str) -> DataFrame:
 def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed and sorted by ``key`` (external, at ``path``)."""
     spark = df.sparkSession
-    name = "haulage_" + path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + "_" + \
+    create_namespace(spark, NAMESPACE)
+    name = f"{NAMESPACE}." + path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + "_" + \
         path.rstrip("/").rsplit("/", 1)[-1]
     (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
        .option("path", path).saveAsTable(name))
@@ -117,6 +119,8 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
     return Star(clean=c, **d, **rest, shipments=ships)
 
 
+NAMESPACE = "modeling"
+
 _LOCK = threading.Lock()
 _STARS: dict[tuple, Star] = {}
 _CLEAN: dict[tuple, Staging] = {}

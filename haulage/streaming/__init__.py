@@ -1 +1,5 @@
-"""streaming"""
+"""Incremental pricing of arriving order lines (Structured Streaming)."""
+
+from haulage.streaming.incremental import price_arriving_orders, price_order_lines
+
+__all__ = ["price_arriving_orders", "price_order_lines"]

@@ -68,3 +68,17 @@ def test_round_trip(spark, tmp_path):
     back = read_staging_csv(spark, path, "order_list")
     assert back.exceptAll(st.order_list).count() == 0
     assert st.order_list.exceptAll(back).count() == 0
+
+
+def test_optimization_dataset_sink(spark, tmp_path):
+    from conftest import SF_SMALL
+    from haulage.plans.star import star_for
+    from haulage.sources.tables import write_optimization_dataset
+    star = star_for(spark, SF_SMALL)
+    out = write_optimization_dataset(star, str(tmp_path / "options"))
+    assert "_SUCCESS" in os.listdir(tmp_path / "options")
+    assert any(p.startswith("service_level=") for p in os.listdir(tmp_path / "options"))
+    from haulage.operators.costmodel import carrier_options
+    from haulage.config import CostConfig
+    assert out.count() == carrier_options(star.shipments, star.fact_freight_rates,
+                                          star.dim_plant, CostConfig()).count()
