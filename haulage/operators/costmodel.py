@@ -94,21 +94,25 @@ def order_costs(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: Data
 
 def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
                     cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
-    """Every shipment priced with every carrier that has a tariff on its lane and band."""
+    """Every shipment priced with every carrier that has a tariff on its lane and band.
+
+    The warehouse charge depends on the shipment only, so it is computed once per
+    shipment before the tariff join multiplies the rows.
+    """
     guarded = cfg.guarded if guarded is None else guarded
-    s = ships
+    plants = dim_plant.select(F.col("plant_key").alias("_plant"), "cost_per_unit")
+    s = (ships.join(plants, ships.plant_id == plants._plant)
+         .withColumn("warehouse_cost", warehouse_charge(F.col("unit_quantity"),
+                                                        F.col("cost_per_unit"))))
     f = _tariffs(fact_freight_rates)
     j = s.join(f, _lane_and_band(s, f, with_carrier=False), "inner")
-    plants = dim_plant.select(F.col("plant_key").alias("_plant"), "cost_per_unit")
-    j = j.join(plants, j.plant_id == plants._plant)
     transport = freight_charge(F.col("total_weight"), F.col("rate"), F.col("minimum_cost"),
                                F.col("carrier_key"), cfg.zero_freight_carrier_key, guarded=guarded)
-    warehouse = warehouse_charge(F.col("unit_quantity"), F.col("cost_per_unit"))
     return (j.select("order_id", "plant_id", "origin_port_id", "destination_port_id",
                      "service_level", F.col("carrier_id").alias("historical_carrier"),
                      F.col("carrier_key").alias("carrier_id"), "freight_rate_id",
                      "unit_quantity", "total_weight", "rate", "minimum_cost",
-                     transport.alias("transport_cost"), warehouse.alias("warehouse_cost"))
+                     transport.alias("transport_cost"), "warehouse_cost")
             .withColumn("total_order_cost", F.col("transport_cost") + F.col("warehouse_cost")))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulage.operators import bridges, costmodel, dims, facts
 from haulage.operators.clean import clean, clean_table
-from haulage.session import scratch_path
+from haulage.session import app_id, scratch_path
 from haulage.sources.staging import Staging
 from haulage.sources.tables import create_namespace
 from haulage.sources.testdata import ParquetTables, load_staging, order_list
@@ -128,7 +128,7 @@ _CLEAN: dict[tuple, Staging] = {}
 
 def clean_for(spark: SparkSession, sf_dir: str) -> Staging:
     """Clean tables of ``sf_dir``, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (app_id(spark), sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _CLEAN:
             _CLEAN[key] = load_clean(spark, sf_dir, scratch_path(spark, "clean"))
@@ -137,7 +137,7 @@ def clean_for(spark: SparkSession, sf_dir: str) -> Staging:
 
 def star_for(spark: SparkSession, sf_dir: str, dedup_product: bool = False) -> Star:
     """The materialised star of ``sf_dir``, built once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dedup_product)
+    key = (app_id(spark), sf_dir.rstrip("/"), dedup_product)
     c = clean_for(spark, sf_dir)
     with _LOCK:
         if key not in _STARS:

@@ -36,6 +36,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (stable for the session's lifetime)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a driver-side SparkContext
+        return spark.conf.get("spark.app.id", "app")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of this session, set from ``spark.checkpoint.dir``.
 

@@ -69,10 +69,12 @@ def spread_scan(df: DataFrame) -> DataFrame:
     after it (joins, expressions, the write) would then run on one core.  On a
     cluster the input has many splits and this is a no-op.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no driver-side SparkContext: leave the scan as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def order_list(t: ParquetTables) -> DataFrame:
