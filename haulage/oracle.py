@@ -13,6 +13,8 @@ and keys BIGINT, calendar parts INTEGER.
 
 from __future__ import annotations
 
+from haulage.plans import labels as L
+
 
 def _code(prefix: str, expr: str) -> str:
     return f"'{prefix}' || lpad(CAST({expr} AS VARCHAR), 2, '0')"
@@ -356,17 +358,22 @@ SELECT carrier_id, origin_port_id, destination_port_id, {_money('sum(total_order
 FROM order_costs GROUP BY carrier_id, origin_port_id, destination_port_id
 ORDER BY origin_port_id NULLS LAST, destination_port_id NULLS LAST, total_logistics_cost DESC NULLS FIRST"""
 
-CAPACITY_FIT = """
+CAPACITY_FIT = f"""
 SELECT plant_code, daily_capacity, daily_orders,
-       CASE WHEN daily_capacity > daily_orders THEN 'Appropriate orders according to capacity'
-            ELSE 'Orders not appropriate according to capacity' END AS efficiently
+       CASE WHEN daily_capacity > daily_orders THEN '{L.CAPACITY_FITS}'
+            ELSE '{L.CAPACITY_DOES_NOT_FIT}' END AS efficiently
 FROM plant_lines"""
 
-CAPACITY_UTILIZATION = """
+
+def _utilization_case(n: str, cap: str) -> str:
+    return (f"CASE WHEN CAST({n} AS DECIMAL(38,6)) / {cap} > 1 THEN '{L.OVER_CAPACITY}' "
+            f"WHEN CAST({n} AS DECIMAL(38,6)) / {cap} >= 0.9 THEN '{L.NEAR_CAPACITY}' "
+            f"ELSE '{L.UNDER_CAPACITY}' END")
+
+
+CAPACITY_UTILIZATION = f"""
 SELECT plant_code, daily_capacity, daily_orders,
-       CASE WHEN CAST(daily_orders AS DECIMAL(38,6)) / daily_capacity > 1 THEN 'Over capacity'
-            WHEN CAST(daily_orders AS DECIMAL(38,6)) / daily_capacity >= 0.9 THEN 'Near capacity'
-            ELSE 'Capacity larger than production' END AS "Interpretation"
+       {_utilization_case('daily_orders', 'daily_capacity')} AS "Interpretation"
 FROM plant_lines"""
 
 
@@ -569,11 +576,9 @@ LEFT JOIN (SELECT origin_port_key, destination_port_key, count(*) AS tariffs,
            FROM ffr0 GROUP BY origin_port_key, destination_port_key) t
   ON t.origin_port_key = l.origin_port_id AND t.destination_port_key = l.destination_port_id"""
 
-CAPACITY_BY_DAY = """
+CAPACITY_BY_DAY = f"""
 SELECT p.plant_code, d.full_date, p.daily_capacity, n.daily_orders,
-       CASE WHEN CAST(n.daily_orders AS DECIMAL(38,6)) / p.daily_capacity > 1 THEN 'Over capacity'
-            WHEN CAST(n.daily_orders AS DECIMAL(38,6)) / p.daily_capacity >= 0.9 THEN 'Near capacity'
-            ELSE 'Capacity larger than production' END AS "Interpretation"
+       {_utilization_case('n.daily_orders', 'p.daily_capacity')} AS "Interpretation"
 FROM (SELECT plant_id, date_id, count(*) AS daily_orders FROM fo0 GROUP BY plant_id, date_id) n
 JOIN dim_plant p ON p.plant_key = n.plant_id
 JOIN dim_date d ON d.date_key = n.date_id"""

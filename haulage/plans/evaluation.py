@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haulage.config import CostConfig
 from haulage.functions.pricing import money
 from haulage.operators.costmodel import order_costs
+from haulage.plans.labels import CAPACITY_DOES_NOT_FIT, CAPACITY_FITS
 from haulage.plans.star import Star
 
 
@@ -59,7 +60,6 @@ def capacity_fit(star: Star, cfg: CostConfig) -> DataFrame:
     """Whether each plant's capacity exceeds its order lines (equality does not fit)."""
     pc = plant_line_counts(star)
     return pc.select("plant_code", "daily_capacity", "daily_orders",
-                     F.when(F.col("daily_capacity") > F.col("daily_orders"),
-                            F.lit("Appropriate orders according to capacity"))
-                     .otherwise(F.lit("Orders not appropriate according to capacity"))
+                     F.when(F.col("daily_capacity") > F.col("daily_orders"), F.lit(CAPACITY_FITS))
+                     .otherwise(F.lit(CAPACITY_DOES_NOT_FIT))
                      .alias("efficiently"))

@@ -11,7 +11,7 @@ from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, c
 from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
 from haulage.plans.star import Star
 
-OVER, NEAR, UNDER = "Over capacity", "Near capacity", "Capacity larger than production"
+from haulage.plans.labels import NEAR_CAPACITY, NEAR_CAPACITY_SHARE, OVER_CAPACITY, UNDER_CAPACITY
 
 
 def highest_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
@@ -33,9 +33,10 @@ def carrier_cost_by_route(star: Star, cfg: CostConfig) -> DataFrame:
 
 def utilization_label(lines: Column, capacity: Column) -> Column:
     """lines / capacity > 1 over, >= 0.9 near, else under; compared exactly in integers."""
-    return (F.when(lines > capacity, F.lit(OVER))
-            .when(lines * 10 >= capacity * 9, F.lit(NEAR))
-            .otherwise(F.lit(UNDER)))
+    num, den = NEAR_CAPACITY_SHARE
+    return (F.when(lines > capacity, F.lit(OVER_CAPACITY))
+            .when(lines * den >= capacity * num, F.lit(NEAR_CAPACITY))
+            .otherwise(F.lit(UNDER_CAPACITY)))
 
 
 def capacity_utilization(star: Star, cfg: CostConfig) -> DataFrame:
