@@ -29,6 +29,20 @@ class CostConfig:
         return replace(self, **kw)
 
 
+def zero_freight_by_code(cfg: CostConfig, dim_carrier, carrier_code: str) -> CostConfig:
+    """Point the zero-freight rule at a carrier code instead of a key position.
+
+    Key 1 is simply the first carrier in code order, which depends on collation;
+    resolving a code through the carrier dimension is a one-row lookup.
+    """
+    from pyspark.sql import functions as F
+    row = (dim_carrier.where(F.col("carrier_id") == F.lit(carrier_code))
+           .select("carrier_key").limit(1).collect())
+    if not row:
+        raise ValueError(f"unknown carrier code {carrier_code!r}")
+    return replace(cfg, zero_freight_carrier_key=int(row[0][0]))
+
+
 AS_WRITTEN = CostConfig()
 BY_SHIPMENT = CostConfig(grain="shipment")
 DEDUP = CostConfig(dedup_product=True)

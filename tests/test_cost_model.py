@@ -110,3 +110,36 @@ def test_empty_order_list(spark):
     assert tot.total_logistics_cost is None
     avg = evaluation.avg_cost_per_order_unit(s, CostConfig()).first()
     assert avg.avg_cost_per_order is None and avg.avg_cost_per_unit is None
+
+
+def test_zero_freight_carrier_by_code(star):
+    from haulage.config import zero_freight_by_code
+    cfg = zero_freight_by_code(CostConfig(), star.dim_carrier, "C02")
+    assert cfg.zero_freight_carrier_key == 2
+    t = _by_order(evaluation.historical_costs(star, cfg), "transport_cost")
+    assert t[1] == 0                              # C02 is now the free carrier
+    assert t[5] == D("90")                        # C01 pays: max(10 * 9.0, 1)
+
+
+def test_dirty_inputs_are_counted_not_hidden(spark):
+    from haulage.operators import quality
+    from haulage.session import scratch_path
+    dup = _line(8, "C02", 3, "10")
+    orders = [dup, dup, _line(9, None, 1, "10"), _line(10, "C02", 1, "10", plant="PLANT09")]
+    st = edge_staging(spark, orders=orders)
+    st = st.__class__(**{**st.tables(), "wh_costs": spark.createDataFrame(
+        [("PLANT01", D("1.0")), ("PLANT01", D("1.5")), ("PLANT02", D("2.0"))],
+        "plant_code string, cost_per_unit decimal(12,4)")})
+    c = clean(st)
+    s = build_star(c, scratch_path(spark, "dirty"))
+    # identical lines both kept and summed; NULL carrier and unknown plant drop out of the fact;
+    # the duplicated plant cost fans out the plant dimension as an inner join does
+    assert s.dim_plant.where("plant_code = 'PLANT01'").count() == 2
+    dq = {r.rule: r.n_bad for r in quality.dq_orphans(c, s.dim_plant).collect()}
+    assert dq["order_missing_carrier"] == 1
+    assert dq["order_plant_without_capacity_or_cost"] == 1
+    dd = {r.rule: r.n_bad for r in quality.dq_duplicates(c).collect()}
+    assert dd["wh_costs_duplicate_plant"] == 1 and dd["order_list_identical_lines"] == 1
+    # the two PLANT01 rows are two plant keys, hence two shipments of 2 lines x 3 units
+    ships = s.shipments.where("order_id = 8").collect()
+    assert sorted((r.plant_id, r.unit_quantity) for r in ships) == [(1, 6), (2, 6)]
