@@ -41,9 +41,15 @@ def window_order(order: list[OrderItem]) -> list[Column]:
     return out
 
 
+def order_sql(order: list[OrderItem]) -> str:
+    return ", ".join(f"{name} {direction.upper()} NULLS {nulls.upper()}"
+                     for name, direction, nulls in order)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[OrderItem],
-             payload: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*window_order(order))
-    return (df.withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") == 1)
-              .select(*keys, *payload))
+             payload: list[str] | None = None) -> DataFrame:
+    """Keys and ``payload`` (default: every other column) of each group's first row."""
+    rn = (f"row_number() OVER (PARTITION BY {', '.join(keys)} "
+          f"ORDER BY {order_sql(order)}) AS _rn")
+    top = df.selectExpr("*", rn).where("_rn = 1").drop("_rn")
+    return top if payload is None else top.selectExpr(*keys, *payload)

@@ -26,6 +26,19 @@ def freight_charge(total_weight: Column, rate: Column, minimum_cost: Column,
     return F.when(free, F.lit(0)).otherwise(charge)
 
 
+def freight_charge_sql(total_weight: str, rate: str, minimum_cost: str,
+                       carrier_key: str | None = None, zero_freight_carrier_key: int = 1,
+                       guarded: bool = True) -> str:
+    """``freight_charge`` as a SQL expression over column names (one parse, no per-node calls)."""
+    charge = f"greatest({total_weight} * {rate}, coalesce({minimum_cost}, 0))"
+    if not guarded:
+        return charge
+    free = f"{rate} IS NULL"
+    if carrier_key is not None:
+        free = f"{carrier_key} = {int(zero_freight_carrier_key)} OR {free}"
+    return f"CASE WHEN {free} THEN 0 ELSE {charge} END"
+
+
 def warehouse_charge(unit_quantity: Column, cost_per_unit: Column) -> Column:
     return unit_quantity * cost_per_unit
 

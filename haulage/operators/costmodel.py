@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.functions.ordering import asc, desc, first_by
-from haulage.functions.pricing import WEIGHT_TYPE, freight_charge, warehouse_charge
+from haulage.functions.pricing import WEIGHT_TYPE, freight_charge_sql
 
 SHIPMENT_KEYS = ["order_id", "plant_id", "carrier_id", "origin_port_id", "destination_port_id",
                  "service_level"]
@@ -36,28 +36,25 @@ def shipments(fact_orders: DataFrame) -> DataFrame:
 
 
 def _tariffs(fact_freight_rates: DataFrame) -> DataFrame:
-    return fact_freight_rates.select(
+    return fact_freight_rates.selectExpr(
         "freight_rate_id", "carrier_key", "origin_port_key", "destination_port_key",
-        F.col("service_level").alias("_service"), "min_weight", "max_weight", "rate",
-        "minimum_cost")
+        "service_level AS _service", "min_weight", "max_weight", "rate", "minimum_cost")
 
 
-def _lane_and_band(s: DataFrame, f: DataFrame, with_carrier: bool):
-    cond = ((s.origin_port_id == f.origin_port_key)
-            & (s.destination_port_id == f.destination_port_key)
-            & (s.service_level == f._service)
-            & s.total_weight.between(f.min_weight, f.max_weight))
+def _lane_and_band(with_carrier: bool):
+    """Lane equi-keys plus the inclusive weight band as a residual range condition."""
+    cond = ("origin_port_id = origin_port_key AND destination_port_id = destination_port_key "
+            "AND service_level = _service AND total_weight BETWEEN min_weight AND max_weight")
     if with_carrier:
-        cond = cond & (s.carrier_id == f.carrier_key)
-    return cond
+        cond += " AND carrier_id = carrier_key"
+    return F.expr(cond)
 
 
 def rated_shipments(ships: DataFrame, fact_freight_rates: DataFrame) -> DataFrame:
     """Every shipment with every tariff band of its own carrier (LEFT: unmatched kept)."""
-    f = _tariffs(fact_freight_rates)
-    j = ships.join(f, _lane_and_band(ships, f, with_carrier=True), "left")
-    return j.select(*SHIPMENT_KEYS, "unit_quantity", "total_weight", "freight_rate_id",
-                    "min_weight", "rate", "minimum_cost")
+    j = ships.join(_tariffs(fact_freight_rates), _lane_and_band(with_carrier=True), "left")
+    return j.selectExpr(*SHIPMENT_KEYS, "unit_quantity", "total_weight", "freight_rate_id",
+                        "min_weight", "rate", "minimum_cost")
 
 
 def grain_keys(cfg: CostConfig) -> list[str]:
@@ -71,25 +68,24 @@ HISTORICAL_ORDER = [desc("min_weight", "first"), asc("freight_rate_id")] + [
 
 
 def historical_tariff(rated: DataFrame, cfg: CostConfig) -> DataFrame:
-    keys = grain_keys(cfg)
-    payload = [c for c in rated.columns if c not in keys]
-    return first_by(rated, keys, HISTORICAL_ORDER, payload)
+    return first_by(rated, grain_keys(cfg), HISTORICAL_ORDER)
+
+
+def _plant_costs(dim_plant: DataFrame) -> DataFrame:
+    return dim_plant.selectExpr("plant_key AS _plant", "cost_per_unit")
 
 
 def order_costs(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
                 cfg: CostConfig) -> DataFrame:
     """Historical cost per order (or shipment) from the shipment rollup ``ships``."""
     picked = historical_tariff(rated_shipments(ships, fact_freight_rates), cfg)
-    plants = dim_plant.select(F.col("plant_key").alias("plant_id"), "cost_per_unit")
-    transport = freight_charge(F.col("total_weight"), F.col("rate"), F.col("minimum_cost"),
-                               F.col("carrier_id"), cfg.zero_freight_carrier_key, guarded=True)
-    warehouse = warehouse_charge(F.col("unit_quantity"), F.col("cost_per_unit"))
-    return (picked.join(plants, "plant_id")
-            .select(*SHIPMENT_KEYS, "unit_quantity", "total_weight", "freight_rate_id", "rate",
-                    "minimum_cost", transport.alias("transport_cost"),
-                    warehouse.alias("warehouse_cost"))
-            .withColumn("total_order_cost",
-                        F.coalesce("transport_cost", F.lit(0)) + F.col("warehouse_cost")))
+    transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_id",
+                                   cfg.zero_freight_carrier_key, guarded=True)
+    return (picked.join(_plant_costs(dim_plant), F.expr("plant_id = _plant"))
+            .selectExpr(*SHIPMENT_KEYS, "unit_quantity", "total_weight", "freight_rate_id", "rate",
+                        "minimum_cost", f"{transport} AS transport_cost",
+                        "unit_quantity * cost_per_unit AS warehouse_cost")
+            .selectExpr("*", "coalesce(transport_cost, 0) + warehouse_cost AS total_order_cost"))
 
 
 def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
@@ -100,20 +96,18 @@ def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant:
     shipment before the tariff join multiplies the rows.
     """
     guarded = cfg.guarded if guarded is None else guarded
-    plants = dim_plant.select(F.col("plant_key").alias("_plant"), "cost_per_unit")
-    s = (ships.join(plants, ships.plant_id == plants._plant)
-         .withColumn("warehouse_cost", warehouse_charge(F.col("unit_quantity"),
-                                                        F.col("cost_per_unit"))))
-    f = _tariffs(fact_freight_rates)
-    j = s.join(f, _lane_and_band(s, f, with_carrier=False), "inner")
-    transport = freight_charge(F.col("total_weight"), F.col("rate"), F.col("minimum_cost"),
-                               F.col("carrier_key"), cfg.zero_freight_carrier_key, guarded=guarded)
-    return (j.select("order_id", "plant_id", "origin_port_id", "destination_port_id",
-                     "service_level", F.col("carrier_id").alias("historical_carrier"),
-                     F.col("carrier_key").alias("carrier_id"), "freight_rate_id",
-                     "unit_quantity", "total_weight", "rate", "minimum_cost",
-                     transport.alias("transport_cost"), "warehouse_cost")
-            .withColumn("total_order_cost", F.col("transport_cost") + F.col("warehouse_cost")))
+    s = (ships.join(_plant_costs(dim_plant), F.expr("plant_id = _plant"))
+         .selectExpr(*SHIPMENT_KEYS, "unit_quantity", "total_weight",
+                     "unit_quantity * cost_per_unit AS warehouse_cost"))
+    j = s.join(_tariffs(fact_freight_rates), _lane_and_band(with_carrier=False), "inner")
+    transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_key",
+                                   cfg.zero_freight_carrier_key, guarded=guarded)
+    return (j.selectExpr("order_id", "plant_id", "origin_port_id", "destination_port_id",
+                         "service_level", "carrier_id AS historical_carrier",
+                         "carrier_key AS carrier_id", "freight_rate_id", "unit_quantity",
+                         "total_weight", "rate", "minimum_cost", f"{transport} AS transport_cost",
+                         "warehouse_cost")
+            .selectExpr("*", "transport_cost + warehouse_cost AS total_order_cost"))
 
 
 OPTION_SHIPMENT_KEYS = ["order_id", "plant_id", "historical_carrier", "origin_port_id",
@@ -125,5 +119,4 @@ CHEAPEST_ORDER = [asc("total_order_cost"), asc("carrier_id"), asc("freight_rate_
 
 def cheapest_option(options: DataFrame, cfg: CostConfig) -> DataFrame:
     keys = ["order_id"] if cfg.grain == "order" else list(OPTION_SHIPMENT_KEYS)
-    payload = [c for c in options.columns if c not in keys]
-    return first_by(options, keys, CHEAPEST_ORDER, payload)
+    return first_by(options, keys, CHEAPEST_ORDER)

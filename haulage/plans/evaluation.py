@@ -6,41 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.functions.pricing import money
 from haulage.operators.costmodel import order_costs
 from haulage.plans.labels import CAPACITY_DOES_NOT_FIT, CAPACITY_FITS
 from haulage.plans.star import Star
 
 
+# the three totals of every cost question, summed exactly and returned as double
+COST_SUMS = ["CAST(sum(transport_cost) AS DOUBLE) AS total_transport_cost",
+             "CAST(sum(warehouse_cost) AS DOUBLE) AS total_warehouse_cost",
+             "CAST(sum(total_order_cost) AS DOUBLE) AS total_logistics_cost"]
+
+
 def historical_costs(star: Star, cfg: CostConfig) -> DataFrame:
     return order_costs(star.shipments, star.fact_freight_rates, star.dim_plant, cfg)
 
 
 def total_historical_cost(star: Star, cfg: CostConfig) -> DataFrame:
     """Total transport, warehouse and logistics cost (one row)."""
-    oc = historical_costs(star, cfg)
-    return oc.agg(money(F.sum("transport_cost")).alias("total_transport_cost"),
-                  money(F.sum("warehouse_cost")).alias("total_warehouse_cost"),
-                  money(F.sum("total_order_cost")).alias("total_logistics_cost"))
+    return historical_costs(star, cfg).selectExpr(*COST_SUMS)
 
 
 def avg_cost_per_order_unit(star: Star, cfg: CostConfig) -> DataFrame:
     """Average logistics cost per order and per unit, rounded to cents."""
-    oc = historical_costs(star, cfg)
-    total = F.sum("total_order_cost").cast("double")
-    return oc.agg(
-        F.round(total / F.nullif(F.count_distinct("order_id"), F.lit(0)).cast("double"), 2)
-        .alias("avg_cost_per_order"),
-        F.round(total / F.nullif(F.sum("unit_quantity"), F.lit(0)).cast("double"), 2)
-        .alias("avg_cost_per_unit"))
+    total = "CAST(sum(total_order_cost) AS DOUBLE)"
+    return historical_costs(star, cfg).selectExpr(
+        f"round({total} / CAST(nullif(count(DISTINCT order_id), 0) AS DOUBLE), 2)"
+        " AS avg_cost_per_order",
+        f"round({total} / CAST(nullif(sum(unit_quantity), 0) AS DOUBLE), 2) AS avg_cost_per_unit")
 
 
 def _route_costs(star: Star, cfg: CostConfig) -> DataFrame:
     oc = historical_costs(star, cfg)
     return oc.groupBy("plant_id", "origin_port_id", "destination_port_id").agg(
-        money(F.sum("transport_cost")).alias("total_transport_cost"),
-        money(F.sum("warehouse_cost")).alias("total_warehouse_cost"),
-        money(F.sum("total_order_cost")).alias("total_logistics_cost"))
+        *[F.expr(e) for e in COST_SUMS])
 
 
 def cost_by_plant_route(star: Star, cfg: CostConfig) -> DataFrame:

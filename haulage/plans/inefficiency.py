@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.functions.pricing import money
 from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option
 from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
 from haulage.plans.star import Star
@@ -25,7 +24,7 @@ def highest_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
 def carrier_cost_by_route(star: Star, cfg: CostConfig) -> DataFrame:
     oc = historical_costs(star, cfg)
     return (oc.groupBy("carrier_id", "origin_port_id", "destination_port_id")
-            .agg(money(F.sum("total_order_cost")).alias("total_logistics_cost"))
+            .agg(F.expr("CAST(sum(total_order_cost) AS DOUBLE) AS total_logistics_cost"))
             .orderBy(F.col("origin_port_id").asc_nulls_last(),
                      F.col("destination_port_id").asc_nulls_last(),
                      F.col("total_logistics_cost").desc_nulls_first()))
@@ -54,18 +53,16 @@ def lower_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
     """
     options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
                               guarded=True)
-    hist = (options.where(F.col("historical_carrier") == F.col("carrier_id"))
-            .select(*OPTION_SHIPMENT_KEYS, F.col("total_order_cost").alias("historical_total_cost")))
-    best = cheapest_option(options, cfg).select(
-        *(["order_id"] if cfg.grain == "order" else OPTION_SHIPMENT_KEYS),
-        F.col("carrier_id").alias("cheaper_carrier"),
-        F.col("total_order_cost").alias("cheapest_possible_cost"))
     keys = ["order_id"] if cfg.grain == "order" else OPTION_SHIPMENT_KEYS
-    j = hist.join(best, keys).where(F.col("historical_total_cost") > F.col("cheapest_possible_cost"))
-    return (j.select("order_id", "origin_port_id", "destination_port_id", "service_level",
-                     "historical_carrier", "cheaper_carrier",
-                     money(F.col("historical_total_cost")).alias("historical_total_cost"),
-                     money(F.col("cheapest_possible_cost")).alias("cheapest_possible_cost"),
-                     money(F.col("historical_total_cost") - F.col("cheapest_possible_cost"))
-                     .alias("potential_savings"))
-            .orderBy(F.col("potential_savings").desc_nulls_first()))
+    hist = (options.where("historical_carrier = carrier_id")
+            .selectExpr(*OPTION_SHIPMENT_KEYS, "total_order_cost AS historical_total_cost"))
+    best = cheapest_option(options, cfg).selectExpr(
+        *keys, "carrier_id AS cheaper_carrier", "total_order_cost AS cheapest_possible_cost")
+    j = hist.join(best, keys).where("historical_total_cost > cheapest_possible_cost")
+    return (j.selectExpr("order_id", "origin_port_id", "destination_port_id", "service_level",
+                         "historical_carrier", "cheaper_carrier",
+                         "CAST(historical_total_cost AS DOUBLE) AS historical_total_cost",
+                         "CAST(cheapest_possible_cost AS DOUBLE) AS cheapest_possible_cost",
+                         "CAST(historical_total_cost - cheapest_possible_cost AS DOUBLE)"
+                         " AS potential_savings")
+            .orderBy(F.expr("potential_savings").desc_nulls_first()))

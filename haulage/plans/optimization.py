@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.functions.pricing import money
 from haulage.operators.costmodel import carrier_options, cheapest_option
 from haulage.plans.evaluation import historical_costs
 from haulage.plans.star import Star
@@ -24,18 +23,18 @@ def optimal_assignment(star: Star, cfg: CostConfig) -> DataFrame:
     best = optimal_choices(star, cfg, guarded=False)
     extra = [] if cfg.grain == "order" else ["plant_id", "origin_port_id", "destination_port_id",
                                              "service_level"]
-    return best.select("order_id", *extra, "historical_carrier",
-                       F.col("carrier_id").alias("optimal_carrier"),
-                       money(F.col("transport_cost")).alias("transport_cost"),
-                       money(F.col("warehouse_cost")).alias("warehouse_cost"),
-                       money(F.col("total_order_cost")).alias("total_order_cost"))
+    return best.selectExpr("order_id", *extra, "historical_carrier",
+                           "carrier_id AS optimal_carrier",
+                           "CAST(transport_cost AS DOUBLE) AS transport_cost",
+                           "CAST(warehouse_cost AS DOUBLE) AS warehouse_cost",
+                           "CAST(total_order_cost AS DOUBLE) AS total_order_cost")
 
 
 def _two_totals(hist: DataFrame, opt: DataFrame) -> DataFrame:
     """Both scalar totals from one aggregation over a tagged union (no cross join)."""
-    h = hist.select(F.col("total_order_cost").alias("_h"), F.lit(None).cast("decimal(38,8)").alias("_o"))
-    o = opt.select(F.lit(None).cast("decimal(38,8)").alias("_h"), F.col("total_order_cost").alias("_o"))
-    return h.unionByName(o).agg(F.sum("_h").alias("h"), F.sum("_o").alias("o"))
+    h = hist.selectExpr("total_order_cost AS _h", "CAST(NULL AS DECIMAL(38,8)) AS _o")
+    o = opt.selectExpr("CAST(NULL AS DECIMAL(38,8)) AS _h", "total_order_cost AS _o")
+    return h.unionByName(o).selectExpr("sum(_h) AS h", "sum(_o) AS o")
 
 
 def cost_reduction(star: Star, cfg: CostConfig, comparable: bool = False) -> DataFrame:
@@ -48,28 +47,25 @@ def cost_reduction(star: Star, cfg: CostConfig, comparable: bool = False) -> Dat
         keys = ["order_id"] if cfg.grain == "order" else [
             "order_id", "plant_id", "carrier_id", "origin_port_id", "destination_port_id",
             "service_level"]
-        opt_keys = opt.select(*[F.col("historical_carrier").alias("carrier_id") if k == "carrier_id"
-                                else F.col(k) for k in keys])
+        opt_keys = opt.selectExpr(*["historical_carrier AS carrier_id" if k == "carrier_id"
+                                    else k for k in keys])
         hist = hist.join(opt_keys, keys, "left_semi")
-    t = _two_totals(hist, opt)
-    h, o = F.col("h"), F.col("o")
-    return t.select(
-        money(h).alias("historical_total_cost"),
-        money(o).alias("optimal_total_cost"),
-        money(h - o).alias("potential_savings"),
-        F.round((h - o).cast("double") / F.nullif(h.cast("double"), F.lit(0.0)) * 100, 2)
-        .alias("savings_percentage"))
+    return _two_totals(hist, opt).selectExpr(
+        "CAST(h AS DOUBLE) AS historical_total_cost",
+        "CAST(o AS DOUBLE) AS optimal_total_cost",
+        "CAST(h - o AS DOUBLE) AS potential_savings",
+        "round(CAST(h - o AS DOUBLE) / nullif(CAST(h AS DOUBLE), 0.0) * 100, 2)"
+        " AS savings_percentage")
 
 
 def route_rebalance(star: Star, cfg: CostConfig) -> DataFrame:
     """Shipments per (plant, origin, destination) historically vs optimised rows."""
     route = ["plant_id", "origin_port_id", "destination_port_id"]
-    historical = star.shipments.groupBy(*route).agg(F.count(F.lit(1)).alias("historical_orders"))
+    historical = star.shipments.groupBy(*route).agg(F.expr("count(1) AS historical_orders"))
     optimal = (optimal_choices(star, cfg, guarded=True)
-               .groupBy(*route).agg(F.count(F.lit(1)).alias("optimal_orders")))
+               .groupBy(*route).agg(F.expr("count(1) AS optimal_orders")))
     j = historical.join(optimal, route, "full")
-    h = F.coalesce("historical_orders", F.lit(0))
-    o = F.coalesce("optimal_orders", F.lit(0))
-    return (j.select(*route, h.alias("historical_orders"), o.alias("optimal_orders"),
-                     (o - h).alias("change_in_orders"))
-            .orderBy(F.col("change_in_orders").desc_nulls_first()))
+    h, o = "coalesce(historical_orders, 0)", "coalesce(optimal_orders, 0)"
+    return (j.selectExpr(*route, f"{h} AS historical_orders", f"{o} AS optimal_orders",
+                         f"{o} - {h} AS change_in_orders")
+            .orderBy(F.expr("change_in_orders").desc_nulls_first()))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.config import CostConfig
-from haulage.functions.pricing import money
 from haulage.operators import costmodel
 from haulage.operators import quality
 from haulage.plans import evaluation, extensions, inefficiency, optimization
@@ -27,8 +26,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def decimals_as_double(df: DataFrame) -> DataFrame:
-    return df.select(*[money(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DecimalType)
-                       else F.col(f.name) for f in df.schema.fields])
+    """Final projection: exact decimals leave as double, everything else unchanged."""
+    fields = df.schema.fields
+    if not any(isinstance(f.dataType, T.DecimalType) for f in fields):
+        return df
+    return df.selectExpr(*[f"CAST(`{f.name}` AS DOUBLE) AS `{f.name}`"
+                           if isinstance(f.dataType, T.DecimalType) else f"`{f.name}`"
+                           for f in fields])
 
 
 def _clean_table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
