@@ -113,12 +113,40 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
         "fact_orders": lambda: facts.fact_orders(c, d["dim_date"], d["dim_plant"], d["dim_product"],
                                                  d["dim_customer"], d["dim_carrier"], d["dim_port"]),
     }, root)
-    buckets = int(c.order_list.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ships = _write_bucketed(costmodel.shipments(rest["fact_orders"]), f"{root}/shipments",
-                            "order_id", buckets)
+    spark = c.order_list.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rollup = costmodel.shipments(rest["fact_orders"])
+    if bucket_by_order(rest["fact_orders"], buckets):
+        ships = _write_bucketed(rollup, f"{root}/shipments", "order_id", buckets)
+    else:
+        ships = _write(rollup, f"{root}/shipments")
     return Star(clean=c, **d, **rest, shipments=ships)
 
 
+# a bucket may hold at most this many times its average share of lines
+BUCKET_SKEW_LIMIT = 2.0
+
+
+def bucket_by_order(fact_orders: DataFrame, buckets: int) -> bool:
+    """Bucket the rollup by order only when no order would overload its bucket.
+
+    A bucket is read by one task and AQE cannot split it, so a single order
+    holding a large share of the lines would pin that share to one task.  One
+    aggregate measures the largest order; above the limit the rollup is written
+    unbucketed and the per-order steps shuffle instead, where the partial group
+    limit and AQE skew handling split the hot order.  ``haulage.bucketing`` =
+    ``on`` / ``off`` overrides the measurement.
+    """
+    mode = fact_orders.sparkSession.conf.get("haulage.bucketing", "auto")
+    if mode in ("on", "off"):
+        return mode == "on"
+    row = (fact_orders.groupBy("order_id").count()
+           .selectExpr("max(count) AS hottest", "sum(count) AS total").first())
+    if row is None or not row["total"]:
+        return True
+    return row["hottest"] * buckets <= BUCKET_SKEW_LIMIT * row["total"]
+
+
 NAMESPACE = "modeling"
 
 _LOCK = threading.Lock()
