@@ -46,8 +46,13 @@ class Star:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as parquet and return the written table.
+
+    Read back with the schema just written: no footer-inference job per table.
+    """
+    schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:

@@ -113,3 +113,23 @@ def test_bucketing_decision_measures_the_hottest_order(spark):
     hot = spark.range(0, 8000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS order_id")
     assert bucket_by_order(even, 8) is True
     assert bucket_by_order(hot, 8) is False     # one order holds a third of the lines
+
+
+def test_keys_do_not_depend_on_input_row_order(spark):
+    """Shuffling the clean order list and tariffs leaves every key and answer unchanged."""
+    from pyspark.sql import functions as F
+    from haulage.config import CostConfig
+    from haulage.plans.evaluation import total_historical_cost
+    from haulage.plans.star import build_star, clean_for
+    from haulage.session import scratch_path
+    c = clean_for(spark, SF_SMALL)
+    shuffled = c.__class__(**{**c.tables(),
+                              "order_list": c.order_list.repartition(5, F.rand(7)),
+                              "freight_rates": c.freight_rates.repartition(3, F.rand(11))})
+    a = build_star(c, scratch_path(spark, "order-a"))
+    b = build_star(shuffled, scratch_path(spark, "order-b"))
+    for name in ("fact_orders", "fact_freight_rates", "dim_customer", "dim_product"):
+        x, y = getattr(a, name), getattr(b, name)
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, name
+    assert (total_historical_cost(a, CostConfig()).first()
+            == total_historical_cost(b, CostConfig()).first())
