@@ -159,6 +159,18 @@ _STARS: dict[tuple, Star] = {}
 _CLEAN: dict[tuple, Staging] = {}
 
 
+def register_staging(spark: SparkSession, name: str, staging: Staging) -> str:
+    """Use ``staging`` (e.g. from CSV) as the input called ``name``: it is cleaned and
+    written once, and every query given ``name`` as its input reads the result."""
+    key = (app_id(spark), name.rstrip("/"))
+    with _LOCK:
+        root = scratch_path(spark, "clean")
+        _CLEAN[key] = materialise_staging(clean(staging), root)
+        for k in [k for k in _STARS if k[:2] == key]:
+            del _STARS[k]
+    return name
+
+
 def clean_for(spark: SparkSession, sf_dir: str) -> Staging:
     """Clean tables of ``sf_dir``, written once per application."""
     key = (app_id(spark), sf_dir.rstrip("/"))

@@ -30,6 +30,13 @@ SOURCE_FILES = {
     "wh_costs": "WhCosts.csv",
 }
 
+# the three tables no sample file exists for: our file (or folder) names
+OTHER_FILES = {
+    "products_per_plant": "ProductsPerPlant.csv",
+    "freight_rates": "FreightRates.csv",
+    "order_list": "OrderList.csv",
+}
+
 
 def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read one staging table from CSV file(s) at ``path``, columns by position."""
@@ -49,6 +56,13 @@ def write_staging_csv(df: DataFrame, path: str, table: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def read_csv_folder(spark: SparkSession, folder: str) -> Staging:
+    """All seven staging tables from one folder of CSV files (or folders of parts)."""
+    root = folder.rstrip("/")
+    names = {**SOURCE_FILES, **OTHER_FILES}
+    return Staging(**{t: read_staging_csv(spark, f"{root}/{f}", t) for t, f in names.items()})
+
+
 def read_source_folder(spark: SparkSession, folder: str, others: Staging | None = None) -> Staging:
     """The four mapping tables from a folder of source CSVs; tables without a
     file there (tariffs, orders, products per plant) come from ``others``."""

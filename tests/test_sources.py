@@ -82,3 +82,24 @@ def test_optimization_dataset_sink(spark, tmp_path):
     from haulage.config import CostConfig
     assert out.count() == carrier_options(star.shipments, star.fact_freight_rates,
                                           star.dim_plant, CostConfig()).count()
+
+
+def test_star_from_a_csv_folder(spark, tmp_path):
+    """All seven staging tables from CSV files give the same answers as the same rows in memory."""
+    from fixtures import edge_staging
+    from haulage.config import CostConfig
+    from haulage.operators.clean import clean
+    from haulage.plans.evaluation import total_historical_cost
+    from haulage.plans.registry import all_queries
+    from haulage.plans.star import build_star, register_staging
+    from haulage.session import scratch_path
+    from haulage.sources.csv import OTHER_FILES, SOURCE_FILES, read_csv_folder
+    st = edge_staging(spark)
+    folder = tmp_path / "csv"
+    for t, f in {**SOURCE_FILES, **OTHER_FILES}.items():
+        write_staging_csv(getattr(st, t), str(folder / f), t)
+    name = register_staging(spark, str(folder), read_csv_folder(spark, str(folder)))
+    got = all_queries()["total_historical_cost"](spark, name).first()
+    want = total_historical_cost(build_star(clean(st), scratch_path(spark, "csv-ref")),
+                                 CostConfig()).first()
+    assert got == want
