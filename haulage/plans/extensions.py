@@ -158,10 +158,6 @@ def feasible_assignment(star: Star, cfg: CostConfig) -> DataFrame:
     return first_by(opts, SHIPMENT_KEYS, FEASIBLE_ORDER, payload)
 
 
-def money_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[money(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
-
-
 def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
     """Shipments per plant before and after the feasible assignment, against capacity."""
     before = star.shipments.groupBy(F.col("plant_id").alias("plant_key")).agg(

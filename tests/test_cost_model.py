@@ -1,6 +1,6 @@
 """Cost-model semantics on hand-made edge cases (values worked out by hand)."""
 
-from datetime import date
+
 from decimal import Decimal as D
 
 import pytest

@@ -1,6 +1,6 @@
 """Surrogate keys, invariance to partitioning, and plan shape."""
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
