@@ -17,7 +17,6 @@ is always explicit because engines disagree on the default.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 OrderItem = tuple[str, str, str]
 
