@@ -2,7 +2,7 @@
 
 Prints ONE JSON line.  ``build_star`` is the one-off model build (adapter,
 clean layer, dimensions, bridges, facts, all written as tables); each query is
-then timed as the median of warm runs, executed to completion through the
+then timed as the median of five runs, executed to completion through the
 ``noop`` sink so no result is collected on the driver.
 """
 
@@ -25,7 +25,7 @@ HEADLINE = [
 def main() -> int:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from haulage.plans.registry import all_queries
     from haulage.plans.star import star_for
