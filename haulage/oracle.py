@@ -462,7 +462,11 @@ def core_statements() -> dict[str, str]:
     out["optimal_assignment_by_shipment"] = statement(optimal_assignment(s), grain=s)
     out["cost_reduction_by_shipment"] = statement(cost_reduction(s), grain=s)
     out["route_rebalance_by_shipment"] = statement(ROUTE_REBALANCE, grain=s)
+    out["highest_cost_routes_by_shipment"] = statement(HIGHEST_COST_ROUTES, grain=s)
+    out["carrier_cost_by_route_by_shipment"] = statement(CARRIER_COST_BY_ROUTE, grain=s)
     out["cost_reduction_comparable"] = statement(cost_reduction("order", comparable=True))
+    out["cost_reduction_comparable_by_shipment"] = statement(
+        cost_reduction(s, comparable=True), grain=s)
     out["total_historical_cost_dedup"] = statement(TOTAL_HISTORICAL, dedup=True)
     out["cost_reduction_dedup"] = statement(cost_reduction("order"), dedup=True)
     out["capacity_utilization_dedup"] = statement(CAPACITY_UTILIZATION, dedup=True)

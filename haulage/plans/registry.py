@@ -105,7 +105,11 @@ def core_queries() -> dict[str, Query]:
     q["optimal_assignment_by_shipment"] = on_star(optimization.optimal_assignment, ship)
     q["cost_reduction_by_shipment"] = on_star(optimization.cost_reduction, ship)
     q["route_rebalance_by_shipment"] = on_star(optimization.route_rebalance, ship)
+    q["highest_cost_routes_by_shipment"] = on_star(inefficiency.highest_cost_routes, ship)
+    q["carrier_cost_by_route_by_shipment"] = on_star(inefficiency.carrier_cost_by_route, ship)
     q["cost_reduction_comparable"] = on_star(optimization.cost_reduction, comparable=True)
+    q["cost_reduction_comparable_by_shipment"] = on_star(optimization.cost_reduction, ship,
+                                                         comparable=True)
     dedup = CostConfig(dedup_product=True)
     q["total_historical_cost_dedup"] = on_star(evaluation.total_historical_cost, dedup)
     q["cost_reduction_dedup"] = on_star(optimization.cost_reduction, dedup)

@@ -33,3 +33,17 @@ def test_stream_matches_batch(spark, tmp_path):
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0
     assert want.select(cols).exceptAll(got.select(cols)).count() == 0
     assert got.agg(F.sum("total_order_cost")).first()[0] > 0
+
+
+def test_restart_does_not_duplicate(spark, tmp_path):
+    """A second run with the same checkpoint finds nothing new and writes nothing twice."""
+    from haulage.session import scratch_path
+    st = clean(edge_staging(spark))
+    star = build_star(st, scratch_path(spark, "stream-restart"))
+    src, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
+    write_staging_csv(st.order_list, os.path.join(src, "a"), "order_list")
+    price_arriving_orders(spark, star, src + "/*", out, ckpt).awaitTermination(120)
+    first = spark.read.parquet(out).count()
+    price_arriving_orders(spark, star, src + "/*", out, ckpt).awaitTermination(120)
+    assert spark.read.parquet(out).count() == first
+    assert spark.read.parquet(out).select("batch_id").distinct().count() == 1
