@@ -27,6 +27,10 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
+
 def _names():
     import __spark_entry__ as E
     return sorted(E.oracle_sql())
@@ -53,6 +57,11 @@ def test_query_matches_oracle(spark, duck, name):
     a = Counter(tuple(_norm(r[i]) for i in so) for r in srows)
     b = Counter(tuple(_norm(r[i]) for i in do) for r in drows)
     assert a == b, (list((a - b).items())[:3], list((b - a).items())[:3])
+    rel = duck.sql(E.oracle_sql()[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
 
 
 def test_entry_smoke(spark):
