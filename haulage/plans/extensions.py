@@ -212,8 +212,9 @@ def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3) -> DataFra
             proposals, "_rank", ["candidate_plant"],
             [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
                                                       for k in SHIPMENT_KEYS])
+        # ``ranked`` is already cut from its lineage (checkpointed inside the rank)
         decided = ranked.join(capacity, "candidate_plant").withColumn(
-            "_ok", F.col("_rank") <= F.col("_left")).checkpoint(eager=True)
+            "_ok", F.col("_rank") <= F.col("_left"))
         won = decided.where("_ok").select(*SHIPMENT_KEYS, "candidate_plant",
                                           "candidate_origin_port", "candidate_carrier",
                                           "freight_rate_id", "total_cost",
