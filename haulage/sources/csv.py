@@ -22,20 +22,9 @@ SOURCE_HEADERS = {
     "wh_costs": ("WH", "Cost/unit"),
 }
 
-# file names of the shipped sample files (fixed values)
-SOURCE_FILES = {
-    "plant_port": "PlantPort.csv",
-    "vmi_customers": "VmiCustomers.csv",
-    "wh_capacities": "WhCapacities.csv",
-    "wh_costs": "WhCosts.csv",
-}
-
-# the three tables no sample file exists for: our file (or folder) names
-OTHER_FILES = {
-    "products_per_plant": "ProductsPerPlant.csv",
-    "freight_rates": "FreightRates.csv",
-    "order_list": "OrderList.csv",
-}
+# default file (or folder) name of each staging table inside an input folder
+TABLE_FILES = {t: f"{t}.csv" for t in schemas.STAGING}
+MAPPING_TABLES = ("plant_port", "vmi_customers", "wh_capacities", "wh_costs")
 
 
 def read_staging_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -56,18 +45,27 @@ def write_staging_csv(df: DataFrame, path: str, table: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_csv_folder(spark: SparkSession, folder: str) -> Staging:
-    """All seven staging tables from one folder of CSV files (or folders of parts)."""
+def read_csv_folder(spark: SparkSession, folder: str,
+                    files: dict[str, str] | None = None) -> Staging:
+    """All seven staging tables from one folder of CSV files (or folders of parts).
+
+    ``files`` maps a staging table to its file name when it differs from
+    ``<table>.csv``.
+    """
     root = folder.rstrip("/")
-    names = {**SOURCE_FILES, **OTHER_FILES}
-    return Staging(**{t: read_staging_csv(spark, f"{root}/{f}", t) for t, f in names.items()})
+    names = {**TABLE_FILES, **(files or {})}
+    return Staging(**{t: read_staging_csv(spark, f"{root}/{names[t]}", t)
+                      for t in schemas.STAGING})
 
 
-def read_source_folder(spark: SparkSession, folder: str, others: Staging | None = None) -> Staging:
-    """The four mapping tables from a folder of source CSVs; tables without a
-    file there (tariffs, orders, products per plant) come from ``others``."""
-    tables = {t: read_staging_csv(spark, f"{folder.rstrip('/')}/{f}", t)
-              for t, f in SOURCE_FILES.items()}
+def read_source_folder(spark: SparkSession, folder: str, others: Staging | None = None,
+                       files: dict[str, str] | None = None) -> Staging:
+    """The four mapping tables (plants, ports, VMI customers, capacities, costs) from a
+    folder of CSV files; tariffs, orders and products per plant come from ``others``
+    (empty when not given)."""
+    names = {**TABLE_FILES, **(files or {})}
+    tables = {t: read_staging_csv(spark, f"{folder.rstrip('/')}/{names[t]}", t)
+              for t in MAPPING_TABLES}
     if others is None:
         empty = {t: spark.createDataFrame([], schemas.STAGING[t])
                  for t in ("products_per_plant", "freight_rates", "order_list")}

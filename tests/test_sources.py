@@ -17,13 +17,13 @@ def _write(path, header, rows):
 
 def make_folder(tmp_path):
     plants = [f"PLANT{n:02d}" for n in range(1, 8)]
-    _write(tmp_path / "PlantPort.csv", "Plant Code,Port",
+    _write(tmp_path / "plant_port.csv", "Plant Code,Port",
            [f"{p},PORT0{(i % 3) + 1}" for i, p in enumerate(plants)] + ["PLANT01,PORT04"])
-    _write(tmp_path / "VmiCustomers.csv", "Plant Code,Customers",
+    _write(tmp_path / "vmi_customers.csv", "Plant Code,Customers",
            ["PLANT02,V55_1", "PLANT02,V555_2", "PLANT05,V55_1"])
-    _write(tmp_path / "WhCapacities.csv", "Plant ID,Daily Capacity ",
+    _write(tmp_path / "wh_capacities.csv", "Plant ID,Daily Capacity ",
            [f"{p},{10 * (i + 1)}" for i, p in enumerate(plants)])
-    _write(tmp_path / "WhCosts.csv", "WH,Cost/unit",
+    _write(tmp_path / "wh_costs.csv", "WH,Cost/unit",
            [f"{p},0.{40 + i}" for i, p in enumerate(plants)] + [","])
     return str(tmp_path)
 
@@ -93,10 +93,10 @@ def test_star_from_a_csv_folder(spark, tmp_path):
     from haulage.plans.registry import all_queries
     from haulage.plans.star import build_star, register_staging
     from haulage.session import scratch_path
-    from haulage.sources.csv import OTHER_FILES, SOURCE_FILES, read_csv_folder
+    from haulage.sources.csv import TABLE_FILES, read_csv_folder
     st = edge_staging(spark)
     folder = tmp_path / "csv"
-    for t, f in {**SOURCE_FILES, **OTHER_FILES}.items():
+    for t, f in TABLE_FILES.items():
         write_staging_csv(getattr(st, t), str(folder / f), t)
     name = register_staging(spark, str(folder), read_csv_folder(spark, str(folder)))
     got = all_queries()["total_historical_cost"](spark, name).first()
