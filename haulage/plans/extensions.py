@@ -8,6 +8,8 @@
                            products, reaches a port and may serve its customer
 * feasible_assignment    - the cheapest feasible option per shipment
 * utilization_shift      - plant load before and after the feasible assignment
+* capacity_assignment    - greedy assignment of shipments to feasible options
+                           within plant capacity (heuristic, fixed rounds)
 """
 
 from __future__ import annotations

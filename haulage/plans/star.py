@@ -37,8 +37,8 @@ class Star:
     bridge_plant_product: DataFrame
     fact_freight_rates: DataFrame
     fact_orders: DataFrame
-    # shipment rollup of fact_orders, bucketed by order_id: every per-order and
-    # per-shipment step downstream runs without a shuffle
+    # shipment rollup of fact_orders; bucketed by order_id unless one order would
+    # overload a bucket (see bucket_by_order), so per-order steps need no shuffle
     shipments: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
