@@ -180,40 +180,63 @@ def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
 
 # ---------------------------------------------------------------- capacity-limited assignment
 
-def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3) -> DataFrame:
+def _proposals(options: DataFrame, open_ships: DataFrame, live: DataFrame,
+               priority: str) -> tuple[DataFrame, list]:
+    """Each open shipment's cheapest option among plants with capacity left, with the
+    order in which a plant should accept them.
+
+    ``priority="regret"``: a shipment that loses most by missing its best plant goes
+    first - regret is the gap to its best option at any *other* live plant (a full
+    plant removes all of its options at once); no alternative at all ranks first.
+    ``priority="cost"``: cheapest first.
+    """
+    live_opts = (options.join(open_ships, SHIPMENT_KEYS, "left_semi")
+                 .join(live, "candidate_plant", "left_semi"))
+    payload = ["candidate_origin_port", "candidate_carrier", "freight_rate_id", "total_cost"]
+    tail = [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
+                                                     for k in SHIPMENT_KEYS]
+    if priority == "cost":
+        best = first_by(live_opts, SHIPMENT_KEYS, FEASIBLE_ORDER, ["candidate_plant"] + payload)
+        return best, tail
+    per_plant = first_by(live_opts, SHIPMENT_KEYS + ["candidate_plant"], FEASIBLE_ORDER, payload)
+    order = ", ".join(f"{c} ASC NULLS LAST" for c in
+                      ["total_cost", "candidate_plant", "candidate_origin_port",
+                       "candidate_carrier", "freight_rate_id"])
+    top2 = per_plant.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {', '.join(SHIPMENT_KEYS)} ORDER BY {order})"
+             " AS _pr").where("_pr <= 2")
+    alt = top2.where("_pr = 2").selectExpr(*SHIPMENT_KEYS, "total_cost AS _alt")
+    best = (top2.where("_pr = 1").drop("_pr").join(alt, SHIPMENT_KEYS, "left")
+            .withColumn("_regret", F.col("_alt") - F.col("total_cost")).drop("_alt"))
+    return best, [F.col("_regret").desc_nulls_first()] + tail
+
+
+def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3,
+                        priority: str = "regret") -> DataFrame:
     """Greedy, set-based assignment of shipments to feasible options under plant capacity.
 
     ``daily_capacity`` is read as the number of shipments a plant may take over the
     horizon (the same all-dates reading the capacity questions use).  Each round,
     every open shipment proposes its cheapest option among plants with capacity
-    left; each plant accepts its cheapest proposals up to that capacity (rank inside
-    the plant computed partition-parallel, so a hot plant is never one task).
-    Rejected shipments try again next round.  After ``rounds`` the still-open
-    shipments are returned with NULL assignment - no shipment is dropped.
-    A heuristic: not claimed optimal.
+    left; each plant accepts proposals up to that capacity, highest regret first
+    (see ``_proposals``; rank inside the plant computed partition-parallel, so a
+    hot plant is never one task).  Rejected shipments try again next round.  After
+    ``rounds`` the still-open shipments are returned with NULL assignment - no
+    shipment is dropped.  A heuristic: not claimed optimal.
     """
     from haulage.functions.keys import scalable_rank_within
 
     options = feasible_options(star, cfg).select(
         *SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
         "freight_rate_id", "total_cost")
-    spark = options.sparkSession
     capacity = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
                                      F.col("daily_capacity").cast("long").alias("_left"))
     open_ships = star.shipments.select(*SHIPMENT_KEYS)
     accepted = None
     for r in range(1, rounds + 1):
         live = capacity.where(F.col("_left") > 0)
-        proposals = first_by(
-            options.join(open_ships, SHIPMENT_KEYS, "left_semi").join(live, "candidate_plant",
-                                                                       "left_semi"),
-            SHIPMENT_KEYS, FEASIBLE_ORDER,
-            ["candidate_plant", "candidate_origin_port", "candidate_carrier", "freight_rate_id",
-             "total_cost"])
-        ranked = scalable_rank_within(
-            proposals, "_rank", ["candidate_plant"],
-            [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
-                                                      for k in SHIPMENT_KEYS])
+        proposals, order = _proposals(options, open_ships, live, priority)
+        ranked = scalable_rank_within(proposals, "_rank", ["candidate_plant"], order)
         # ``ranked`` is already cut from its lineage (checkpointed inside the rank)
         decided = ranked.join(capacity, "candidate_plant").withColumn(
             "_ok", F.col("_rank") <= F.col("_left"))
