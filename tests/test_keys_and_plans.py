@@ -133,3 +133,27 @@ def test_keys_do_not_depend_on_input_row_order(spark):
         assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0, name
     assert (total_historical_cost(a, CostConfig()).first()
             == total_historical_cost(b, CostConfig()).first())
+
+
+def test_rank_within_matches_window_rank_with_a_hot_group(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+    from haulage.functions.keys import scalable_rank_within
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 17).alias("g"),
+        (F.col("id") * 13 % 997).alias("v"), F.col("id"))
+    order = [F.col("v").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    got = scalable_rank_within(df, "r", ["g"], order, num_partitions=7)
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order))
+                        .cast("long"))
+    assert got.select(ref.columns).exceptAll(ref).count() == 0
+    assert ref.exceptAll(got.select(ref.columns)).count() == 0
+
+
+def test_spread_scan_only_spreads_under_split_input(spark):
+    from haulage.sources.testdata import spread_scan
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 100, numPartitions=1)
+    assert spread_scan(one).rdd.getNumPartitions() == cores
+    many = spark.range(0, 100, numPartitions=cores)
+    assert spread_scan(many).rdd.getNumPartitions() == cores
