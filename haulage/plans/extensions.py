@@ -181,7 +181,7 @@ def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
 # ---------------------------------------------------------------- capacity-limited assignment
 
 def _proposals(options: DataFrame, open_ships: DataFrame, live: DataFrame,
-               priority: str) -> tuple[DataFrame, list]:
+               priority: str, scope: list[str]) -> tuple[DataFrame, list]:
     """Each open shipment's cheapest option among plants with capacity left, with the
     order in which a plant should accept them.
 
@@ -191,8 +191,10 @@ def _proposals(options: DataFrame, open_ships: DataFrame, live: DataFrame,
     ``priority="cost"``: cheapest first.
     """
     live_opts = (options.join(open_ships, SHIPMENT_KEYS, "left_semi")
-                 .join(live, "candidate_plant", "left_semi"))
-    payload = ["candidate_origin_port", "candidate_carrier", "freight_rate_id", "total_cost"]
+                 .join(live, scope, "left_semi"))
+    extra = [c for c in scope if c != "candidate_plant"]
+    payload = ["candidate_origin_port", "candidate_carrier", "freight_rate_id", "total_cost",
+               *extra]
     tail = [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
                                                      for k in SHIPMENT_KEYS]
     if priority == "cost":
@@ -212,7 +214,7 @@ def _proposals(options: DataFrame, open_ships: DataFrame, live: DataFrame,
 
 
 def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3,
-                        priority: str = "regret") -> DataFrame:
+                        priority: str = "regret", per_day: bool = False) -> DataFrame:
     """Greedy, set-based assignment of shipments to feasible options under plant capacity.
 
     ``daily_capacity`` is read as the number of shipments a plant may take over the
@@ -223,31 +225,43 @@ def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3,
     hot plant is never one task).  Rejected shipments try again next round.  After
     ``rounds`` the still-open shipments are returned with NULL assignment - no
     shipment is dropped.  A heuristic: not claimed optimal.
+
+    ``per_day=True`` reads the capacity per plant and order date instead: every
+    (plant, day) pair has the full daily capacity.
     """
     from haulage.functions.keys import scalable_rank_within
 
     options = feasible_options(star, cfg).select(
         *SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
         "freight_rate_id", "total_cost")
-    capacity = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
-                                     F.col("daily_capacity").cast("long").alias("_left"))
+    plant_caps = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
+                                       F.col("daily_capacity").cast("long").alias("_left"))
+    if per_day:
+        scope = ["candidate_plant", "date_id"]
+        order_day = star.fact_orders.groupBy("order_id").agg(F.min("date_id").alias("date_id"))
+        options = options.join(order_day, "order_id")
+        capacity = (options.select("candidate_plant", "date_id").distinct()
+                    .join(plant_caps, "candidate_plant"))
+    else:
+        scope = ["candidate_plant"]
+        capacity = plant_caps
     open_ships = star.shipments.select(*SHIPMENT_KEYS)
     accepted = None
     for r in range(1, rounds + 1):
         live = capacity.where(F.col("_left") > 0)
-        proposals, order = _proposals(options, open_ships, live, priority)
-        ranked = scalable_rank_within(proposals, "_rank", ["candidate_plant"], order)
+        proposals, order = _proposals(options, open_ships, live, priority, scope)
+        ranked = scalable_rank_within(proposals, "_rank", scope, order)
         # ``ranked`` is already cut from its lineage (checkpointed inside the rank)
-        decided = ranked.join(capacity, "candidate_plant").withColumn(
+        decided = ranked.join(capacity, scope).withColumn(
             "_ok", F.col("_rank") <= F.col("_left"))
         won = decided.where("_ok").select(*SHIPMENT_KEYS, "candidate_plant",
                                           "candidate_origin_port", "candidate_carrier",
                                           "freight_rate_id", "total_cost",
                                           F.lit(r).alias("assignment_round"))
         accepted = won if accepted is None else accepted.unionByName(won)
-        taken = won.groupBy("candidate_plant").agg(F.count(F.lit(1)).alias("_taken"))
-        capacity = (capacity.join(taken, "candidate_plant", "left")
-                    .select("candidate_plant",
+        taken = decided.where("_ok").groupBy(*scope).agg(F.count(F.lit(1)).alias("_taken"))
+        capacity = (capacity.join(taken, scope, "left")
+                    .select(*scope,
                             (F.col("_left") - F.coalesce("_taken", F.lit(0))).alias("_left"))
                     .checkpoint(eager=True))
         open_ships = open_ships.join(won.select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti")

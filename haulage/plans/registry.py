@@ -154,6 +154,8 @@ def extension_queries() -> dict[str, Query]:
         "utilization_shift": on_star(extensions.utilization_shift, dedup),
         # iterative heuristic: no SQL oracle, checked by invariants in the tests
         "capacity_assignment": on_star(extensions.capacity_assignment, dedup),
+        "capacity_assignment_by_day": on_star(extensions.capacity_assignment, dedup,
+                                              per_day=True),
     }
     return q
 

@@ -31,3 +31,24 @@ def test_capacity_assignment_invariants(spark):
                                                                   "assignment_round")
     assert chosen.join(opts, chosen.columns, "left_anti").count() == 0
     got.unpersist()
+
+
+def test_capacity_assignment_by_day_invariants(spark):
+    import __spark_entry__ as E
+    from haulage.plans.star import star_for
+    got = E.queries()["capacity_assignment_by_day"](spark, SF_SMALL).cache()
+    star = star_for(spark, SF_SMALL, dedup_product=True)
+    assert got.count() == star.shipments.count()
+    assert got.select(*KEYS).distinct().count() == got.count()
+    day = star.fact_orders.groupBy("order_id").agg(F.min("date_id").alias("date_id"))
+    load = (got.where(F.col("assigned_plant").isNotNull()).join(day, "order_id")
+            .groupBy("assigned_plant", "date_id").count())
+    over = load.join(star.dim_plant, load.assigned_plant == star.dim_plant.plant_key).where(
+        F.col("count") > F.col("daily_capacity"))
+    assert over.count() == 0
+    # a per-day capacity is never tighter than the all-dates one here
+    placed_day = got.where(F.col("assigned_plant").isNotNull()).count()
+    placed_all = E.queries()["capacity_assignment"](spark, SF_SMALL).where(
+        F.col("assigned_plant").isNotNull()).count()
+    assert placed_day >= placed_all
+    got.unpersist()
