@@ -33,10 +33,11 @@ def scalable_key(df: DataFrame, name: str, order: list[Column],
                  num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)  # checkpoint() needs the shared folder
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order)
-                 .sortWithinPartitions(*order)
-                 .checkpoint(eager=True))
+    # without an explicit count AQE may merge small neighbouring ranges; merged
+    # partitions stay contiguous, so partition order is still key order
+    ranged = (df.repartitionByRange(num_partitions, *order) if num_partitions
+              else df.repartitionByRange(*order))
+    ordered = ranged.sortWithinPartitions(*order).checkpoint(eager=True)
     cols = ordered.columns
     tagged = ordered.select(
         "*",

@@ -119,7 +119,7 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
                                                  d["dim_customer"], d["dim_carrier"], d["dim_port"]),
     }, root)
     spark = c.order_list.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(rest["fact_orders"])
     rollup = costmodel.shipments(rest["fact_orders"])
     if bucket_by_order(rest["fact_orders"], buckets):
         ships = _write_bucketed(rollup, f"{root}/shipments", "order_id", buckets)
@@ -130,6 +130,21 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
 
 # a bucket may hold at most this many times its average share of lines
 BUCKET_SKEW_LIMIT = 2.0
+# order lines per bucket aimed at when sizing the rollup table
+LINES_PER_BUCKET = 2_000_000
+
+
+def bucket_count(fact_orders: DataFrame) -> int:
+    """Buckets for the rollup: about ``LINES_PER_BUCKET`` lines each, at least one per
+    core, at most ``spark.sql.shuffle.partitions``."""
+    spark = fact_orders.sparkSession
+    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        floor = spark.sparkContext.defaultParallelism
+    except Exception:
+        floor = 1
+    lines = fact_orders.count()
+    return max(1, min(ceiling, max(floor, -(-lines // LINES_PER_BUCKET))))
 
 
 def bucket_by_order(fact_orders: DataFrame, buckets: int) -> bool:
