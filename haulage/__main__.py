@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     from haulage.session import DEFAULT_CONF
     from haulage.sources.csv import read_csv_folder
 
+    owned = SparkSession.getActiveSession() is None
     builder = SparkSession.builder.appName("haulage")
     if args.master:
         builder = builder.master(args.master)
@@ -61,7 +62,8 @@ def main(argv: list[str] | None = None) -> int:
         print(args.out)
     else:
         df.show(20, truncate=False)
-    spark.stop()
+    if owned:  # leave a session we did not start to its owner
+        spark.stop()
     return 0
 
 

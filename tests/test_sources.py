@@ -103,3 +103,17 @@ def test_star_from_a_csv_folder(spark, tmp_path):
     want = total_historical_cost(build_star(clean(st), scratch_path(spark, "csv-ref")),
                                  CostConfig()).first()
     assert got == want
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from conftest import SF_SMALL
+    from haulage.__main__ import main
+    assert main(["list"]) == 0
+    assert "cost_reduction" in capsys.readouterr().out.split()
+    out = str(tmp_path / "cr")
+    assert main(["run", "cost_reduction", "--parquet-dir", SF_SMALL, "--out", out,
+                 "--format", "csv"]) == 0
+    back = spark.read.option("header", True).csv(out).collect()
+    assert len(back) == 1 and float(back[0]["historical_total_cost"]) > 0
+    assert main(["run", "no_such_query", "--parquet-dir", SF_SMALL]) == 2
+    assert not spark.sparkContext._jsc.sc().isStopped()
