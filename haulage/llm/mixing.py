@@ -99,13 +99,13 @@ def leaf_budgets(leaves: DataFrame, path: list[str], weights: Mapping[tuple, int
                   .withColumn(f"w{d}", F.coalesce(f"w{d}", F.lit(1)).cast("long"))
                   .withColumn("cap", F.when(F.col(f"w{d}") > 0, F.col("cap")).otherwise(0).cast("long")))
     leaves = written(leaves, "mix-leaves")
-    amount = leaves.agg(F.lit("").alias("node"), F.least(F.coalesce(F.sum("cap"), F.lit(0)), F.lit(budget))
-                        .cast("long").alias("amount"))
+    top = min(budget, leaves.agg(F.coalesce(F.sum("cap"), F.lit(0)).alias("cap")).first()["cap"])
     for d in range(1, len(path) + 1):
         parent = F.col(f"node{d - 1}") if d > 1 else F.lit("")
         nodes = (leaves.filter("cap > 0").groupBy(parent.alias("parent"), F.col(f"node{d}").alias("node"),
                                                  F.col(f"w{d}").alias("weight")).agg(F.sum("cap").alias("cap")))
-        amount = _split(nodes.join(amount.withColumnRenamed("node", "parent"), "parent"))
+        amount = _split(nodes.withColumn("amount", F.lit(top).cast("long")) if d == 1 else
+                        nodes.join(amount.withColumnRenamed("node", "parent"), "parent"))
     last = f"node{len(path)}"
     return (leaves.join(amount.withColumnRenamed("node", last), last, "left")
             .select(F.col(last).alias("leaf"), "tokens", F.coalesce("amount", F.lit(0)).cast("long").alias("amount")))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from haulage.llm import chat, mixing, sharding
+from haulage.llm import chat, embeddings, langid, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op6_chat": chat.op6_chat,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op4_embedding_dedup": embeddings.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
 }
