@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from haulage.llm import chat, embeddings, langid, lines, minhash, mixing, sharding, toxicity
+from haulage.llm import chat, decontaminate, embeddings, langid, lines, minhash, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_chat": chat.op6_chat,
@@ -17,6 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": lines.OP2_SQL,
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op4_embedding_dedup": embeddings.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
 }
