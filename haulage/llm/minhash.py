@@ -214,18 +214,9 @@ def similar_classes(classes: DataFrame, docs: DataFrame, words: int, text: str,
     return parts
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id",
-                    text: str = "text", seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: the key, n_shingles, component_id (smallest key reachable over
-    links, its own included) and kept.
-
-    Null and empty texts and texts without words have no shingles and link with nothing; texts of
-    fewer words are one shingle; very long texts are read whole.  Equal sets are linked, repeated
-    rows too: of rows with the smallest key all are kept.  A row with a null key is in its
-    component but never its smallest; a component of such rows alone has a null id and keeps them.
-    An empty table gives an empty result; extra columns are left out.
-    """
-    # hash of key and text: finds a class's text again, whatever order the rows come in
+def _labelled(docs: DataFrame, words: int, threshold: tuple[int, int], key: str, text: str, seed: int) -> DataFrame:
+    """(doc, key, n_shingles, component_id, kept) per row; ``key`` is a hash of document key and text."""
+    # by that hash a class's text is found again, whatever order the rows come in
     keyed = docs.select(col(key).alias("doc"), col(text).alias("body"), F.xxhash64(col(key), col(text)).alias("key"))
     rows = written(signatures(keyed, words, "body", seed).withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
     grouped = written(rows.filter("digest IS NOT NULL").groupBy("digest").agg(
@@ -237,12 +228,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int]
             .withColumn("component", F.coalesce("component", "id")))
     least = written(info.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")
     info = written(info.join(least, "component").select("digest", "component_id", F.lit(True).alias("found")), "minhash-components")
-    out = rows.select("doc", "n_shingles", "digest").join(info, "digest", "left")
-    return out.select(F.col("doc").alias(key), "n_shingles",
+    out = rows.select("doc", "key", "n_shingles", "digest").join(info, "digest", "left")
+    return out.select("doc", "key", "n_shingles",
                       F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
                       F.when(F.col("found"), F.col("doc").eqNullSafe(F.col("component_id"))).otherwise(F.lit(True)).alias("kept"))
 
 
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id",
+                    text: str = "text", seed: int = SEED) -> DataFrame:
+    """One row per row of ``docs``: the key, n_shingles, component_id (smallest key reachable over
+    links, its own included) and kept.
+
+    Null and empty texts and texts without words have no shingles and link with nothing; texts of
+    fewer words are one shingle; very long texts are read whole.  Equal sets are linked, repeated
+    rows too: of rows with the smallest key all are kept.  A row with a null key is in its
+    component but never its smallest; a component of such rows alone has a null id and keeps them.
+    An empty table gives an empty result; extra columns are left out.
+    """
+    return _labelled(docs, words, threshold, key, text, seed).select(F.col("doc").alias(key), "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: tuple[int, int] = THRESHOLD, key: str = "doc_id",
+                         text: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps."""
+    [mark] = fresh(docs.columns, "mark")
+    kept = written(_labelled(docs, words, threshold, key, text, seed).filter("kept")
+                   .select(F.col("key").alias(mark)).distinct(), "minhash-kept")
+    return docs.withColumn(mark, F.xxhash64(col(key), col(text))).join(kept, mark, "left_semi").drop(mark)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all ``documents`` on shingles of four words, as its contract has it."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4)

@@ -41,9 +41,9 @@ def n_tokens(text: Column) -> Column:
 
 
 def token_prefix(text: Column, tokens: Column) -> Column:
-    """The shortest prefix of ``text`` with its first ``tokens`` words (at least one)."""
-    pattern = F.concat(F.lit(f"^(?:[{SPACE}]*[^{SPACE}]+){{"), tokens.cast("string"), F.lit("}"))
-    return F.regexp_substr(text, pattern)
+    """The shortest prefix of ``text`` with its first ``tokens`` words."""
+    pieces = F.regexp_extract_all(text, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), tokens.cast("int")), "")
 
 
 def _node(parts: list[Column]) -> Column:

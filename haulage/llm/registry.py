@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haulage.llm import chat, decontaminate, embeddings, langid, lines, minhash, mixing, sharding, toxicity
+from haulage.llm import chat, decontaminate, embeddings, langid, language_model, lines, minhash, mixing, sharding, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
+    "op10_lm_scoring": language_model.op10_lm_scoring,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
