@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.llm.common import col, crc_mod, fresh, read_table
+from haulage.llm.common import col, crc_mod, read_table, written
 
 #: Bound of the training sample: expected numbers of texts.
 POSITIVES, UNLABELLED = 12_000, 24_000
@@ -40,8 +40,8 @@ def word_hashes(text: str | None, pattern) -> list[int]:
     return [zlib.crc32(w.encode()) for w in words | starts]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, folds: int, seed: int) -> tuple[pa.Table, float]:
-    """Word hashes of the sampled training texts with ``kind`` 1 (confirmed toxic) or 0 (unlabelled),
+def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, folds: int, seed: int) -> tuple[DataFrame, float]:
+    """Written word hashes of the sampled training texts, marked toxic (confirmed) and unlabelled,
     and the share of toxic among the labelled."""
     judged = (labels.filter((crc_mod(F.col("doc_id"), folds) != 0) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -52,43 +52,56 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, folds: int,
     def keep(share: float, salt: int):
         return F.pmod(F.xxhash64(F.lit(seed + salt), F.col("doc_id")), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
-    toxic = judged.filter("toxic = 1").select("doc_id").filter(keep(POSITIVES / max(counts["toxic"] or 0, 1), 0))
+    confirmed = judged.filter("toxic = 1").select("doc_id").filter(keep(POSITIVES / max(counts["toxic"] or 0, 1), 0))
     slim = pool.select(col(key).alias("doc_id"), col(text).alias("text")).withColumn(
         "unlabelled", keep(UNLABELLED / max(n_pool, 1), 1))
     # POSITIVES ids at most: a bounded broadcast
-    marked = (slim.join(F.broadcast(toxic.withColumn("toxic", F.lit(True))), "doc_id", "left")
-              .filter(F.col("unlabelled") | F.col("toxic")))
+    marked = (slim.join(F.broadcast(confirmed.withColumn("toxic", F.lit(True))), "doc_id", "left")
+              .withColumn("toxic", F.coalesce("toxic", F.lit(False))).filter("unlabelled OR toxic"))
 
     def hashes(batches):
         pattern = re.compile(WORD)
         for batch in batches:
-            found = [word_hashes(t, pattern) for t in batch.column("text").to_pylist()]
+            found = [sorted(word_hashes(t, pattern)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("unlabelled"), pa.array(found, pa.list_(pa.int64()))],
                                              names=["toxic", "unlabelled", "words"])
 
-    table = (marked.mapInArrow(hashes, "toxic boolean, unlabelled boolean, words array<bigint>")
-             .dropDuplicates(["toxic", "unlabelled", "words"]).toArrow())  # copies teach once
+    table = written(marked.mapInArrow(hashes, "toxic boolean, unlabelled boolean, words array<bigint>")
+                    .dropDuplicates(["toxic", "unlabelled", "words"]), "toxicity-sample")  # copies teach once
     return table, (counts["toxic"] or 0) / max(counts["n"], 1)
 
 
-def _rows(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """(row, word hash) pairs of the rows in which ``column`` is true."""
-    chosen = table.filter(table.column(column).fill_null(False)).column("words").combine_chunks()
-    lengths = np.diff(chosen.offsets.to_numpy())
-    return np.repeat(np.arange(len(chosen)), lengths), chosen.flatten().to_numpy(), len(chosen)
+def pick_features(sample: DataFrame) -> np.ndarray:
+    """Word hashes whose share of texts differs most between the samples (two-proportion z), sorted."""
+    sizes = sample.agg(F.count_if("toxic").alias("p"), F.count_if("unlabelled").alias("u")).first()
+    n_p, n_u = max(sizes["p"], 1), max(sizes["u"], 1)
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    spread = F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    found = (sample.select("toxic", "unlabelled", F.explode("words").alias("word"))
+             .groupBy("word").agg(F.count_if("toxic").alias("p"), F.count_if("unlabelled").alias("u"))
+             .filter(F.col("p") + F.col("u") >= LEAST_DOCS)
+             .withColumn("z", F.when(spread > 0, F.abs(F.col("p") / n_p - F.col("u") / n_u) / spread))
+             .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(FEATURES).collect())
+    return np.sort(np.array([r["word"] for r in found], np.int64))
 
 
-def pick_features(pos: tuple, unl: tuple) -> np.ndarray:
-    """Word hashes whose share of texts differs most between the samples (two-proportion z)."""
-    values, places = np.unique(np.concatenate([pos[1], unl[1]]), return_inverse=True)
-    in_pos = np.bincount(places[:len(pos[1])], minlength=len(values))
-    in_unl = np.bincount(places[len(pos[1]):], minlength=len(values))
-    share = (in_pos + in_unl) / (pos[2] + unl[2])
-    spread = np.sqrt(share * (1 - share) * (1 / pos[2] + 1 / unl[2])) + 1e-12
-    z = np.abs(in_pos / pos[2] - in_unl / unl[2]) / spread
-    z[(in_pos + in_unl < LEAST_DOCS) | (z < LEAST_Z)] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(values[best[z[best] > 0]])
+def _rows(sample: DataFrame, features: np.ndarray) -> tuple[tuple, tuple]:
+    """(row, feature, rows) of the toxic and of the unlabelled texts."""
+
+    def known(batches):
+        for batch in batches:
+            lists = [np.nonzero(np.isin(features, np.array(words, np.int64), assume_unique=True))[0] for words in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("unlabelled"),
+                                              pa.array(lists, pa.list_(pa.int64()))], names=["toxic", "unlabelled", "words"])
+
+    table = sample.mapInArrow(known, "toxic boolean, unlabelled boolean, words array<bigint>").toArrow()
+
+    def rows(column):
+        chosen = table.filter(table.column(column))["words"].to_pylist()
+        lengths = np.array([len(c) for c in chosen], np.int64)
+        return (np.repeat(np.arange(len(chosen)), lengths), np.array([f for c in chosen for f in c], np.int64), len(chosen))
+
+    return rows("toxic"), rows("unlabelled")
 
 
 def nonnegative_pu(pos: tuple, unl: tuple, n: int, prior: float, rng: np.random.Generator,
@@ -125,21 +138,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Without a confirmed toxic or an unlabelled text nothing is learned: no weights, and a bias that
     scores every text near 0.  ``prior`` defaults to the share of toxic among the labelled.
     """
-    table, share = _sample(docs, labels, key, text, folds, seed)
-    pos, unl = _rows(table, "toxic"), _rows(table, "unlabelled")
+    sample, share = _sample(docs, labels, key, text, folds, seed)
+    features = pick_features(sample)
+    pos, unl = _rows(sample, features)
     if not pos[2] or not unl[2]:
         return {}, -10.0
     prior = min(max(share if prior is None else prior, 1e-4), 0.9)
-    features = pick_features(pos, unl)
-
-    def compact(x):
-        at = np.searchsorted(features, x[1])
-        known = np.zeros(len(at), bool)
-        known[at < len(features)] = features[at[at < len(features)]] == x[1][at < len(features)]
-        return x[0][known], at[known], x[2]
-
     rng = np.random.default_rng(seed)
-    pos, unl = compact(pos), compact(unl)
     weights = np.mean([nonnegative_pu(pos, unl, len(features), prior, rng) for _ in range(MODELS)], axis=0)
     return dict(zip(features.tolist(), weights[:-1].tolist())), float(weights[-1])
 
