@@ -25,7 +25,7 @@ from haulage.llm.common import col, crc_mod, read_table, written
 #: Bound of the training sample: expected numbers of texts.
 POSITIVES, UNLABELLED = 12_000, 24_000
 #: Word hashes kept as features, by the strength of their difference between the two samples.
-FEATURES, LEAST_DOCS, LEAST_Z = 4096, 5, 6.0
+FEATURES, LEAST_DOCS, LEAST_Z = 4096, 5, 4.0
 MODELS, STEPS, RATE, SPARSITY, SEED = 3, 600, 0.1, 5e-5, 5
 #: Besides whole words, their first so many letters are features.
 PREFIXES = (4, 5)
