@@ -6,7 +6,7 @@ Layers (each a set of composable DataFrame functions):
 * ``operators`` - clean layer, data quality, dimensions, bridges, facts, cost model
 * ``functions`` - Column-level helpers (pricing, ordering, surrogate keys)
 * ``plans``     - the star-schema build and the business questions built on it
-* ``streaming`` - incremental pricing of arriving order lines (Structured Streaming)
+* ``llm``       - training-data operators (optional)
 """
 
 from haulage.config import CostConfig

@@ -68,3 +68,21 @@ def scalable_rank_within(df: DataFrame, name: str, group: list[str], order: list
     return (keyed.join(starts, group)
             .withColumn(name, (F.col("_pos") - F.col("_start") + 1).cast("long"))
             .drop("_pos", "_start"))
+
+
+def scalable_running_sum(df: DataFrame, name: str, value: str, group: list[str], order: list[Column],
+                         num_partitions: int | None = None) -> DataFrame:
+    """Sum of ``value`` up to and including each row, inside its group in ``order`` (total), without
+    putting a group in one task: rows are range-partitioned on (group, order), summed inside each
+    partition, and the totals of a group's earlier partitions added (a row per partition and group
+    that meet, and ranges are contiguous, so few)."""
+    shared_dir(df.sparkSession)
+    full = nulls_last(*group) + list(order)
+    ranged = df.repartitionByRange(num_partitions, *full) if num_partitions else df.repartitionByRange(*full)
+    parts = ranged.withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    within = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("_part", *group).agg(F.sum(value).alias("_total"))
+    before = totals.select("_part", *group, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    return (parts.withColumn(name, F.sum(value).over(within)).join(before, ["_part", *group])
+            .withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before"))

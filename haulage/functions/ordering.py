@@ -7,8 +7,7 @@ It is written as ``row_number() OVER (PARTITION BY keys ORDER BY order) = 1``,
 which Catalyst turns into a ``WindowGroupLimit``: a *partial* top-1 runs inside
 every map task before the shuffle, so a hot group (one order holding a large
 share of the rows) arrives as at most one row per map task, and a final top-1
-runs after it.  On input already clustered by the keys (the bucketed shipment
-rollup) there is no shuffle at all.
+runs after it.
 
 Order items are ``(column, "asc"|"desc", "first"|"last")``; the null placement
 is always explicit because engines disagree on the default.

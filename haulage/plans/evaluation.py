@@ -46,6 +46,12 @@ def cost_by_plant_route(star: Star, cfg: CostConfig) -> DataFrame:
     return _route_costs(star, cfg).orderBy(F.col("total_logistics_cost").desc_nulls_first())
 
 
+def cost_by_carrier(star: Star, cfg: CostConfig) -> DataFrame:
+    """Cost per carrier, costliest first."""
+    return (historical_costs(star, cfg).groupBy("carrier_id").agg(*[F.expr(e) for e in COST_SUMS])
+            .orderBy(F.col("total_logistics_cost").desc_nulls_first()))
+
+
 def plant_line_counts(star: Star) -> DataFrame:
     """Order lines per plant joined to its capacity (all dates together, as written)."""
     counts = star.fact_orders.groupBy("plant_id").agg(F.count(F.lit(1)).alias("daily_orders"))

@@ -7,9 +7,9 @@
 * feasible_options       - re-sourcing a shipment to any plant that stocks all its
                            products, reaches a port and may serve its customer
 * feasible_assignment    - the cheapest feasible option per shipment
-* utilization_shift      - plant load before and after the feasible assignment
-* capacity_assignment    - greedy assignment of shipments to feasible options
-                           within plant capacity (heuristic, fixed rounds)
+* utilization_shift      - plant load (order lines) before and after the feasible assignment
+* capacity_assignment    - greedy assignment of shipments to feasible options within
+                           plant capacity (a heuristic, run until nothing is left to try)
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.functions.ordering import asc, first_by
-from haulage.functions.pricing import freight_charge, money, warehouse_charge
+from haulage.functions.keys import scalable_running_sum
+from haulage.functions.pricing import WEIGHT_TYPE, freight_charge_sql, money
 from haulage.operators.costmodel import SHIPMENT_KEYS
 from haulage.plans.inefficiency import utilization_label
-from haulage.plans.star import Star
+from haulage.plans.star import Star, stored
 
 
 def _ratio(num, den):
@@ -95,41 +96,42 @@ def delivery_performance(star: Star, cfg: CostConfig) -> DataFrame:
 # ---------------------------------------------------------------- feasible re-sourcing
 
 def candidate_plants(star: Star) -> DataFrame:
-    """(shipment, candidate plant) pairs: the plant stocks every product of the
-    shipment, and a VMI plant only serves the customers listed for it.
+    """(shipment, candidate plant) pairs with the shipment's lines, units and weight: the plant
+    stocks every product of the shipment, and a VMI plant serves it only if it lists every one of
+    the shipment's customers.
 
-    Built with equi-joins whose fan-out is bounded by plants per product, so no
+    Built with equi-joins whose fan-out is bounded by plants per product and per customer, so no
     shipment is ever paired with every plant.
     """
-    lines = star.fact_orders.select(*SHIPMENT_KEYS, "product_id", "customer_id")
+    lines = star.fact_orders.select(*SHIPMENT_KEYS, "product_id", "customer_id", "unit_quantity", "weight")
     needs = lines.groupBy(*SHIPMENT_KEYS).agg(
-        F.count_distinct("product_id").alias("_products"), F.max("customer_id").alias("_customer"))
-    stock = star.bridge_plant_product.select(F.col("plant_key").alias("candidate_plant"),
-                                             F.col("product_key").alias("product_id"))
-    stocked = (lines.select(*SHIPMENT_KEYS, "product_id").distinct()
-               .join(stock, "product_id")
-               .groupBy(*SHIPMENT_KEYS, "candidate_plant")
-               .agg(F.count(F.lit(1)).alias("_stocked")))
-    full = (stocked.join(needs, SHIPMENT_KEYS)
-            .where(F.col("_stocked") == F.col("_products")))
-    vmi_pairs = star.bridge_plant_customer.select(
-        F.col("plant_key").alias("candidate_plant"), F.col("customer_key").alias("_customer"),
-        F.lit(True).alias("_listed"))
-    vmi_plants = star.bridge_plant_customer.select(
-        F.col("plant_key").alias("candidate_plant")).distinct().withColumn("_vmi", F.lit(True))
-    allowed = (full.join(vmi_plants, "candidate_plant", "left")
-               .join(vmi_pairs, ["candidate_plant", "_customer"], "left")
-               .where(F.col("_vmi").isNull() | F.col("_listed").isNotNull()))
-    return allowed.select(*SHIPMENT_KEYS, "candidate_plant")
-
-
-def feasible_options(star: Star, cfg: CostConfig) -> DataFrame:
-    """Every feasible (plant, origin port, carrier tariff) for every shipment, priced."""
-    cands = candidate_plants(star)
+        F.count(F.lit(1)).alias("lines"), F.sum("unit_quantity").alias("unit_quantity"),
+        F.sum(F.col("unit_quantity") * F.col("weight")).cast(WEIGHT_TYPE).alias("total_weight"),
+        F.count_distinct("product_id").alias("_products"), F.count_distinct("customer_id").alias("_customers"))
+
+    def matched(attribute: str, bridge: DataFrame, name: str) -> DataFrame:
+        """How many of a shipment's distinct values each plant of the bridge covers."""
+        return (lines.select(*SHIPMENT_KEYS, attribute).distinct().join(bridge, attribute)
+                .groupBy(*SHIPMENT_KEYS, "candidate_plant").agg(F.count(F.lit(1)).alias(name)))
+
+    stocked = matched("product_id", star.bridge_plant_product.select(
+        F.col("plant_key").alias("candidate_plant"), F.col("product_key").alias("product_id")), "_stocked")
+    vmi = star.bridge_plant_customer.select(F.col("plant_key").alias("candidate_plant"),
+                                            F.col("customer_key").alias("customer_id"))
+    listed = matched("customer_id", vmi, "_listed")
+    vmi_plants = vmi.select("candidate_plant").distinct().withColumn("_vmi", F.lit(True))
+    return (stocked.join(needs, SHIPMENT_KEYS).where("_stocked = _products")
+            .join(vmi_plants, "candidate_plant", "left")
+            .join(listed, [*SHIPMENT_KEYS, "candidate_plant"], "left")
+            .where("_vmi IS NULL OR _listed = _customers")
+            .select(*SHIPMENT_KEYS, "candidate_plant", "lines", "unit_quantity", "total_weight"))
+
+
+def priced_options(star: Star, cfg: CostConfig) -> DataFrame:
+    """Every feasible (plant, origin port, carrier tariff) for every shipment, priced, with ``lines``."""
     ports = star.bridge_plant_port.select(F.col("plant_key").alias("candidate_plant"),
                                           F.col("port_key").alias("candidate_origin_port"))
-    ships = star.shipments.select(*SHIPMENT_KEYS, "unit_quantity", "total_weight")
-    c = cands.join(ports, "candidate_plant").join(ships, SHIPMENT_KEYS)
+    c = candidate_plants(star).join(ports, "candidate_plant")
     f = star.fact_freight_rates.select(
         "freight_rate_id", "carrier_key", F.col("origin_port_key").alias("_o"),
         F.col("destination_port_key").alias("_d"), F.col("service_level").alias("_s"),
@@ -138,134 +140,120 @@ def feasible_options(star: Star, cfg: CostConfig) -> DataFrame:
                     & (c.service_level == f._s)
                     & c.total_weight.between(f.min_weight, f.max_weight))
     plants = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"), "cost_per_unit")
-    priced = priced.join(plants, "candidate_plant")
-    transport = freight_charge(F.col("total_weight"), F.col("rate"), F.col("minimum_cost"),
-                               F.col("carrier_key"), cfg.zero_freight_carrier_key, guarded=True)
-    warehouse = warehouse_charge(F.col("unit_quantity"), F.col("cost_per_unit"))
-    return priced.select(*SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port",
-                         F.col("carrier_key").alias("candidate_carrier"), "freight_rate_id",
-                         "unit_quantity", "total_weight", transport.alias("transport_cost"),
-                         warehouse.alias("warehouse_cost"),
-                         (transport + warehouse).alias("total_cost"))
+    transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_key",
+                                   cfg.zero_freight_carrier_key, guarded=True)
+    return (priced.join(plants, "candidate_plant")
+            .selectExpr(*SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port",
+                        "carrier_key AS candidate_carrier", "freight_rate_id", "lines", "unit_quantity",
+                        "total_weight", f"{transport} AS transport_cost",
+                        "unit_quantity * cost_per_unit AS warehouse_cost")
+            .selectExpr("*", "transport_cost + warehouse_cost AS total_cost"))
+
+
+def feasible_options(star: Star, cfg: CostConfig) -> DataFrame:
+    return priced_options(star, cfg).drop("lines")
 
 
 FEASIBLE_ORDER = [asc("total_cost"), asc("candidate_plant"), asc("candidate_origin_port"),
                   asc("candidate_carrier"), asc("freight_rate_id")]
 
 
+def _cheapest(opts: DataFrame) -> DataFrame:
+    return first_by(opts, SHIPMENT_KEYS, FEASIBLE_ORDER, [c for c in opts.columns if c not in SHIPMENT_KEYS])
+
+
 def feasible_assignment(star: Star, cfg: CostConfig) -> DataFrame:
     """Cheapest feasible option per shipment (capacity not considered)."""
-    opts = feasible_options(star, cfg)
-    payload = [c for c in opts.columns if c not in SHIPMENT_KEYS]
-    return first_by(opts, SHIPMENT_KEYS, FEASIBLE_ORDER, payload)
+    return _cheapest(feasible_options(star, cfg))
 
 
 def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
-    """Shipments per plant before and after the feasible assignment, against capacity."""
-    before = star.shipments.groupBy(F.col("plant_id").alias("plant_key")).agg(
-        F.count(F.lit(1)).alias("historical_shipments"))
-    after = feasible_assignment(star, cfg).groupBy(
-        F.col("candidate_plant").alias("plant_key")).agg(
-        F.count(F.lit(1)).alias("assigned_shipments"))
+    """Order lines per plant before and after the feasible assignment, against capacity: the unit of
+    the capacity questions, so "before" is their ``daily_orders``."""
+    before = star.fact_orders.groupBy(F.col("plant_id").alias("plant_key")).agg(
+        F.count(F.lit(1)).alias("historical_lines"))
+    after = _cheapest(priced_options(star, cfg)).groupBy(
+        F.col("candidate_plant").alias("plant_key")).agg(F.sum("lines").alias("assigned_lines"))
     plants = star.dim_plant.select("plant_key", "plant_code", "daily_capacity")
     j = plants.join(before, "plant_key", "left").join(after, "plant_key", "left")
-    h = F.coalesce("historical_shipments", F.lit(0))
-    a = F.coalesce("assigned_shipments", F.lit(0))
-    return j.select("plant_key", "plant_code", "daily_capacity", h.alias("historical_shipments"),
-                    a.alias("assigned_shipments"),
+    h = F.coalesce("historical_lines", F.lit(0))
+    a = F.coalesce("assigned_lines", F.lit(0))
+    return j.select("plant_key", "plant_code", "daily_capacity", h.alias("historical_lines"),
+                    a.alias("assigned_lines"),
                     _ratio(h, F.col("daily_capacity")).alias("historical_utilization"),
                     _ratio(a, F.col("daily_capacity")).alias("assigned_utilization"),
-                    (a - h).alias("change_in_shipments"))
+                    (a - h).alias("change_in_lines"))
 
 
 # ---------------------------------------------------------------- capacity-limited assignment
 
-def _proposals(options: DataFrame, open_ships: DataFrame, live: DataFrame,
-               priority: str, scope: list[str]) -> tuple[DataFrame, list]:
-    """Each open shipment's cheapest option among plants with capacity left, with the
-    order in which a plant should accept them.
-
-    ``priority="regret"``: a shipment that loses most by missing its best plant goes
-    first - regret is the gap to its best option at any *other* live plant (a full
-    plant removes all of its options at once); no alternative at all ranks first.
-    ``priority="cost"``: cheapest first.
-    """
-    live_opts = (options.join(open_ships, SHIPMENT_KEYS, "left_semi")
-                 .join(live, scope, "left_semi"))
-    extra = [c for c in scope if c != "candidate_plant"]
-    payload = ["candidate_origin_port", "candidate_carrier", "freight_rate_id", "total_cost",
-               *extra]
-    tail = [F.col("total_cost").asc_nulls_last()] + [F.col(k).asc_nulls_last()
-                                                     for k in SHIPMENT_KEYS]
-    if priority == "cost":
-        best = first_by(live_opts, SHIPMENT_KEYS, FEASIBLE_ORDER, ["candidate_plant"] + payload)
-        return best, tail
-    per_plant = first_by(live_opts, SHIPMENT_KEYS + ["candidate_plant"], FEASIBLE_ORDER, payload)
-    order = ", ".join(f"{c} ASC NULLS LAST" for c in
-                      ["total_cost", "candidate_plant", "candidate_origin_port",
-                       "candidate_carrier", "freight_rate_id"])
-    top2 = per_plant.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY {', '.join(SHIPMENT_KEYS)} ORDER BY {order})"
-             " AS _pr").where("_pr <= 2")
+def _proposals(pairs: DataFrame) -> DataFrame:
+    """Each open shipment's best pair, with ``_regret``: what it loses at its next best plant
+    (null: there is none)."""
+    order = "total_cost ASC NULLS LAST, candidate_plant ASC NULLS LAST"
+    top2 = pairs.selectExpr(
+        "*", f"row_number() OVER (PARTITION BY {', '.join(SHIPMENT_KEYS)} ORDER BY {order}) AS _pr").where("_pr <= 2")
     alt = top2.where("_pr = 2").selectExpr(*SHIPMENT_KEYS, "total_cost AS _alt")
-    best = (top2.where("_pr = 1").drop("_pr").join(alt, SHIPMENT_KEYS, "left")
+    return (top2.where("_pr = 1").drop("_pr").join(alt, SHIPMENT_KEYS, "left")
             .withColumn("_regret", F.col("_alt") - F.col("total_cost")).drop("_alt"))
-    return best, [F.col("_regret").desc_nulls_first()] + tail
 
 
-def capacity_assignment(star: Star, cfg: CostConfig, rounds: int = 3,
-                        priority: str = "regret", per_day: bool = False) -> DataFrame:
+def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> DataFrame:
     """Greedy, set-based assignment of shipments to feasible options under plant capacity.
 
-    ``daily_capacity`` is read as the number of shipments a plant may take over the
-    horizon (the same all-dates reading the capacity questions use).  Each round,
-    every open shipment proposes its cheapest option among plants with capacity
-    left; each plant accepts proposals up to that capacity, highest regret first
-    (see ``_proposals``; rank inside the plant computed partition-parallel, so a
-    hot plant is never one task).  Rejected shipments try again next round.  After
-    ``rounds`` the still-open shipments are returned with NULL assignment - no
-    shipment is dropped.  A heuristic: not claimed optimal.
-
-    ``per_day=True`` reads the capacity per plant and order date instead: every
-    (plant, day) pair has the full daily capacity.
-    """
-    from haulage.functions.keys import scalable_rank_within
+    ``daily_capacity`` is the number of order lines a plant may take over the horizon (the reading
+    and the unit of the capacity questions).  In a round every open shipment proposes its cheapest
+    option at a plant with capacity left that has not rejected it; each plant takes proposals in
+    the order of regret (the loss at the next best plant, none first), then cost, as long as their
+    running lines fit into what it has left, and rejects the others for good.  Rounds go on until
+    no shipment has a plant to ask, so a shipment asks each candidate plant once at most.  Shipments
+    that end without a plant are returned with NULLs.  A heuristic: not claimed optimal.
 
-    options = feasible_options(star, cfg).select(
+    ``per_day=True`` gives every (plant, day) the full daily capacity.  A shipment whose lines have
+    several dates has no day of its own and stays unassigned.
+    """
+    options = priced_options(star, cfg).select(
         *SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
-        "freight_rate_id", "total_cost")
-    plant_caps = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
-                                       F.col("daily_capacity").cast("long").alias("_left"))
+        "freight_rate_id", "total_cost", "lines")
+    scope = ["candidate_plant"]
+    capacity = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"),
+                                     F.col("daily_capacity").cast("long").alias("_left"))
+    if per_day:
+        scope.append("date_id")
+        days = (star.fact_orders.groupBy(*SHIPMENT_KEYS).agg(F.min("date_id").alias("date_id"), F.max("date_id").alias("_last"))
+                .where("date_id = _last").drop("_last"))
+        options = options.join(days, SHIPMENT_KEYS)
+    # a shipment's best option at each plant, written once
+    pairs = stored(first_by(options, [*SHIPMENT_KEYS, "candidate_plant"], FEASIBLE_ORDER,
+                            [c for c in options.columns if c not in (*SHIPMENT_KEYS, "candidate_plant")]), "pairs")
     if per_day:
-        scope = ["candidate_plant", "date_id"]
-        order_day = star.fact_orders.groupBy("order_id").agg(F.min("date_id").alias("date_id"))
-        options = options.join(order_day, "order_id")
-        capacity = (options.select("candidate_plant", "date_id").distinct()
-                    .join(plant_caps, "candidate_plant"))
-    else:
-        scope = ["candidate_plant"]
-        capacity = plant_caps
-    open_ships = star.shipments.select(*SHIPMENT_KEYS)
-    accepted = None
-    for r in range(1, rounds + 1):
-        live = capacity.where(F.col("_left") > 0)
-        proposals, order = _proposals(options, open_ships, live, priority, scope)
-        ranked = scalable_rank_within(proposals, "_rank", scope, order)
-        # ``ranked`` is already cut from its lineage (checkpointed inside the rank)
-        decided = ranked.join(capacity, scope).withColumn(
-            "_ok", F.col("_rank") <= F.col("_left"))
-        won = decided.where("_ok").select(*SHIPMENT_KEYS, "candidate_plant",
-                                          "candidate_origin_port", "candidate_carrier",
-                                          "freight_rate_id", "total_cost",
-                                          F.lit(r).alias("assignment_round"))
+        capacity = pairs.select(*scope).distinct().join(capacity, "candidate_plant")
+    capacity = stored(capacity, "capacity")
+    order = [F.col("_regret").desc_nulls_first(), F.col("total_cost").asc_nulls_last(),
+             *[F.col(k).asc_nulls_last() for k in SHIPMENT_KEYS]]
+    accepted, turn = None, 0
+    while True:
+        turn += 1
+        pairs = pairs.join(capacity.where("_left > 0").select(*scope), scope, "left_semi")
+        proposals = _proposals(pairs)
+        if proposals.isEmpty():
+            break
+        decided = stored(scalable_running_sum(proposals, "_run", "lines", scope, order).join(capacity, scope)
+                         .withColumn("_ok", F.col("_run") <= F.col("_left")).drop("_left"), "decided")
+        won = decided.where("_ok").select(*SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
+                                          "freight_rate_id", "total_cost", F.lit(turn).alias("assignment_round"))
         accepted = won if accepted is None else accepted.unionByName(won)
-        taken = decided.where("_ok").groupBy(*scope).agg(F.count(F.lit(1)).alias("_taken"))
-        capacity = (capacity.join(taken, scope, "left")
-                    .select(*scope,
-                            (F.col("_left") - F.coalesce("_taken", F.lit(0))).alias("_left"))
-                    .checkpoint(eager=True))
-        open_ships = open_ships.join(won.select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti")
+        taken = decided.where("_ok").groupBy(*scope).agg(F.sum("lines").alias("_taken"))
+        capacity = stored(capacity.join(taken, scope, "left").select(
+            *scope, (F.col("_left") - F.coalesce("_taken", F.lit(0))).alias("_left")), "capacity")
+        # winners leave with all their pairs, losers with the pair that was rejected
+        pairs = stored(pairs.join(decided.where("_ok").select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti")
+                       .join(decided.where("NOT _ok").select(*SHIPMENT_KEYS, "candidate_plant"),
+                             [*SHIPMENT_KEYS, "candidate_plant"], "left_anti"), "pairs")
     everyone = star.shipments.select(*SHIPMENT_KEYS, "unit_quantity")
+    if accepted is None:
+        accepted = proposals.select(*SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
+                                    "freight_rate_id", "total_cost", F.lit(0).alias("assignment_round"))
     out = everyone.join(accepted, SHIPMENT_KEYS, "left")
     return out.select(*SHIPMENT_KEYS, "unit_quantity",
                       F.col("candidate_plant").alias("assigned_plant"),

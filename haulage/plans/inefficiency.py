@@ -59,15 +59,10 @@ def lower_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
     best = cheapest_option(options, cfg).selectExpr(
         *keys, "carrier_id AS cheaper_carrier", "total_order_cost AS cheapest_possible_cost")
     j = hist.join(best, keys).where("historical_total_cost > cheapest_possible_cost")
-    parts = int(j.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (j.selectExpr("order_id", "origin_port_id", "destination_port_id", "service_level",
                          "historical_carrier", "cheaper_carrier",
                          "CAST(historical_total_cost AS DOUBLE) AS historical_total_cost",
                          "CAST(cheapest_possible_cost AS DOUBLE) AS cheapest_possible_cost",
                          "CAST(historical_total_cost - cheapest_possible_cost AS DOUBLE)"
                          " AS potential_savings")
-            # the sort's range sampler would otherwise re-run the whole option pipeline
-            # (no shuffle below it on the bucketed rollup); a shuffle boundary lets it
-            # sample the materialised result instead
-            .repartition(parts)
             .orderBy(F.expr("potential_savings").desc_nulls_first()))

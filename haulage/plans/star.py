@@ -19,7 +19,6 @@ from haulage.operators import bridges, costmodel, dims, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import app_id, scratch_path
 from haulage.sources.staging import Staging
-from haulage.sources.tables import create_namespace
 from haulage.sources.testdata import ParquetTables, load_staging, order_list
 
 
@@ -37,8 +36,8 @@ class Star:
     bridge_plant_product: DataFrame
     fact_freight_rates: DataFrame
     fact_orders: DataFrame
-    # shipment rollup of fact_orders; bucketed by order_id unless one order would
-    # overload a bucket (see bucket_by_order), so per-order steps need no shuffle
+    # shipment rollup of fact_orders; per-order steps limit each order inside the map
+    # tasks before they shuffle, so a hot order is never one task's rows
     shipments: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
@@ -55,15 +54,9 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def _write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` as a table bucketed and sorted by ``key`` (external, at ``path``)."""
-    spark = df.sparkSession
-    create_namespace(spark, NAMESPACE)
-    name = f"{NAMESPACE}." + path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + "_" + \
-        path.rstrip("/").rsplit("/", 1)[-1]
-    (df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-       .option("path", path).saveAsTable(name))
-    return spark.table(name)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a fresh folder of the session's shared folder and read back."""
+    return _write(df, scratch_path(df.sparkSession, label))
 
 
 def _write_all(tables: dict, root: str, prefix: str = "") -> dict[str, DataFrame]:
@@ -118,57 +111,10 @@ def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
         "fact_orders": lambda: facts.fact_orders(c, d["dim_date"], d["dim_plant"], d["dim_product"],
                                                  d["dim_customer"], d["dim_carrier"], d["dim_port"]),
     }, root)
-    spark = c.order_list.sparkSession
-    buckets = bucket_count(rest["fact_orders"])
-    rollup = costmodel.shipments(rest["fact_orders"])
-    if bucket_by_order(rest["fact_orders"], buckets):
-        ships = _write_bucketed(rollup, f"{root}/shipments", "order_id", buckets)
-    else:
-        ships = _write(rollup, f"{root}/shipments")
+    ships = _write(costmodel.shipments(rest["fact_orders"]), f"{root}/shipments")
     return Star(clean=c, **d, **rest, shipments=ships)
 
 
-# a bucket may hold at most this many times its average share of lines
-BUCKET_SKEW_LIMIT = 2.0
-# order lines per bucket aimed at when sizing the rollup table
-LINES_PER_BUCKET = 2_000_000
-
-
-def bucket_count(fact_orders: DataFrame) -> int:
-    """Buckets for the rollup: about ``LINES_PER_BUCKET`` lines each, at least one per
-    core, at most ``spark.sql.shuffle.partitions``."""
-    spark = fact_orders.sparkSession
-    ceiling = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        floor = spark.sparkContext.defaultParallelism
-    except Exception:
-        floor = 1
-    lines = fact_orders.count()
-    return max(1, min(ceiling, max(floor, -(-lines // LINES_PER_BUCKET))))
-
-
-def bucket_by_order(fact_orders: DataFrame, buckets: int) -> bool:
-    """Bucket the rollup by order only when no order would overload its bucket.
-
-    A bucket is read by one task and AQE cannot split it, so a single order
-    holding a large share of the lines would pin that share to one task.  One
-    aggregate measures the largest order; above the limit the rollup is written
-    unbucketed and the per-order steps shuffle instead, where the partial group
-    limit and AQE skew handling split the hot order.  ``haulage.bucketing`` =
-    ``on`` / ``off`` overrides the measurement.
-    """
-    mode = fact_orders.sparkSession.conf.get("haulage.bucketing", "auto")
-    if mode in ("on", "off"):
-        return mode == "on"
-    row = (fact_orders.groupBy("order_id").count()
-           .selectExpr("max(count) AS hottest", "sum(count) AS total").first())
-    if row is None or not row["total"]:
-        return True
-    return row["hottest"] * buckets <= BUCKET_SKEW_LIMIT * row["total"]
-
-
-NAMESPACE = "modeling"
-
 _LOCK = threading.Lock()
 _STARS: dict[tuple, Star] = {}
 _CLEAN: dict[tuple, Staging] = {}

@@ -33,7 +33,8 @@ CAPACITY_ORPHAN_NATION = 24            # nation 24's plant has no capacity row
 
 
 def _pad2(c):
-    return F.lpad(c.cast("string"), 2, "0")
+    """Two digits at least; larger numbers are not cut."""
+    return F.concat(F.when(c < 10, F.lit("0")).otherwise(F.lit("")), c.cast("string"))
 
 
 def plant_code(idx0):
@@ -56,30 +57,14 @@ class ParquetTables:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    def __call__(self, name: str, *cols: str, spread: bool = False) -> DataFrame:
+    def __call__(self, name: str, *cols: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        df = df.select(*cols) if cols else df
-        return spread_scan(df) if spread else df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that arrives in fewer splits than the session has cores.
-
-    A file written as one row group is read by one task; everything pipelined
-    after it (joins, expressions, the write) would then run on one core.  On a
-    cluster the input has many splits and this is a no-op.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no driver-side SparkContext: leave the scan as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
+        return df.select(*cols) if cols else df
 
 
 def order_list(t: ParquetTables) -> DataFrame:
     l = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-          "l_returnflag", "l_shipdate", spread=True)
+          "l_returnflag", "l_shipdate")
     o = t("orders", "o_orderkey", "o_custkey", "o_orderdate")
     c = t("customer", "c_custkey", "c_nationkey")
     s = t("supplier", "s_suppkey", "s_nationkey")
@@ -111,8 +96,9 @@ def order_list(t: ParquetTables) -> DataFrame:
 def freight_rates(t: ParquetTables) -> DataFrame:
     """Tariff catalogue: lanes (origin nation x destination nation) x carrier x service x band."""
     nation = t("nation", "n_nationkey")
+    last = nation.agg(F.coalesce(F.max("n_nationkey"), F.lit(0)).alias("n")).first()["n"]
     lanes = (nation.select(F.col("n_nationkey").alias("o"))
-             .withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(NATION_COUNT - 1))))
+             .withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(last))))
              .join(nation.select(F.col("n_nationkey").alias("d")), "d", "left_semi"))
     grid = (lanes
             .withColumn("c", F.explode(F.array(*[F.lit(c) for c in CARRIERS])))

@@ -1,54 +1,97 @@
-"""Capacity-limited assignment: iterative, so checked by invariants (no SQL oracle)."""
+"""Feasible re-sourcing and the capacity-limited assignment: invariants and hand-made stars
+(test_oracle holds the queries against SQL)."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from haulage.config import CostConfig
+from haulage.operators.costmodel import SHIPMENT_KEYS, shipments
+from haulage.plans import extensions
+from haulage.plans.star import star_for
 
-KEYS = ["order_id", "plant_id", "carrier_id", "origin_port_id", "destination_port_id",
-        "service_level"]
+CFG = CostConfig(dedup_product=True)
 
 
-def test_capacity_assignment_invariants(spark):
-    import __spark_entry__ as E
-    from haulage.plans.star import star_for
-    q = E.queries()
-    got = q["capacity_assignment"](spark, SF_SMALL).cache()
+@pytest.mark.parametrize("per_day", [False, True])
+def test_assignment_invariants(spark, per_day):
     star = star_for(spark, SF_SMALL, dedup_product=True)
+    got = extensions.capacity_assignment(star, CFG, per_day=per_day).cache()
     # whole: every shipment exactly once, assigned or not
-    assert got.count() == star.shipments.count()
-    assert got.select(*KEYS).distinct().count() == got.count()
-    # no plant above its capacity
-    load = got.where(F.col("assigned_plant").isNotNull()).groupBy("assigned_plant").count()
-    over = load.join(star.dim_plant, load.assigned_plant == star.dim_plant.plant_key).where(
-        F.col("count") > F.col("daily_capacity"))
-    assert over.count() == 0
+    assert got.count() == star.shipments.count() == got.select(*SHIPMENT_KEYS).distinct().count()
+    chosen = got.where("assigned_plant IS NOT NULL")
+    # no plant (or plant-day) above its capacity in order lines
+    lines = star.fact_orders.groupBy(*SHIPMENT_KEYS).agg(F.count(F.lit(1)).alias("lines"), F.min("date_id").alias("date_id"))
+    scope = ["assigned_plant", "date_id"] if per_day else ["assigned_plant"]
+    load = chosen.join(lines, SHIPMENT_KEYS).groupBy(*scope).agg(F.sum("lines").alias("lines"))
+    assert load.join(star.dim_plant, F.col("assigned_plant") == F.col("plant_key")).where("lines > daily_capacity").count() == 0
     # every assignment is one of the feasible options, at its price
-    opts = q["feasible_options"](spark, SF_SMALL).select(
-        *KEYS, F.col("candidate_plant").alias("assigned_plant"),
-        F.col("candidate_origin_port").alias("assigned_origin_port"),
-        F.col("candidate_carrier").alias("assigned_carrier"), "freight_rate_id", "total_cost")
-    chosen = got.where(F.col("assigned_plant").isNotNull()).drop("unit_quantity",
-                                                                  "assignment_round")
-    assert chosen.join(opts, chosen.columns, "left_anti").count() == 0
+    opts = extensions.feasible_options(star, CFG).select(
+        *SHIPMENT_KEYS, F.col("candidate_plant").alias("assigned_plant"), F.col("candidate_origin_port").alias("assigned_origin_port"),
+        F.col("candidate_carrier").alias("assigned_carrier"), "freight_rate_id", F.col("total_cost").cast("double").alias("total_cost"))
+    assert chosen.drop("unit_quantity", "assignment_round").join(opts, opts.columns, "left_anti").count() == 0
     got.unpersist()
 
 
-def test_capacity_assignment_by_day_invariants(spark):
-    import __spark_entry__ as E
-    from haulage.plans.star import star_for
-    got = E.queries()["capacity_assignment_by_day"](spark, SF_SMALL).cache()
+def test_fixture_has_two_candidate_plants_at_most(spark):
+    """The oracle writes three rounds out; that holds as long as no shipment can ask a third plant."""
     star = star_for(spark, SF_SMALL, dedup_product=True)
-    assert got.count() == star.shipments.count()
-    assert got.select(*KEYS).distinct().count() == got.count()
-    day = star.fact_orders.groupBy("order_id").agg(F.min("date_id").alias("date_id"))
-    load = (got.where(F.col("assigned_plant").isNotNull()).join(day, "order_id")
-            .groupBy("assigned_plant", "date_id").count())
-    over = load.join(star.dim_plant, load.assigned_plant == star.dim_plant.plant_key).where(
-        F.col("count") > F.col("daily_capacity"))
-    assert over.count() == 0
-    # a per-day capacity is never tighter than the all-dates one here
-    placed_day = got.where(F.col("assigned_plant").isNotNull()).count()
-    placed_all = E.queries()["capacity_assignment"](spark, SF_SMALL).where(
-        F.col("assigned_plant").isNotNull()).count()
-    assert placed_day >= placed_all
-    got.unpersist()
+    assert extensions.candidate_plants(star).groupBy(*SHIPMENT_KEYS).count().agg(F.max("count")).first()[0] <= 2
+
+
+def small_star(spark, plants, orders, vmi=(), capacity=1):
+    """A star of one product stocked by all plants: orders are (order_id, customer, date)."""
+    star = star_for(spark, SF_SMALL, dedup_product=True)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    facts = frame([(i, o, d, 1, 1, c, 1, 1, 9, 1, "S", 1, 0, 0) for i, (o, c, d) in enumerate(orders)],
+                  "order_key bigint, order_id bigint, date_id bigint, plant_id bigint, product_id bigint, customer_id bigint, "
+                  "carrier_id bigint, origin_port_id bigint, destination_port_id bigint, transport_mode int, service_level string, "
+                  "unit_quantity int, ship_ahead_days int, ship_late_days int").withColumn("weight", F.lit(1).cast("decimal(12,4)"))
+    tariffs = frame([(1, 2, 1, 9, "S")], "freight_rate_id bigint, carrier_key bigint, origin_port_key bigint, "
+                    "destination_port_key bigint, service_level string").withColumns({
+                        "transport_mode": F.lit("AIR"), "min_weight": F.lit(0).cast("decimal(12,4)"), "max_weight": F.lit(100).cast("decimal(12,4)"),
+                        "rate": F.lit(1).cast("decimal(12,4)"), "minimum_cost": F.lit(1).cast("decimal(12,4)"),
+                        "transport_days": F.lit(1), "carrier_type": F.lit("T")})
+    return replace(
+        star, fact_orders=facts, shipments=shipments(facts), fact_freight_rates=tariffs,
+        dim_plant=frame([(p, f"PLANT{p:02d}", capacity) for p in range(1, plants + 1)], "plant_key bigint, plant_code string, daily_capacity int")
+        .withColumn("cost_per_unit", F.col("plant_key").cast("decimal(12,4)")),
+        bridge_plant_product=frame([(p, 1) for p in range(1, plants + 1)], "plant_key bigint, product_key bigint"),
+        bridge_plant_port=frame([(p, 1) for p in range(1, plants + 1)], "plant_key bigint, port_key bigint"),
+        bridge_plant_customer=frame(list(vmi), "plant_key bigint, customer_key bigint"))
+
+
+def test_rounds_go_on_until_every_plant_was_asked(spark):
+    star = small_star(spark, 6, [(o, 1, 1) for o in range(6)])
+    got = extensions.capacity_assignment(star, CFG).collect()
+    assert sorted(r["assigned_plant"] for r in got) == [1, 2, 3, 4, 5, 6]
+    seven = extensions.capacity_assignment(small_star(spark, 6, [(o, 1, 1) for o in range(7)]), CFG).collect()
+    assert sum(r["assigned_plant"] is None for r in seven) == 1 and len(seven) == 7
+
+
+def test_capacity_is_charged_in_order_lines(spark):
+    star = small_star(spark, 1, [(1, 1, 1)] * 3 + [(2, 1, 1)] * 2, capacity=4)
+    got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG).collect()}
+    assert sorted(v or 0 for v in got.values()) == [0, 1]
+
+
+def test_days_are_apart_and_shipments_of_several_days_stay_open(spark):
+    star = small_star(spark, 1, [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1, 2)])
+    got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG, per_day=True).collect()}
+    assert got == {1: 1, 2: 1, 3: None}
+
+
+def test_vmi_plant_must_list_every_customer_of_a_shipment(spark):
+    star = small_star(spark, 3, [(1, 5, 1), (1, 9, 1), (2, 9, 1)], vmi=[(2, 9), (3, 5), (3, 9)])
+    got = {(r["order_id"], r["candidate_plant"]) for r in extensions.candidate_plants(star).collect()}
+    assert got == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)}
+
+
+def test_utilization_before_is_that_of_the_capacity_question(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    before = {r["plant_code"]: r["daily_orders"] for r in q["capacity_utilization_dedup"](spark, SF_SMALL).collect()}
+    shift = {r["plant_code"]: r["historical_lines"] for r in q["utilization_shift"](spark, SF_SMALL).collect()}
+    assert {k: v for k, v in shift.items() if v} == before

@@ -67,14 +67,14 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_historical_path_has_no_hash_shuffle(spark):
+def test_historical_path_limits_orders_before_the_shuffle(spark):
     import __spark_entry__ as E
     df = E.queries()["total_historical_cost"](spark, SF_SMALL)
     df.collect()
     plan = _plan(df)
-    assert "hashpartitioning" not in plan          # bucketed rollup: per-order pick in place
     assert "BroadcastHashJoin" in plan             # tariffs and plants by broadcast
-    assert "WindowGroupLimit" in plan              # top-1 limited before any sort of all rows
+    # top-1 inside the map tasks, then once more after the shuffle
+    assert "WindowGroupLimit" in plan and "Partial" in plan and "Final" in plan
 
 
 def test_parquet_scan_prunes_columns(spark):
@@ -84,37 +84,6 @@ def test_parquet_scan_prunes_columns(spark):
     assert "ReadSchema: struct<plant_id:bigint>" in plan
 
 
-def test_unbucketed_rollup_gives_the_same_answers(spark):
-    """The skew fallback (rollup written without buckets) must not change any result."""
-    import __spark_entry__ as E
-    from haulage.plans import star as S
-    q = E.queries()
-    names = ["total_historical_cost", "cost_reduction", "lower_cost_routes", "route_rebalance"]
-    before = {n: sorted(map(tuple, q[n](spark, SF_SMALL).collect())) for n in names}
-    spark.conf.set("haulage.bucketing", "off")
-    saved = dict(S._STARS)
-    S._STARS.clear()
-    try:
-        star = S.star_for(spark, SF_SMALL)
-        assert "Bucketed: true" not in star.shipments._jdf.queryExecution().executedPlan().toString()
-        plan = _plan(q["total_historical_cost"](spark, SF_SMALL))
-        assert "WindowGroupLimit" in plan
-        after = {n: sorted(map(tuple, q[n](spark, SF_SMALL).collect())) for n in names}
-    finally:
-        spark.conf.unset("haulage.bucketing")
-        S._STARS.clear()
-        S._STARS.update(saved)
-    assert before == after
-
-
-def test_bucketing_decision_measures_the_hottest_order(spark):
-    from haulage.plans.star import bucket_by_order
-    even = spark.range(0, 8000).selectExpr("id % 4000 AS order_id")
-    hot = spark.range(0, 8000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS order_id")
-    assert bucket_by_order(even, 8) is True
-    assert bucket_by_order(hot, 8) is False     # one order holds a third of the lines
-
-
 def test_keys_do_not_depend_on_input_row_order(spark):
     """Shuffling the clean order list and tariffs leaves every key and answer unchanged."""
     from pyspark.sql import functions as F
@@ -150,10 +119,16 @@ def test_rank_within_matches_window_rank_with_a_hot_group(spark):
     assert ref.exceptAll(got.select(ref.columns)).count() == 0
 
 
-def test_spread_scan_only_spreads_under_split_input(spark):
-    from haulage.sources.testdata import spread_scan
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 100, numPartitions=1)
-    assert spread_scan(one).rdd.getNumPartitions() == cores
-    many = spark.range(0, 100, numPartitions=cores)
-    assert spread_scan(many).rdd.getNumPartitions() == cores
+def test_running_sum_matches_a_window_with_a_hot_group(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+    from haulage.functions.keys import scalable_running_sum
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 17).alias("g"),
+        (F.col("id") * 13 % 997).alias("v"), F.col("id"))
+    order = [F.col("v").asc_nulls_last(), F.col("id").asc_nulls_last()]
+    got = scalable_running_sum(df, "r", "v", ["g"], order, num_partitions=7)
+    ref = df.withColumn("r", F.sum("v").over(Window.partitionBy("g").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0)))
+    assert got.select(ref.columns).exceptAll(ref).count() == 0
+    assert ref.exceptAll(got.select(ref.columns)).count() == 0
