@@ -3,10 +3,13 @@
     python -m haulage list
     python -m haulage run QUERY --parquet-dir DIR  [--out PATH] [--format parquet|csv]
     python -m haulage run QUERY --csv-dir DIR      [--out PATH] [--format parquet|csv]
+    python -m haulage build --parquet-dir DIR | --csv-dir DIR  --location PATH [--database NAME]
+    python -m haulage run QUERY --saved PATH       [--out PATH] [--format parquet|csv]
 
 ``--parquet-dir`` takes the TPC-H-shaped test tables (mapped by the fixture
 adapter); ``--csv-dir`` takes the seven staging tables as CSV files (see
-``sources/csv.py`` for the file names).  Without ``--out`` the first rows are
+``sources/csv.py`` for the file names).  ``build`` saves the model's tables, and
+``--saved`` answers a question from them without building anything.  Without ``--out`` the first rows are
 shown.  ``spark.checkpoint.dir`` should name a shared folder on a cluster.
 """
 
@@ -22,27 +25,32 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="haulage")
     sub = ap.add_subparsers(dest="cmd", required=True)
     sub.add_parser("list")
-    run = sub.add_parser("run")
+    run, build = sub.add_parser("run"), sub.add_parser("build")
     run.add_argument("query")
-    src = run.add_mutually_exclusive_group(required=True)
-    src.add_argument("--parquet-dir")
-    src.add_argument("--csv-dir")
+    for command in (run, build):
+        src = command.add_mutually_exclusive_group(required=True)
+        src.add_argument("--parquet-dir")
+        src.add_argument("--csv-dir")
+        command.add_argument("--master", default=None)
+        if command is run:
+            src.add_argument("--saved")
+    build.add_argument("--location", required=True)
+    build.add_argument("--database", default="modeling")
     run.add_argument("--out")
     run.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-    run.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
     queries = all_queries()
     if args.cmd == "list":
         print("\n".join(sorted(queries)))
         return 0
-    if args.query not in queries:
+    if args.cmd == "run" and args.query not in queries:
         print(f"unknown query {args.query!r}; see `python -m haulage list`", file=sys.stderr)
         return 2
 
     from pyspark.sql import SparkSession
 
-    from haulage.plans.star import register_staging
+    from haulage.plans.star import open_star, register_staging, save_star, star_for
     from haulage.session import DEFAULT_CONF
     from haulage.sources.csv import read_csv_folder
 
@@ -56,6 +64,14 @@ def main(argv: list[str] | None = None) -> int:
     source = args.parquet_dir
     if args.csv_dir:
         source = register_staging(spark, args.csv_dir, read_csv_folder(spark, args.csv_dir))
+    if args.cmd == "build":
+        save_star(star_for(spark, source), args.database, args.location)
+        print(args.location)
+        if owned:
+            spark.stop()
+        return 0
+    if args.saved:
+        source = open_star(spark, location=args.saved)
     df = queries[args.query](spark, source)
     if args.out:
         df.write.mode("overwrite").option("header", True).format(args.format).save(args.out)

@@ -687,6 +687,12 @@ FROM ship s LEFT JOIN won w ON {' AND '.join(f'w.{k} = s.{k}' for k in SHIP_KEYS
 def extension_statements() -> dict[str, str]:
     return {
         "stg_csv": statement(TABLE_SELECTS["clean_order_list"]),
+        "clean_untidy_csv": statement(TABLE_SELECTS["clean_vmi_customers"]),
+        "model_tables": statement("\nUNION ALL\n".join(
+            f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {cte}" for name, cte in (
+                *((t, t) for t in ("dim_plant", "dim_port", "dim_carrier", "dim_customer", "dim_product", "dim_date",
+                                   "bridge_plant_customer", "bridge_plant_port", "bridge_plant_product",
+                                   "fact_freight_rates", "fact_orders")), ("shipments", "ship")))),
         "profile_tables": statement(profile_tables()),
         "dq_orphans": statement(DQ_ORPHANS),
         "dq_duplicates": statement(DQ_DUPLICATES),

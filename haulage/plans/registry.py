@@ -7,9 +7,10 @@ clean layer and star schema of that input (built once per application).
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.config import CostConfig
@@ -19,7 +20,7 @@ from haulage.plans import evaluation, extensions, inefficiency, optimization
 from haulage.operators.clean import clean_table
 from haulage.plans.star import Star, clean_for, star_for
 from haulage.session import scratch_path
-from haulage.sources.csv import read_staging_csv, write_staging_csv
+from haulage.sources.csv import read_staging_csv, write_staging_csv, write_untidy_vmi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +136,20 @@ def _csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decimals_as_double(clean_table("order_list", read_staging_csv(spark, path, "order_list")))
 
 
+def _untidy_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The VMI list written as untidy CSV files (see ``write_untidy_vmi``), ingested and cleaned."""
+    path = scratch_path(spark, "csv-untidy")
+    write_untidy_vmi(clean_for(spark, sf_dir).vmi_customers, path)
+    return clean_table("vmi_customers", read_staging_csv(spark, path, "vmi_customers"))
+
+
+def _model_tables(star: Star, cfg: CostConfig) -> DataFrame:
+    """Name and row count of every table of the model."""
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
+              for name, df in star.tables().items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile_tables(clean_for(spark, sf_dir))
 
@@ -150,6 +165,8 @@ def extension_queries() -> dict[str, Query]:
     dedup = CostConfig(dedup_product=True)
     q: dict[str, Query] = {
         "stg_csv": _csv_round_trip,
+        "clean_untidy_csv": _untidy_csv,
+        "model_tables": on_star(_model_tables),
         "profile_tables": _profile,
         "dq_orphans": partial(_dq, "orphans"),
         "dq_duplicates": partial(_dq, "duplicates"),

@@ -19,12 +19,13 @@ from haulage.operators import bridges, costmodel, dims, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import app_id, scratch_path
 from haulage.sources.staging import Staging
+from haulage.sources.tables import create_namespace
 from haulage.sources.testdata import ParquetTables, load_staging, order_list
 
 
 @dataclass(frozen=True)
 class Star:
-    clean: Staging
+    clean: Staging | None  # None if the star was opened from its saved tables
     dim_plant: DataFrame
     dim_port: DataFrame
     dim_carrier: DataFrame
@@ -142,11 +143,41 @@ def clean_for(spark: SparkSession, sf_dir: str) -> Staging:
 
 
 def star_for(spark: SparkSession, sf_dir: str, dedup_product: bool = False) -> Star:
-    """The materialised star of ``sf_dir``, built once per application."""
+    """The materialised star of ``sf_dir``, built once per application, or a saved one that was
+    opened under that name (see :func:`open_star`)."""
     key = (app_id(spark), sf_dir.rstrip("/"), dedup_product)
+    if key in _STARS:
+        return _STARS[key]
     c = clean_for(spark, sf_dir)
     with _LOCK:
         if key not in _STARS:
             root = scratch_path(spark, "star")
             _STARS[key] = build_star(c, root, dedup_product=dedup_product)
         return _STARS[key]
+
+
+def save_star(star: Star, database: str = "modeling", location: str | None = None) -> None:
+    """The model as lasting tables ``database.<table>``; tables of that name are replaced.
+
+    ``location`` is the database's folder (default: the warehouse).
+    """
+    create_namespace(star.fact_orders.sparkSession, database, location)
+    for name, table in star.tables().items():
+        table.write.mode("overwrite").saveAsTable(f"`{database}`.{name}")
+
+
+def open_star(spark: SparkSession, database: str = "modeling", location: str | None = None,
+              dedup_product: bool = False) -> str:
+    """Opens a saved model and returns the name under which the questions find it as their input.
+
+    By the catalog's tables, or by the database's folder where another application's catalog does
+    not know them.  Nothing is built or written; the clean layer is not part of a saved model.
+    """
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{location.rstrip('/')}/{name}") if location else spark.table(f"`{database}`.{name}")
+
+    name = f"saved:{location or database}"
+    with _LOCK:
+        _STARS[(app_id(spark), name, dedup_product)] = Star(
+            clean=None, **{f.name: table(f.name) for f in fields(Star) if f.name != "clean"})
+    return name

@@ -17,8 +17,9 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return df.sparkSession.read.parquet(path)
 
 
-def create_namespace(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+def create_namespace(spark: SparkSession, name: str, location: str | None = None) -> None:
+    at = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{at}")
 
 
 def write_optimization_dataset(star, path: str, cfg: CostConfig = CostConfig()) -> DataFrame:

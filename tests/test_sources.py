@@ -117,3 +117,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(back) == 1 and float(back[0]["historical_total_cost"]) > 0
     assert main(["run", "no_such_query", "--parquet-dir", SF_SMALL]) == 2
     assert not spark.sparkContext._jsc.sc().isStopped()
+
+
+def test_white_space_and_empty_codes(spark):
+    from haulage.operators.clean import clean_table
+    raw = spark.createDataFrame([(" ", " "), ("\tplant01", "port01\u000b"), ("PLANT02", ""), (None, None)], "plant_code string, port string")
+    assert sorted(map(tuple, clean_table("plant_port", raw).collect()), key=repr) == [("PLANT01", "PORT01"), ("PLANT02", None)]
+
+
+def test_untidy_files_are_untidy(spark, tmp_path):
+    from haulage.sources.csv import write_untidy_vmi
+    vmi = spark.createDataFrame([(f"PLANT{i:02d}", f"CUST_{i}") for i in range(40)], "plant_code string, customer_id string")
+    write_untidy_vmi(vmi, str(tmp_path / "vmi"), files=2)
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "vmi").glob("part-*")))
+    assert raw.count(b"\xef\xbb\xbfPlant Code,Customers\r\n") == 2 and raw.count(b"\n") == raw.count(b"\r\n")
+    assert b"plant0" in raw and b"\tplant" in raw and b"  PLANT" in raw and b"\n,\r\n" in raw
+
+
+def test_saved_star_answers_in_a_new_session(spark, tmp_path):
+    from haulage.plans import star as S
+    from haulage.plans.registry import all_queries
+    star = S.star_for(spark, "/root/testdata/sf0.001")
+    S.save_star(star, "modeling_test", str(tmp_path / "modeling"))
+    before = set(tmp_path.rglob("*"))
+    other = spark.newSession()
+    q = all_queries()
+    # by the catalog, and as an application without this catalog would
+    for name in (S.open_star(other, "modeling_test"), S.open_star(other, location=str(tmp_path / "modeling"))):
+        for key in ("capacity_fit", "total_historical_cost", "model_tables"):
+            assert sorted(map(tuple, q[key](other, name).collect())) == sorted(map(tuple, q[key](spark, "/root/testdata/sf0.001").collect()))
+    assert set(tmp_path.rglob("*")) == before
+    spark.sql("DROP DATABASE modeling_test CASCADE")
