@@ -1,15 +1,9 @@
-"""Dense surrogate keys 1..n in a total order.
+"""Dense surrogate keys 1..n, ranks and running sums in a total order, partition-parallel.
 
-Two strategies:
-
-* ``bounded_key``  - a single global ``row_number`` window.  One task sees every
-  row, so it is reserved for dimensions whose domain is small by nature
-  (plants, ports, carriers, calendar dates).
-* ``scalable_key`` - range-partition on the full sort key (a single hot value of
-  the leading column is still split on the trailing columns), sort inside each
-  partition, cut the lineage with ``checkpoint()`` so every later pass sees the
-  same partitions, then add a per-partition row offset.  The offset table has
-  one row per partition, so broadcasting it is bounded.
+Rows are range-partitioned on the full sort key (a single hot value of the leading column is
+still split on the trailing columns), sorted inside each partition and cut from their lineage
+with ``checkpoint()``, so that every later pass sees the same partitions; then each partition's
+offset is added.  The offset table has one row per partition, so broadcasting it is bounded.
 """
 
 from __future__ import annotations
@@ -24,11 +18,6 @@ def nulls_last(*cols: str | Column) -> list[Column]:
     return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in cols]
 
 
-def bounded_key(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
-    w = Window.orderBy(*order)
-    return df.select(F.row_number().over(w).cast("long").alias(name), "*")
-
-
 def scalable_key(df: DataFrame, name: str, order: list[Column],
                  num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession

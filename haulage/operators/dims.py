@@ -1,9 +1,8 @@
 """The six dimensions of the star schema.
 
 Keys are dense 1..n in the natural code order (ascending, NULLs last).
-Plants, ports, carriers and dates are small by nature and numbered with one
-window; customers and products can grow with the business and use the
-partition-parallel ``scalable_key``.
+All are numbered by the partition-parallel ``scalable_key``: none is small for
+certain (a feed with dirty codes grows any of them).
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulage.functions.keys import bounded_key, nulls_last, scalable_key
+from haulage.functions.keys import nulls_last, scalable_key
 from haulage.sources.staging import Staging
 
 
@@ -20,7 +19,7 @@ def dim_plant(c: Staging) -> DataFrame:
     cost = c.wh_costs
     j = cap.join(cost, cap.plant_id == cost.plant_code, "inner").select(
         cap.plant_id.alias("plant_code"), cap.daily_capacity, cost.cost_per_unit)
-    return bounded_key(j, "plant_key",
+    return scalable_key(j, "plant_key",
                        nulls_last("plant_code", "daily_capacity", "cost_per_unit"))
 
 
@@ -32,7 +31,7 @@ def dim_port(c: Staging) -> DataFrame:
              .union(fr.select(F.col("origin_port_code").alias("port")))
              .union(fr.select(F.col("destination_port_code").alias("port")))
              .distinct())
-    return bounded_key(ports, "port_key", nulls_last("port"))
+    return scalable_key(ports, "port_key", nulls_last("port"))
 
 
 def dim_carrier(c: Staging) -> DataFrame:
@@ -46,7 +45,7 @@ def dim_carrier(c: Staging) -> DataFrame:
                                             F.lit(True).alias("is_active"))
     j = carriers.join(tariffed, "carrier_id", "left").select(
         "carrier_id", "carrier_type", F.coalesce("is_active", F.lit(False)).alias("is_active"))
-    return bounded_key(j, "carrier_key", nulls_last("carrier_id"))
+    return scalable_key(j, "carrier_key", nulls_last("carrier_id"))
 
 
 def dim_customer(c: Staging) -> DataFrame:
@@ -79,7 +78,7 @@ def month_name(d):
 def dim_date(c: Staging) -> DataFrame:
     dates = c.order_list.select(F.col("order_date").alias("full_date")).distinct()
     d = F.col("full_date")
-    keyed = bounded_key(dates, "date_key", nulls_last("full_date"))
+    keyed = scalable_key(dates, "date_key", nulls_last("full_date"))
     return keyed.select(
         "date_key", "full_date",
         F.dayofmonth(d).cast("int").alias("day"),

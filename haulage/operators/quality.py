@@ -18,32 +18,19 @@ from haulage.sources.staging import Staging
 def profile_table(name: str, df: DataFrame) -> DataFrame:
     """One row per column: rows, non-null values, distinct values, min, max (as text).
 
-    Plain counts and extremes come from one aggregate pass.  Distinct counts come
-    from (column, value) pairs: an explode, a distinct with map-side partials and a
-    count per column, which scales with the data instead of expanding one
-    aggregate per distinct column.
+    Each column is read alone and counted by value, so that map-side partials shrink it to
+    its distinct values before it is shuffled; only a near-unique column is shuffled in full.
     """
-    cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(F.col(c)).alias(f"_nn{i}"),
-                 F.min(F.col(c)).cast("string").alias(f"_mn{i}"),
-                 F.max(F.col(c)).cast("string").alias(f"_mx{i}")]
-    per_col = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"_nn{i}").alias("non_null"),
-                 F.col(f"_mn{i}").alias("min_value"), F.col(f"_mx{i}").alias("max_value"))
-        for i, c in enumerate(cols)]))
-    basic = (df.agg(*aggs).select(F.col("_rows").alias("row_count"), per_col.alias("p"))
-             .select("p.column_name", "row_count", "p.non_null", "p.min_value", "p.max_value"))
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-        for c in cols])).alias("x")).select("x.*").where(F.col("value").isNotNull())
-    distinct = pairs.distinct().groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_values"))
-    return (basic.join(distinct, "column_name", "left")
-            .select(F.lit(name).alias("table_name"), "column_name", "row_count", "non_null",
-                    F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
-                    "min_value", "max_value"))
+    def column(c: str) -> DataFrame:
+        by_value = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        present = F.when(F.col("value").isNotNull(), F.col("n"))
+        return by_value.agg(
+            F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(present), F.lit(0)).alias("non_null"),
+            F.count("value").alias("distinct_values"), F.min("value").cast("string").alias("min_value"),
+            F.max("value").cast("string").alias("max_value"))
+
+    return reduce(DataFrame.unionByName, [column(c) for c in df.columns])
 
 
 def profile_tables(c: Staging) -> DataFrame:

@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +32,28 @@ def _ratio(num, den):
     return num.cast("double") / F.nullif(den, F.lit(0)).cast("double")
 
 
+USAGE_KINDS = {"plant": ["plant_id"], "route": ["origin_port_id", "destination_port_id"], "carrier": ["carrier_id"]}
+
+
 def usage_frequency(star: Star, cfg: CostConfig) -> DataFrame:
-    """Shipments, orders and units per plant, per route and per carrier, ranked within kind."""
-    s = star.shipments
-    g = (s.groupingSets([["plant_id"], ["origin_port_id", "destination_port_id"], ["carrier_id"]],
-                        "plant_id", "origin_port_id", "destination_port_id", "carrier_id")
-         .agg(F.count(F.lit(1)).alias("shipments"),
-              F.count_distinct("order_id").alias("orders"),
-              F.sum("unit_quantity").alias("units"),
-              F.grouping_id().alias("_g")))
-    kind = (F.when(F.col("_g") == 7, F.lit("plant"))
-            .when(F.col("_g") == 9, F.lit("route"))
-            .otherwise(F.lit("carrier")))
-    g = g.withColumn("usage_kind", kind)
+    """Shipments, orders and units per plant, per route and per carrier, ranked within kind.
+
+    Shipments are first summed up per order and key, so orders need no distinct count and no
+    row is copied per kind.
+    """
+    def kind(name: str, keys: list[str]) -> DataFrame:
+        per_order = star.shipments.groupBy(*keys, "order_id").agg(
+            F.count(F.lit(1)).alias("shipments"), F.sum("unit_quantity").alias("units"))
+        found = per_order.groupBy(*keys).agg(F.sum("shipments").alias("shipments"), F.count(F.lit(1)).alias("orders"),
+                                             F.sum("units").alias("units"))
+        every = [k for ks in USAGE_KINDS.values() for k in ks]
+        return found.select(F.lit(name).alias("usage_kind"),
+                            *[(F.col(k) if k in keys else F.lit(None).cast("long")).alias(k) for k in every],
+                            "shipments", "orders", "units")
+
+    g = reduce(DataFrame.unionByName, [kind(n, k) for n, k in USAGE_KINDS.items()])
     w = Window.partitionBy("usage_kind").orderBy(F.col("shipments").desc())
-    return g.select("usage_kind", "plant_id", "origin_port_id", "destination_port_id",
-                    "carrier_id", "shipments", "orders", "units",
-                    F.rank().over(w).cast("long").alias("usage_rank"))
+    return g.select("*", F.rank().over(w).cast("long").alias("usage_rank"))
 
 
 def avg_transport_days(star: Star, cfg: CostConfig) -> DataFrame:
