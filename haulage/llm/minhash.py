@@ -5,17 +5,19 @@ the 64-bit shingle hashes both the smallest and the largest value are kept, so t
 two values per hash evaluation.  Signatures are cut into bands; documents that share a band are
 candidates, and a candidate pair is a link if its full sets have the similarity asked for.
 
-Documents with equal sets are one class from the start.  Candidates are compared in rounds:
-
-1. In every bucket (documents that share a band) each class meets the bucket's centre.  Links
-   found so far are closed to components; a few more rounds with other centres follow, in buckets
-   that still hold several components, with the members not yet in the centre's.
-2. What is then left, pairs of one bucket from different components that never met, is listed
-   block by block from the signatures (a pair estimated far below the threshold goes) and
-   compared as well.
-
-So a group of thousands of copies costs a few comparisons per copy, no pair that could join two
-components is left out, and nothing is capped.
+Documents with equal sets are one class from the start.  The classes that share a band with
+another one get their full sets, once; then two rounds compare them:
+
+1. In every bucket (classes that share a band) each class meets the bucket's centre, the class of
+   the lowest rank; all buckets rank alike, so a large group has few centres.  The links found are
+   closed to components.
+2. Two classes of a bucket that have both met its centre, but not each other, and are not in one
+   component yet, may still be linked.  Every such pair is among the classes that met one centre,
+   so those are compared with each other by exact matrix products of their sets, block by block.
+   Only a spanning forest of the links leaves a block.
+
+So a group of thousands of copies costs little per copy, no pair that could join two components is
+left out, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,15 +31,13 @@ from pyspark.sql import functions as F
 from haulage.llm.blocks import in_blocks
 from haulage.llm.common import col, fresh, read_table, written
 from haulage.llm.components import components
+from haulage.llm.embeddings import forest
 
 PERMUTATIONS, BAND_ROWS, SEED = 64, 4, 1
 #: Similarity as a ratio of integers: 100 * intersection >= 80 * union.
 THRESHOLD = (80, 100)
-#: Rounds with a centre before the rest is compared exhaustively.
-CENTRES = 3
-#: An estimate this far below the threshold rules a pair out in the exhaustive round: over four
-#: standard deviations of 128 values.
-MARGIN = 0.15
+#: Classes in a block of the second round, and columns of one matrix product.
+BLOCK, COLUMNS = 512, 8192
 #: Shingles hashed at once.
 CHUNK = 4096
 #: Word hashes kept by a task before it starts afresh.
@@ -123,25 +123,28 @@ def signatures(docs: DataFrame, words: int, text: str, seed: int) -> DataFrame:
     return docs.mapInArrow(sign, schema)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, text: str, threshold: tuple[int, int]) -> DataFrame:
-    """The links among ``pairs`` (a, b: class ids): intersection and union of the full sets, computed
-    anew from the texts of the classes that occur."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(classes.select("id", "key", "digest").join(needed, "id", "left_semi"), "minhash-wanted")
+def full_sets(classes: DataFrame, ids: DataFrame, docs: DataFrame, words: int, text: str) -> DataFrame:
+    """Written (id, shingles): the full sets of the classes in ``ids``, computed anew from their texts."""
+    wanted = written(classes.select("id", "key", "digest").join(ids, "id", "left_semi"), "minhash-wanted")
 
     def sets(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, found = [], []
+            numbers, found = [], []
             for number, mark, value in zip(*(batch.column(c).to_pylist() for c in ("id", "digest", text))):
                 shingles = shingle_set(value, words, hashes)
                 if digest(shingles) == mark:
-                    ids.append(number)
+                    numbers.append(number)
                     found.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+    # a merge join leaves the rows sorted by key, so that rows repeated word for word go at no further cost
+    texts = docs.select("key", text).join(wanted.hint("merge"), "key").dropDuplicates(["key"])
+    return written(texts.select("id", "digest", text).mapInArrow(sets, "id bigint, shingles binary"), "minhash-sets")
 
-    full = written(docs.select(text, "key").join(wanted, "key").select("id", "digest", text)
-                   .mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"]), "minhash-sets")
+
+def verified(pairs: DataFrame, full: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The links among ``pairs`` (a, b), by intersection and union of the full sets."""
     share, whole = threshold
 
     def compare(batches):
@@ -158,60 +161,71 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return written(both.select("a", "b", "one", "two").mapInArrow(compare, "a bigint, b bigint"), "minhash-links")
 
 
-def _left_over(share: float):
-    """Pairs of a block pair from different components that may reach the threshold."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of all intersections."""
+    lengths = np.array([len(x) for x in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    # shingles of one set alone meet nothing
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        first, stop = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[first:stop], column[first:stop] - at] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, lengths)
+    return out
+
+
+def _linked_in_block(threshold: tuple[int, int]):
+    share, whole = threshold
 
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
-        ids, part, own, size = (table.column(c).to_numpy() for c in ("id", "part", "own_block", "n_shingles"))
-        signed = np.array(table.column("signature").to_pylist(), np.int32)
-        rows, cols = [], []
-        for at in range(len(ids)):
-            open_ = (part != part[at]) & (ids > ids[at]) & ((own != own[at]) | (left == right))
-            # sets of very different size cannot be similar enough
-            other = np.nonzero(open_ & (np.minimum(size, size[at]) >= share * np.maximum(size, size[at])))[0]
-            other = other[(signed[other] == signed[at]).mean(axis=1) >= share - MARGIN]
-            rows.append(np.full(len(other), ids[at]))
-            cols.append(ids[other])
-        return pa.table({"a": np.concatenate(rows).astype(np.int64), "b": np.concatenate(cols).astype(np.int64)})
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        order = np.argsort(ids)
+        ids, part = ids[order], part[order]
+        if (part == part[0]).all():
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        raw = table.column("shingles").combine_chunks().take(pa.array(order))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+        size = np.array([len(x) for x in sets], np.float64)
+        common = common_counts(sets)
+        low = forest(whole * common >= share * (size[:, None] + size[None, :] - common))
+        moved = low != np.arange(len(ids))
+        return pa.table({"a": ids[moved], "b": ids[low[moved]]})
 
-    return pairs
+    return link
 
 
 def similar_classes(classes: DataFrame, docs: DataFrame, words: int, text: str, threshold: tuple[int, int], seed: int) -> DataFrame:
     """(node, component) of the classes (id, key, n_shingles, digest, signature) that have a link."""
-    spark = classes.sparkSession
-    share = threshold[0] / threshold[1]
+    share, whole = threshold
     bands = 2 * PERMUTATIONS // BAND_ROWS
     hashed = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                          lambda b: F.xxhash64(b, F.slice("signature", b * BAND_ROWS + 1, BAND_ROWS)))
     banded = classes.select("id", "n_shingles", F.explode(hashed).alias("band"))
-    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "minhash-buckets")
+    rank = F.struct(F.xxhash64(F.lit(seed), "id").alias("rank"), F.col("id").alias("centre"), F.col("n_shingles").alias("centre_n"))
+    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("least")).filter("n > 1")
+                     .select("band", "least.centre", "least.centre_n"), "minhash-buckets")
     members = written(banded.join(shared, "band"), "minhash-members")
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = links
-    parts = spark.createDataFrame([], "node bigint, component bigint")
-    for turn in range(CENTRES + 1):
-        placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
-        open_ = written(placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"),
-                                                   F.min(F.struct(F.xxhash64(F.lit(seed + turn), "id").alias("rank"), "id", "part", "n_shingles")).alias("centre"))
-                        .filter("low < high").select("band", "centre"), "minhash-open")
-        placed = placed.join(open_, "band")
-        if turn < CENTRES:
-            met = (placed.filter("part <> centre.part")
-                   .filter(F.least("n_shingles", "centre.n_shingles") * threshold[1] >= F.greatest("n_shingles", "centre.n_shingles") * threshold[0])
-                   .select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct())
-        else:
-            rest = placed.select("band", "id", "part", "n_shingles").join(classes.select("id", "signature"), "id")
-            met = (in_blocks(rest, ["band"], "id").groupBy("band", "left_block", "right_block")
-                   .applyInArrow(_left_over(share), "a bigint, b bigint").distinct())
-        met = written(met.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if met.isEmpty():
-            continue
-        found = verified(met, classes, docs, words, text, threshold)
-        links, tested = links.union(found), tested.union(met)
-        parts = components(links)
-    return parts
+    full = full_sets(classes, members.select("id").distinct(), docs, words, text)
+    # sets of very different size cannot be similar enough
+    met = written(members.filter((F.col("id") != F.col("centre")) & (F.least("n_shingles", "centre_n") * whole >= F.greatest("n_shingles", "centre_n") * share))
+                  .select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
+    links = verified(met, full, threshold)
+    parts = components(links).withColumnRenamed("node", "id")
+    placed = written(members.filter("id <> centre").select("band", "id", "centre").join(parts, "id", "left")
+                     .select("band", "id", "centre", F.coalesce("component", "id").alias("part")), "minhash-placed")
+    open_ = written(placed.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                    .filter("low < high").select("band"), "minhash-open")
+    rest = written(placed.join(open_, "band", "left_semi").select("centre", "id", "part").distinct(), "minhash-rest")
+    more = (in_blocks(rest, ["centre"], "id", BLOCK).join(full, "id").groupBy("centre", "left_block", "right_block")
+            .applyInArrow(_linked_in_block(threshold), "a bigint, b bigint"))
+    return components(links.unionByName(written(more, "minhash-more")))
 
 
 def _labelled(docs: DataFrame, words: int, threshold: tuple[int, int], key: str, text: str, seed: int) -> DataFrame:
