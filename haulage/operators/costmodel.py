@@ -109,6 +109,19 @@ def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant:
             .selectExpr("*", "transport_cost + warehouse_cost AS total_order_cost"))
 
 
+def historical_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
+                       cfg: CostConfig) -> DataFrame:
+    """The options of each shipment's own carrier, priced (guarded): the carrier is part of the
+    lookup, so that no other carrier's options are made first."""
+    transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_id",
+                                   cfg.zero_freight_carrier_key, guarded=True)
+    return (rated_shipments(ships, fact_freight_rates).where("freight_rate_id IS NOT NULL")
+            .join(_plant_costs(dim_plant), F.expr("plant_id = _plant"))
+            .selectExpr("order_id", "plant_id", "carrier_id AS historical_carrier", "origin_port_id",
+                        "destination_port_id", "service_level",
+                        f"{transport} + unit_quantity * cost_per_unit AS historical_total_cost"))
+
+
 OPTION_SHIPMENT_KEYS = ["order_id", "plant_id", "historical_carrier", "origin_port_id",
                         "destination_port_id", "service_level"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option
+from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option, historical_options
 from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
 from haulage.plans.star import Star
 
@@ -54,8 +54,7 @@ def lower_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
     options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
                               guarded=True)
     keys = ["order_id"] if cfg.grain == "order" else OPTION_SHIPMENT_KEYS
-    hist = (options.where("historical_carrier = carrier_id")
-            .selectExpr(*OPTION_SHIPMENT_KEYS, "total_order_cost AS historical_total_cost"))
+    hist = historical_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg)
     best = cheapest_option(options, cfg).selectExpr(
         *keys, "carrier_id AS cheaper_carrier", "total_order_cost AS cheapest_possible_cost")
     j = hist.join(best, keys).where("historical_total_cost > cheapest_possible_cost")
