@@ -46,7 +46,9 @@ def anchors_of(windows: DataFrame, docs: DataFrame, rarest: int) -> DataFrame:
     """(term, win, offset, rank): the rarest terms of each window by their count in ``docs`` (words).
     A window with a term that no document has cannot occur and has no anchors."""
     terms = windows.select("win", F.posexplode("words").alias("offset", "term"))
-    counts = (docs.select(F.explode("words").alias("term")).join(terms.select("term").distinct(), "term")
+    # a written vocabulary: Spark knows its size, and can split a term that is very frequent
+    vocabulary = written(terms.select("term").distinct(), "decon-terms")
+    counts = (docs.select(F.explode("words").alias("term")).join(vocabulary, "term")
               .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     order = Window.partitionBy("win").orderBy("n", "offset")
     ranked = (terms.join(written(counts, "decon-counts"), "term", "left")
@@ -56,7 +58,8 @@ def anchors_of(windows: DataFrame, docs: DataFrame, rarest: int) -> DataFrame:
 
 def postings(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """The index: (term, row, pos) of the anchor terms in all documents, written."""
-    found = docs.select("row", F.posexplode("words").alias("pos", "term")).join(anchors.select("term").distinct(), "term")
+    rare = written(anchors.select("term").distinct(), "decon-rare")
+    found = docs.select("row", F.posexplode("words").alias("pos", "term")).join(rare, "term")
     return written(found.select("term", "row", "pos"), "decon-postings")
 
 
