@@ -39,8 +39,8 @@ DISCOUNT, ADDED = 0.75, 0.1
 #: Steps of a decimal digit in a quantised logarithm.
 STEPS = 4096
 #: Tokens, or distinct n-grams, handled at once.
-CHUNK = 1 << 21
-CACHE = 1 << 20
+CHUNK = 1 << 20
+CACHE = 1 << 19
 END = b""
 
 
@@ -145,12 +145,17 @@ class Model:
         pointers, successors = self.nodes[level]
         out = np.full(len(parent), -1, np.int64)
         some = np.nonzero((parent >= 0) & (word >= 0) & (word < self.size))[0]
-        first, stop = pointers.access(parent[some]), pointers.access(parent[some] + 1)
-        some, first, stop = (x[stop > first] for x in (some, first, stop))
-        if len(some):
+        # each pair is looked up once, and in order, which keeps to few pages of the map
+        pairs, place = np.unique(parent[some] * self.size + word[some], return_inverse=True)
+        above, wanted = np.divmod(pairs, max(self.size, 1))
+        first, stop = pointers.access(above), pointers.access(above + 1)
+        node, full = np.full(len(pairs), -1, np.int64), stop > first
+        first, stop = first[full], stop[full]
+        if len(first):
             base = np.where(first > 0, successors.access(np.maximum(first - 1, 0)) + 1, 0)
-            found = successors.find(base + word[some])
-            out[some] = np.where((found >= first) & (found < stop), found, -1)
+            found = successors.find(base + wanted[full])
+            node[full] = np.where((found >= first) & (found < stop), found, -1)
+        out[some] = node[place]
         return out
 
     def base(self, counts: np.ndarray) -> np.ndarray:
