@@ -1,40 +1,49 @@
-"""Scoring texts with an n-gram model held in an Elias-Fano trie.
+"""Scoring texts with an n-gram model held in Elias-Fano tries.
 
-Training counts every word (by a 63-bit hash) in all training documents.  Words with a share of
-at least 1/VOCABULARY of all tokens are the model's vocabulary, n-grams of them with at least
-1/LEVEL of all tokens its entries: both bounds hold whatever the input, so the trie can go to
-every task.  An n-gram cannot reach the limit unless its parts do, so each order counts only
-n-grams whose two shorter parts were kept; no count is lost by that.
+Training counts every word (by a 63-bit hash) and every n-gram of all training documents.  The most
+frequent words (at most COUNTED) go to every task, which makes their codes small; any other word is
+coded by its hash.  Nothing is left out for being rare.
 
-The trie has a level per order.  A level holds the successor words of all nodes of the level
+The model is cut into shards by the hash of an n-gram's context; their number grows with the corpus.
+Texts are cut into chunks of about CHUNK tokens.  A chunk sends its distinct n-grams, with their counts
+in training texts, to the shards; the task of a shard adds them up, builds the shard's trie and answers
+each chunk with a discounted share and a backoff weight per n-gram; the chunk puts the orders together.
+The driver holds the totals and the frequent words alone.
+
+A trie has a level per order.  A level holds the successor words of all nodes of the level
 above as one Elias-Fano sequence (a node's words follow the last value of the node before it),
-monotone pointers to each node's range, and smoothed probabilities and backoff weights quantised
-to 16 bits.  Tasks map it into memory and look words up by successor search within a node's range.
+monotone pointers to each node's range, and shares and backoff weights quantised to 16 bits.
+Words are looked up by successor search within a node's range.
 
-A word outside the vocabulary is scored by its own count: tasks list such words per document, and
-the list is joined with the word counts.  The probabilities interpolate absolutely discounted
-counts with the next lower order, down to (c + 0.1) / (N + 0.1 (V + 1)); they are rounded down.
+The probabilities interpolate absolutely discounted counts with the next lower order, down to
+(c + 0.1) / (N + 0.1 (V + 1)); they are rounded down.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.llm.common import col, crc_mod, read_table, written
 from haulage.llm.elias_fano import Sequence, encode
+from haulage.session import scratch_path
 
 ORDER = 3
-#: Bounds of the model: words, and n-grams of each higher order.
-VOCABULARY, LEVEL = 100_000, 1 << 22
-#: Words whose counts go to every task as well (hash and count, 16 bytes each), by the same rule.
+#: Words, and n-grams of each higher order, with a smaller share of all tokens than one in so many are
+#: left out: none at any size.  (A smaller VOCABULARY must not exceed COUNTED.)
+VOCABULARY, LEVEL = 1 << 62, 1 << 62
+#: So many words at most, the most frequent, go to every task (hash and count, 16 bytes each).
 COUNTED = 1_000_000
+#: Training tokens per shard of the model.
+SHARD = 1 << 20
 DISCOUNT, ADDED = 0.75, 0.1
 #: Steps of a decimal digit in a quantised logarithm.
 STEPS = 4096
@@ -187,6 +196,17 @@ def _codes(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(-logs * STEPS - 1e-9), 0, 65535).astype(np.uint16)
 
 
+def _level(node: np.ndarray, word: np.ndarray, above: int) -> dict:
+    """Arrays of a level: word numbers below the ``above`` nodes before, sorted by (node, word)."""
+    starts = np.searchsorted(node, np.arange(above + 1))
+    # a node's words follow the last value of the node before it
+    last = np.zeros(above + 1, np.int64)
+    filled = starts[1:] > starts[:-1]
+    last[1:][filled] = word[starts[1:][filled] - 1] + 1
+    ahead = np.cumsum(last)[:-1]
+    return {**{f"p_{k}": v for k, v in encode(starts).items()}, **{f"w_{k}": v for k, v in encode(word + ahead[node]).items()}}
+
+
 def grow(model: Model, grams: np.ndarray, counts: np.ndarray, above: np.ndarray) -> None:
     """Adds a level: ``grams`` is a sorted matrix of word numbers (one n-gram a row, its context's node
     exists), ``above`` the counts of the nodes of the level before, by node."""
@@ -195,24 +215,18 @@ def grow(model: Model, grams: np.ndarray, counts: np.ndarray, above: np.ndarray)
     for level in range(order - 2):
         node = model.child(level, node, grams[:, level + 1])
     word = grams[:, -1].astype(np.int64)
-    starts = np.searchsorted(node, np.arange(len(above) + 1))
-    # a node's words follow the last value of the node before it
-    last = np.zeros(len(above) + 1, np.int64)
-    filled = starts[1:] > starts[:-1]
-    last[1:][filled] = word[starts[1:][filled] - 1] + 1
-    ahead = np.cumsum(last)[:-1]
     kept = np.bincount(node, counts - DISCOUNT, len(above))
     weight = np.log10(np.maximum(1 - kept / np.maximum(above, 1), 1e-15))
     context = [grams[:, order - 2 - back].astype(np.int64) for back in range(order - 1)]
     lower = model.grams(context[:-1], word, model.base(model.counts[word]))
     prob = np.log10((counts - DISCOUNT) / above[node] + 10 ** (weight[node] + lower))
-    model.levels.append({**{f"p_{k}": v for k, v in encode(starts).items()}, **{f"w_{k}": v for k, v in encode(word + ahead[node]).items()},
-                         "prob": _codes(np.minimum(prob, 0)), "weight": _codes(weight)})
+    model.levels.append({**_level(node, word, len(above)), "prob": _codes(np.minimum(prob, 0)), "weight": _codes(weight)})
     model.open()
 
 
 def train(docs: DataFrame, words: DataFrame) -> Model:
-    """Model of the texts in ``body`` of ``docs``, whose word counts are ``words``."""
+    """Model of the texts in ``body`` of ``docs``, whose word counts are ``words``, in one trie over the
+    frequent words: for a corpus that fits one process (:func:`score` cuts it into shards)."""
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total = totals["n"]
     frequent = words.filter(F.col("n") >= -(-total // COUNTED)).toArrow()
@@ -296,36 +310,223 @@ def unpack(buffer: bytes) -> Model:
     return model
 
 
-def _score_group(model: Model, found: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per token: text, whether it is frequent, log10 of its count's base share without the total, model score
-    (of a word that is not frequent only the backoff weights)."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(found)) - starts[text]
-    end, context = model.number_of(END), []
-    for back in range(1, ORDER):
-        before = np.full(len(found), -1, np.int64)
-        before[back:] = found[:-back] if back < len(found) else found[:0]
-        before[place == back - 1] = end
-        before[place < back - 1] = -1
-        before[(before < 0) | (before >= model.size)] = -1
-        context.append(before)
-    frequent = found >= 0
-    inside = frequent & (found < model.size)
-    # every distinct n-gram is looked up once
-    word = np.where(inside, found, -1)
-    key = word + 1
-    for before in context:
-        key = key * (model.size + 1) + before + 1
+def _blob(values: np.ndarray) -> bytes:
+    """Integers packed byte by byte: the high bytes of small numbers take next to nothing."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
+
+
+def _unblob(raw: bytes, kind=np.int64) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(flat.T).view(kind).ravel()
+
+
+def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct row, in order, and the place of every row among them; numbers below ``size``."""
+    key, top = columns[0], size
+    for column in columns[1:]:
+        if top * size >= 1 << 63:
+            names, key = np.unique(key, return_inverse=True)
+            top = len(names)
+        key, top = key * size + column, top * size
     _, first, place = np.unique(key, return_index=True, return_inverse=True)
-    own = np.zeros(len(first))
-    own[inside[first]] = model.base(model.counts[found[first][inside[first]]])
-    value = model.grams([c[first] for c in context], word[first], own)[place]
-    counted = frequent & ~inside
-    value[counted] += model.base(model.counts[found[counted]])
-    share = np.zeros(len(found))
-    share[frequent] = np.log10(model.counts[found[frequent]] + ADDED)
-    return text, frequent, share, value
+    return first, place
+
+
+def _asked(found: np.ndarray, lengths: np.ndarray, end: int):
+    """Per order: the tokens that have an n-gram, the distinct n-grams (columns of codes) and each token's
+    place among them.  Order 1 has the words that are not frequent."""
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(found)) - np.repeat(starts, lengths)
+    # the end before a text is its first context
+    row = np.insert(found, starts, end)
+    at = np.arange(len(found)) + np.repeat(np.arange(len(lengths)), lengths) + 1
+    codes, local = np.unique(row, return_inverse=True)
+    for order in range(1, ORDER + 1):
+        who = np.nonzero(place >= order - 2 if order > 1 else found < 0)[0]
+        columns = [local[at[who] - back] for back in range(order - 1, -1, -1)]
+        first, spot = _distinct(columns, len(codes))
+        yield order, who, [codes[c[first]] for c in columns], spot
+
+
+def _shards_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
+    """Shard by the hash of the context; of the word itself in order 1."""
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for column in columns[:-1] or columns:
+        mixed = (mixed ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return (mixed % np.uint64(shards)).astype(np.int64)
+
+
+def _by_shard(columns: list[np.ndarray], shards: int):
+    """(shard, indexes of its rows, in order)."""
+    shard = _shards_of(columns, shards)
+    by = np.argsort(shard, kind="stable")
+    cuts = np.nonzero(np.diff(shard[by]))[0] + 1
+    for part in np.split(by, cuts) if len(by) else ():
+        yield int(shard[part[0]]), part
+
+
+def _answers(order: int, columns: list[np.ndarray], counts: np.ndarray, size: int | None, least: int) -> tuple[np.ndarray, ...]:
+    """Of every row (an n-gram and a count): the share of its n-gram and the weight of its context, as codes
+    (of a word its count), by the trie of all rows; a share of 65535 is none."""
+    codes, local = np.unique(np.concatenate(columns), return_inverse=True)
+    local = np.split(local, order)
+    first, place = _distinct(local, len(codes))
+    n = np.zeros(len(first), np.int64)
+    np.add.at(n, place, counts)
+    if order == 1:
+        return n[place], np.zeros(len(place), np.uint16)
+    grams = [c[first] for c in local]
+    seen, kept = n > 0, n >= least
+    if size is not None:
+        for c in grams:
+            kept &= (codes[c] >= 0) & (codes[c] < size)
+    if not kept.any():
+        return np.full(len(place), 65535, np.uint16), np.zeros(len(place), np.uint16)
+    model = Model(codes, np.zeros(len(codes), np.int64), len(codes), 0, 0)
+    node, parents = grams[0], len(codes)
+    if order > 2:  # the levels above: contexts, down from their farthest word
+        heads = [c[seen] for c in grams[:-1]]
+        head, _ = _distinct(heads, len(codes))
+        heads = [c[head] for c in heads]
+        above = heads[0]
+        for word in heads[1:]:
+            pair, spot = _distinct([above, word], max(parents, len(codes)))
+            model.levels.append(_level(above[pair], word[pair], parents))
+            above, parents = spot, len(pair)
+        model.open()
+        for level, word in enumerate(grams[1:-1]):
+            node = model.child(level, node, word)
+    total = np.bincount(node[seen], n[seen], parents)
+    mass = np.bincount(node[kept], n[kept] - DISCOUNT, parents)
+    weight = _codes(np.log10(np.maximum(1 - mass / np.maximum(total, 1), 1e-15)))
+    share = _codes(np.log10((n[kept] - DISCOUNT) / total[node[kept]]))
+    model.levels.append(_level(node[kept], grams[-1][kept], parents))
+    model.open()
+    gram = model.child(order - 2, node, grams[-1])
+    shares = np.full(len(first), 65535, np.uint16)
+    shares[gram >= 0] = share[gram[gram >= 0]]
+    weights = np.where(node >= 0, weight[np.maximum(node, 0)], 0).astype(np.uint16)
+    return shares[place], weights[place]
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    """Scores of the rows (doc, body, train, ask) with ``ask``, learned from those with ``train``."""
+    context = docs.sparkSession.sparkContext
+    words = word_counts(docs.filter("train").select("body"))
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, least = totals["n"], max(1, -(-totals["n"] // LEVEL))
+    # the least count that at most COUNTED words reach
+    reach, lowest = 0, 1
+    for row in words.groupBy("n").count().orderBy(F.desc("n")).limit(COUNTED).toLocalIterator():
+        reach += row["count"]
+        if reach > COUNTED:
+            lowest = row["n"] + 1
+            break
+    frequent = words.filter(F.col("n") >= lowest).toArrow()
+    hashes, counts = (frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+    by_count = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[by_count], counts[by_count]
+    if not len(hashes):  # nothing to learn from: the base alone
+        hashes, counts = np.array([hash_of(END)]), np.zeros(1, np.int64)
+    rarest = -(-total // VOCABULARY)
+    size = int((counts >= rarest).sum()) if rarest > 1 else None
+    shared = context.broadcast(pack(Model(hashes, counts, 0, total, totals["v"])))
+    shards = max(1, -(-total // SHARD))
+
+    def cut(batches):
+        numbers = Numbers(unpack(shared.value).number_of)
+        chunk = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            train, ask = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "ask"))
+            for start, count, found, lengths in numbered(batch.column("body").to_pylist(), numbers):
+                own = batch.column("doc").slice(start, count)
+                flags = train[start:start + count] | ask[start:start + count] << 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), own),
+                     *[pa.array([_blob(x)], pa.binary()) for x in (found, lengths.astype(np.int64), flags)]],
+                    names=["chunk", "doc", "found", "lengths", "flags"])
+                chunk += 1
+
+    empty = F.lit(None).cast("binary")
+    schema = docs.select(F.lit(0).cast("long").alias("chunk"), F.array("doc").alias("doc"), empty.alias("found"),
+                         empty.alias("lengths"), empty.alias("flags")).schema
+    chunks = docs.mapInArrow(cut, schema)
+    path = scratch_path(docs.sparkSession, "lm-chunks")
+    # few chunks a file, so that a reader's batch stays small
+    chunks.write.option("maxRecordsPerFile", 16).parquet(path)
+    chunks = docs.sparkSession.read.schema(schema).parquet(path)
+
+    def send(batches):
+        end = unpack(shared.value).number_of(END)
+        for batch in batches:
+            for row in batch.select(["chunk", "found", "lengths", "flags"]).to_pylist():
+                found, lengths, flags = _unblob(row["found"]), _unblob(row["lengths"]), _unblob(row["flags"], np.uint8)
+                trained, ask = np.repeat(flags & 1, lengths), bool((flags & 2).any())
+                for order, who, columns, spot in _asked(found, lengths, end):
+                    n = np.bincount(spot, trained[who], len(columns[0])).astype(np.int64)
+                    rows = [(order, shard, row["chunk"], ask, _blob(np.concatenate([c[part] for c in columns])), _blob(n[part]))
+                            for shard, part in _by_shard(columns, shards)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))],
+                            names=["ord", "shard", "chunk", "ask", "grams", "n"])
+
+    def answer(table):
+        order = table.column("ord")[0].as_py()
+        grams = [np.split(_unblob(x.as_py()), order) for x in table.column("grams")]
+        counts = np.concatenate([_unblob(x.as_py()) for x in table.column("n")])
+        shares, weights = _answers(order, [np.concatenate([g[k] for g in grams]) for k in range(order)], counts, size, least)
+        ends = np.cumsum([len(g[0]) for g in grams])
+        ask = table.column("ask").to_pylist()
+        rows = [(table.column("chunk")[i].as_py(), order, table.column("shard")[i].as_py(),
+                 _blob(shares[stop - len(grams[i][0]):stop]), _blob(weights[stop - len(grams[i][0]):stop]))
+                for i, stop in enumerate(ends) if ask[i]]
+        return pa.Table.from_arrays(
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+            names=["chunk", "ord", "shard", "share", "weight"])
+
+    answered = (chunks.mapInArrow(send, "ord int, shard bigint, chunk bigint, ask boolean, grams binary, n binary")
+                .groupBy("ord", "shard").applyInArrow(answer, "chunk bigint, ord int, shard bigint, share binary, weight binary"))
+
+    def finish(chunk, answers):
+        model = unpack(shared.value)
+        room = np.log10(model.room)
+        got = {}
+        for row in answers.to_pylist():
+            kind = np.int64 if row["ord"] == 1 else np.uint16
+            got[row["ord"], row["shard"]] = _unblob(row["share"], kind), _unblob(row["weight"], np.uint16)
+        parts = []
+        for i in range(chunk.num_rows):
+            found, lengths, flags = (_unblob(chunk.column(c)[i].as_py(), t) for c, t in (("found", np.int64), ("lengths", np.int64), ("flags", np.uint8)))
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            count = np.where(found >= 0, model.counts[np.maximum(found, 0)], 0)
+            prob = None
+            if (flags & 2).any():
+                for order, who, columns, spot in _asked(found, lengths, model.number_of(END)):
+                    shares, weights = np.zeros(len(columns[0]), np.int64), np.zeros(len(columns[0]), np.int64)
+                    for shard, part in _by_shard(columns, shards):
+                        shares[part], weights[part] = got[order, shard]
+                    if order == 1:
+                        count[who] = shares[spot]
+                        prob = 10 ** (np.log10(count + ADDED) - room)
+                    else:
+                        share = np.where(shares == 65535, 0.0, 10 ** (shares / -STEPS))
+                        prob[who] = share[spot] + 10 ** (weights[spot] / -STEPS) * prob[who]
+            else:
+                prob = np.ones(len(found))
+            keep = np.nonzero(flags & 2)[0]
+            sums = [lengths, np.bincount(text, count > 0, len(lengths)).astype(np.int64),
+                    np.bincount(text, np.log10(count + ADDED) - room, len(lengths)), np.bincount(text, np.log10(prob), len(lengths))]
+            parts.append(pa.Table.from_arrays(
+                [chunk.column("doc").combine_chunks()[i].values.take(pa.array(keep)), *[pa.array(x[keep]) for x in sums]],
+                names=["doc", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(parts)
+
+    zero = F.lit(0).cast("long")
+    schema = docs.select("doc", zero.alias("n_tokens"), zero.alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
+    out = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(finish, schema)
+    return out.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,59 +537,18 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     answered; without training texts every token is unknown and all counts are 0.  An empty table
     gives an empty result; extra columns are left out.
     """
-    train_docs = training.select(col(text).alias("body"))
-    words = word_counts(train_docs)
-    model = train(train_docs, words)
-    if not len(model.words):  # nothing to learn from: the base alone
-        model = Model(np.array([hash_of(END)]), np.zeros(1, np.int64), 0, 0, 0)
-    shared = docs.sparkSession.sparkContext.broadcast(pack(model))
-
-    def scored(batches):
-        model = unpack(shared.value)
-        numbers = Numbers(model.number_of)
-        for batch in batches:
-            columns = [[], [], [], [], []]
-            rare, repeats = [], []
-            for start, count, found, lengths in numbered(batch.column("body").to_pylist(), numbers):
-                text, frequent, share, value = _score_group(model, found, lengths)
-                known = frequent & (model.counts[np.maximum(found, 0)] > 0)
-                for out, x in zip(columns, (lengths, np.bincount(text[known], minlength=count), np.bincount(text, share, count),
-                                            np.bincount(text, value, count), np.bincount(text[~frequent], minlength=count))):
-                    out.append(x)
-                bounds = np.cumsum(columns[4][-1])[:-1]
-                for own in np.split(found[~frequent], bounds):
-                    names, times = np.unique(own, return_counts=True)
-                    rare.append(names)
-                    repeats.append(times)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), *[pa.array(np.concatenate(c) if c else [], t) for c, t in zip(
-                    columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
-                 pa.array(rare, pa.list_(pa.int64())), pa.array(repeats, pa.list_(pa.int64()))],
-                names=["doc", "n_tokens", "known", "share", "value", "n_rare", "rare", "times"])
-
-    schema = (docs.select(col(key).alias("doc")).withColumns(
-        {"n_tokens": F.lit(0).cast("long"), "known": F.lit(0).cast("long"), "share": F.lit(0.0), "value": F.lit(0.0),
-         "n_rare": F.lit(0).cast("long")}).withColumns({c: F.lit(None).cast("array<bigint>") for c in ("rare", "times")}).schema)
-    local = written(docs.select(col(key).alias("doc"), col(text).alias("body")).mapInArrow(scored, schema)
-                    .withColumn("row", F.monotonically_increasing_id()), "lm-local")
-    room = F.log10(F.lit(model.room))
-    asked = (local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
-             .select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times")))
-    coded = words.select((-1 - F.col("word")).alias("word"), "n")
-    answered = (asked.join(coded, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-        F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + ADDED)).alias("rare_share")))
-    full = local.drop("rare", "times").join(answered, "row", "left")
-    rare = F.coalesce("rare_share", F.lit(0.0))
-    return full.select(
-        F.col("doc").alias(key), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("share") + rare - F.col("n_tokens") * room).alias("base_score"),
-        (F.col("value") + rare - F.col("n_rare") * room).alias("score"))
+    doc, body = col(key).alias("doc"), col(text).alias("body")
+    kind = docs.select(doc).schema["doc"].dataType
+    asked = docs.select(doc, body, F.lit(False).alias("train"), F.lit(True).alias("ask"))
+    learned = training.select(F.lit(None).cast(kind).alias("doc"), body, F.lit(True).alias("train"), F.lit(False).alias("ask"))
+    return _scored(asked.unionByName(learned)).select(
+        F.col("doc").alias(key), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all ``documents``; learned from those outside the held-out tenth."""
     docs = read_table(spark, sf_dir, "documents")
-    out = score(docs, docs.filter(crc_mod(F.col("doc_id"), 10) != 0))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    held_out = crc_mod(F.col("doc_id"), 10) == 0
+    # training texts are scored as well: every row is read once for both
+    out = _scored(docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("body"), (~held_out).alias("train"), F.lit(True).alias("ask")))
+    return out.withColumnRenamed("doc", "doc_id").select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

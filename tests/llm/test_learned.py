@@ -192,6 +192,21 @@ def test_model_with_cut_vocabulary_and_levels(spark, monkeypatch):
     assert 0 < len([g for g in ref.grams if len(g) == 2]) <= 300 and len(ref.context) < 400
 
 
+def test_rare_words_and_n_grams_count_in_a_large_corpus(spark, monkeypatch):
+    # 150,000 tokens and more: words and n-grams seen once have less than 1/100,000 of them
+    docs = sentences(60, 4) + [(1000 + i, "the cat of a " * 1500) for i in range(25)] + [(2000, "seldom met words"), (2001, "seldom met words here")]
+    monkeypatch.setattr(language_model, "SHARD", 20_000, raising=False)
+    with monkeypatch.context() as whole:
+        whole.setattr(language_model, "VOCABULARY", 1 << 62)
+        whole.setattr(language_model, "LEVEL", 1 << 62)
+        ref = Reference([t for _, t in docs[:-1]])
+    assert ref.n > 150_000
+    out = {r["doc_id"]: r["score"] for r in language_model.score(documents(spark, docs), documents(spark, docs[:-1])).collect()}
+    for key, text in docs:
+        exact = ref.score(text)
+        assert exact - 3 * len(language_model.tokens(text)) / language_model.STEPS - 1e-6 <= out[key] <= exact + 1e-6
+
+
 def test_probabilities_sum_to_one_at_most(spark):
     docs = sentences(60, 3)
     train = documents(spark, docs).select(F.col("text").alias("body"))
