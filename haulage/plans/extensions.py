@@ -210,11 +210,12 @@ def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> D
 
     ``daily_capacity`` is the number of order lines a plant may take over the horizon (the reading
     and the unit of the capacity questions).  In a round every open shipment proposes its cheapest
-    option at a plant with capacity left that has not rejected it; each plant takes proposals in
-    the order of regret (the loss at the next best plant, none first), then cost, as long as their
-    running lines fit into what it has left, and rejects the others for good.  Rounds go on until
-    no shipment has a plant to ask, so a shipment asks each candidate plant once at most.  Shipments
-    that end without a plant are returned with NULLs.  A heuristic: not claimed optimal.
+    option at a plant that has room for its lines; each plant takes proposals in the order of
+    regret (the loss at the next best plant, none first), then cost, as long as their running
+    lines fit into what it has left.  The others ask again while the plant has room for them: the
+    first proposal of a plant always fits, so every round fills plants up.  Rounds go on until no
+    shipment has a plant to ask.  Shipments that end without a plant fit into no candidate plant
+    and are returned with NULLs.  A heuristic: not claimed optimal.
 
     ``per_day=True`` gives every (plant, day) the full daily capacity.  A shipment whose lines have
     several dates has no day of its own and stays unassigned.
@@ -241,7 +242,8 @@ def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> D
     accepted, turn = None, 0
     while True:
         turn += 1
-        pairs = pairs.join(capacity.where("_left > 0").select(*scope), scope, "left_semi")
+        # a plant's room only shrinks: what does not fit now never will
+        pairs = pairs.join(capacity, scope).where("lines <= _left").drop("_left")
         proposals = _proposals(pairs)
         if proposals.isEmpty():
             break
@@ -253,10 +255,8 @@ def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> D
         taken = decided.where("_ok").groupBy(*scope).agg(F.sum("lines").alias("_taken"))
         capacity = stored(capacity.join(taken, scope, "left").select(
             *scope, (F.col("_left") - F.coalesce("_taken", F.lit(0))).alias("_left")), "capacity")
-        # winners leave with all their pairs, losers with the pair that was rejected
-        pairs = stored(pairs.join(decided.where("_ok").select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti")
-                       .join(decided.where("NOT _ok").select(*SHIPMENT_KEYS, "candidate_plant"),
-                             [*SHIPMENT_KEYS, "candidate_plant"], "left_anti"), "pairs")
+        # winners leave with all their pairs
+        pairs = stored(pairs.join(decided.where("_ok").select(*SHIPMENT_KEYS), SHIPMENT_KEYS, "left_anti"), "pairs")
     everyone = star.shipments.select(*SHIPMENT_KEYS, "unit_quantity")
     if accepted is None:
         accepted = proposals.select(*SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",

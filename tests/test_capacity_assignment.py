@@ -77,6 +77,20 @@ def test_capacity_is_charged_in_order_lines(spark):
     assert sorted(v or 0 for v in got.values()) == [0, 1]
 
 
+@pytest.mark.parametrize("per_day", [False, True])
+def test_a_shipment_that_does_not_fit_shuts_nobody_out(spark, per_day):
+    # capacity 4; 3, 2 and 1 lines ask in that order, since their units make them dearer
+    star = small_star(spark, 1, [(1, 1, 1)] * 3 + [(2, 1, 1)] * 2 + [(3, 1, 1)], capacity=4)
+    facts = star.fact_orders.withColumn("unit_quantity", F.element_at(F.array(F.lit(1), F.lit(10), F.lit(100)), F.col("order_id").cast("int")))
+    star = replace(star, fact_orders=facts, shipments=shipments(facts))
+    got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG, per_day=per_day).collect()}
+    assert got == {1: 1, 2: None, 3: 1}
+    # nine lines without an alternative come first, but fit into no plant
+    star = small_star(spark, 2, [(1, 5, 1)] * 9 + [(2, 9, 1)] * 3 + [(3, 9, 1)], vmi=[(2, 9)], capacity=4)
+    got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG, per_day=per_day).collect()}
+    assert got == {1: None, 2: 1, 3: 1}
+
+
 def test_days_are_apart_and_shipments_of_several_days_stay_open(spark):
     star = small_star(spark, 1, [(1, 1, 1), (2, 1, 2), (3, 1, 1), (3, 1, 2)])
     got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG, per_day=True).collect()}
