@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from haulage.llm import chat, decontaminate, embeddings, langid, language_model, lines, minhash, mixing, sharding, toxicity
+from haulage.llm import (chat, decontaminate, embeddings, langid, language_model, lines, minhash, mixing, sharding,
+                         substrings, toxicity)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_lm_scoring": language_model.op10_lm_scoring,
+    "op13_substring_dedup": substrings.op13_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op4_embedding_dedup": embeddings.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
+    "op13_substring_dedup": substrings.OP13_SQL,
 }
