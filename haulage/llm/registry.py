@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from haulage.llm import (chat, decontaminate, embeddings, langid, language_model, lines, minhash, mixing, sharding,
-                         substrings, toxicity)
+                         spelling, substrings, token_alignment, toxicity)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_lm_scoring": language_model.op10_lm_scoring,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_substring_dedup": substrings.op13_substring_dedup,
 }
 ORACLE_SQL = {
@@ -24,5 +26,6 @@ ORACLE_SQL = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op4_embedding_dedup": embeddings.OP4_SQL,
     "op6_chat": chat.OP6_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op13_substring_dedup": substrings.OP13_SQL,
 }
