@@ -32,7 +32,7 @@ FILE_CHUNKS = 16
 SHARD_BYTES = 32 << 20
 
 
-def _pack(texts: list[bytes | None]) -> bytes:
+def pack(texts: list[bytes | None]) -> bytes:
     lengths = np.array([len(texts), *[-1 if t is None else len(t) for t in texts]], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(t or b"" for t in texts))
 
@@ -48,10 +48,11 @@ def texts_of(packed: bytes) -> list[bytes | None]:
     return out
 
 
-def chunked(docs: DataFrame, text: str, label: str) -> DataFrame:
+def chunked(docs: DataFrame, text: str, label: str, pack: Callable = pack, chunk_bytes: int | None = None) -> DataFrame:
     """Written (chunk, texts, rows): ``rows`` has the columns of ``docs`` other than ``text``, in the order
-    of the texts.  Null texts are kept as such; an empty table has no chunks."""
-    others = [c for c in docs.columns if c != text]
+    of the texts, and ``texts`` what ``pack`` makes of those (UTF-8, None where null).  An empty table has
+    no chunks.  A chunk has about ``chunk_bytes`` of text."""
+    others, most = [c for c in docs.columns if c != text], chunk_bytes or CHUNK_BYTES
 
     def cut(batches):
         chunk = TaskContext.get().partitionId() << 33
@@ -59,10 +60,10 @@ def chunked(docs: DataFrame, text: str, label: str) -> DataFrame:
             texts, start, size = batch.column("body").to_pylist(), 0, 0
             for i, value in enumerate(texts):
                 size += len(value or b"")
-                if size >= CHUNK_BYTES or i + 1 == len(texts):
+                if size >= most or i + 1 == len(texts):
                     rows = batch.column("rest").slice(start, i + 1 - start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([chunk], pa.int64()), pa.array([_pack(texts[start:i + 1])], pa.binary()),
+                        [pa.array([chunk], pa.int64()), pa.array([pack(texts[start:i + 1])], pa.binary()),
                          pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["chunk", "texts", "rows"])
                     chunk, start, size = chunk + 1, i + 1, 0
 
@@ -88,13 +89,13 @@ def messages(keys: np.ndarray, shards: int, bits: int = 64) -> Iterable[tuple[in
     return [(int(shard[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def answered(chunks: DataFrame, replies: DataFrame | None, ask: Callable, reply: Callable) -> DataFrame:
+def answered(chunks: DataFrame, replies: DataFrame | None, ask: Callable, reply: Callable, read: Callable = texts_of) -> DataFrame:
     """(chunk, shard, reply): ``ask(texts, earlier)`` yields (shard, message) of a chunk, given its earlier
-    ``replies``; ``reply(messages)`` gives a shard's answers, one per message."""
+    ``replies``; ``reply(messages)`` gives a shard's answers, one per message.  ``read`` undoes ``pack``."""
     names = ["chunk", "shard", "ask"]
 
     def rows_of(chunk, texts, earlier):
-        found = list(ask(texts_of(texts), earlier))
+        found = list(ask(read(texts), earlier))
         return [pa.array([chunk] * len(found), pa.int64()), pa.array([s for s, _ in found], pa.int32()),
                 pa.array([m for _, m in found], pa.binary())]
 
@@ -124,7 +125,8 @@ def in_order(table: pa.Table) -> list[tuple[int, bytes]]:
     return [(r, b) for r, _, b in rows]
 
 
-def finished(chunks: DataFrame, replies: DataFrame, texts_to_columns: Callable, added: list[tuple[str, str]]) -> DataFrame:
+def finished(chunks: DataFrame, replies: DataFrame, texts_to_columns: Callable, added: list[tuple[str, str]],
+             read: Callable = texts_of) -> DataFrame:
     """The rows of all chunks without their texts, with the columns ``added`` (name, type) that
     ``texts_to_columns(texts, replies)`` gives as arrays."""
     kept = [f.name for f in chunks.schema["rows"].dataType.elementType.fields]
@@ -133,7 +135,7 @@ def finished(chunks: DataFrame, replies: DataFrame, texts_to_columns: Callable,
 
     def finish(left, right):
         rows = left.column("rows").combine_chunks()[0].values
-        new = texts_to_columns(texts_of(left.column("texts")[0].as_py()), in_order(right))
+        new = texts_to_columns(read(left.column("texts")[0].as_py()), in_order(right))
         return pa.Table.from_arrays([*rows.flatten(), *new], names=[*kept, *[n for n, _ in added]])
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)

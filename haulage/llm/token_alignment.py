@@ -7,7 +7,8 @@ both tokenizers end a token.  Inside a group every A and B token whose bytes ove
 A text is cut at single spaces between two characters that are not white space.  No token of either
 tokenizer reaches over such a cut (the byte-level pre-tokenizer begins a new word there, and no piece
 of the other vocabulary has a space after another character, which is checked when it is loaded), so
-both end a token there; each distinct segment of a chunk is encoded and coalesced once.
+both end a token there; each distinct segment of a chunk is encoded and coalesced once.  Chunks hold
+the ids of their distinct segments instead of texts, so no text is encoded again.
 
 How often an id pair is linked is known to no chunk: chunks ask the shards of the pairs (see
 :mod:`haulage.llm.chunks`), and the highest count of each A id, a table no larger than the
@@ -19,9 +20,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,10 @@ FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pair keys are A id * 2^32 + B id, below 2^56.
 PAIR_BITS = 56
+#: Bytes of text in a chunk (its distinct segments take much more room while they are encoded).
+CHUNK_BYTES = 4 << 20
+#: Segments encoded at once.
+BATCH = 4096
 CUT = re.compile(r"(?<=\S) (?=\S)")
 ODD = re.compile(r"\s | \s")
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -69,10 +76,69 @@ class Pair:
         self.b_bytes = [bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode() for m, p in zip(byte, pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of space + segment by A and of the segment by B, which adds the space."""
-        a = [e.ids for e in self.a.encode_batch([" " + s for s in segments], add_special_tokens=False)]
-        return a, self.b.encode(segments, num_threads=1) if segments else []
+    def encode(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, ids per segment) of space + segment by A and of the segment by B, which adds the space."""
+        sides = [[], []]
+        for i in range(0, len(segments), BATCH):
+            part = segments[i:i + BATCH]
+            found = ([e.ids for e in self.a.encode_batch_fast([" " + s for s in part], add_special_tokens=False)],
+                     self.b.encode(part, num_threads=1))
+            for side, ids in zip(sides, found):
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                side.append((np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes))
+        none = np.zeros(0, np.int64)
+        return [tuple(np.concatenate([none, *(x[k] for x in side)]) for k in (0, 1)) for side in sides]
+
+    def pack(self, texts: list[bytes | None]) -> bytes:
+        """The texts of a chunk as ids: distinct segments, and the segments of every text."""
+        table = Places()
+        parts = []
+        for text in texts:
+            found = segments_of(text.decode("utf-8", "replace")) if text else []
+            parts.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
+        (a, n_a), (b, n_b) = self.encode(list(table))
+        whole = [b" " + s.encode() for s in table]
+        good = np.ones(len(whole), bool)
+        for ids, sizes, names, widths in ((a, n_a, self.a_bytes, self.a_size), (b, n_b, self.b_bytes, self.b_size)):
+            stops = np.cumsum(widths[ids])
+            total = np.concatenate([[0], stops])[np.cumsum(sizes)]
+            joined = b"".join(map(names.__getitem__, ids.tolist()))
+            if joined != b"".join(whole) or (total != np.cumsum(list(map(len, whole)))).any():
+                cuts = np.concatenate([[0], total]).tolist()
+                good &= [joined[i:j] == w for i, j, w in zip(cuts, cuts[1:], whole)]
+        # a text whose bytes differ has no tokens, and bad segments none, so that the rest lies gapless
+        parts = [p if good[p].all() else p[:0] for p in parts]
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a[~good] = n_b[~good] = 0
+        return _pack([a, n_a, b, n_b, np.array([len(p) for p in parts]), np.concatenate([*parts, np.zeros(0, np.int64)])])
+
+
+class Places(dict):
+    """A place by segment, in the order of their first appearance."""
+
+    def __missing__(self, segment: str) -> int:
+        self[segment] = place = len(self)
+        return place
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers below 2^32, byte by byte: the high bytes of small numbers take next to nothing."""
+    planes = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(x) for x in arrays], np.int64).tobytes() + b"".join(planes))
+
+
+def _unpack(raw: bytes, count: int) -> list[np.ndarray]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(raw), [], 8 * count
+    for n in np.frombuffer(raw, np.int64, count).tolist():
+        planes = np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n)
+        out.append(np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64))
+        at += 4 * n
+    return out
+
+
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def segments_of(text: str) -> list[str]:
@@ -106,36 +172,20 @@ def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
 class Aligned:
     """The texts of a chunk, aligned: distinct segments with their tokens, groups and links."""
 
-    def __init__(self, texts: list[bytes | None], pair: Pair):
-        table: dict[str, int] = {}
-        parts = []
-        for text in texts:
-            found = segments_of(text.decode("utf-8", "replace")) if text else []
-            parts.append(np.fromiter((table.setdefault(s, len(table)) for s in found), np.int64, len(found)))
-        segments = list(table)
-        a, b = pair.encode(segments)
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        self.a, self.b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (a, b))
-        good = np.array([b"".join(map(pair.a_bytes.__getitem__, x)) == (whole := b" " + s.encode()) == b"".join(map(pair.b_bytes.__getitem__, y))
-                         for s, x, y in zip(segments, a, b)], bool)
-        # a text whose bytes differ has no tokens: it has no segments from here on
-        self.parts = [p if good[p].all() else p[:0] for p in parts]
-        self.lengths = np.array([len(p) for p in self.parts], np.int64)
-        self.flat = np.concatenate([*self.parts, np.zeros(0, np.int64)])
-        # bad segments lose their tokens, so that the rest lies gapless
-        for name, sizes in (("a", self.n_a), ("b", self.n_b)):
-            setattr(self, name, getattr(self, name)[np.repeat(good, sizes)])
-            sizes[~good] = 0
-        a_end, b_end = np.cumsum(pair.a_size[self.a]), np.cumsum(pair.b_size[self.b])
-        a_start, b_start = a_end - pair.a_size[self.a], b_end - pair.b_size[self.b]
-        self.group_a, self.group_b, self.link_a, self.link_b = coalesce(a_start, a_end, b_start, b_end)
-        a_seg = np.repeat(np.arange(len(segments)), self.n_a)
-        self.n_groups = np.bincount(a_seg, np.diff(self.group_a, prepend=-1) > 0, len(segments)).astype(np.int64)
+    def __init__(self, packed: bytes, a_size: np.ndarray, b_size: np.ndarray):
+        self.a, self.n_a, self.b, self.n_b, self.lengths, self.flat = _unpack(packed, 6)
+        self.count = len(self.n_a)
+        a_end, b_end = np.cumsum(a_size[self.a]), np.cumsum(b_size[self.b])
+        self.group_a, self.group_b, self.link_a, self.link_b = coalesce(
+            a_end - a_size[self.a], a_end, b_end - b_size[self.b], b_end)
+        a_seg = np.repeat(np.arange(self.count), self.n_a)
+        self.n_groups = np.bincount(a_seg, np.diff(self.group_a, prepend=-1) > 0, self.count).astype(np.int64)
         self.link_seg = a_seg[self.link_a]
-        self.n_links = np.bincount(self.link_seg, minlength=len(segments))
+        self.n_links = np.bincount(self.link_seg, minlength=self.count)
         # links by id pair
-        self.pairs, self.link_pair = np.unique(self.a[self.link_a] << 32 | self.b[self.link_b], return_inverse=True)
-        self.count = len(segments)
+        pairs = self.a[self.link_a] << 32 | self.b[self.link_b]
+        self.pairs = sorted_distinct(pairs)
+        self.link_pair = np.searchsorted(self.pairs, pairs)
 
     def per_text(self, per_segment: np.ndarray) -> np.ndarray:
         """Sum over the segments of each text, repeats included."""
@@ -145,26 +195,26 @@ class Aligned:
 
     def document_counts(self) -> np.ndarray:
         """How many of the texts hold each pair of ``pairs``."""
-        owner = np.repeat(np.arange(len(self.parts)), self.lengths)
-        once = np.unique(owner * self.count + self.flat)
+        owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        once = sorted_distinct(owner * self.count + self.flat)
         owner, segment = np.divmod(once, max(self.count, 1))
         first = np.cumsum(self.n_links) - self.n_links
         size = self.n_links[segment]
         held = np.repeat(owner, size) * max(len(self.pairs), 1) + self.link_pair[ranges(first[segment], size)]
-        return np.bincount(np.unique(held) % max(len(self.pairs), 1), minlength=len(self.pairs))
+        return np.bincount(sorted_distinct(held) % max(len(self.pairs), 1), minlength=len(self.pairs))
 
     def groups(self) -> list[str]:
         """The groups of each text: a1,a2|b1;a3|b2,b3."""
         per_group = []
         for ids, group in ((self.a, self.group_a), (self.b, self.group_b)):
-            # a comma or a bar between ids: the text of a side is cut from one join
             cuts = np.concatenate([np.nonzero(np.diff(group, prepend=-1))[0], [len(ids)]]).tolist()
             words = list(map(str, ids.tolist()))
             per_group.append([",".join(words[i:j]) for i, j in zip(cuts, cuts[1:])])
         both = [f"{a}|{b}" for a, b in zip(*per_group)]
         stops = np.cumsum(self.n_groups).tolist()
         named = [";".join(both[j - n:j]) for j, n in zip(stops, self.n_groups.tolist())]
-        return [";".join(map(named.__getitem__, p.tolist())) for p in self.parts]
+        flat, stops = self.flat.tolist(), np.cumsum(self.lengths).tolist()
+        return [";".join(map(named.__getitem__, flat[j - n:j])) for j, n in zip(stops, self.lengths.tolist())]
 
 
 def _asked(pairs: np.ndarray, counts: np.ndarray, shards: int):
@@ -207,16 +257,22 @@ def align(docs: DataFrame, text: str = "text", a_file: str = f"{FOLDER}/{A_FILE}
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     docs = docs.drop(*sums, groups_col)
     shards = chunks.shards_for(docs, text)
-    table = chunks.chunked(docs, text, "alignment-chunks")
     loaded: dict = {}
 
-    def aligned(texts):
+    def pair():
         if not loaded:
             loaded["pair"] = Pair(a_file, b_file)
-        return Aligned(texts, loaded["pair"])
+        return loaded["pair"]
+
+    table = chunks.chunked(docs, text, "alignment-chunks", lambda texts: pair().pack(texts), CHUNK_BYTES)
+    # the bytes of each token, for both vocabularies
+    widths = spark.sparkContext.broadcast((pair().a_size, pair().b_size))
+    loaded.clear()
+
+    def read(packed):
+        return Aligned(packed, *widths.value)
 
-    def ask(texts, _):
-        found = aligned(texts)
+    def ask(found, _):
         order = np.argsort(_spread(found.pairs))
         return _asked(found.pairs[order], found.document_counts()[order], shards)
 
@@ -232,7 +288,7 @@ def align(docs: DataFrame, text: str = "text", a_file: str = f"{FOLDER}/{A_FILE}
         head = zlib.compress(np.stack([ids, best]).tobytes(), 1)
         return [len(x).to_bytes(8, "little") + x + out_ for x, out_ in zip([head] + [b""] * (len(out) - 1), out)]
 
-    replies = written(chunks.answered(table, None, ask, reply).withColumn("round", F.lit(1)), "alignment-pairs")
+    replies = written(chunks.answered(table, None, ask, reply, read).withColumn("round", F.lit(1)), "alignment-pairs")
 
     def highest(batches):
         for batch in batches:
@@ -250,8 +306,7 @@ def align(docs: DataFrame, text: str = "text", a_file: str = f"{FOLDER}/{A_FILE}
     top[best.column("id").to_numpy()] = best.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(top)
 
-    def columns(texts, said):
-        found = aligned(texts)
+    def columns(found, said):
         order = np.argsort(_spread(found.pairs))
         counts = np.zeros(len(found.pairs), np.int64)
         counts[order] = np.concatenate([np.frombuffer(zlib.decompress(raw[8 + int.from_bytes(raw[:8], "little"):]), np.int64) for _, raw in said]
@@ -263,7 +318,7 @@ def align(docs: DataFrame, text: str = "text", a_file: str = f"{FOLDER}/{A_FILE}
                        np.bincount(found.link_seg, link, found.count).astype(np.int64)]
         return [*[pa.array(found.per_text(x), pa.int64()) for x in per_segment], pa.array(found.groups(), pa.string())]
 
-    return chunks.finished(table, replies, columns, [*[(c, "bigint") for c in sums], (groups_col, "string")])
+    return chunks.finished(table, replies, columns, [*[(c, "bigint") for c in sums], (groups_col, "string")], read)
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
