@@ -88,6 +88,18 @@ def test_columns_and_empty_table(spark):
     assert T.align(docs.select("text")).first()["n_groups"] == 2
 
 
+def test_quick_encoder_agrees(pair):
+    """The encoder by ranks and the listed merges, also on letters that make up no common word."""
+    rng = np.random.default_rng(1)
+    words = ["".join(map(chr, rng.integers(33, 0x250, rng.integers(1, 12)))) for _ in range(3000)]
+    words = [w for w in words if not any(c.isspace() for c in w)]
+    assert pair.quick is not None
+    ids, sizes = pair.encode(words)[0]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [pair.a.encode(" " + w, add_special_tokens=False).ids for w in words]
+    other = T.Pair(f"{T.FOLDER}/{T.A_FILE}", f"{T.FOLDER}/{T.B_FILE}", quick=False)
+    assert other.quick is None and (other.encode(words[:500])[0][0] == ids[:sizes[:500].sum()]).all()
+
+
 def test_coalesce_by_hand():
     group_a, group_b, a, b = T.coalesce(*map(np.array, ([0, 3, 5], [3, 5, 9], [0, 2, 5, 7], [2, 5, 7, 9])))
     assert group_a.tolist() == [0, 0, 1] and group_b.tolist() == [0, 0, 1, 1]
