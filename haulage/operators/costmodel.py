@@ -8,7 +8,10 @@ check allows, otherwise by a shuffle join on the lane keys):
                       by ``order_id``, so lines of one shipment mostly collapse
                       before the shuffle).  The star writes the result once and
                       every question starts there.
-2. tariff lookup    - equi keys on the lane, weight band as a residual range.
+2. tariff lookup    - equi keys on the lane and on the cell of the weight (bands are listed
+                      under the dyadic cells they meet), exact band as a residual.  Where only
+                      the cheapest tariff is wanted, the lane's lower envelope is looked up
+                      instead: one row per shipment, no fan-out over carriers.
 3. ``first_by``     - one surviving row per order (or per shipment) through a
                       group limit, whose map-side part reduces a hot order before
                       it is shuffled.
@@ -16,10 +19,13 @@ check allows, otherwise by a shuffle join on the lane keys):
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
+from haulage.functions.intervals import levels_for, lookup
 from haulage.functions.ordering import asc, desc, first_by
 from haulage.functions.pricing import WEIGHT_TYPE, freight_charge_sql
 
@@ -40,18 +46,23 @@ def _tariffs(fact_freight_rates: DataFrame) -> DataFrame:
         "service_level AS _service", "min_weight", "max_weight", "rate", "minimum_cost")
 
 
-def _lane_and_band(with_carrier: bool):
-    """Lane equi-keys plus the inclusive weight band as a residual range condition."""
-    cond = ("origin_port_id = origin_port_key AND destination_port_id = destination_port_key "
-            "AND service_level = _service AND total_weight BETWEEN min_weight AND max_weight")
-    if with_carrier:
-        cond += " AND carrier_id = carrier_key"
-    return F.expr(cond)
+LANE = [("origin_port_id", "origin_port_key"), ("destination_port_id", "destination_port_key"),
+        ("service_level", "_service")]
+BAND = ("min_weight", "max_weight")
+# the levels of a tariff table's bands, found once per table
+_LEVELS: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def tariff_levels(rates: DataFrame) -> list[tuple[int, int]]:
+    if rates not in _LEVELS:
+        _LEVELS[rates] = levels_for(rates, ["origin_port_key", "destination_port_key", "service_level"], *BAND)
+    return _LEVELS[rates]
 
 
 def rated_shipments(ships: DataFrame, fact_freight_rates: DataFrame) -> DataFrame:
     """Every shipment with every tariff band of its own carrier (LEFT: unmatched kept)."""
-    j = ships.join(_tariffs(fact_freight_rates), _lane_and_band(with_carrier=True), "left")
+    j = lookup(ships, _tariffs(fact_freight_rates), tariff_levels(fact_freight_rates),
+               [*LANE, ("carrier_id", "carrier_key")], "total_weight", *BAND, row_keys=SHIPMENT_KEYS)
     return j.selectExpr(*SHIPMENT_KEYS, "unit_quantity", "total_weight", "freight_rate_id",
                         "min_weight", "rate", "minimum_cost")
 
@@ -94,11 +105,25 @@ def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant:
     The warehouse charge depends on the shipment only, so it is computed once per
     shipment before the tariff join multiplies the rows.
     """
+    return _priced(ships, _tariffs(fact_freight_rates), tariff_levels(fact_freight_rates), BAND, dim_plant, cfg, guarded)
+
+
+def cheapest_options(ships: DataFrame, envelopes: DataFrame, levels: list[tuple[int, int]],
+                     dim_plant: DataFrame, cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
+    """Every shipment with the cheapest of its options alone, read off the lanes' lower envelopes
+    (see :mod:`haulage.operators.envelope`; ``levels`` are those of their pieces).  Plants must
+    have a cost per unit: where the total is NULL, options rank by carrier and not by charge."""
+    pieces = envelopes.withColumnRenamed("service_level", "_service")
+    return _priced(ships, pieces, levels, ("from_weight", "to_weight"), dim_plant, cfg, guarded)
+
+
+def _priced(ships: DataFrame, tariffs: DataFrame, levels: list[tuple[int, int]], band: tuple[str, str],
+            dim_plant: DataFrame, cfg: CostConfig, guarded: bool | None) -> DataFrame:
     guarded = cfg.guarded if guarded is None else guarded
     s = (ships.join(_plant_costs(dim_plant), F.expr("plant_id = _plant"))
          .selectExpr(*SHIPMENT_KEYS, "unit_quantity", "total_weight",
                      "unit_quantity * cost_per_unit AS warehouse_cost"))
-    j = s.join(_tariffs(fact_freight_rates), _lane_and_band(with_carrier=False), "inner")
+    j = lookup(s, tariffs, levels, LANE, "total_weight", *band)
     transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_key",
                                    cfg.zero_freight_carrier_key, guarded=guarded)
     return (j.selectExpr("order_id", "plant_id", "origin_port_id", "destination_port_id",

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, carrier_options, cheapest_option, historical_options
+from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, historical_options
 from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
+from haulage.plans.optimization import optimal_choices
 from haulage.plans.star import Star
 
 from haulage.plans.labels import NEAR_CAPACITY, NEAR_CAPACITY_SHARE, OVER_CAPACITY, UNDER_CAPACITY
@@ -51,11 +52,9 @@ def lower_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
     Order grain (as written): each historical option row of the order is compared
     with the order's single cheapest option.  Shipment grain: per shipment.
     """
-    options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
-                              guarded=True)
     keys = ["order_id"] if cfg.grain == "order" else OPTION_SHIPMENT_KEYS
     hist = historical_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg)
-    best = cheapest_option(options, cfg).selectExpr(
+    best = optimal_choices(star, cfg, guarded=True).selectExpr(
         *keys, "carrier_id AS cheaper_carrier", "total_order_cost AS cheapest_possible_cost")
     j = hist.join(best, keys).where("historical_total_cost > cheapest_possible_cost")
     return (j.selectExpr("order_id", "origin_port_id", "destination_port_id", "service_level",

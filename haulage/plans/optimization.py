@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.operators.costmodel import carrier_options, cheapest_option
+from haulage.operators.costmodel import carrier_options, cheapest_option, cheapest_options
 from haulage.plans.evaluation import historical_costs
 from haulage.plans.star import Star
 
 
 def optimal_choices(star: Star, cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
-    options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg,
-                              guarded=guarded)
-    return cheapest_option(options, cfg)
+    """The cheapest option per order (or shipment)."""
+    if not star.plants_priced():
+        options = carrier_options(star.shipments, star.fact_freight_rates, star.dim_plant, cfg, guarded=guarded)
+        return cheapest_option(options, cfg)
+    envelopes, levels = star.envelopes(cfg, cfg.guarded if guarded is None else guarded)
+    options = cheapest_options(star.shipments, envelopes, levels, star.dim_plant, cfg, guarded=guarded)
+    # an envelope has one piece at a weight: one option per shipment already
+    return options if cfg.grain == "shipment" else cheapest_option(options, cfg)
 
 
 def optimal_assignment(star: Star, cfg: CostConfig) -> DataFrame:

@@ -12,10 +12,13 @@ from __future__ import annotations
 import threading
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.operators import bridges, costmodel, dims, facts
+from haulage.config import CostConfig
+from haulage.functions.intervals import levels_for
+from haulage.operators import bridges, costmodel, dims, envelope, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import app_id, scratch_path
 from haulage.sources.staging import Staging
@@ -23,6 +26,12 @@ from haulage.sources.tables import create_namespace
 from haulage.sources.testdata import ParquetTables, load_staging, order_list
 
 
+# derived from a written table when first asked for, and kept as long as that
+_ENVELOPES: WeakKeyDictionary = WeakKeyDictionary()
+_PRICED: WeakKeyDictionary = WeakKeyDictionary()
+_ENVELOPE_LOCK = threading.Lock()
+
+
 @dataclass(frozen=True)
 class Star:
     clean: Staging | None  # None if the star was opened from its saved tables
@@ -44,6 +53,22 @@ class Star:
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "clean"}
 
+    def envelopes(self, cfg: CostConfig, guarded: bool) -> tuple[DataFrame, list[tuple[int, int]]]:
+        """The lanes' lower envelopes, written once per tariff table and rule, and their levels."""
+        made = _ENVELOPES.setdefault(self.fact_freight_rates, {})
+        key = (guarded, cfg.zero_freight_carrier_key if guarded else None)
+        with _ENVELOPE_LOCK:
+            if key not in made:
+                table = stored(envelope.lane_envelopes(self.fact_freight_rates, cfg.zero_freight_carrier_key, guarded), "envelopes")
+                made[key] = table, levels_for(table, envelope.LANE, "from_weight", "to_weight")
+            return made[key]
+
+    def plants_priced(self) -> bool:
+        """Whether every plant has a cost per unit."""
+        if self.dim_plant not in _PRICED:
+            _PRICED[self.dim_plant] = self.dim_plant.where("cost_per_unit IS NULL").isEmpty()
+        return _PRICED[self.dim_plant]
+
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as parquet and return the written table.
