@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.functions.ordering import asc, first_by
+from haulage.functions.intervals import lookup
 from haulage.functions.keys import scalable_running_sum
 from haulage.functions.pricing import WEIGHT_TYPE, freight_charge_sql, money
-from haulage.operators.costmodel import SHIPMENT_KEYS
+from haulage.operators.costmodel import BAND, SHIPMENT_KEYS, tariff_levels
 from haulage.plans.inefficiency import utilization_label
 from haulage.plans.star import Star, stored
 
@@ -102,50 +103,69 @@ def delivery_performance(star: Star, cfg: CostConfig) -> DataFrame:
 
 # ---------------------------------------------------------------- feasible re-sourcing
 
+WORD = 62  # plants per bitset word
+
+
+def _plant_bits(word: int) -> str:
+    """The plants of a group's rows, as bits of one word."""
+    return (f"coalesce(bit_or(CASE WHEN CAST((plant_key - 1) DIV {WORD} AS INT) = {word} "
+            f"THEN shiftleft(1L, CAST((plant_key - 1) % {WORD} AS INT)) END), 0L)")
+
+
+def _bitsets(bridge: DataFrame, key: str, words: int) -> DataFrame:
+    """One row per ``key`` with the plants of ``bridge`` as bits of ``words`` columns."""
+    return bridge.groupBy(key).agg(*[F.expr(f"{_plant_bits(w)} AS _{key}_{w}") for w in range(words)])
+
+
 def candidate_plants(star: Star) -> DataFrame:
     """(shipment, candidate plant) pairs with the shipment's lines, units and weight: the plant
     stocks every product of the shipment, and a VMI plant serves it only if it lists every one of
     the shipment's customers.
 
-    Built with equi-joins whose fan-out is bounded by plants per product and per customer, so no
-    shipment is ever paired with every plant.
+    Plants are bits: a product has the plants that stock it, a customer those that may serve it
+    (all but the VMI plants that do not list it).  One aggregate over the order lines takes the
+    intersection of all of them, and its bits are the candidates: no line is joined with a plant.
     """
-    lines = star.fact_orders.select(*SHIPMENT_KEYS, "product_id", "customer_id", "unit_quantity", "weight")
+    # bounded by the number of plants: a number of words, and a mask of each
+    top = star.dim_plant.agg(F.max("plant_key")).first()[0] or 1
+    words = -(-top // WORD)
+    masks = star.bridge_plant_customer.agg(*[F.expr(_plant_bits(w)) for w in range(words)]).first()
+    stock = _bitsets(star.bridge_plant_product, "product_key", words)
+    listed = _bitsets(star.bridge_plant_customer, "customer_key", words)
+    lines = (star.fact_orders.select(*SHIPMENT_KEYS, "product_id", "customer_id", "unit_quantity", "weight")
+             .join(stock, F.expr("product_id = product_key"), "left").join(listed, F.expr("customer_id = customer_key"), "left"))
+    full = (1 << WORD) - 1
+    both = [f"bit_and(coalesce(_product_key_{w}, 0L) & (coalesce(_customer_key_{w}, 0L) | {full & ~masks[w]}L)) AS _bits_{w}"
+            for w in range(words)]
     needs = lines.groupBy(*SHIPMENT_KEYS).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("unit_quantity").alias("unit_quantity"),
-        F.sum(F.col("unit_quantity") * F.col("weight")).cast(WEIGHT_TYPE).alias("total_weight"),
-        F.count_distinct("product_id").alias("_products"), F.count_distinct("customer_id").alias("_customers"))
-
-    def matched(attribute: str, bridge: DataFrame, name: str) -> DataFrame:
-        """How many of a shipment's distinct values each plant of the bridge covers."""
-        return (lines.select(*SHIPMENT_KEYS, attribute).distinct().join(bridge, attribute)
-                .groupBy(*SHIPMENT_KEYS, "candidate_plant").agg(F.count(F.lit(1)).alias(name)))
-
-    stocked = matched("product_id", star.bridge_plant_product.select(
-        F.col("plant_key").alias("candidate_plant"), F.col("product_key").alias("product_id")), "_stocked")
-    vmi = star.bridge_plant_customer.select(F.col("plant_key").alias("candidate_plant"),
-                                            F.col("customer_key").alias("customer_id"))
-    listed = matched("customer_id", vmi, "_listed")
-    vmi_plants = vmi.select("candidate_plant").distinct().withColumn("_vmi", F.lit(True))
-    return (stocked.join(needs, SHIPMENT_KEYS).where("_stocked = _products")
-            .join(vmi_plants, "candidate_plant", "left")
-            .join(listed, [*SHIPMENT_KEYS, "candidate_plant"], "left")
-            .where("_vmi IS NULL OR _listed = _customers")
-            .select(*SHIPMENT_KEYS, "candidate_plant", "lines", "unit_quantity", "total_weight"))
-
-
-def priced_options(star: Star, cfg: CostConfig) -> DataFrame:
-    """Every feasible (plant, origin port, carrier tariff) for every shipment, priced, with ``lines``."""
+        F.sum(F.col("unit_quantity") * F.col("weight")).cast(WEIGHT_TYPE).alias("total_weight"), *map(F.expr, both))
+    plants = ", ".join(f"filter(sequence({w * WORD + 1}L, {min(top, (w + 1) * WORD)}L), "
+                       f"k -> shiftright(_bits_{w}, CAST(k - {w * WORD + 1} AS INT)) & 1L = 1L)" for w in range(words))
+    return (needs.where(" OR ".join(f"_bits_{w} <> 0L" for w in range(words)))
+            .selectExpr(*SHIPMENT_KEYS, f"explode(concat({plants})) AS candidate_plant", "lines", "unit_quantity", "total_weight"))
+
+
+def priced_options(star: Star, cfg: CostConfig, cheapest: bool = False) -> DataFrame:
+    """Every feasible (plant, origin port, carrier tariff) for every shipment, priced, with ``lines``.
+
+    ``cheapest``: of every (shipment, plant, origin port) the cheapest tariff alone, read off the
+    lanes' lower envelopes; for callers that rank options by cost.
+    """
     ports = star.bridge_plant_port.select(F.col("plant_key").alias("candidate_plant"),
                                           F.col("port_key").alias("candidate_origin_port"))
     c = candidate_plants(star).join(ports, "candidate_plant")
-    f = star.fact_freight_rates.select(
-        "freight_rate_id", "carrier_key", F.col("origin_port_key").alias("_o"),
-        F.col("destination_port_key").alias("_d"), F.col("service_level").alias("_s"),
-        "min_weight", "max_weight", "rate", "minimum_cost")
-    priced = c.join(f, (c.candidate_origin_port == f._o) & (c.destination_port_id == f._d)
-                    & (c.service_level == f._s)
-                    & c.total_weight.between(f.min_weight, f.max_weight))
+    # a plant without a cost ranks its options by carrier, not by charge
+    if cheapest and star.plants_priced():
+        tariffs, levels = star.envelopes(cfg, guarded=True)
+        band = ("from_weight", "to_weight")
+    else:
+        tariffs, levels, band = star.fact_freight_rates, tariff_levels(star.fact_freight_rates), BAND
+    f = tariffs.select("freight_rate_id", "carrier_key", F.col("origin_port_key").alias("_o"),
+                       F.col("destination_port_key").alias("_d"), F.col("service_level").alias("_s"),
+                       *band, "rate", "minimum_cost")
+    priced = lookup(c, f, levels, [("candidate_origin_port", "_o"), ("destination_port_id", "_d"), ("service_level", "_s")],
+                    "total_weight", *band)
     plants = star.dim_plant.select(F.col("plant_key").alias("candidate_plant"), "cost_per_unit")
     transport = freight_charge_sql("total_weight", "rate", "minimum_cost", "carrier_key",
                                    cfg.zero_freight_carrier_key, guarded=True)
@@ -171,7 +191,7 @@ def _cheapest(opts: DataFrame) -> DataFrame:
 
 def feasible_assignment(star: Star, cfg: CostConfig) -> DataFrame:
     """Cheapest feasible option per shipment (capacity not considered)."""
-    return _cheapest(feasible_options(star, cfg))
+    return _cheapest(priced_options(star, cfg, cheapest=True).drop("lines"))
 
 
 def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
@@ -179,7 +199,7 @@ def utilization_shift(star: Star, cfg: CostConfig) -> DataFrame:
     the capacity questions, so "before" is their ``daily_orders``."""
     before = star.fact_orders.groupBy(F.col("plant_id").alias("plant_key")).agg(
         F.count(F.lit(1)).alias("historical_lines"))
-    after = _cheapest(priced_options(star, cfg)).groupBy(
+    after = _cheapest(priced_options(star, cfg, cheapest=True)).groupBy(
         F.col("candidate_plant").alias("plant_key")).agg(F.sum("lines").alias("assigned_lines"))
     plants = star.dim_plant.select("plant_key", "plant_code", "daily_capacity")
     j = plants.join(before, "plant_key", "left").join(after, "plant_key", "left")
@@ -220,7 +240,7 @@ def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> D
     ``per_day=True`` gives every (plant, day) the full daily capacity.  A shipment whose lines have
     several dates has no day of its own and stays unassigned.
     """
-    options = priced_options(star, cfg).select(
+    options = priced_options(star, cfg, cheapest=True).select(
         *SHIPMENT_KEYS, "candidate_plant", "candidate_origin_port", "candidate_carrier",
         "freight_rate_id", "total_cost", "lines")
     scope = ["candidate_plant"]
@@ -244,7 +264,7 @@ def capacity_assignment(star: Star, cfg: CostConfig, per_day: bool = False) -> D
         turn += 1
         # a plant's room only shrinks: what does not fit now never will
         pairs = pairs.join(capacity, scope).where("lines <= _left").drop("_left")
-        proposals = _proposals(pairs)
+        proposals = stored(_proposals(pairs), "proposals")
         if proposals.isEmpty():
             break
         decided = stored(scalable_running_sum(proposals, "_run", "lines", scope, order).join(capacity, scope)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from haulage.config import CostConfig
 from haulage.operators.costmodel import SHIPMENT_KEYS, shipments
+from haulage.oracle import ASSIGNMENT_ROUNDS
 from haulage.plans import extensions
 from haulage.plans.star import star_for
 
@@ -35,10 +36,12 @@ def test_assignment_invariants(spark, per_day):
     got.unpersist()
 
 
-def test_fixture_has_two_candidate_plants_at_most(spark):
-    """The oracle writes three rounds out; that holds as long as no shipment can ask a third plant."""
+@pytest.mark.parametrize("per_day", [False, True])
+def test_oracle_writes_enough_rounds_out(spark, per_day):
+    """The SQL's last round accepts nothing on the fixture, so no further one would."""
     star = star_for(spark, SF_SMALL, dedup_product=True)
-    assert extensions.candidate_plants(star).groupBy(*SHIPMENT_KEYS).count().agg(F.max("count")).first()[0] <= 2
+    rounds = extensions.capacity_assignment(star, CFG, per_day=per_day).agg(F.max("assignment_round")).first()[0]
+    assert rounds < ASSIGNMENT_ROUNDS
 
 
 def small_star(spark, plants, orders, vmi=(), capacity=1):
@@ -103,6 +106,23 @@ def test_vmi_plant_must_list_every_customer_of_a_shipment(spark):
     assert got == {(1, 1), (1, 3), (2, 1), (2, 2), (2, 3)}
 
 
+def test_candidates_beyond_one_word_of_plants(spark):
+    """150 plants: three words of bits; every second plant is VMI and lists customer 9 alone."""
+    star = small_star(spark, 150, [(1, 5, 1), (2, 9, 1), (3, 9, 1), (3, 5, 1)], vmi=[(p, 9) for p in range(2, 151, 2)])
+    star = replace(star, bridge_plant_product=star.bridge_plant_product.where("plant_key <> 63"))
+    got = {}
+    for r in extensions.candidate_plants(star).collect():
+        got.setdefault(r["order_id"], set()).add(r["candidate_plant"])
+    odd, every = set(range(1, 151, 2)) - {63}, set(range(1, 151)) - {63}
+    assert got == {1: odd, 2: every, 3: odd}
+
+
+def test_a_product_that_no_plant_stocks_has_no_candidates(spark):
+    star = small_star(spark, 2, [(1, 1, 1), (1, 1, 1), (2, 1, 1)])
+    facts = star.fact_orders.withColumn("product_id", F.when(F.col("order_key") == 0, F.lit(7)).otherwise(F.col("product_id")).cast("bigint"))
+    assert {r["order_id"] for r in extensions.candidate_plants(replace(star, fact_orders=facts)).collect()} == {2}
+
+
 def test_utilization_before_is_that_of_the_capacity_question(spark):
     import __spark_entry__ as E
     q = E.queries()
