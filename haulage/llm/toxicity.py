@@ -26,9 +26,10 @@ from haulage.llm.common import col, crc_mod, read_table, written
 POSITIVES, UNLABELLED = 12_000, 24_000
 #: Word hashes kept as features, by the strength of their difference between the two samples.
 FEATURES, LEAST_DOCS, LEAST_Z = 4096, 5, 4.0
-MODELS, STEPS, RATE, SPARSITY, SEED = 3, 600, 0.1, 5e-5, 5
-#: Besides whole words, their first so many letters are features.
-PREFIXES = (4, 5)
+MODELS, STEPS, RATE, SPARSITY, SEED = 5, 600, 0.1, 5e-5, 5
+#: Besides whole words, their first so many letters are features: one beginning per word, since
+#: beginnings of each other would count a single word several times.
+PREFIXES = (4,)
 #: A word: letters only, lower case.
 WORD = r"[^\W\d_]+"
 
@@ -86,7 +87,8 @@ def pick_features(sample: DataFrame) -> np.ndarray:
 
 
 def _rows(sample: DataFrame, features: np.ndarray) -> tuple[tuple, tuple]:
-    """(row, feature, rows) of the toxic and of the unlabelled texts."""
+    """(row, feature, rows) of the toxic and of the unlabelled texts, in the order of their features: the
+    bootstrap counts rows by place, and the order of a table depends on the run."""
 
     def known(batches):
         for batch in batches:
@@ -97,7 +99,7 @@ def _rows(sample: DataFrame, features: np.ndarray) -> tuple[tuple, tuple]:
     table = sample.mapInArrow(known, "toxic boolean, unlabelled boolean, words array<bigint>").toArrow()
 
     def rows(column):
-        chosen = table.filter(table.column(column))["words"].to_pylist()
+        chosen = sorted(table.filter(table.column(column))["words"].to_pylist())
         lengths = np.array([len(c) for c in chosen], np.int64)
         return (np.repeat(np.arange(len(chosen)), lengths), np.array([f for c in chosen for f in c], np.int64), len(chosen))
 

@@ -76,6 +76,19 @@ def test_toxicity_held_out(spark):
     assert right >= 0.85 * sum(t for _, t in held) and right >= 0.85 * sum(p for p, _ in held)
 
 
+def test_toxicity_does_not_depend_on_the_layout(spark):
+    """The same weights to the last bit from other partitions, in another order."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    first = toxicity.learn(docs, labels)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        again = toxicity.learn(docs.repartition(3, "n_chars"), labels.orderBy("quality", "doc_id"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(first[0]) > 50 and first == again
+
+
 def test_unlabelled_positives_do_not_hurt():
     """With a third of the unlabelled texts positive, the corrected risk still separates the classes."""
     rng = np.random.default_rng(0)
