@@ -78,8 +78,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
                     seed: int = SEED) -> DataFrame:
     """All rows and columns of ``vectors`` plus n_links, component_id and kept.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, vectors of another
-    length, and rows with a null key link with nothing: n_links 0, their key as component, kept.
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
+    key link with nothing: n_links 0, their key as component, kept.  Vectors of another length
+    link among themselves alone.
     Rows that repeat a vector are linked vectors like others.  Columns called like the new ones
     are replaced.  An empty table gives an empty result.
     """
@@ -134,6 +135,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all ``embeddings``."""
     return near_duplicates(read_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 

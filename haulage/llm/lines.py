@@ -216,6 +216,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept_c
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all ``documents`` without those that a document with a smaller id holds."""
     out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
