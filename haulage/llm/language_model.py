@@ -1,33 +1,38 @@
-"""Scoring texts with an n-gram model held in Elias-Fano tries.
+"""Scoring texts with a trigram model held in Elias-Fano tries.
 
-Training counts every word (by a 63-bit hash) and every n-gram of all training documents.  The most
+Training counts every word (by a 63-bit hash) and every trigram of all training documents.  The most
 frequent words (at most COUNTED) go to every task, which makes their codes small; any other word is
 coded by its hash.  Nothing is left out for being rare.
 
-The model is cut into shards by the hash of an n-gram's context; their number grows with the corpus.
-Texts are cut into chunks of about CHUNK tokens.  A chunk sends its distinct n-grams, with their counts
-in training texts, to the shards; the task of a shard adds them up, builds the shard's trie and answers
-each chunk with a discounted share and a backoff weight per n-gram; the chunk puts the orders together.
-The driver holds the totals and the frequent words alone.
+The model is cut into shards by the *middle* word of a trigram (a, b, c); a middle word with more than
+HOT occurrences is cut further by its successor c.  So a shard has all trigrams of its pairs (b, c), and
+one message per distinct trigram of a chunk of texts is all that is sent: it carries the trigram's count
+in training texts, and is answered with what the chunk needs for its probability.
 
-A trie has a level per order.  A level holds the successor words of all nodes of the level
-above as one Elias-Fano sequence (a node's words follow the last value of the node before it),
-monotone pointers to each node's range, and shares and backoff weights quantised to 16 bits.
-Words are looked up by successor search within a node's range.
+A shard's trie has three levels of Elias-Fano sequences with monotone pointers: the words c after a
+middle word b, the words a before it, and for every context (a, b) its successors, each written as its
+rank among the successors of b alone (context-relative, so the numbers are small).  A trigram is found by
+successor search of c and a below b, then of c's rank below (a, b).  The levels carry the smoothed masses,
+quantised to 16 bits, and are read through one memory map.  Texts that were held out ask as well:
+their trigrams need not be there.
 
-The probabilities interpolate absolutely discounted counts with the next lower order, down to
-(c + 0.1) / (N + 0.1 (V + 1)); they are rounded down.
+Every order is a Dirichlet mixture with the next lower one, down to (c + 0.1) / (N + 0.1 (V + 1)):
+
+    P(c | b)    = (n(b, c) + KAPPA sqrt(n(b)) P(c)) / (n(b) + KAPPA sqrt(n(b)))
+    P(c | a, b) = (n(a, b, c) + MU P(c | b)) / (n(a, b) + MU)
+
+It needs counts alone, no numbers of distinct successors, and n(a, b) comes with the answer to the
+trigram one word before; that is why a hot middle word can be cut.  Probabilities are rounded down.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +41,17 @@ from haulage.llm.common import col, crc_mod, read_table, written
 from haulage.llm.elias_fano import Sequence, encode
 from haulage.session import scratch_path
 
-ORDER = 3
-#: Words, and n-grams of each higher order, with a smaller share of all tokens than one in so many are
-#: left out: none at any size.  (A smaller VOCABULARY must not exceed COUNTED.)
-VOCABULARY, LEVEL = 1 << 62, 1 << 62
 #: So many words at most, the most frequent, go to every task (hash and count, 16 bytes each).
 COUNTED = 1_000_000
 #: Training tokens per shard of the model.
-SHARD = 1 << 20
-DISCOUNT, ADDED = 0.75, 0.1
-#: Steps of a decimal digit in a quantised logarithm.
-STEPS = 4096
-#: Tokens, or distinct n-grams, handled at once.
+SHARD = 1 << 21
+#: Occurrences of a middle word per part of its trigrams.
+HOT = 1 << 19
+#: MU's logarithm is a whole number of steps, so that an unseen context leaves the lower order as it is.
+ADDED, KAPPA, MU = 0.1, 4.0, 10 ** 0.6
+#: A quantised logarithm: steps of a decimal digit, and the logarithm of code 1 (code 0 is nothing).
+STEPS, LOWEST = 1800, -22.0
+#: Tokens handled at once.
 CHUNK = 1 << 20
 CACHE = 1 << 19
 END = b""
@@ -78,7 +82,7 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def numbered(texts: list[str | None], numbers: Numbers, size: int = CHUNK):
+def numbered(texts: list[str | None], numbers: Numbers, size: int | None = None):
     """(first text, texts, numbers of their tokens, token counts): groups of about ``size`` tokens."""
     start, values, lengths, held = 0, [], [], 0
     for i, text in enumerate(texts):
@@ -86,7 +90,7 @@ def numbered(texts: list[str | None], numbers: Numbers, size: int = CHUNK):
         values.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         lengths.append(len(words))
         held += len(words)
-        if held >= size or i + 1 == len(texts):
+        if held >= (size or CHUNK) or i + 1 == len(texts):
             yield start, i + 1 - start, np.concatenate(values), np.array(lengths)
             start, values, lengths, held = i + 1, [], [], 0
 
@@ -126,17 +130,48 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return written(docs.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
 
 
-class Model:
-    """The trie and the totals; see :func:`train`."""
+def pack(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays as one buffer: a header of names, types and places, then the arrays."""
+    head, body, at = [], [], 0
+    for name, values in arrays.items():
+        raw = np.ascontiguousarray(values).tobytes()
+        head.append(f"{name} {values.dtype.str} {len(values)} {at}")
+        body.append(raw + bytes(-len(raw) % 8))
+        at += len(body[-1])
+    first = "\n".join(head).encode()
+    first += b"\n" + b" " * (-(len(first) + 1) % 8)
+    return len(first).to_bytes(8, "little") + first + b"".join(body)
+
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, vocabulary: int, total: int, distinct: int):
-        #: Hashes of the frequent words, by count, and those sorted with the place of each.
-        self.words, self.counts, self.size = words, counts, vocabulary
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
-        self.total, self.room = total, total + ADDED * (distinct + 1)
-        self.levels: list[dict] = []
-        self.nodes: list[tuple[Sequence, Sequence]] = []
+def unpack(buffer: bytes) -> dict[str, np.ndarray]:
+    """The arrays as views of a memory map of ``buffer`` (anonymous: no file of one machine)."""
+    view = mmap.mmap(-1, len(buffer))
+    view.write(buffer)
+    skip = int.from_bytes(view[:8], "little")
+    arrays = {}
+    for line in view[8:8 + skip].decode().split("\n"):
+        if line.strip():
+            name, kind, count, at = line.split(" ")
+            arrays[name] = np.frombuffer(view, np.dtype(kind), int(count), 8 + skip + int(at))
+    return arrays
+
+
+def _part(arrays: dict, prefix: str) -> dict:
+    return {k[len(prefix):]: v for k, v in arrays.items() if k.startswith(prefix)}
+
+
+class Words:
+    """The frequent words, by count, and the totals of the training tokens."""
+
+    def __init__(self, arrays: dict):
+        self.hashes, self.counts = arrays["words"], arrays["counts"]
+        self.order = np.argsort(self.hashes)
+        self.sorted = self.hashes[self.order]
+        self.total, distinct = (int(x) for x in arrays["totals"])
+        self.room = np.log10(self.total + ADDED * (distinct + 1))
+        #: The word before the end that begins a text.
+        self.nothing = len(self.hashes)
+        self.end = self.number_of(END)
 
     def number_of(self, word: bytes) -> int:
         """Place of a token among the frequent words, or its hash coded below 0."""
@@ -146,58 +181,33 @@ class Model:
             return int(self.order[at])
         return -1 - value
 
-    def open(self) -> None:
-        self.nodes = [(Sequence(_part(x, "p_")), Sequence(_part(x, "w_"))) for x in self.levels]
-
-    def child(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Node of ``word`` below each parent node (-1: none) of the level above."""
-        pointers, successors = self.nodes[level]
-        out = np.full(len(parent), -1, np.int64)
-        some = np.nonzero((parent >= 0) & (word >= 0) & (word < self.size))[0]
-        # each pair is looked up once, and in order, which keeps to few pages of the map
-        pairs, place = np.unique(parent[some] * self.size + word[some], return_inverse=True)
-        above, wanted = np.divmod(pairs, max(self.size, 1))
-        first, stop = pointers.access(above), pointers.access(above + 1)
-        node, full = np.full(len(pairs), -1, np.int64), stop > first
-        first, stop = first[full], stop[full]
-        if len(first):
-            base = np.where(first > 0, successors.access(np.maximum(first - 1, 0)) + 1, 0)
-            found = successors.find(base + wanted[full])
-            node[full] = np.where((found >= first) & (found < stop), found, -1)
-        out[some] = node[place]
-        return out
+    def count_of(self, codes: np.ndarray) -> np.ndarray:
+        """Counts of the frequent words among ``codes``, 0 of all others."""
+        some = (codes >= 0) & (codes < len(self.counts))
+        return np.where(some, self.counts[np.where(some, codes, 0)], 0)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10(counts + ADDED) - np.log10(self.room)
-
-    def grams(self, context: list[np.ndarray], word: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log10 probability of each word (number) after its context (nearest first, -1: none or outside the
-        vocabulary); ``own``: log10 of the lowest order's probability, 0 to leave it out."""
-        value = own
-        for used in range(1, min(ORDER - 1, len(self.levels)) + 1):
-            # the context's node, down from its farthest word
-            node = np.where((context[used - 1] >= 0) & (context[used - 1] < self.size), context[used - 1], -1)
-            for level, back in enumerate(range(used - 2, -1, -1)):
-                node = self.child(level, node, context[back])
-            here, weights = self.levels[used - 1], self.levels[used - 1]["weight"]
-            gram = self.child(used - 1, node, word)
-            value = np.where(node >= 0, value - weights[np.maximum(node, 0)] / STEPS, value)
-            if len(here["prob"]):
-                value = np.where(gram >= 0, here["prob"][np.maximum(gram, 0)] / -STEPS, value)
-        return value
+        return np.log10(counts + ADDED) - self.room
 
 
-def _part(arrays: dict, prefix: str) -> dict:
-    return {k[len(prefix):]: v for k, v in arrays.items() if k.startswith(prefix)}
+def _code(values: np.ndarray, up: bool = False) -> np.ndarray:
+    """Quantised logarithms of masses, rounded down (or up); 0 for no mass."""
+    with np.errstate(divide="ignore"):
+        scaled = (np.log10(values) - LOWEST) * STEPS
+    whole = np.ceil(scaled - 1e-9) if up else np.floor(scaled + 1e-9)
+    return np.where(values > 0, np.clip(whole + 1, 1, 65535), 0).astype(np.uint16)
+
+
+def _mass(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == 0, 0.0, 10 ** ((codes.astype(np.float64) - 1) / STEPS + LOWEST))
 
 
-def _codes(logs: np.ndarray) -> np.ndarray:
-    """Quantised -log10, so that the probability is rounded down."""
-    return np.clip(np.ceil(-logs * STEPS - 1e-9), 0, 65535).astype(np.uint16)
+#: The mass of an unseen context: the prior's weight alone.
+UNSEEN = _code(np.array([MU]), up=True)[0]
 
 
 def _level(node: np.ndarray, word: np.ndarray, above: int) -> dict:
-    """Arrays of a level: word numbers below the ``above`` nodes before, sorted by (node, word)."""
+    """Arrays of a level: numbers below the ``above`` nodes before, sorted by (node, word)."""
     starts = np.searchsorted(node, np.arange(above + 1))
     # a node's words follow the last value of the node before it
     last = np.zeros(above + 1, np.int64)
@@ -207,117 +217,83 @@ def _level(node: np.ndarray, word: np.ndarray, above: int) -> dict:
     return {**{f"p_{k}": v for k, v in encode(starts).items()}, **{f"w_{k}": v for k, v in encode(word + ahead[node]).items()}}
 
 
-def grow(model: Model, grams: np.ndarray, counts: np.ndarray, above: np.ndarray) -> None:
-    """Adds a level: ``grams`` is a sorted matrix of word numbers (one n-gram a row, its context's node
-    exists), ``above`` the counts of the nodes of the level before, by node."""
-    order = grams.shape[1]
-    node = grams[:, 0].astype(np.int64)
-    for level in range(order - 2):
-        node = model.child(level, node, grams[:, level + 1])
-    word = grams[:, -1].astype(np.int64)
-    kept = np.bincount(node, counts - DISCOUNT, len(above))
-    weight = np.log10(np.maximum(1 - kept / np.maximum(above, 1), 1e-15))
-    context = [grams[:, order - 2 - back].astype(np.int64) for back in range(order - 1)]
-    lower = model.grams(context[:-1], word, model.base(model.counts[word]))
-    prob = np.log10((counts - DISCOUNT) / above[node] + 10 ** (weight[node] + lower))
-    model.levels.append({**_level(node, word, len(above)), "prob": _codes(np.minimum(prob, 0)), "weight": _codes(weight)})
-    model.open()
-
-
-def train(docs: DataFrame, words: DataFrame) -> Model:
-    """Model of the texts in ``body`` of ``docs``, whose word counts are ``words``, in one trie over the
-    frequent words: for a corpus that fits one process (:func:`score` cuts it into shards)."""
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total = totals["n"]
-    frequent = words.filter(F.col("n") >= -(-total // COUNTED)).toArrow()
-    hashes, counts = (frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
-    by_count = np.lexsort((hashes, -counts))
-    hashes, counts = hashes[by_count], counts[by_count]
-    model = Model(hashes, counts, int((counts >= -(-total // VOCABULARY)).sum()), total, totals["v"])
-    size, least = model.size, max(1, -(-total // LEVEL))
-    above, kept = counts[:size], None
-    for order in range(2, ORDER + 1):
-        shared, keep = docs.sparkSession.sparkContext.broadcast(pack(model)), kept
-
-        def count(batches, order=order, keep=keep, shared=shared):
-            model = unpack(shared.value)
-
-            def parts():
-                numbers = Numbers(model.number_of)
-                end = model.number_of(END)
-                for batch in batches:
-                    for _, _, found, lengths in numbered(batch.column("body").to_pylist(), numbers):
-                        # the end before a text is its first context
-                        found = np.insert(found, np.cumsum(lengths) - lengths, end)
-                        begins = np.zeros(len(found), bool)
-                        begins[np.cumsum(lengths + 1) - lengths - 1] = True
-                        known = (found >= 0) & (found < model.size)
-                        good, key = known[:len(found) - order + 1].copy(), found[:len(found) - order + 1]
-                        for k in range(1, order):
-                            part = found[k:len(found) - order + 1 + k]
-                            good &= known[k:len(found) - order + 1 + k] & ~begins[k:len(found) - order + 1 + k]
-                            key = key * model.size + part
-                        key = key[good]
-                        if keep is not None and len(key):  # both shorter parts must have been kept
-                            key = key[np.isin(key // model.size, keep) & np.isin(key % model.size ** (order - 1), keep)]
-                        yield np.unique(key, return_counts=True)
-            yield from _counted(parts())
-
-        found = (docs.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-                 .filter(F.col("n") >= least).toArrow().sort_by("key"))
-        kept, n = (found.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-        shared.unpersist()
-        if not len(kept):
-            break
-        grams = np.column_stack([kept // size ** (order - 1 - k) % size for k in range(order)])
-        grow(model, grams, n, above)
-        above = n
-    return model
-
-
-def pack(model: Model) -> bytes:
-    """The model as one buffer: a header of names, types and places, then the arrays."""
-    arrays = {"words": model.words, "counts": model.counts, "numbers": np.array([model.size, model.total], np.int64), "room": np.array([model.room])}
-    arrays |= {f"{i}.{k}": v for i, level in enumerate(model.levels) for k, v in level.items()}
-    head, body, at = [], [], 0
-    for name, values in arrays.items():
-        raw = np.ascontiguousarray(values).tobytes()
-        head.append(f"{name} {values.dtype.str} {len(values)} {at}")
-        body.append(raw + bytes(-len(raw) % 8))
-        at += len(body[-1])
-    first = "\n".join(head).encode()
-    first += b"\n" + b" " * (-(len(first) + 1) % 8)
-    return len(first).to_bytes(8, "little") + first + b"".join(body)
-
-
-def unpack(buffer: bytes) -> Model:
-    """The model over a memory map of ``buffer``: the file has no name and goes with the process."""
-    with tempfile.TemporaryFile() as file:
-        file.write(buffer)
-        file.flush()
-        view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    skip = int.from_bytes(view[:8], "little")
-    arrays = {}
-    for line in view[8:8 + skip].decode().split("\n"):
-        if line.strip():
-            name, kind, count, at = line.split(" ")
-            arrays[name] = np.frombuffer(view, np.dtype(kind), int(count), 8 + skip + int(at))
-    model = Model(arrays["words"], arrays["counts"], int(arrays["numbers"][0]), int(arrays["numbers"][1]), 0)
-    model.room = float(arrays["room"][0])
-    while f"{len(model.levels)}.prob" in arrays:
-        model.levels.append(_part(arrays, f"{len(model.levels)}."))
-    model.open()
-    return model
-
-
-def _blob(values: np.ndarray) -> bytes:
-    """Integers packed byte by byte: the high bytes of small numbers take next to nothing."""
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
-
-
-def _unblob(raw: bytes, kind=np.int64) -> np.ndarray:
-    flat = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(flat.T).view(kind).ravel()
+def grow(middle: np.ndarray, after: np.ndarray, before: np.ndarray, counts: np.ndarray, totals: np.ndarray, nothing: int) -> dict:
+    """Levels of a trie: distinct trigrams as numbers of their words, sorted by (middle, after, before), with
+    their counts; ``totals``: occurrences of every middle word, by number; ``nothing``: the number (or -1) of
+    the word before the end that begins a text, which is no context."""
+    heads, parent = np.unique(middle, return_inverse=True)
+    first = np.ones(len(middle), bool)
+    first[1:] = (middle[1:] != middle[:-1]) | (after[1:] != after[:-1])
+    pair = np.cumsum(first) - 1
+    found, above = np.bincount(pair, counts), parent[first]
+    alpha = KAPPA * np.sqrt(totals[heads])
+    share = MU * found / (totals[heads] + alpha)[above]
+    rank = pair - np.searchsorted(above, np.arange(len(heads)))[parent]
+    real = np.nonzero(before != nothing)[0]
+    size = int(before.max()) + 1
+    contexts, context = np.unique(parent[real] * size + before[real], return_inverse=True)
+    by = np.lexsort((rank[real], context))
+    levels = {"after": _level(above, after[first], len(heads)), "before": _level(contexts // size, contexts % size, len(heads)),
+              "gram": _level(context[by], rank[real][by], len(contexts))}
+    return {"heads": heads, "rest": _code(MU * alpha / (totals[heads] + alpha)), "pair": _code(share), "room": _code(found + MU, up=True),
+            "mass": _code(counts[real][by] + share[pair[real][by]]), **{f"{n}.{k}": v for n, level in levels.items() for k, v in level.items()}}
+
+
+class Trie:
+    """Questions to the levels of :func:`grow`, read through a memory map."""
+
+    def __init__(self, buffer: bytes):
+        self.arrays = unpack(buffer)
+        self.levels = {n: (Sequence(_part(self.arrays, f"{n}.p_")), Sequence(_part(self.arrays, f"{n}.w_"))) for n in ("after", "before", "gram")}
+
+    def child(self, level: str, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Node of ``word`` below each parent node (-1: none), and its rank there."""
+        pointers, successors = self.levels[level]
+        node, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
+        some = np.nonzero((parent >= 0) & (word >= 0))[0]
+        first, stop = pointers.access(parent[some]), pointers.access(parent[some] + 1)
+        full = stop > first
+        some, first, stop = some[full], first[full], stop[full]
+        if len(some):
+            base = np.where(first > 0, successors.access(np.maximum(first - 1, 0)) + 1, 0)
+            found = successors.find(base + word[some])
+            hit = (found >= first) & (found < stop)
+            node[some[hit]], rank[some[hit]] = found[hit], (found - first)[hit]
+        return node, rank
+
+    def masses(self, middle: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes per trigram, sorted by (middle, after, before), -1 for an unknown word: its mass without the part
+        of P(c), the weight of that part, and n(b, c) + MU for the next trigram."""
+        heads = self.arrays["heads"]
+        at = np.minimum(np.searchsorted(heads, middle), len(heads) - 1)
+        parent = np.where(heads[at] == middle, at, -1)
+        first = np.ones(len(middle), bool)
+        first[1:] = (middle[1:] != middle[:-1]) | (after[1:] != after[:-1])
+        pair = np.cumsum(first) - 1
+        node, rank = (x[pair] for x in self.child("after", parent[first], after[first]))
+        size = int(max(before.max(), 0)) + 2
+        contexts, place = np.unique((parent + 1) * size + before + 1, return_inverse=True)
+        context = self.child("before", contexts // size - 1, contexts % size - 1)[0][place]
+        gram, _ = self.child("gram", context, rank)
+        mass = np.where(node >= 0, self.arrays["pair"][np.maximum(node, 0)], 0)
+        if len(self.arrays["mass"]):
+            mass = np.where(gram >= 0, self.arrays["mass"][np.maximum(gram, 0)], mass)
+        rest = np.where(parent >= 0, self.arrays["rest"][np.maximum(parent, 0)], _code(np.array([MU]))[0])
+        room = np.where(node >= 0, self.arrays["room"][np.maximum(node, 0)], UNSEEN)
+        return mass.astype(np.uint16), rest.astype(np.uint16), room.astype(np.uint16)
+
+
+def _blob(*columns: np.ndarray) -> bytes:
+    """Columns of one type and length packed byte by byte: the high bytes of small numbers take next to nothing."""
+    rows = np.stack(columns)
+    planes = rows.view(np.uint8).reshape(*rows.shape, rows.itemsize).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unblob(raw: bytes, kind=np.int64, columns: int = 1) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(columns, np.dtype(kind).itemsize, -1)
+    out = np.ascontiguousarray(flat.transpose(0, 2, 1)).view(kind).reshape(columns, -1)
+    return out if columns > 1 else out[0]
 
 
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,90 +308,66 @@ def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndar
     return first, place
 
 
-def _asked(found: np.ndarray, lengths: np.ndarray, end: int):
-    """Per order: the tokens that have an n-gram, the distinct n-grams (columns of codes) and each token's
-    place among them.  Order 1 has the words that are not frequent."""
+def _asked(found: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct trigrams that end at the tokens, as codes (middle, after, before), in order, and each
+    token's place among them."""
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(found)) - np.repeat(starts, lengths)
-    # the end before a text is its first context
-    row = np.insert(found, starts, end)
-    at = np.arange(len(found)) + np.repeat(np.arange(len(lengths)), lengths) + 1
+    # a text begins with the end after nothing
+    row = np.insert(found, np.repeat(starts, 2), np.tile([words.nothing, words.end], len(lengths)))
+    at = np.arange(len(found)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 2
     codes, local = np.unique(row, return_inverse=True)
-    for order in range(1, ORDER + 1):
-        who = np.nonzero(place >= order - 2 if order > 1 else found < 0)[0]
-        columns = [local[at[who] - back] for back in range(order - 1, -1, -1)]
-        first, spot = _distinct(columns, len(codes))
-        yield order, who, [codes[c[first]] for c in columns], spot
+    columns = [local[at - 1], local[at], local[at - 2]]
+    first, spot = _distinct(columns, len(codes))
+    return [codes[c[first]] for c in columns], spot
 
 
-def _shards_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
-    """Shard by the hash of the context; of the word itself in order 1."""
-    mixed = np.zeros(len(columns[0]), np.uint64)
-    for column in columns[:-1] or columns:
-        mixed = (mixed ^ column.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(32)
-    return (mixed % np.uint64(shards)).astype(np.int64)
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    mixed = codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ mixed >> np.uint64(32)
 
 
-def _by_shard(columns: list[np.ndarray], shards: int):
-    """(shard, indexes of its rows, in order)."""
-    shard = _shards_of(columns, shards)
+def _by_shard(columns: list[np.ndarray], words: Words, shards: int):
+    """(shard, indexes of its trigrams, in order): by the middle word, a hot one by its successor too."""
+    middle, after = columns[:2]
+    mixed, parts = _mixed(middle), words.count_of(middle) // HOT
+    part = (_mixed(after) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+    mixed = np.where(parts > 1, _mixed(mixed.view(np.int64) ^ part), mixed)
+    shard = (mixed % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     cuts = np.nonzero(np.diff(shard[by]))[0] + 1
-    for part in np.split(by, cuts) if len(by) else ():
-        yield int(shard[part[0]]), part
+    for rows in np.split(by, cuts) if len(by) else ():
+        yield int(shard[rows[0]]), rows
 
 
-def _answers(order: int, columns: list[np.ndarray], counts: np.ndarray, size: int | None, least: int) -> tuple[np.ndarray, ...]:
-    """Of every row (an n-gram and a count): the share of its n-gram and the weight of its context, as codes
-    (of a word its count), by the trie of all rows; a share of 65535 is none."""
-    codes, local = np.unique(np.concatenate(columns), return_inverse=True)
-    local = np.split(local, order)
-    first, place = _distinct(local, len(codes))
-    n = np.zeros(len(first), np.int64)
-    np.add.at(n, place, counts)
-    if order == 1:
-        return n[place], np.zeros(len(place), np.uint16)
-    grams = [c[first] for c in local]
-    seen, kept = n > 0, n >= least
-    if size is not None:
-        for c in grams:
-            kept &= (codes[c] >= 0) & (codes[c] < size)
-    if not kept.any():
-        return np.full(len(place), 65535, np.uint16), np.zeros(len(place), np.uint16)
-    model = Model(codes, np.zeros(len(codes), np.int64), len(codes), 0, 0)
-    node, parents = grams[0], len(codes)
-    if order > 2:  # the levels above: contexts, down from their farthest word
-        heads = [c[seen] for c in grams[:-1]]
-        head, _ = _distinct(heads, len(codes))
-        heads = [c[head] for c in heads]
-        above = heads[0]
-        for word in heads[1:]:
-            pair, spot = _distinct([above, word], max(parents, len(codes)))
-            model.levels.append(_level(above[pair], word[pair], parents))
-            above, parents = spot, len(pair)
-        model.open()
-        for level, word in enumerate(grams[1:-1]):
-            node = model.child(level, node, word)
-    total = np.bincount(node[seen], n[seen], parents)
-    mass = np.bincount(node[kept], n[kept] - DISCOUNT, parents)
-    weight = _codes(np.log10(np.maximum(1 - mass / np.maximum(total, 1), 1e-15)))
-    share = _codes(np.log10((n[kept] - DISCOUNT) / total[node[kept]]))
-    model.levels.append(_level(node[kept], grams[-1][kept], parents))
-    model.open()
-    gram = model.child(order - 2, node, grams[-1])
-    shares = np.full(len(first), 65535, np.uint16)
-    shares[gram >= 0] = share[gram[gram >= 0]]
-    weights = np.where(node >= 0, weight[np.maximum(node, 0)], 0).astype(np.uint16)
-    return shares[place], weights[place]
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """Where a sorted column has a new value."""
+    return np.nonzero(np.diff(values, prepend=values[:1] - 1))[0]
 
 
-def _scored(docs: DataFrame) -> DataFrame:
-    """Scores of the rows (doc, body, train, ask) with ``ask``, learned from those with ``train``."""
-    context = docs.sparkSession.sparkContext
-    words = word_counts(docs.filter("train").select("body"))
+def _answers(columns: list[np.ndarray], counts: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
+    """Of every row (a trigram and its count in a chunk): the codes of :meth:`Trie.masses`, by the trie of the rows
+    that training texts have, and the occurrences of its middle word (in training texts)."""
+    codes, local = np.unique(np.concatenate(columns), return_inverse=True)
+    local = np.split(local, 3)
+    first, place = _distinct(local, len(codes))
+    n = np.bincount(place, counts, len(first))
+    middle, after, before = (c[first] for c in local)
+    known = words.count_of(codes)
+    totals = np.where(codes >= 0, known, np.bincount(middle, n, len(codes)))
+    seen = n > 0
+    if seen.any():
+        nothing = np.searchsorted(codes, words.nothing)
+        trie = Trie(pack(grow(middle[seen], after[seen], before[seen], n[seen], totals, int(nothing))))
+        out = trie.masses(middle, after, before)
+    else:
+        out = tuple(np.full(len(first), x, np.uint16) for x in (0, _code(np.array([MU]))[0], UNSEEN))
+    return *(x[place] for x in out), totals[middle][place].astype(np.int64)
+
+
+def _frequent(words: DataFrame) -> dict[str, np.ndarray]:
+    """The most frequent words, at most COUNTED, and the end, by count, with the totals."""
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, least = totals["n"], max(1, -(-totals["n"] // LEVEL))
     # the least count that at most COUNTED words reach
     reach, lowest = 0, 1
     for row in words.groupBy("n").count().orderBy(F.desc("n")).limit(COUNTED).toLocalIterator():
@@ -423,19 +375,24 @@ def _scored(docs: DataFrame) -> DataFrame:
         if reach > COUNTED:
             lowest = row["n"] + 1
             break
-    frequent = words.filter(F.col("n") >= lowest).toArrow()
-    hashes, counts = (frequent.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+    end = hash_of(END)
+    found = words.filter((F.col("n") >= lowest) | (F.col("word") == end)).toArrow()
+    hashes, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("word", "n"))
+    if not len(hashes):  # nothing to learn from
+        hashes, counts = np.array([end]), np.zeros(1, np.int64)
     by_count = np.lexsort((hashes, -counts))
-    hashes, counts = hashes[by_count], counts[by_count]
-    if not len(hashes):  # nothing to learn from: the base alone
-        hashes, counts = np.array([hash_of(END)]), np.zeros(1, np.int64)
-    rarest = -(-total // VOCABULARY)
-    size = int((counts >= rarest).sum()) if rarest > 1 else None
-    shared = context.broadcast(pack(Model(hashes, counts, 0, total, totals["v"])))
+    return {"words": hashes[by_count], "counts": counts[by_count], "totals": np.array([totals["n"], totals["v"]], np.int64)}
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    """Scores of the rows (doc, body, train, ask) with ``ask``, learned from those with ``train``."""
+    table = _frequent(word_counts(docs.filter("train").select("body")))
+    total = int(table["totals"][0])
+    shared = docs.sparkSession.sparkContext.broadcast(pack(table))
     shards = max(1, -(-total // SHARD))
 
     def cut(batches):
-        numbers = Numbers(unpack(shared.value).number_of)
+        numbers = Numbers(Words(unpack(shared.value)).number_of)
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             train, ask = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "ask"))
@@ -458,66 +415,71 @@ def _scored(docs: DataFrame) -> DataFrame:
     chunks = docs.sparkSession.read.schema(schema).parquet(path)
 
     def send(batches):
-        end = unpack(shared.value).number_of(END)
+        words = Words(unpack(shared.value))
         for batch in batches:
-            for row in batch.select(["chunk", "found", "lengths", "flags"]).to_pylist():
-                found, lengths, flags = _unblob(row["found"]), _unblob(row["lengths"]), _unblob(row["flags"], np.uint8)
-                trained, ask = np.repeat(flags & 1, lengths), bool((flags & 2).any())
-                for order, who, columns, spot in _asked(found, lengths, end):
-                    n = np.bincount(spot, trained[who], len(columns[0])).astype(np.int64)
-                    rows = [(order, shard, row["chunk"], ask, _blob(np.concatenate([c[part] for c in columns])), _blob(n[part]))
-                            for shard, part in _by_shard(columns, shards)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))],
-                            names=["ord", "shard", "chunk", "ask", "grams", "n"])
-
-    def answer(table):
-        order = table.column("ord")[0].as_py()
-        grams = [np.split(_unblob(x.as_py()), order) for x in table.column("grams")]
-        counts = np.concatenate([_unblob(x.as_py()) for x in table.column("n")])
-        shares, weights = _answers(order, [np.concatenate([g[k] for g in grams]) for k in range(order)], counts, size, least)
-        ends = np.cumsum([len(g[0]) for g in grams])
-        ask = table.column("ask").to_pylist()
-        rows = [(table.column("chunk")[i].as_py(), order, table.column("shard")[i].as_py(),
-                 _blob(shares[stop - len(grams[i][0]):stop]), _blob(weights[stop - len(grams[i][0]):stop]))
-                for i, stop in enumerate(ends) if ask[i]]
+            for i in range(batch.num_rows):
+                found, lengths, flags = (_unblob(batch.column(c)[i].as_py(), t) for c, t in (("found", np.int64), ("lengths", np.int64), ("flags", np.uint8)))
+                columns, spot = _asked(found, lengths, words)
+                n = np.bincount(spot, np.repeat(flags & 1, lengths), len(columns[0])).astype(np.int64)
+                chunk, ask = batch.column("chunk")[i].as_py(), bool((flags & 2).any())
+                for shard, rows in _by_shard(columns, words, shards):
+                    grams = [c[rows] for c in columns]
+                    # the sorted middle words go as steps
+                    grams[0] = np.diff(grams[0], prepend=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int64()), pa.array([chunk], pa.int64()), pa.array([ask]), pa.array([_blob(*grams, n[rows])], pa.binary())],
+                        names=["shard", "chunk", "ask", "grams"])
+
+    def answer(asked):
+        words = Words(unpack(shared.value))
+        rows = [_unblob(x.as_py(), np.int64, 4) for x in asked.column("grams")]
+        columns = [np.concatenate([np.cumsum(r[0]) for r in rows]), *[np.concatenate([r[k] for r in rows]) for k in (1, 2, 3)]]
+        ends = np.cumsum([r.shape[1] for r in rows])
+        del rows
+        mass, rest, room, totals = _answers(columns[:3], columns[3], words)
+        chunk, ask, out = asked.column("chunk").to_pylist(), asked.column("ask").to_pylist(), []
+        for i, (start, stop) in enumerate(zip([0, *ends[:-1]], ends)):
+            if ask[i]:
+                # weights and counts belong to the middle word
+                heads = start + _first_of(columns[0][start:stop])
+                out.append((chunk[i], asked.column("shard")[0].as_py(), _blob(mass[start:stop], room[start:stop]), _blob(rest[heads]), _blob(totals[heads])))
         return pa.Table.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-            names=["chunk", "ord", "shard", "share", "weight"])
+            [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+            names=["chunk", "shard", "codes", "rest", "totals"])
 
-    answered = (chunks.mapInArrow(send, "ord int, shard bigint, chunk bigint, ask boolean, grams binary, n binary")
-                .groupBy("ord", "shard").applyInArrow(answer, "chunk bigint, ord int, shard bigint, share binary, weight binary"))
+    answered = (chunks.mapInArrow(send, "shard bigint, chunk bigint, ask boolean, grams binary")
+                .groupBy("shard").applyInArrow(answer, "chunk bigint, shard bigint, codes binary, rest binary, totals binary"))
 
     def finish(chunk, answers):
-        model = unpack(shared.value)
-        room = np.log10(model.room)
-        got = {}
-        for row in answers.to_pylist():
-            kind = np.int64 if row["ord"] == 1 else np.uint16
-            got[row["ord"], row["shard"]] = _unblob(row["share"], kind), _unblob(row["weight"], np.uint16)
+        words = Words(unpack(shared.value))
+        got = {row["shard"]: row for row in answers.to_pylist()}
         parts = []
         for i in range(chunk.num_rows):
             found, lengths, flags = (_unblob(chunk.column(c)[i].as_py(), t) for c, t in (("found", np.int64), ("lengths", np.int64), ("flags", np.uint8)))
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            count = np.where(found >= 0, model.counts[np.maximum(found, 0)], 0)
-            prob = None
-            if (flags & 2).any():
-                for order, who, columns, spot in _asked(found, lengths, model.number_of(END)):
-                    shares, weights = np.zeros(len(columns[0]), np.int64), np.zeros(len(columns[0]), np.int64)
-                    for shard, part in _by_shard(columns, shards):
-                        shares[part], weights[part] = got[order, shard]
-                    if order == 1:
-                        count[who] = shares[spot]
-                        prob = 10 ** (np.log10(count + ADDED) - room)
-                    else:
-                        share = np.where(shares == 65535, 0.0, 10 ** (shares / -STEPS))
-                        prob[who] = share[spot] + 10 ** (weights[spot] / -STEPS) * prob[who]
-            else:
-                prob = np.ones(len(found))
             keep = np.nonzero(flags & 2)[0]
+            text = np.repeat(np.arange(len(lengths)), lengths)
+            count, prob = words.count_of(found), np.ones(len(found))
+            if len(keep):
+                columns, spot = _asked(found, lengths, words)
+                codes = np.zeros((3, len(columns[0])), np.uint16)
+                rare, occurrences = [], []
+                for shard, rows in _by_shard(columns, words, shards):
+                    codes[:2, rows] = _unblob(got[shard]["codes"], np.uint16, 2)
+                    heads = _first_of(columns[0][rows])
+                    codes[2, rows] = np.repeat(_unblob(got[shard]["rest"], np.uint16), np.diff(heads, append=len(rows)))
+                    known = columns[0][rows][heads]
+                    rare.append(known[known < 0])
+                    occurrences.append(_unblob(got[shard]["totals"])[known < 0])
+                # a word that is not frequent has its count from the trigram it is the middle of
+                rare, occurrences = np.concatenate(rare), np.concatenate(occurrences)
+                by, who = np.argsort(rare), np.nonzero(found < 0)[0]
+                count[who] = occurrences[by][np.searchsorted(rare[by], found[who])]
+                mass, room, rest = codes[:, spot]
+                room = np.insert(room[:-1], 0, UNSEEN)
+                room[np.cumsum(lengths) - lengths] = UNSEEN
+                prob = (_mass(mass) + _mass(rest) * 10 ** words.base(count)) / _mass(room)
             sums = [lengths, np.bincount(text, count > 0, len(lengths)).astype(np.int64),
-                    np.bincount(text, np.log10(count + ADDED) - room, len(lengths)), np.bincount(text, np.log10(prob), len(lengths))]
+                    np.bincount(text, words.base(count), len(lengths)), np.bincount(text, np.log10(prob), len(lengths))]
             parts.append(pa.Table.from_arrays(
                 [chunk.column("doc").combine_chunks()[i].values.take(pa.array(keep)), *[pa.array(x[keep]) for x in sums]],
                 names=["doc", "n_tokens", "n_known", "base_score", "score"]))

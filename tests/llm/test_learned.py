@@ -144,31 +144,27 @@ class Reference:
         self.count = Counter(w for x in lists for w in x)
         self.n = sum(self.count.values())
         self.room = self.n + 0.1 * (len(self.count) + 1)
-        vocabulary = {w for w, c in self.count.items() if c >= -(-self.n // language_model.VOCABULARY)}
-        self.grams = {}
-        for order in (2, 3):
-            found = Counter(g for x in lists for g in zip(*([b"", *x][k:] for k in range(order))) if set(g) <= vocabulary)
-            self.grams |= {g: c for g, c in found.items() if c >= max(1, -(-self.n // language_model.LEVEL))}
-        kept = defaultdict(float)
-        for g, c in self.grams.items():
-            kept[g[:-1]] += c - 0.75
-        self.context = {h: self.grams[h] if len(h) > 1 else self.count[h[0]] for h in [(w,) for w in vocabulary] + [g for g in self.grams if len(g) == 2]}
-        self.weight = {h: 1 - kept[h] / c for h, c in self.context.items()}
+        self.pairs = Counter(g for x in lists for g in zip([b"", *x], x))
+        self.grams = Counter(g for x in lists for g in zip([b"", *x], x, x[1:]))
 
     def base(self, w):
         return (self.count[w] + 0.1) / self.room
 
-    def prob(self, h, w):
-        if not h:
-            return self.base(w)
-        low = self.prob(h[1:], w)
-        if h not in self.context:
-            return low
-        return self.weight[h] * low + max(0, self.grams.get((*h, w), 0) - 0.75) / self.context[h]
+    def second(self, b, c):
+        weight = 4 * math.sqrt(self.count[b])
+        return (self.pairs[b, c] + weight * self.base(c)) / (self.count[b] + weight) if self.count[b] else self.base(c)
+
+    def prob(self, a, b, c):
+        return (self.grams[a, b, c] + language_model.MU * self.second(b, c)) / (self.pairs[a, b] + language_model.MU)
 
     def score(self, text):
-        x = [b"", *language_model.tokens(text)]
-        return sum(math.log10(self.prob(tuple(x[max(0, k - 2):k]), x[k])) for k in range(1, len(x)))
+        x = language_model.tokens(text)
+        return math.log10(self.second(b"", x[0])) + sum(math.log10(self.prob(*g)) for g in zip([b"", *x], x, x[1:]))
+
+
+def close_to(exact, text, score):
+    # each token's probability is rounded down, in its mass, its prior's weight and its context
+    return exact - 3 * len(language_model.tokens(text)) / language_model.STEPS - 1e-6 <= score <= exact + 1e-6
 
 
 def check_model(spark, docs, train):
@@ -179,9 +175,7 @@ def check_model(spark, docs, train):
         words = language_model.tokens(text)
         assert (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (key, len(words), sum(ref.count[w] > 0 for w in words), ref.n)
         assert r["base_score"] == pytest.approx(sum(math.log10(ref.base(w)) for w in words), abs=1e-7)
-        # each token's probability is rounded down, by at most two weights and one probability
-        exact = ref.score(text)
-        assert exact - 3 * len(words) / language_model.STEPS - 1e-6 <= r["score"] <= exact + 1e-6
+        assert close_to(ref.score(text), text, r["score"])
     return ref
 
 
@@ -196,39 +190,91 @@ def test_model_matches_brute_force(spark):
     check_model(spark, docs, docs[:70])
 
 
-def test_model_with_cut_vocabulary_and_levels(spark, monkeypatch):
-    monkeypatch.setattr(language_model, "VOCABULARY", 60)
-    monkeypatch.setattr(language_model, "COUNTED", 150)
-    monkeypatch.setattr(language_model, "LEVEL", 300)
+def test_model_with_few_frequent_words_and_many_shards(spark, monkeypatch):
+    # most words are coded by their hashes and have their counts from the shards
+    for name, value in (("COUNTED", 5), ("SHARD", 200), ("CHUNK", 500)):
+        monkeypatch.setattr(language_model, name, value)
     docs = sentences(120, 2)
-    ref = check_model(spark, docs, docs[:110])
-    assert 0 < len([g for g in ref.grams if len(g) == 2]) <= 300 and len(ref.context) < 400
+    check_model(spark, docs, docs[:100])
 
 
 def test_rare_words_and_n_grams_count_in_a_large_corpus(spark, monkeypatch):
     # 150,000 tokens and more: words and n-grams seen once have less than 1/100,000 of them
     docs = sentences(60, 4) + [(1000 + i, "the cat of a " * 1500) for i in range(25)] + [(2000, "seldom met words"), (2001, "seldom met words here")]
-    monkeypatch.setattr(language_model, "SHARD", 20_000, raising=False)
-    with monkeypatch.context() as whole:
-        whole.setattr(language_model, "VOCABULARY", 1 << 62)
-        whole.setattr(language_model, "LEVEL", 1 << 62)
-        ref = Reference([t for _, t in docs[:-1]])
+    monkeypatch.setattr(language_model, "SHARD", 20_000)
+    ref = check_model(spark, docs, docs[:-1])
     assert ref.n > 150_000
-    out = {r["doc_id"]: r["score"] for r in language_model.score(documents(spark, docs), documents(spark, docs[:-1])).collect()}
-    for key, text in docs:
-        exact = ref.score(text)
-        assert exact - 3 * len(language_model.tokens(text)) / language_model.STEPS - 1e-6 <= out[key] <= exact + 1e-6
-
-
-def test_probabilities_sum_to_one_at_most(spark):
-    docs = sentences(60, 3)
-    train = documents(spark, docs).select(F.col("text").alias("body"))
-    words = language_model.word_counts(train)
-    model = language_model.unpack(language_model.pack(language_model.train(train, words)))
-    every = np.arange(len(model.words))
-    for context in ([0, 1], [1, 0], [2, -1], [-1, -1], [int(every[-1]), 0]):
-        total = 10 ** model.grams([np.full(len(every), c) for c in context], every, model.base(model.counts[every]))
-        assert 0.97 < total.sum() <= 1.0
+
+
+def follows():
+    rng = random.Random(5)
+    return [(i, " ".join(f"w{rng.randrange(400)} hub" for _ in range(100))) for i in range(30)]
+
+
+def test_a_word_after_which_everything_follows_is_cut(spark, monkeypatch):
+    for name, value in (("HOT", 100), ("SHARD", 400), ("CHUNK", 1000)):
+        monkeypatch.setattr(language_model, name, value)
+    docs = follows()
+    ref = check_model(spark, docs, docs[:25])
+    table = {"words": np.array([7, 5, language_model.hash_of(b"")]), "counts": np.array([ref.count[b"hub"], 1, 25]), "totals": np.array([ref.n, 3])}
+    words = language_model.Words(table)
+    after, middle = np.arange(-400, 0), np.zeros(400, np.int64)
+    parts = [len(rows) for _, rows in language_model._by_shard([middle, after, after], words, 50)]
+    assert len(parts) > 10 and max(parts) < 100 and sum(parts) == 400
+    assert len(list(language_model._by_shard([middle + 1, after, after], words, 50))) == 1
+
+
+def test_scores_come_from_the_trie(spark, monkeypatch):
+    docs = sentences(40, 6)
+    ref = Reference([t for _, t in docs[:30]])
+    found = language_model.Trie.child
+
+    def blind(self, level, parent, word):
+        node, rank = found(self, level, parent, word)
+        return (node, rank) if level != "gram" else (node * 0 - 1, rank)
+
+    monkeypatch.setattr(language_model.Trie, "child", blind)
+    out = {r["doc_id"]: r["score"] for r in language_model.score(documents(spark, docs), documents(spark, docs[:30])).collect()}
+    assert sum(not close_to(ref.score(t), t, out[k]) for k, t in docs) > 20
+
+
+def trie(texts):
+    """The trie of all trigrams of the texts, the reference model, and the words by number."""
+    ref = Reference(texts)
+    words = sorted(ref.count) + [None]
+    number = {w: i for i, w in enumerate(words)}
+    grams = ref.grams + Counter({(None, b"", c): n for (b, c), n in ref.pairs.items() if b == b""})
+    rows = np.array(sorted((number[b], number[c], number[a], n) for (a, b, c), n in grams.items()))
+    totals = np.array([ref.count[w] if w is not None else 0 for w in words])
+    levels = language_model.grow(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], totals, len(words) - 1)
+    return language_model.Trie(language_model.pack(levels)), ref, words
+
+
+def test_trie_answers_trigrams_it_does_not_hold():
+    held, ref, words = trie([t for _, t in sentences(60, 3)])
+    rng = np.random.default_rng(0)
+    asked = np.unique(rng.integers(0, len(words) - 1, (5000, 3)), axis=0)
+    middle, after, before = asked.T
+    mass, rest, room = (language_model._mass(x) for x in held.masses(middle, after, before))
+    missing = 0
+    for b, c, a, m, r, z in zip(middle, after, before, mass, rest, room):
+        a, b, c = words[a], words[b], words[c]
+        want = ref.grams[a, b, c] + language_model.MU * ref.second(b, c)
+        missing += not ref.grams[a, b, c]
+        assert want * 10 ** (-2.1 / language_model.STEPS) <= m + r * ref.base(c) <= want * (1 + 1e-9)
+        full = ref.pairs[b, c] + language_model.MU
+        assert full <= z * (1 + 1e-9) and z <= full * 10 ** (1.1 / language_model.STEPS)
+    assert missing > 1000
+
+
+def test_probabilities_sum_to_one_at_most():
+    held, ref, words = trie([t for _, t in sentences(60, 3)])
+    every = np.arange(len(words) - 1)
+    base = np.array([ref.base(w) for w in words[:-1]])
+    for a, b in ((1, 2), (2, 1), (0, 3), (len(words) - 1, 0), (5, 200), (200, 5)):
+        mass, rest, _ = held.masses(np.full(len(every), b), every, np.full(len(every), a))
+        total = (language_model._mass(mass) + language_model._mass(rest) * base).sum() / (ref.pairs[words[a], words[b]] + language_model.MU)
+        assert 0.97 < total <= 1.0
 
 
 def test_model_edge_cases(spark):
