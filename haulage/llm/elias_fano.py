@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
+#: Values decoded at once for sorted questions.
+BLOCK = 1 << 16
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,3 +90,42 @@ class Sequence:
             start = np.where(less, middle + 1, start)
         hit = (start < stop) & (self._low(np.minimum(start, self.n - 1)) == wanted)
         return np.where(hit, start, -1)
+
+    def decoded(self, start: int, stop: int) -> np.ndarray:
+        """The values at ``start`` to ``stop`` - 1."""
+        if stop <= start:
+            return np.zeros(0, np.int64)
+        first = int(np.searchsorted(self.ones, start, "right")) - 1
+        last = int(np.searchsorted(self.ones, stop, "left"))
+        place = np.flatnonzero(np.unpackbits(self.words[first:last].view(np.uint8), bitorder="little"))
+        skip = start - int(self.ones[first])
+        high = place[skip:skip + stop - start] + (first * 64 - start) - np.arange(stop - start)
+        return (high << self.width) + self._low(np.arange(start, stop))
+
+    def read(self, at: np.ndarray) -> np.ndarray:
+        """Values at sorted indexes."""
+        if len(at) * 64 < self.n:
+            return self.access(at)
+        out, i = np.empty(len(at), np.int64), 0
+        while i < len(at):
+            start = int(at[i])
+            j = int(np.searchsorted(at, start + BLOCK))
+            out[i:j] = self.decoded(start, int(at[j - 1]) + 1)[at[i:j] - start]
+            i = j
+        return out
+
+    def seek(self, values: np.ndarray) -> np.ndarray:
+        """:meth:`find` for sorted values."""
+        if len(values) * 64 < self.n or not self.n:
+            return self.find(values)
+        starts = np.arange(0, self.n, BLOCK)
+        # values up to a block's last stop in it
+        cuts = np.searchsorted(values, self.access(np.minimum(starts + BLOCK, self.n) - 1), "right")
+        out, i = np.full(len(values), -1, np.int64), 0
+        for start, j in zip(starts.tolist(), cuts.tolist()):
+            if j > i:
+                block = self.decoded(start, min(start + BLOCK, self.n))
+                at = np.searchsorted(block, values[i:j])
+                out[i:j] = np.where(block[at] == values[i:j], start + at, -1)
+                i = j
+        return out

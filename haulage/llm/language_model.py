@@ -44,9 +44,9 @@ from haulage.session import scratch_path
 #: So many words at most, the most frequent, go to every task (hash and count, 16 bytes each).
 COUNTED = 1_000_000
 #: Training tokens per shard of the model.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Occurrences of a middle word per part of its trigrams.
-HOT = 1 << 19
+HOT = 1 << 18
 #: MU's logarithm is a whole number of steps, so that an unseen context leaves the lower order as it is.
 ADDED, KAPPA, MU = 0.1, 4.0, 10 ** 0.6
 #: A quantised logarithm: steps of a decimal digit, and the logarithm of code 1 (code 0 is nothing).
@@ -171,15 +171,25 @@ class Words:
         self.room = np.log10(self.total + ADDED * (distinct + 1))
         #: The word before the end that begins a text.
         self.nothing = len(self.hashes)
-        self.end = self.number_of(END)
-
-    def number_of(self, word: bytes) -> int:
-        """Place of a token among the frequent words, or its hash coded below 0."""
-        value = hash_of(word)
-        at = int(np.searchsorted(self.sorted, value))
-        if at < len(self.sorted) and self.sorted[at] == value:
-            return int(self.order[at])
-        return -1 - value
+        self.end = int(self.codes_of(np.array([hash_of(END)]))[0])
+
+    def codes_of(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of tokens, by their hashes, among the frequent words, or the hash coded below 0."""
+        distinct, place = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.sorted, distinct), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == distinct, self.order[at], -1 - distinct)[place]
+
+    def local(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes, in order, and the place of each of ``codes`` among them."""
+        rare = codes < 0
+        below = np.unique(codes[rare])
+        there = np.zeros(self.nothing + 1, bool)
+        there[codes[~rare]] = True
+        place = np.cumsum(there) + (len(below) - 1)
+        out = np.empty(len(codes), np.int64)
+        out[~rare] = place[codes[~rare]]
+        out[rare] = np.searchsorted(below, codes[rare])
+        return np.concatenate([below, np.flatnonzero(there)]), out
 
     def count_of(self, codes: np.ndarray) -> np.ndarray:
         """Counts of the frequent words among ``codes``, 0 of all others."""
@@ -206,6 +216,18 @@ def _mass(codes: np.ndarray) -> np.ndarray:
 UNSEEN = _code(np.array([MU]), up=True)[0]
 
 
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """Where a sorted column has a new value."""
+    return np.flatnonzero(np.diff(values, prepend=values[:1] - 1))
+
+
+def _pairs(middle: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a sorted row is the first of its pair, and the pair's number."""
+    first = np.ones(len(middle), bool)
+    first[1:] = (middle[1:] != middle[:-1]) | (after[1:] != after[:-1])
+    return first, np.cumsum(first) - 1
+
+
 def _level(node: np.ndarray, word: np.ndarray, above: int) -> dict:
     """Arrays of a level: numbers below the ``above`` nodes before, sorted by (node, word)."""
     starts = np.searchsorted(node, np.arange(above + 1))
@@ -221,22 +243,25 @@ def grow(middle: np.ndarray, after: np.ndarray, before: np.ndarray, counts: np.n
     """Levels of a trie: distinct trigrams as numbers of their words, sorted by (middle, after, before), with
     their counts; ``totals``: occurrences of every middle word, by number; ``nothing``: the number (or -1) of
     the word before the end that begins a text, which is no context."""
-    heads, parent = np.unique(middle, return_inverse=True)
-    first = np.ones(len(middle), bool)
-    first[1:] = (middle[1:] != middle[:-1]) | (after[1:] != after[:-1])
-    pair = np.cumsum(first) - 1
+    begins = _first_of(middle)
+    heads, parent = middle[begins], np.repeat(np.arange(len(begins)), np.diff(begins, append=len(middle)))
+    first, pair = _pairs(middle, after)
     found, above = np.bincount(pair, counts), parent[first]
     alpha = KAPPA * np.sqrt(totals[heads])
     share = MU * found / (totals[heads] + alpha)[above]
     rank = pair - np.searchsorted(above, np.arange(len(heads)))[parent]
     real = np.nonzero(before != nothing)[0]
     size = int(before.max()) + 1
-    contexts, context = np.unique(parent[real] * size + before[real], return_inverse=True)
-    by = np.lexsort((rank[real], context))
+    key = parent[real] * size + before[real]
+    # ranks stay in order within a context
+    by = np.argsort(key, kind="stable")
+    key, real = key[by], real[by]
+    contexts = key[_first_of(key)]
+    context = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
     levels = {"after": _level(above, after[first], len(heads)), "before": _level(contexts // size, contexts % size, len(heads)),
-              "gram": _level(context[by], rank[real][by], len(contexts))}
+              "gram": _level(context, rank[real], len(contexts))}
     return {"heads": heads, "rest": _code(MU * alpha / (totals[heads] + alpha)), "pair": _code(share), "room": _code(found + MU, up=True),
-            "mass": _code(counts[real][by] + share[pair[real][by]]), **{f"{n}.{k}": v for n, level in levels.items() for k, v in level.items()}}
+            "mass": _code(counts[real] + share[pair[real]]), **{f"{n}.{k}": v for n, level in levels.items() for k, v in level.items()}}
 
 
 class Trie:
@@ -247,34 +272,40 @@ class Trie:
         self.levels = {n: (Sequence(_part(self.arrays, f"{n}.p_")), Sequence(_part(self.arrays, f"{n}.w_"))) for n in ("after", "before", "gram")}
 
     def child(self, level: str, parent: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node of ``word`` below each parent node (-1: none), and its rank there."""
+        """Node of ``word`` below each parent node (-1: none), and its rank there; sorted by (parent, word)."""
         pointers, successors = self.levels[level]
         node, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
-        some = np.nonzero((parent >= 0) & (word >= 0))[0]
-        first, stop = pointers.access(parent[some]), pointers.access(parent[some] + 1)
-        full = stop > first
-        some, first, stop = some[full], first[full], stop[full]
-        if len(some):
-            base = np.where(first > 0, successors.access(np.maximum(first - 1, 0)) + 1, 0)
-            found = successors.find(base + word[some])
-            hit = (found >= first) & (found < stop)
-            node[some[hit]], rank[some[hit]] = found[hit], (found - first)[hit]
+        some = np.flatnonzero(parent >= 0)
+        begins = _first_of(parent[some])
+        nodes, runs = parent[some][begins], np.diff(begins, append=len(some))
+        first, stop = pointers.read(nodes), pointers.read(nodes + 1)
+        # a node's words follow the last value of the node before it
+        base = np.where(first > 0, successors.read(np.maximum(first - 1, 0)) + 1, 0) if successors.n else first
+        beyond = np.where(stop > 0, successors.read(np.maximum(stop - 1, 0)) + 1, 0) if successors.n else first
+        first, stop, base, beyond = (np.repeat(x, runs) for x in (first, stop, base, beyond))
+        found = successors.seek(np.minimum(base + word[some], beyond))
+        hit = (found >= first) & (found < stop)
+        node[some[hit]], rank[some[hit]] = found[hit], (found - first)[hit]
         return node, rank
 
     def masses(self, middle: np.ndarray, after: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes per trigram, sorted by (middle, after, before), -1 for an unknown word: its mass without the part
-        of P(c), the weight of that part, and n(b, c) + MU for the next trigram."""
+        """Codes per trigram, sorted by (middle, after, before): its mass without the part of P(c), the weight
+        of that part, and n(b, c) + MU for the next trigram."""
         heads = self.arrays["heads"]
         at = np.minimum(np.searchsorted(heads, middle), len(heads) - 1)
         parent = np.where(heads[at] == middle, at, -1)
-        first = np.ones(len(middle), bool)
-        first[1:] = (middle[1:] != middle[:-1]) | (after[1:] != after[:-1])
-        pair = np.cumsum(first) - 1
+        first, pair = _pairs(middle, after)
         node, rank = (x[pair] for x in self.child("after", parent[first], after[first]))
-        size = int(max(before.max(), 0)) + 2
-        contexts, place = np.unique((parent + 1) * size + before + 1, return_inverse=True)
-        context = self.child("before", contexts // size - 1, contexts % size - 1)[0][place]
-        gram, _ = self.child("gram", context, rank)
+        size = int(before.max()) + 1
+        key = parent * size + before
+        by = np.argsort(key, kind="stable")
+        begins = _first_of(key[by])
+        heads = by[begins]
+        context = np.repeat(self.child("before", parent[heads], before[heads])[0], np.diff(begins, append=len(by)))
+        # asked for only below a known context and pair
+        context = np.where(rank[by] >= 0, context, -1)
+        gram = np.empty(len(by), np.int64)
+        gram[by] = self.child("gram", context, rank[by])[0]
         mass = np.where(node >= 0, self.arrays["pair"][np.maximum(node, 0)], 0)
         if len(self.arrays["mass"]):
             mass = np.where(gram >= 0, self.arrays["mass"][np.maximum(gram, 0)], mass)
@@ -315,7 +346,7 @@ def _asked(found: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[list[n
     # a text begins with the end after nothing
     row = np.insert(found, np.repeat(starts, 2), np.tile([words.nothing, words.end], len(lengths)))
     at = np.arange(len(found)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 2
-    codes, local = np.unique(row, return_inverse=True)
+    codes, local = words.local(row)
     columns = [local[at - 1], local[at], local[at - 2]]
     first, spot = _distinct(columns, len(codes))
     return [codes[c[first]] for c in columns], spot
@@ -340,15 +371,10 @@ def _by_shard(columns: list[np.ndarray], words: Words, shards: int):
         yield int(shard[rows[0]]), rows
 
 
-def _first_of(values: np.ndarray) -> np.ndarray:
-    """Where a sorted column has a new value."""
-    return np.nonzero(np.diff(values, prepend=values[:1] - 1))[0]
-
-
 def _answers(columns: list[np.ndarray], counts: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     """Of every row (a trigram and its count in a chunk): the codes of :meth:`Trie.masses`, by the trie of the rows
     that training texts have, and the occurrences of its middle word (in training texts)."""
-    codes, local = np.unique(np.concatenate(columns), return_inverse=True)
+    codes, local = words.local(np.concatenate(columns))
     local = np.split(local, 3)
     first, place = _distinct(local, len(codes))
     n = np.bincount(place, counts, len(first))
@@ -392,7 +418,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-total // SHARD))
 
     def cut(batches):
-        numbers = Numbers(Words(unpack(shared.value)).number_of)
+        words, numbers = Words(unpack(shared.value)), Numbers(hash_of)
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             train, ask = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "ask"))
@@ -401,7 +427,7 @@ def _scored(docs: DataFrame) -> DataFrame:
                 flags = train[start:start + count] | ask[start:start + count] << 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), own),
-                     *[pa.array([_blob(x)], pa.binary()) for x in (found, lengths.astype(np.int64), flags)]],
+                     *[pa.array([_blob(x)], pa.binary()) for x in (words.codes_of(found), lengths.astype(np.int64), flags)]],
                     names=["chunk", "doc", "found", "lengths", "flags"])
                 chunk += 1
 

@@ -123,7 +123,7 @@ def test_toxicity_edge_cases(spark):
 
 # language model ------------------------------------------------------------------------------
 
-def test_elias_fano():
+def test_elias_fano(monkeypatch):
     rng = np.random.default_rng(0)
     for n, top in ((0, 10), (1, 1), (1, 1000), (10, 10), (1000, 10**6), (1000, 500), (20_000, 10**9), (50, 2**40)):
         values = np.sort(rng.integers(0, top, n))
