@@ -46,7 +46,7 @@ COUNTED = 1_000_000
 #: Training tokens per shard of the model.
 SHARD = 1 << 20
 #: Occurrences of a middle word per part of its trigrams.
-HOT = 1 << 18
+HOT = 1 << 17
 #: MU's logarithm is a whole number of steps, so that an unseen context leaves the lower order as it is.
 ADDED, KAPPA, MU = 0.1, 4.0, 10 ** 0.6
 #: A quantised logarithm: steps of a decimal digit, and the logarithm of code 1 (code 0 is nothing).
@@ -179,16 +179,20 @@ class Words:
         at = np.minimum(np.searchsorted(self.sorted, distinct), len(self.sorted) - 1)
         return np.where(self.sorted[at] == distinct, self.order[at], -1 - distinct)[place]
 
-    def local(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct codes, in order, and the place of each of ``codes`` among them."""
-        rare = codes < 0
-        below = np.unique(codes[rare])
+    def local(self, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The distinct codes of the columns, in order, and the place of each among them."""
+        below = np.unique(np.concatenate([np.unique(c[c < 0]) for c in columns]))
         there = np.zeros(self.nothing + 1, bool)
-        there[codes[~rare]] = True
-        place = np.cumsum(there) + (len(below) - 1)
-        out = np.empty(len(codes), np.int64)
-        out[~rare] = place[codes[~rare]]
-        out[rare] = np.searchsorted(below, codes[rare])
+        for c in columns:
+            there[c[c >= 0]] = True
+        place = (np.cumsum(there) + (len(below) - 1)).astype(np.int32)
+        out = []
+        for c in columns:
+            # a code below 0 reads a wrong place first
+            at = place[np.maximum(c, 0)]
+            rare = np.flatnonzero(c < 0)
+            at[rare] = np.searchsorted(below, c[rare])
+            out.append(at)
         return np.concatenate([below, np.flatnonzero(there)]), out
 
     def count_of(self, codes: np.ndarray) -> np.ndarray:
@@ -329,7 +333,7 @@ def _unblob(raw: bytes, kind=np.int64, columns: int = 1) -> np.ndarray:
 
 def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
     """An index of each distinct row, in order, and the place of every row among them; numbers below ``size``."""
-    key, top = columns[0], size
+    key, top = columns[0].astype(np.int64), size
     for column in columns[1:]:
         if top * size >= 1 << 63:
             names, key = np.unique(key, return_inverse=True)
@@ -346,7 +350,7 @@ def _asked(found: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[list[n
     # a text begins with the end after nothing
     row = np.insert(found, np.repeat(starts, 2), np.tile([words.nothing, words.end], len(lengths)))
     at = np.arange(len(found)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 2
-    codes, local = words.local(row)
+    codes, [local] = words.local([row])
     columns = [local[at - 1], local[at], local[at - 2]]
     first, spot = _distinct(columns, len(codes))
     return [codes[c[first]] for c in columns], spot
@@ -374,11 +378,11 @@ def _by_shard(columns: list[np.ndarray], words: Words, shards: int):
 def _answers(columns: list[np.ndarray], counts: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
     """Of every row (a trigram and its count in a chunk): the codes of :meth:`Trie.masses`, by the trie of the rows
     that training texts have, and the occurrences of its middle word (in training texts)."""
-    codes, local = words.local(np.concatenate(columns))
-    local = np.split(local, 3)
+    codes, local = words.local(columns)
     first, place = _distinct(local, len(codes))
-    n = np.bincount(place, counts, len(first))
-    middle, after, before = (c[first] for c in local)
+    n, place = np.bincount(place, counts, len(first)), place.astype(np.int32)
+    middle, after, before = (c[first].astype(np.int64) for c in local)
+    del local, first
     known = words.count_of(codes)
     totals = np.where(codes >= 0, known, np.bincount(middle, n, len(codes)))
     seen = n > 0
@@ -387,7 +391,7 @@ def _answers(columns: list[np.ndarray], counts: np.ndarray, words: Words) -> tup
         trie = Trie(pack(grow(middle[seen], after[seen], before[seen], n[seen], totals, int(nothing))))
         out = trie.masses(middle, after, before)
     else:
-        out = tuple(np.full(len(first), x, np.uint16) for x in (0, _code(np.array([MU]))[0], UNSEEN))
+        out = tuple(np.full(len(n), x, np.uint16) for x in (0, _code(np.array([MU]))[0], UNSEEN))
     return *(x[place] for x in out), totals[middle][place].astype(np.int64)
 
 
@@ -453,15 +457,19 @@ def _scored(docs: DataFrame) -> DataFrame:
                     # the sorted middle words go as steps
                     grams[0] = np.diff(grams[0], prepend=0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard], pa.int64()), pa.array([chunk], pa.int64()), pa.array([ask]), pa.array([_blob(*grams, n[rows])], pa.binary())],
-                        names=["shard", "chunk", "ask", "grams"])
+                        [pa.array([shard], pa.int64()), pa.array([chunk], pa.int64()), pa.array([ask]), pa.array([len(rows)], pa.int64()),
+                         pa.array([_blob(*grams, n[rows])], pa.binary())],
+                        names=["shard", "chunk", "ask", "size", "grams"])
 
     def answer(asked):
         words = Words(unpack(shared.value))
-        rows = [_unblob(x.as_py(), np.int64, 4) for x in asked.column("grams")]
-        columns = [np.concatenate([np.cumsum(r[0]) for r in rows]), *[np.concatenate([r[k] for r in rows]) for k in (1, 2, 3)]]
-        ends = np.cumsum([r.shape[1] for r in rows])
-        del rows
+        ends = np.cumsum(asked.column("size").to_numpy())
+        columns = [np.empty(ends[-1], np.int64) for _ in range(4)]
+        for blob, stop in zip(asked.column("grams"), ends):
+            rows = _unblob(blob.as_py(), np.int64, 4)
+            rows = [np.cumsum(rows[0]), *rows[1:]]
+            for column, values in zip(columns, rows):
+                column[stop - len(values):stop] = values
         mass, rest, room, totals = _answers(columns[:3], columns[3], words)
         chunk, ask, out = asked.column("chunk").to_pylist(), asked.column("ask").to_pylist(), []
         for i, (start, stop) in enumerate(zip([0, *ends[:-1]], ends)):
@@ -473,7 +481,7 @@ def _scored(docs: DataFrame) -> DataFrame:
             [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
             names=["chunk", "shard", "codes", "rest", "totals"])
 
-    answered = (chunks.mapInArrow(send, "shard bigint, chunk bigint, ask boolean, grams binary")
+    answered = (chunks.mapInArrow(send, "shard bigint, chunk bigint, ask boolean, size bigint, grams binary")
                 .groupBy("shard").applyInArrow(answer, "chunk bigint, shard bigint, codes binary, rest binary, totals binary"))
 
     def finish(chunk, answers):
