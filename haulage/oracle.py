@@ -682,8 +682,29 @@ SELECT {', '.join('s.' + k for k in SHIP_KEYS.split(', '))}, s.unit_quantity, ca
 FROM ship s LEFT JOIN won w ON {' AND '.join(f'w.{k} = s.{k}' for k in SHIP_KEYS.split(', '))}"""
 
 
+# a damaged line is known by its order number (see plans/ingest.py)
+INGEST_REJECTS = """
+SELECT 'order_list' AS table_name, 'field_count' AS rule, CAST(NULL AS VARCHAR) AS column_name,
+       CAST(NULL AS VARCHAR) AS value, order_id FROM ol WHERE order_id % 50 IN (29, 37)
+UNION ALL
+SELECT 'order_list', 'unreadable_value', 'unit_quantity', CAST(unit_quantity AS VARCHAR) || ' pcs', order_id
+FROM ol WHERE order_id % 50 IN (7, 43) AND unit_quantity IS NOT NULL
+UNION ALL
+SELECT 'order_list', 'unreadable_value', 'order_date', strftime(order_date, '%d/%m/%Y'), order_id
+FROM ol WHERE order_id % 50 = 13 AND order_date IS NOT NULL
+UNION ALL
+SELECT 'order_list', 'unreadable_value', 'weight', 'n/a', order_id FROM ol WHERE order_id % 50 IN (21, 43)
+"""
+INGEST_ACCEPTED = TABLE_SELECTS["clean_order_list"] + """
+WHERE order_id IS NULL OR (order_id % 50 NOT IN (21, 29, 37, 43) AND NOT (order_id % 50 = 7 AND unit_quantity IS NOT NULL)
+                           AND NOT (order_id % 50 = 13 AND order_date IS NOT NULL))
+"""
+
+
 def extension_statements() -> dict[str, str]:
     return {
+        "ingest_accepted": statement(INGEST_ACCEPTED),
+        "ingest_rejects": statement(INGEST_REJECTS),
         "stg_csv": statement(TABLE_SELECTS["clean_order_list"]),
         "clean_untidy_csv": statement(TABLE_SELECTS["clean_vmi_customers"]),
         "model_tables": statement("\nUNION ALL\n".join(

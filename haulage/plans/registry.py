@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from haulage.config import CostConfig
 from haulage.operators import costmodel
 from haulage.operators import quality
-from haulage.plans import evaluation, extensions, inefficiency, optimization
+from haulage.plans import evaluation, extensions, inefficiency, ingest, optimization
 from haulage.operators.clean import clean_table
 from haulage.plans.star import Star, clean_for, star_for
 from haulage.session import scratch_path
@@ -166,6 +166,8 @@ def extension_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "stg_csv": _csv_round_trip,
         "clean_untidy_csv": _untidy_csv,
+        "ingest_accepted": lambda spark, sf_dir: decimals_as_double(ingest.ingest_accepted(spark, sf_dir)),
+        "ingest_rejects": ingest.ingest_rejects,
         "model_tables": on_star(_model_tables),
         "profile_tables": _profile,
         "dq_orphans": partial(_dq, "orphans"),
