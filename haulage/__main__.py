@@ -6,6 +6,10 @@
     python -m haulage build --parquet-dir DIR | --csv-dir DIR  --location PATH [--database NAME]
     python -m haulage run QUERY --saved PATH       [--out PATH] [--format parquet|csv]
 
+``--rejects PATH`` (with ``--csv-dir``) writes the records that cannot be read there and goes on with
+the others; without it the first one stops the load.  ``--keys PATH`` (with ``build``) keeps
+the dimension keys of earlier builds with the same folder (see ``functions/key_registry.py``).
+
 ``--parquet-dir`` takes the TPC-H-shaped test tables (mapped by the fixture
 adapter); ``--csv-dir`` takes the seven staging tables as CSV files (see
 ``sources/csv.py`` for the file names).  ``build`` saves the model's tables, and
@@ -32,10 +36,12 @@ def main(argv: list[str] | None = None) -> int:
         src.add_argument("--parquet-dir")
         src.add_argument("--csv-dir")
         command.add_argument("--master", default=None)
+        command.add_argument("--rejects")
         if command is run:
             src.add_argument("--saved")
     build.add_argument("--location", required=True)
     build.add_argument("--database", default="modeling")
+    build.add_argument("--keys")
     run.add_argument("--out")
     run.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     args = ap.parse_args(argv)
@@ -50,9 +56,11 @@ def main(argv: list[str] | None = None) -> int:
 
     from pyspark.sql import SparkSession
 
-    from haulage.plans.star import open_star, register_staging, save_star, star_for
-    from haulage.session import DEFAULT_CONF
+    from haulage.functions.key_registry import KeyRegistry
+    from haulage.plans.star import build_star, clean_for, open_star, register_staging, save_star, star_for
+    from haulage.session import DEFAULT_CONF, scratch_path
     from haulage.sources.csv import read_csv_folder
+    from haulage.sources.quarantine import ingest_folder
 
     owned = SparkSession.getActiveSession() is None
     builder = SparkSession.builder.appName("haulage")
@@ -63,9 +71,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = builder.getOrCreate()
     source = args.parquet_dir
     if args.csv_dir:
-        source = register_staging(spark, args.csv_dir, read_csv_folder(spark, args.csv_dir))
+        if args.rejects:
+            staging, rejects = ingest_folder(spark, args.csv_dir)
+            rejects.write.mode("overwrite").parquet(args.rejects)
+        else:
+            staging = read_csv_folder(spark, args.csv_dir)
+        source = register_staging(spark, args.csv_dir, staging)
     if args.cmd == "build":
-        save_star(star_for(spark, source), args.database, args.location)
+        if args.keys:
+            star = build_star(clean_for(spark, source), scratch_path(spark, "star"), keys=KeyRegistry(spark, args.keys))
+        else:
+            star = star_for(spark, source)
+        save_star(star, args.database, args.location)
         print(args.location)
         if owned:
             spark.stop()

@@ -700,9 +700,19 @@ WHERE order_id IS NULL OR (order_id % 50 NOT IN (21, 29, 37, 43) AND NOT (order_
                            AND NOT (order_id % 50 = 13 AND order_date IS NOT NULL))
 """
 
+LASTING_CUSTOMER_KEYS = """
+, seen AS (SELECT customer_id, min(n_load) AS n_load FROM (
+    SELECT customer_id, 1 AS n_load FROM vmi
+    UNION ALL SELECT customer, CASE WHEN day(order_date) <= 2 THEN 1 ELSE 2 END FROM ol) GROUP BY customer_id)
+SELECT row_number() OVER (ORDER BY n_load, customer_id NULLS LAST) AS customer_key, customer_id,
+       coalesce(customer_id IN (SELECT customer_id FROM vmi), false) AS is_vmi_customer
+FROM seen
+"""
+
 
 def extension_statements() -> dict[str, str]:
     return {
+        "lasting_customer_keys": statement(LASTING_CUSTOMER_KEYS),
         "ingest_accepted": statement(INGEST_ACCEPTED),
         "ingest_rejects": statement(INGEST_REJECTS),
         "stg_csv": statement(TABLE_SELECTS["clean_order_list"]),

@@ -1,10 +1,14 @@
-"""Ingest of an order list with bad records: what is accepted and what is set aside."""
+"""Ingest: an order list with bad records, and the keys of a model over two loads."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulage.functions.key_registry import KeyRegistry
+from haulage.operators import dims
 from haulage.operators.clean import clean_table
 from haulage.plans.star import clean_for
 from haulage.session import scratch_path
@@ -41,3 +45,12 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fault: rule, column, the text found there, and the order it belongs to."""
     return _damaged_orders(spark, sf_dir).rejects.select(
         "table_name", "rule", "column_name", "value", F.split("record", ",")[0].cast("long").alias("order_id"))
+
+
+def lasting_customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer dimension after two loads: first the orders of half of the dates, then all of them.  The
+    customers of the first load keep its keys, those that the second one adds come behind."""
+    c, keys = clean_for(spark, sf_dir), KeyRegistry(spark, scratch_path(spark, "keys"))
+    first = replace(c, order_list=c.order_list.where("day(order_date) <= 2"))
+    dims.dim_customer(first, keys.number)
+    return dims.dim_customer(c, keys.number)

@@ -168,6 +168,7 @@ def extension_queries() -> dict[str, Query]:
         "clean_untidy_csv": _untidy_csv,
         "ingest_accepted": lambda spark, sf_dir: decimals_as_double(ingest.ingest_accepted(spark, sf_dir)),
         "ingest_rejects": ingest.ingest_rejects,
+        "lasting_customer_keys": ingest.lasting_customer_keys,
         "model_tables": on_star(_model_tables),
         "profile_tables": _profile,
         "dq_orphans": partial(_dq, "orphans"),

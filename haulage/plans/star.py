@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulage.config import CostConfig
 from haulage.functions.intervals import levels_for
+from haulage.functions.key_registry import KeyRegistry, dense
 from haulage.operators import bridges, costmodel, dims, envelope, facts
 from haulage.operators.clean import clean, clean_table
 from haulage.session import app_id, scratch_path
@@ -117,15 +118,17 @@ def load_clean(spark: SparkSession, sf_dir: str, root: str) -> Staging:
     return Staging(order_list=orders, **written)
 
 
-def build_star(c: Staging, root: str, dedup_product: bool = False) -> Star:
-    """Dimensions first (written), then bridges and facts that read them."""
+def build_star(c: Staging, root: str, dedup_product: bool = False, keys: KeyRegistry | None = None) -> Star:
+    """Dimensions first (written), then bridges and facts that read them; dimension keys are those of
+    ``keys``, if given, and new for this load otherwise."""
+    number = keys.number if keys else dense
     d = _write_all({
-        "dim_plant": lambda: dims.dim_plant(c),
-        "dim_port": lambda: dims.dim_port(c),
-        "dim_carrier": lambda: dims.dim_carrier(c),
-        "dim_customer": lambda: dims.dim_customer(c),
-        "dim_product": lambda: dims.dim_product(c, distinct=dedup_product),
-        "dim_date": lambda: dims.dim_date(c),
+        "dim_plant": lambda: dims.dim_plant(c, number),
+        "dim_port": lambda: dims.dim_port(c, number),
+        "dim_carrier": lambda: dims.dim_carrier(c, number),
+        "dim_customer": lambda: dims.dim_customer(c, number),
+        "dim_product": lambda: dims.dim_product(c, dedup_product, number),
+        "dim_date": lambda: dims.dim_date(c, number),
     }, root)
     rest = _write_all({
         "bridge_plant_customer": lambda: bridges.bridge_plant_customer(
