@@ -212,8 +212,12 @@ def _code(values: np.ndarray, up: bool = False) -> np.ndarray:
     return np.where(values > 0, np.clip(whole + 1, 1, 65535), 0).astype(np.uint16)
 
 
+MASSES = 10 ** (np.arange(-1, 65535) / STEPS + LOWEST)
+MASSES[0] = 0
+
+
 def _mass(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == 0, 0.0, 10 ** ((codes.astype(np.float64) - 1) / STEPS + LOWEST))
+    return MASSES[codes]
 
 
 #: The mass of an unseen context: the prior's weight alone.
@@ -322,7 +326,7 @@ def _blob(*columns: np.ndarray) -> bytes:
     """Columns of one type and length packed byte by byte: the high bytes of small numbers take next to nothing."""
     rows = np.stack(columns)
     planes = rows.view(np.uint8).reshape(*rows.shape, rows.itemsize).transpose(0, 2, 1)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unblob(raw: bytes, kind=np.int64, columns: int = 1) -> np.ndarray:
@@ -511,7 +515,7 @@ def _scored(docs: DataFrame) -> DataFrame:
                 mass, room, rest = codes[:, spot]
                 room = np.insert(room[:-1], 0, UNSEEN)
                 room[np.cumsum(lengths) - lengths] = UNSEEN
-                prob = (_mass(mass) + _mass(rest) * 10 ** words.base(count)) / _mass(room)
+                prob = (_mass(mass) + _mass(rest) * ((count + ADDED) / 10 ** words.room)) / _mass(room)
             sums = [lengths, np.bincount(text, count > 0, len(lengths)).astype(np.int64),
                     np.bincount(text, words.base(count), len(lengths)), np.bincount(text, np.log10(prob), len(lengths))]
             parts.append(pa.Table.from_arrays(
