@@ -343,8 +343,13 @@ def _distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndar
             names, key = np.unique(key, return_inverse=True)
             top = len(names)
         key, top = key * size + column, top * size
-    _, first, place = np.unique(key, return_index=True, return_inverse=True)
-    return first, place
+    # any row stands for its equals, so the sort need not be stable
+    by = np.argsort(key)
+    new = np.ones(len(by), bool)
+    np.not_equal(key[by[1:]], key[by[:-1]], out=new[1:])
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(new) - 1
+    return by[new], place
 
 
 def _asked(found: np.ndarray, lengths: np.ndarray, words: Words) -> tuple[list[np.ndarray], np.ndarray]:
@@ -424,9 +429,16 @@ def _scored(docs: DataFrame) -> DataFrame:
     total = int(table["totals"][0])
     shared = docs.sparkSession.sparkContext.broadcast(pack(table))
     shards = max(1, -(-total // SHARD))
+    held: list[Words] = []
+
+    def frequent() -> Words:
+        # once per task, whose groups share it
+        if not held:
+            held.append(Words(unpack(shared.value)))
+        return held[0]
 
     def cut(batches):
-        words, numbers = Words(unpack(shared.value)), Numbers(hash_of)
+        words, numbers = frequent(), Numbers(hash_of)
         chunk = TaskContext.get().partitionId() << 33
         for batch in batches:
             train, ask = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "ask"))
@@ -449,7 +461,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     chunks = docs.sparkSession.read.schema(schema).parquet(path)
 
     def send(batches):
-        words = Words(unpack(shared.value))
+        words = frequent()
         for batch in batches:
             for i in range(batch.num_rows):
                 found, lengths, flags = (_unblob(batch.column(c)[i].as_py(), t) for c, t in (("found", np.int64), ("lengths", np.int64), ("flags", np.uint8)))
@@ -466,7 +478,7 @@ def _scored(docs: DataFrame) -> DataFrame:
                         names=["shard", "chunk", "ask", "size", "grams"])
 
     def answer(asked):
-        words = Words(unpack(shared.value))
+        words = frequent()
         ends = np.cumsum(asked.column("size").to_numpy())
         columns = [np.empty(ends[-1], np.int64) for _ in range(4)]
         for blob, stop in zip(asked.column("grams"), ends):
@@ -489,7 +501,7 @@ def _scored(docs: DataFrame) -> DataFrame:
                 .groupBy("shard").applyInArrow(answer, "chunk bigint, shard bigint, codes binary, rest binary, totals binary"))
 
     def finish(chunk, answers):
-        words = Words(unpack(shared.value))
+        words = frequent()
         got = {row["shard"]: row for row in answers.to_pylist()}
         parts = []
         for i in range(chunk.num_rows):
