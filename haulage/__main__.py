@@ -5,11 +5,16 @@
     python -m haulage run QUERY --csv-dir DIR      [--out PATH] [--format parquet|csv]
     python -m haulage build --parquet-dir DIR | --csv-dir DIR  --location PATH [--database NAME]
     python -m haulage run QUERY --saved PATH       [--out PATH] [--format parquet|csv]
+    python -m haulage load --csv-dir DIR --model PATH [--rejects PATH]
+    python -m haulage run QUERY --model PATH       [--out PATH] [--format parquet|csv]
 
 ``--rejects PATH`` (with ``--csv-dir``) writes the records that cannot be read there and goes on with
 the others; without it the first one stops the load.  ``--keys PATH`` (with ``build``) keeps
 the dimension keys of earlier builds with the same folder (see ``functions/key_registry.py``).
 
+``load`` adds the order lines of an input to the model in the folder ``--model`` without building it anew (see
+``plans/loads.py``); the first load begins it.
+
 ``--parquet-dir`` takes the TPC-H-shaped test tables (mapped by the fixture
 adapter); ``--csv-dir`` takes the seven staging tables as CSV files (see
 ``sources/csv.py`` for the file names).  ``build`` saves the model's tables, and
@@ -29,9 +34,9 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="haulage")
     sub = ap.add_subparsers(dest="cmd", required=True)
     sub.add_parser("list")
-    run, build = sub.add_parser("run"), sub.add_parser("build")
+    run, build, load = sub.add_parser("run"), sub.add_parser("build"), sub.add_parser("load")
     run.add_argument("query")
-    for command in (run, build):
+    for command in (run, build, load):
         src = command.add_mutually_exclusive_group(required=True)
         src.add_argument("--parquet-dir")
         src.add_argument("--csv-dir")
@@ -39,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
         command.add_argument("--rejects")
         if command is run:
             src.add_argument("--saved")
+            src.add_argument("--model")
+    load.add_argument("--model", required=True)
     build.add_argument("--location", required=True)
     build.add_argument("--database", default="modeling")
     build.add_argument("--keys")
@@ -57,6 +64,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from haulage.functions.key_registry import KeyRegistry
+    from haulage.plans.loads import LoadedModel
     from haulage.plans.star import build_star, clean_for, open_star, register_staging, save_star, star_for
     from haulage.session import DEFAULT_CONF, scratch_path
     from haulage.sources.csv import read_csv_folder
@@ -87,6 +95,13 @@ def main(argv: list[str] | None = None) -> int:
         if owned:
             spark.stop()
         return 0
+    if args.cmd == "load":
+        print(LoadedModel(spark, args.model).load(clean_for(spark, source)))
+        if owned:
+            spark.stop()
+        return 0
+    if args.model:
+        source = LoadedModel(spark, args.model).open()
     if args.saved:
         source = open_star(spark, location=args.saved)
     df = queries[args.query](spark, source)

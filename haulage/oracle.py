@@ -709,19 +709,35 @@ SELECT row_number() OVER (ORDER BY n_load, customer_id NULLS LAST) AS customer_k
 FROM seen
 """
 
+TWO_LOADS_SHIPMENTS = """
+SELECT s.order_id, p.plant_code, c.carrier_id AS carrier, o.port AS origin_port, d.port AS destination_port, s.service_level,
+       s.unit_quantity, CAST(s.total_weight AS DOUBLE) AS total_weight
+FROM ship s JOIN dim_plant p ON p.plant_key = s.plant_id JOIN dim_carrier c ON c.carrier_key = s.carrier_id
+JOIN dim_port o ON o.port_key = s.origin_port_id JOIN dim_port d ON d.port_key = s.destination_port_id
+"""
+
+TWO_LOADS_CAPACITY = """
+SELECT p.plant_code, p.daily_capacity, count(*) AS order_lines, count(DISTINCT f.order_key) AS order_keys
+FROM fact_orders f JOIN dim_plant p ON p.plant_key = f.plant_id GROUP BY p.plant_key, p.plant_code, p.daily_capacity
+"""
+
 
 def extension_statements() -> dict[str, str]:
+    model_tables = statement("\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {cte}" for name, cte in (
+            *((t, t) for t in ("dim_plant", "dim_port", "dim_carrier", "dim_customer", "dim_product", "dim_date",
+                               "bridge_plant_customer", "bridge_plant_port", "bridge_plant_product",
+                               "fact_freight_rates", "fact_orders")), ("shipments", "ship"))))
     return {
+        "two_loads_shipments": statement(TWO_LOADS_SHIPMENTS),
+        "two_loads_capacity": statement(TWO_LOADS_CAPACITY),
+        "saved_model_tables": model_tables,
         "lasting_customer_keys": statement(LASTING_CUSTOMER_KEYS),
         "ingest_accepted": statement(INGEST_ACCEPTED),
         "ingest_rejects": statement(INGEST_REJECTS),
         "stg_csv": statement(TABLE_SELECTS["clean_order_list"]),
         "clean_untidy_csv": statement(TABLE_SELECTS["clean_vmi_customers"]),
-        "model_tables": statement("\nUNION ALL\n".join(
-            f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {cte}" for name, cte in (
-                *((t, t) for t in ("dim_plant", "dim_port", "dim_carrier", "dim_customer", "dim_product", "dim_date",
-                                   "bridge_plant_customer", "bridge_plant_port", "bridge_plant_product",
-                                   "fact_freight_rates", "fact_orders")), ("shipments", "ship")))),
+        "model_tables": model_tables,
         "profile_tables": statement(profile_tables()),
         "dq_orphans": statement(DQ_ORPHANS),
         "dq_duplicates": statement(DQ_DUPLICATES),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from haulage.functions.key_registry import KeyRegistry
 from haulage.operators import dims
 from haulage.operators.clean import clean_table
-from haulage.plans.star import clean_for
+from haulage.plans.loads import LoadedModel
+from haulage.plans.star import Star, clean_for
 from haulage.session import scratch_path
 from haulage.sources.quarantine import Ingested, ingest
 
@@ -54,3 +55,33 @@ def lasting_customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = replace(c, order_list=c.order_list.where("day(order_date) <= 2"))
     dims.dim_customer(first, keys.number)
     return dims.dim_customer(c, keys.number)
+
+
+def _two_loads(spark: SparkSession, sf_dir: str) -> Star:
+    """The model after a load of the lines with an even quantity and one of all others, so that shipments
+    and cells have lines of both."""
+    c, model = clean_for(spark, sf_dir), LoadedModel(spark, scratch_path(spark, "loaded"))
+    even = F.coalesce(F.col("unit_quantity") % 2 == 0, F.lit(False))
+    for part in (even, ~even):
+        model.load(replace(c, order_list=c.order_list.where(part)))
+    return model.star()
+
+
+def two_loads_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shipments of a model after two loads, by their codes."""
+    star = _two_loads(spark, sf_dir)
+    ports = star.dim_port.selectExpr("port_key", "port")
+    return (star.shipments.join(star.dim_plant.selectExpr("plant_key AS plant_id", "plant_code"), "plant_id")
+            .join(star.dim_carrier.selectExpr("carrier_key", "carrier_id AS carrier"), F.expr("carrier_id = carrier_key"))
+            .join(ports.selectExpr("port_key AS origin_port_id", "port AS origin_port"), "origin_port_id")
+            .join(ports.selectExpr("port_key AS destination_port_id", "port AS destination_port"), "destination_port_id")
+            .select("order_id", "plant_code", "carrier", "origin_port", "destination_port", "service_level", "unit_quantity",
+                    F.col("total_weight").cast("double").alias("total_weight")))
+
+
+def two_loads_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plants' order lines after two loads against their capacity, with the highest order key."""
+    star = _two_loads(spark, sf_dir)
+    lines = star.fact_orders.groupBy(F.col("plant_id").alias("plant_key")).agg(
+        F.count(F.lit(1)).alias("order_lines"), F.countDistinct("order_key").alias("order_keys"))
+    return star.dim_plant.join(lines, "plant_key").select("plant_code", "daily_capacity", "order_lines", "order_keys")

@@ -18,7 +18,7 @@ from haulage.operators import costmodel
 from haulage.operators import quality
 from haulage.plans import evaluation, extensions, inefficiency, ingest, optimization
 from haulage.operators.clean import clean_table
-from haulage.plans.star import Star, clean_for, star_for
+from haulage.plans.star import Star, clean_for, open_star, save_star, star_for
 from haulage.session import scratch_path
 from haulage.sources.csv import read_staging_csv, write_staging_csv, write_untidy_vmi
 
@@ -150,6 +150,15 @@ def _model_tables(star: Star, cfg: CostConfig) -> DataFrame:
     return reduce(DataFrame.unionAll, counts)
 
 
+def _saved_model_tables(star: Star, cfg: CostConfig) -> DataFrame:
+    """Name and row count of every table of the model, saved in a database and opened by its name."""
+    spark = star.fact_orders.sparkSession
+    folder = scratch_path(spark, "saved")
+    database = folder.rsplit("/", 1)[-1].replace("-", "_")
+    save_star(star, database, folder)
+    return _model_tables(star_for(spark, open_star(spark, database)), cfg)
+
+
 def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.profile_tables(clean_for(spark, sf_dir))
 
@@ -169,6 +178,9 @@ def extension_queries() -> dict[str, Query]:
         "ingest_accepted": lambda spark, sf_dir: decimals_as_double(ingest.ingest_accepted(spark, sf_dir)),
         "ingest_rejects": ingest.ingest_rejects,
         "lasting_customer_keys": ingest.lasting_customer_keys,
+        "two_loads_shipments": ingest.two_loads_shipments,
+        "two_loads_capacity": ingest.two_loads_capacity,
+        "saved_model_tables": on_star(_saved_model_tables),
         "model_tables": on_star(_model_tables),
         "profile_tables": _profile,
         "dq_orphans": partial(_dq, "orphans"),

@@ -204,8 +204,12 @@ def open_star(spark: SparkSession, database: str = "modeling", location: str | N
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{location.rstrip('/')}/{name}") if location else spark.table(f"`{database}`.{name}")
 
-    name = f"saved:{location or database}"
+    return register_star(spark, f"saved:{location or database}", Star(
+        clean=None, **{f.name: table(f.name) for f in fields(Star) if f.name != "clean"}), dedup_product)
+
+
+def register_star(spark: SparkSession, name: str, star: Star, dedup_product: bool = False) -> str:
+    """Lets the questions find ``star`` as the input called ``name``."""
     with _LOCK:
-        _STARS[(app_id(spark), name, dedup_product)] = Star(
-            clean=None, **{f.name: table(f.name) for f in fields(Star) if f.name != "clean"})
+        _STARS[(app_id(spark), name, dedup_product)] = star
     return name
