@@ -98,6 +98,18 @@ def order_costs(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: Data
             .selectExpr("*", "coalesce(transport_cost, 0) + warehouse_cost AS total_order_cost"))
 
 
+CUBE_KEYS = ["plant_id", "carrier_id", "origin_port_id", "destination_port_id"]
+
+
+def cost_cube(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame, cfg: CostConfig) -> DataFrame:
+    """Exact historical costs, units and orders per plant, carrier and route.  An order has one row of
+    ``order_costs`` in the order grain, so there its orders add up over the cells."""
+    return order_costs(ships, fact_freight_rates, dim_plant, cfg).groupBy(*CUBE_KEYS).agg(
+        F.sum("transport_cost").alias("transport_cost"), F.sum("warehouse_cost").alias("warehouse_cost"),
+        F.sum("total_order_cost").alias("total_order_cost"), F.sum("unit_quantity").alias("unit_quantity"),
+        F.countDistinct("order_id").alias("orders"))
+
+
 def carrier_options(ships: DataFrame, fact_freight_rates: DataFrame, dim_plant: DataFrame,
                     cfg: CostConfig, guarded: bool | None = None) -> DataFrame:
     """Every shipment priced with every carrier that has a tariff on its lane and band.

@@ -23,21 +23,23 @@ def historical_costs(star: Star, cfg: CostConfig) -> DataFrame:
 
 def total_historical_cost(star: Star, cfg: CostConfig) -> DataFrame:
     """Total transport, warehouse and logistics cost (one row)."""
-    return historical_costs(star, cfg).selectExpr(*COST_SUMS)
+    return star.cost_cube(cfg).selectExpr(*COST_SUMS)
 
 
 def avg_cost_per_order_unit(star: Star, cfg: CostConfig) -> DataFrame:
-    """Average logistics cost per order and per unit, rounded to cents."""
+    """Average logistics cost per order and per unit, rounded to cents.  Orders of several shipments
+    would count once per cell of the cube, so the shipment grain counts them from the orders' rows."""
     total = "CAST(sum(total_order_cost) AS DOUBLE)"
-    return historical_costs(star, cfg).selectExpr(
-        f"round({total} / CAST(nullif(count(DISTINCT order_id), 0) AS DOUBLE), 2)"
+    source, orders = ((star.cost_cube(cfg), "sum(orders)") if cfg.grain == "order"
+                      else (historical_costs(star, cfg), "count(DISTINCT order_id)"))
+    return source.selectExpr(
+        f"round({total} / CAST(nullif({orders}, 0) AS DOUBLE), 2)"
         " AS avg_cost_per_order",
         f"round({total} / CAST(nullif(sum(unit_quantity), 0) AS DOUBLE), 2) AS avg_cost_per_unit")
 
 
 def _route_costs(star: Star, cfg: CostConfig) -> DataFrame:
-    oc = historical_costs(star, cfg)
-    return oc.groupBy("plant_id", "origin_port_id", "destination_port_id").agg(
+    return star.cost_cube(cfg).groupBy("plant_id", "origin_port_id", "destination_port_id").agg(
         *[F.expr(e) for e in COST_SUMS])
 
 
@@ -48,7 +50,7 @@ def cost_by_plant_route(star: Star, cfg: CostConfig) -> DataFrame:
 
 def cost_by_carrier(star: Star, cfg: CostConfig) -> DataFrame:
     """Cost per carrier, costliest first."""
-    return (historical_costs(star, cfg).groupBy("carrier_id").agg(*[F.expr(e) for e in COST_SUMS])
+    return (star.cost_cube(cfg).groupBy("carrier_id").agg(*[F.expr(e) for e in COST_SUMS])
             .orderBy(F.col("total_logistics_cost").desc_nulls_first()))
 
 

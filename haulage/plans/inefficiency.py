@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
 from haulage.operators.costmodel import OPTION_SHIPMENT_KEYS, historical_options
-from haulage.plans.evaluation import _route_costs, historical_costs, plant_line_counts
+from haulage.plans.evaluation import _route_costs, plant_line_counts
 from haulage.plans.optimization import optimal_choices
 from haulage.plans.star import Star
 
@@ -23,8 +23,7 @@ def highest_cost_routes(star: Star, cfg: CostConfig) -> DataFrame:
 
 
 def carrier_cost_by_route(star: Star, cfg: CostConfig) -> DataFrame:
-    oc = historical_costs(star, cfg)
-    return (oc.groupBy("carrier_id", "origin_port_id", "destination_port_id")
+    return (star.cost_cube(cfg).groupBy("carrier_id", "origin_port_id", "destination_port_id")
             .agg(F.expr("CAST(sum(total_order_cost) AS DOUBLE) AS total_logistics_cost"))
             .orderBy(F.col("origin_port_id").asc_nulls_last(),
                      F.col("destination_port_id").asc_nulls_last(),

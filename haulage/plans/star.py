@@ -30,7 +30,9 @@ from haulage.sources.testdata import ParquetTables, load_staging, order_list
 # derived from a written table when first asked for, and kept as long as that
 _ENVELOPES: WeakKeyDictionary = WeakKeyDictionary()
 _PRICED: WeakKeyDictionary = WeakKeyDictionary()
+_CUBES: WeakKeyDictionary = WeakKeyDictionary()
 _ENVELOPE_LOCK = threading.Lock()
+_CUBE_LOCK = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -64,6 +66,14 @@ class Star:
                 made[key] = table, levels_for(table, envelope.LANE, "from_weight", "to_weight")
             return made[key]
 
+    def cost_cube(self, cfg: CostConfig) -> DataFrame:
+        """Historical costs per plant, carrier and route, written once per tariff table and reading."""
+        with _CUBE_LOCK:
+            made = _CUBES.setdefault(self.fact_freight_rates, {})
+            if cfg not in made:
+                made[cfg] = stored(costmodel.cost_cube(self.shipments, self.fact_freight_rates, self.dim_plant, cfg), "cost-cube")
+            return made[cfg]
+
     def plants_priced(self) -> bool:
         """Whether every plant has a cost per unit."""
         if self.dim_plant not in _PRICED:

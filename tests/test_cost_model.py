@@ -143,3 +143,24 @@ def test_dirty_inputs_are_counted_not_hidden(spark):
     # the two PLANT01 rows are two plant keys, hence two shipments of 2 lines x 3 units
     ships = s.shipments.where("order_id = 8").collect()
     assert sorted((r.plant_id, r.unit_quantity) for r in ships) == [(1, 6), (2, 6)]
+
+
+@pytest.mark.parametrize("grain", ["order", "shipment"])
+def test_cost_questions_read_the_stored_cube(star, grain):
+    cfg = CostConfig(grain=grain)
+    rows = evaluation.historical_costs(star, cfg)
+    cells = {tuple(r[:4]): tuple(r[4:]) for r in star.cost_cube(cfg).collect()}
+    assert cells == {tuple(r[:4]): tuple(r[4:]) for r in rows.groupBy(
+        "plant_id", "carrier_id", "origin_port_id", "destination_port_id").agg(
+        F.sum("transport_cost"), F.sum("warehouse_cost"), F.sum("total_order_cost"), F.sum("unit_quantity"),
+        F.countDistinct("order_id")).collect()}
+    assert star.cost_cube(cfg) is star.cost_cube(CostConfig(grain=grain))
+    questions = [evaluation.total_historical_cost, evaluation.cost_by_plant_route, evaluation.cost_by_carrier,
+                 inefficiency.highest_cost_routes, inefficiency.carrier_cost_by_route]
+    for question in questions + ([evaluation.avg_cost_per_order_unit] if grain == "order" else []):
+        plan = question(star, cfg)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1 and "Join" not in plan, question.__name__
+    # orders with several shipments count once in either grain
+    avg = evaluation.avg_cost_per_order_unit(star, cfg).first()["avg_cost_per_order"]
+    total, orders = rows.agg(F.sum("total_order_cost").cast("double"), F.countDistinct("order_id")).first()
+    assert avg == round(total / orders, 2)
