@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fixtures import _line, edge_staging
 from haulage.config import CostConfig
+from haulage.operators import costmodel
 from haulage.operators.clean import clean
 from haulage.plans import evaluation, inefficiency, optimization
 from haulage.plans.star import build_star
@@ -164,3 +165,46 @@ def test_cost_questions_read_the_stored_cube(star, grain):
     avg = evaluation.avg_cost_per_order_unit(star, cfg).first()["avg_cost_per_order"]
     total, orders = rows.agg(F.sum("total_order_cost").cast("double"), F.countDistinct("order_id")).first()
     assert avg == round(total / orders, 2)
+
+
+def _odd_staging(spark):
+    """Lines without date, customer, order, service or amounts, products with several keys, a plant listed twice."""
+    def but(line, at, value):
+        return (*line[:at], value, *line[at + 1:])
+    line = _line(20, "C02", 3, "10", product=300)
+    orders = [line, line, but(line, 1, None), but(line, 8, None), but(line, 0, None), but(line, 5, None),
+              but(line, 12, None), but(line, 13, None), _line(20, "C02", 2, "1", service="SL_N"),
+              _line(20, "C03", 7, "9.5"), _line(21, "C02", 1, "10", product=999), _line(22, "C01", 4, "40", product=300),
+              _line(23, "C02", 2_000_000_000, "0.0001", product=300)]
+    st = edge_staging(spark, orders=orders)
+    return clean(st.__class__(**{
+        **st.tables(),
+        "products_per_plant": spark.createDataFrame(
+            [("PLANT01", 300), ("PLANT02", 300), (None, 300), ("PLANT01", 100), ("PLANT01", None)], "plant_code string, product_id long"),
+        "wh_costs": spark.createDataFrame(
+            [("PLANT01", D("1.0")), ("PLANT01", D("1.5")), ("PLANT02", None)], "plant_code string, cost_per_unit decimal(12,4)")}))
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+def test_rollup_needs_no_numbered_order_lines(spark, dedup):
+    from haulage.session import scratch_path
+    star = build_star(_odd_staging(spark), scratch_path(spark, "later"), dedup_product=dedup)
+    for grain in ("order", "shipment"):
+        for question in (evaluation.cost_by_plant_route, evaluation.avg_cost_per_order_unit):
+            question(star, CostConfig(grain=grain)).collect()
+    assert "fact_orders" not in vars(star)        # nothing numbered or wrote the order lines
+    want = costmodel.shipments(star.fact_orders)
+    assert star.shipments.dtypes == want.dtypes
+    rows = sorted(map(repr, want.collect()))
+    assert rows and sorted(map(repr, star.shipments.collect())) == rows
+    assert star.fact_orders is star.fact_orders and star.tables()["fact_orders"] is star.fact_orders
+    with pytest.raises(AttributeError):
+        star.no_such_table
+
+
+def test_customers_meet_orders_and_not_lines(spark):
+    from conftest import SF_SMALL
+    from haulage.sources.testdata import ParquetTables, order_list
+    plan = order_list(ParquetTables(spark, SF_SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert [i for i, j in enumerate(joins) if "l_orderkey" in j] < [i for i, j in enumerate(joins) if "o_custkey" in j]
