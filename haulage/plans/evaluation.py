@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulage.config import CostConfig
-from haulage.operators.costmodel import order_costs
+from haulage.operators.costmodel import order_costs, orders_together
 from haulage.plans.labels import CAPACITY_DOES_NOT_FIT, CAPACITY_FITS
 from haulage.plans.star import Star
 
@@ -26,12 +26,18 @@ def total_historical_cost(star: Star, cfg: CostConfig) -> DataFrame:
     return star.cost_cube(cfg).selectExpr(*COST_SUMS)
 
 
+def priced_historical_cost(star: Star, cfg: CostConfig) -> DataFrame:
+    """The same row priced in one pass, for the question asked alone: no cube is written for it."""
+    return historical_costs(star, cfg).selectExpr(*COST_SUMS)
+
+
 def avg_cost_per_order_unit(star: Star, cfg: CostConfig) -> DataFrame:
     """Average logistics cost per order and per unit, rounded to cents.  Orders of several shipments
     would count once per cell of the cube, so the shipment grain counts them from the orders' rows."""
     total = "CAST(sum(total_order_cost) AS DOUBLE)"
     source, orders = ((star.cost_cube(cfg), "sum(orders)") if cfg.grain == "order"
-                      else (historical_costs(star, cfg), "count(DISTINCT order_id)"))
+                      else (order_costs(orders_together(star.shipments), star.fact_freight_rates, star.dim_plant, cfg),
+                            "count(DISTINCT order_id)"))
     return source.selectExpr(
         f"round({total} / CAST(nullif({orders}, 0) AS DOUBLE), 2)"
         " AS avg_cost_per_order",

@@ -202,6 +202,25 @@ def test_rollup_needs_no_numbered_order_lines(spark, dedup):
         star.no_such_table
 
 
+@pytest.mark.parametrize("grain", ["order", "shipment"])
+def test_cost_cube_shuffles_the_rollup_once(spark, grain):
+    from haulage.session import scratch_path
+    cfg = CostConfig(grain=grain)
+    star = build_star(_odd_staging(spark), scratch_path(spark, "once"))
+    # a plant key with two rows, as a key registry gives to a plant listed twice
+    plants = star.dim_plant.unionByName(star.dim_plant.withColumn("cost_per_unit", F.col("cost_per_unit") + 1))
+    cube = costmodel.cost_cube(star.shipments, star.fact_freight_rates, plants, cfg)
+    found = sorted(map(repr, map(tuple, cube.collect())))
+    want = costmodel.order_costs(star.shipments, star.fact_freight_rates, plants, cfg).groupBy(*costmodel.CUBE_KEYS).agg(
+        F.sum("transport_cost"), F.sum("warehouse_cost"), F.sum("total_order_cost"), F.sum("unit_quantity"),
+        F.countDistinct("order_id"))
+    assert [t for _, t in cube.dtypes] == [t for _, t in want.dtypes]
+    assert found and found == sorted(map(repr, map(tuple, want.collect())))
+    final = cube._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    by_order = [line for line in final.splitlines() if "Exchange hashpartitioning(" in line and "order_id" in line]
+    assert len(by_order) == 1, by_order
+
+
 def test_customers_meet_orders_and_not_lines(spark):
     from conftest import SF_SMALL
     from haulage.sources.testdata import ParquetTables, order_list
