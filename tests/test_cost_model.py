@@ -202,6 +202,18 @@ def test_rollup_needs_no_numbered_order_lines(spark, dedup):
         star.no_such_table
 
 
+@pytest.mark.parametrize("dedup", [False, True])
+def test_lines_per_day_need_no_numbered_order_lines(spark, dedup):
+    from haulage.plans import extensions
+    from haulage.session import scratch_path
+    star = build_star(_odd_staging(spark), scratch_path(spark, "days"), dedup_product=dedup)
+    found = sorted(map(repr, extensions.capacity_by_day(star, CostConfig()).collect()))
+    assert not {"fact_orders", "shipments"} & set(vars(star))
+    # the same of the numbered lines
+    star.fact_orders
+    assert found and sorted(map(repr, extensions.capacity_by_day(star, CostConfig()).collect())) == found
+
+
 @pytest.mark.parametrize("grain", ["order", "shipment"])
 def test_cost_cube_shuffles_the_rollup_once(spark, grain):
     from haulage.session import scratch_path
