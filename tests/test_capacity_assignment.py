@@ -7,11 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from fixtures import ORDERS, _line, edge_staging
 from haulage.config import CostConfig
 from haulage.operators.costmodel import SHIPMENT_KEYS, shipments
+from haulage.operators.clean import clean
 from haulage.oracle import ASSIGNMENT_ROUNDS
 from haulage.plans import extensions
-from haulage.plans.star import star_for
+from haulage.plans.star import build_star, star_for
+from haulage.session import scratch_path
 
 CFG = CostConfig(dedup_product=True)
 
@@ -129,3 +132,19 @@ def test_utilization_before_is_that_of_the_capacity_question(spark):
     before = {r["plant_code"]: r["daily_orders"] for r in q["capacity_utilization_dedup"](spark, SF_SMALL).collect()}
     shift = {r["plant_code"]: r["historical_lines"] for r in q["utilization_shift"](spark, SF_SMALL).collect()}
     assert {k: v for k, v in shift.items() if v} == before
+
+
+@pytest.mark.parametrize("dedup", [False, True])
+def test_re_sourcing_needs_no_numbered_order_lines(spark, dedup):
+    from datetime import date
+    staged = edge_staging(spark, [*ORDERS, _line(6, "C02", 2, "5", product=300, customer="CUST_9"), _line(6, "C02", 1, "5", product=300),
+                                  _line(7, "C02", 1, "5", product=300, customer="CUST_9"), _line(8, "C02", 1, "5", product=400),
+                                  (9, date(2024, 1, 1), *_line(9, "C02", 1, "2", customer=None)[2:]), _line(1, "C02", 3, "2", product=300)])
+    staged = clean(replace(staged, products_per_plant=spark.createDataFrame(
+        [("PLANT01", 100), ("PLANT01", 300), ("PLANT02", 300), ("PLANT02", 100), (None, 400), ("PLANT03", 100)], "plant_code string, product_id long")))
+    star = build_star(staged, scratch_path(spark, "unnumbered"), dedup_product=dedup)
+    questions = (extensions.feasible_options, extensions.feasible_assignment, extensions.utilization_shift)
+    found = [sorted(map(repr, q(star, CFG).collect())) for q in questions]
+    assert all(found) and not {"fact_orders", "shipments"} & set(vars(star))
+    star.fact_orders
+    assert [sorted(map(repr, q(star, CFG).collect())) for q in questions] == found
