@@ -1,6 +1,7 @@
 """Feasible re-sourcing and the capacity-limited assignment: invariants and hand-made stars
 (test_oracle holds the queries against SQL)."""
 
+import random
 from dataclasses import replace
 
 import pytest
@@ -143,8 +144,82 @@ def test_re_sourcing_needs_no_numbered_order_lines(spark, dedup):
     staged = clean(replace(staged, products_per_plant=spark.createDataFrame(
         [("PLANT01", 100), ("PLANT01", 300), ("PLANT02", 300), ("PLANT02", 100), (None, 400), ("PLANT03", 100)], "plant_code string, product_id long")))
     star = build_star(staged, scratch_path(spark, "unnumbered"), dedup_product=dedup)
-    questions = (extensions.feasible_options, extensions.feasible_assignment, extensions.utilization_shift)
+    questions = (extensions.feasible_options, extensions.feasible_assignment, extensions.utilization_shift, extensions.capacity_assignment)
     found = [sorted(map(repr, q(star, CFG).collect())) for q in questions]
     assert all(found) and not {"fact_orders", "shipments"} & set(vars(star))
     star.fact_orders
     assert [sorted(map(repr, q(star, CFG).collect())) for q in questions] == found
+
+
+@pytest.mark.parametrize("per_day", [False])
+def test_rounds_shuffle_no_shipments(spark, monkeypatch, per_day):
+    """Shipments are brought together once; of a round's proposals only those around the last one that fits are put in order."""
+    star, written = small_star(spark, 4, [(o, 1, 1) for o in range(30)], capacity=5), []
+    # cost and regret grow with the units, so the plants' last cells hold a few of the proposals
+    facts = star.fact_orders.withColumn("unit_quantity", F.expr("CAST(order_id * 3 + 1 AS INT)"))
+    star = replace(star, fact_orders=facts, shipments=shipments(facts))
+
+    def noted(df, label):
+        out = real(df, label)
+        written.append((label, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0], out.count()))
+        return out
+
+    real = extensions.stored
+    monkeypatch.setattr(extensions, "stored", noted)
+    monkeypatch.setattr("haulage.functions.keys.stored", noted)
+    got = extensions.capacity_assignment(star, CFG, per_day=per_day).collect()
+    assert sorted(r["assignment_round"] or 0 for r in got) == [0] * 10 + [1] * 5 + [2] * 5 + [3] * 5 + [4] * 5
+    proposals = [(plan, rows) for label, plan, rows in written if label == "proposals"]
+    assert [rows for _, rows in proposals] == [30, 25, 20, 15, 10]
+    assert not any("Exchange hashpartitioning(order_id" in plan for plan, _ in proposals[1:])
+    ranges = [rows for label, _, rows in written if label == "ranges"]
+    assert ranges and max(ranges) < 5, ranges
+
+
+def _one_by_one(options, capacity):
+    """The rounds in plain Python: {shipment: (plant, round)}."""
+    left, where, turn = dict(capacity), {}, 0
+    while True:
+        turn += 1
+        asking = {}
+        for key, (lines, prices) in options.items():
+            room = sorted((cost, p) for p, cost in prices.items() if lines <= left[p])
+            if key not in where and room:
+                regret = room[1][0] - room[0][0] if len(room) > 1 else None
+                asking.setdefault(room[0][1], []).append((regret is not None, -(regret or 0), room[0][0], key, lines))
+        if not asking:
+            return where
+        for plant, rows in asking.items():
+            run, took = 0, 0
+            for *_, key, lines in sorted(rows):
+                run += lines
+                if run <= left[plant]:
+                    where[key], took = (plant, turn), run
+            left[plant] -= took
+
+
+@pytest.mark.parametrize("capacity", [3, 11, 40])
+def test_rounds_equal_those_taken_one_by_one(spark, capacity):
+    draw = random.Random(capacity)
+    orders = [(o, 1, 1) for o in range(60) for _ in range(draw.choice((1, 1, 1, 2, 5)))]
+    star = small_star(spark, 4, orders, capacity=capacity)
+    units = [draw.choice((1, 1, 2, 30, 1000)) for _ in range(60)]
+    stocked = {o: sorted(draw.sample(range(1, 5), draw.choice((1, 2, 3)))) for o in range(60)}
+    by_order = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("order_id").cast("int") + 1)
+    facts = star.fact_orders.withColumns({"unit_quantity": by_order(units), "product_id": F.col("order_id")})
+    star = replace(star, fact_orders=facts, shipments=shipments(facts), bridge_plant_product=spark.createDataFrame(
+        [(p, o) for o, ps in stocked.items() for p in ps], "plant_key bigint, product_key bigint"))
+    priced = {}
+    for r in extensions.feasible_options(star, CFG).collect():
+        priced.setdefault(r["order_id"], {})[r["candidate_plant"]] = r["total_cost"]
+    lines = {o: sum(x[0] == o for x in orders) for o in priced}
+    want = _one_by_one({o: (lines[o], priced[o]) for o in priced}, {p: capacity for p in range(1, 5)})
+    got = extensions.capacity_assignment(star, CFG).collect()
+    assert len(got) == 60
+    assert {r["order_id"]: (r["assigned_plant"], r["assignment_round"]) for r in got if r["assigned_plant"]} == want
+
+
+def test_a_shipment_without_an_order_number_takes_room_only(spark):
+    star = small_star(spark, 1, [(None, 1, 1), (2, 1, 1), (3, 1, 1)], capacity=3)
+    got = {r["order_id"]: r["assigned_plant"] for r in extensions.capacity_assignment(star, CFG).collect()}
+    assert got == {None: None, 2: 1, 3: 1}
