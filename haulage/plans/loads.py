@@ -123,12 +123,13 @@ class LoadedModel:
         }, root)
         lines = _write_all({f"load={load}": numbered_lines}, f"{self.folder}/fact_orders")[f"load={load}"]
         cells = _in_cells(lines).select("cell").distinct()
-        added = costmodel.shipments(lines)
-        rollup = _in_cells(added)
+        rollup = _in_cells(costmodel.shipments(lines))
         if old:
-            # the sums of both loads, once more by shipment
-            before = self._rollup(added.schema).join(cells, "cell", "left_semi")
-            rollup = (before.unionByName(rollup).groupBy("cell", *costmodel.SHIPMENT_KEYS).agg(
+            # the sums of the earlier loads and this one's lines, by shipment at once
+            before = self._rollup(rollup.drop("cell").schema).join(cells, "cell", "left_semi")
+            added = _in_cells(lines).selectExpr("cell", *costmodel.SHIPMENT_KEYS, "CAST(unit_quantity AS BIGINT) AS unit_quantity",
+                                                "unit_quantity * weight AS total_weight")
+            rollup = (before.unionByName(added).groupBy("cell", *costmodel.SHIPMENT_KEYS).agg(
                 F.sum("unit_quantity").alias("unit_quantity"), F.sum("total_weight").cast(WEIGHT_TYPE).alias("total_weight")))
         # few files per cell; a large cell is dealt to several tasks
         rollup.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.folder}/shipments/load={load}")

@@ -2,6 +2,8 @@
 
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from haulage.functions.key_registry import KeyRegistry
 from haulage.functions.keys import nulls_last
 from haulage.operators.clean import clean
@@ -60,3 +62,20 @@ def test_two_loads_of_a_model(spark):
         return sorted(map(repr, found.select("order_id", "customer", "weight").collect()))
 
     assert lines(star) == lines(plain)
+
+
+def test_a_dimension_is_read_once_for_its_keys(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(code):
+        read.add(1)
+        return code
+
+    keys = KeyRegistry(spark, scratch_path(spark, "once"))
+    for codes, expected in ((["a", "b", "c"], 3), (["b", "d"], 2)):
+        rows = spark.createDataFrame([(c,) for c in codes], "code string").select(noted("code").alias("code"))
+        found = keys.number(rows, "k", nulls_last("code"), ["code"]).collect()
+        assert len(found) == expected
+    assert read.value == 5
+    assert {(r.code, r.k) for r in keys.known("k").collect()} == {("a", 1), ("b", 2), ("c", 3), ("d", 4)}

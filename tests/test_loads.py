@@ -74,3 +74,12 @@ def test_first_load_may_be_empty(spark):
     c = clean(edge_staging(spark, ORDERS))
     model.load(replace(c, vmi_customers=c.vmi_customers.limit(0)))
     assert len(_codes(model.star())[1]) == len(ORDERS)
+
+
+def test_order_keys_of_two_loads_are_counted_without_shuffling_them(spark):
+    from conftest import SF_SMALL
+    from haulage.plans import ingest
+    got = ingest.two_loads_capacity(spark, SF_SMALL)
+    assert all(r.order_keys == r.order_lines for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "hashpartitioning(" in line and "order_key" in line.split("hashpartitioning(")[1].split("_stretch")[0]]
